@@ -19,6 +19,8 @@ MEMTABLES = 8
 PER_REPLICA = 512
 #: A digest with more than this share of all rows is hot; so there are HOT hot ones at most, and they may be broadcast.
 HOT = 1000
+#: Size of the filter over digests of two or more rows; it is broadcast, so 2 MB at most.
+FILTER_BITS = 1 << 24
 FILTER = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "1000000", "parquet.bloom.filter.max.bytes": "2097152"}
 
 
@@ -68,16 +70,34 @@ def looked_up(digests: DataFrame, index: DataFrame) -> DataFrame:
     return cold.unionByName(marked.where("hot_n is not null").withColumnsRenamed({"hot_id": "keep_id", "hot_n": "n"}))
 
 
-def unequal_hits(docs: DataFrame, found: DataFrame) -> DataFrame:
+def hit_filter(digests: DataFrame, bits: int) -> DataFrame:
+    """A set of digests as bits // 32768 bitmaps of 4 KB at most, (bucket, bitmap): bits is the bound for what is broadcast."""
+    place = F.pmod(F.xxhash64("digest"), F.lit(bits))
+    return digests.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+
+
+def may_hit(rows: DataFrame, bitmaps: DataFrame, bits: int) -> DataFrame:
+    """Those rows whose digest may be in the filter; none that is in it goes."""
+    place = F.pmod(F.xxhash64("digest"), F.lit(bits))
+    byte = F.conv(F.hex(F.expr("substring(bitmap, int(bit div 8) + 1, 1)")), 16, 10).cast("int")
+    marked = rows.withColumn("bucket", F.bitmap_bucket_number(place)).withColumn("bit", F.bitmap_bit_position(place))
+    return marked.join(F.broadcast(bitmaps), "bucket").where(F.call_function("shiftright", byte, (F.col("bit") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1).drop("bucket", "bit", "bitmap")
+
+
+def unequal_hits(texts: DataFrame, index: DataFrame) -> DataFrame:
     """(doc_id, digest, text) of the hits whose normalised bytes differ from those of the document that stays.
 
-    docs: doc_id, text (normalised); found: doc_id, digest, keep_id, n. Only documents of groups of two or more
-    carry their text. The text that stays is sent in one replica for each PER_REPLICA copies, which a copy picks by its id.
+    texts: doc_id, digest, text (normalised). A filter over the digests of two or more rows keeps all other texts
+    from being shuffled. The text that stays is sent in one replica for each PER_REPLICA copies, of which a copy picks one.
     """
-    members = found.where("n > 1").select("doc_id", "digest", "keep_id", F.ceil(F.col("n") / PER_REPLICA).cast("int").alias("replicas"))
-    texts = docs.join(members, "doc_id")
-    kept = texts.where("doc_id = keep_id").select("digest", F.col("text").alias("kept_text"), F.explode(F.sequence(F.lit(0), F.col("replicas") - 1)).alias("replica")).dropDuplicates(["digest", "replica"])
-    copies = texts.where("doc_id <> keep_id").withColumn("replica", F.pmod(F.xxhash64("doc_id", "digest"), F.col("replicas")).cast("int"))
+    several = index.where("n > 1")
+    bits = FILTER_BITS
+    hits = looked_up(may_hit(texts, hit_filter(several, bits), bits), several)
+    hits = stage_table(hits.withColumn("replicas", F.ceil(F.col("n") / PER_REPLICA).cast("int")).drop("n"), "hits")
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    kept = hits.where(stays).groupBy("digest", "replicas").agg(F.min_by("text", "doc_id").alias("kept_text"))
+    kept = kept.select("digest", "kept_text", F.explode(F.sequence(F.lit(0), F.col("replicas") - 1)).alias("replica"))
+    copies = hits.withColumn("replica", F.pmod(F.xxhash64("doc_id", "digest"), F.col("replicas")).cast("int"))
     return copies.join(kept, ["digest", "replica"]).where(F.col("text") != F.col("kept_text")).select("doc_id", "digest", "text")
 
 
@@ -91,19 +111,21 @@ def exact_duplicates(docs: DataFrame, digest: Callable[[Column], Column] = sha25
     """
     spark = docs.sparkSession
     texts = rows_of(docs, doc_id=F.col("doc_id").cast("long"), text=normalised(F.col("text")))
-    hashed = texts.select("doc_id", F.sha2("text", 256).alias("text_sha256"), *([] if digest is sha256 else [digest(F.col("text")).alias("digest")]))
-    entries = stage_table(hashed if digest is not sha256 else hashed.select("doc_id", F.unhex("text_sha256").alias("digest")), "digests")
+    own_sha = [] if digest is sha256 else [F.sha2("text", 256).alias("text_sha256")]
+    texts = texts.withColumn("digest", digest(F.col("text")))
+    entries = stage_table(texts.select("doc_id", "digest", *own_sha), "digests")
     index = MergeIndex(spark, scratch_path(spark, "digest-index"))
     index.flush(entries.select("doc_id", "digest"))
-    found = looked_up(entries, index.compact())
-    failed = stage_table(unequal_hits(texts, found), "unequal-hits")
+    merged = index.compact()
+    found = looked_up(entries, merged)
+    failed = stage_table(unequal_hits(texts, merged), "unequal-hits")
     sha = F.col("text_sha256") if digest is not sha256 else F.lower(F.hex("digest"))
     if failed.isEmpty():
         return found.select("doc_id", "keep_id", F.col("n").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), sha.alias("text_sha256"))
     own = failed.groupBy("digest", F.sha2("text", 512).alias("bytes"), "text").agg(F.min("doc_id").alias("own_id"), F.count("*").alias("own_n"))
     again = failed.join(own, ["digest", "text"]).select("doc_id", "digest", F.sha2("text", 256).alias("own_sha"), "own_id", "own_n").dropDuplicates()
     fewer = failed.groupBy("digest").agg(F.count("*").alias("fewer"))
-    first = F.coalesce("own_id", "keep_id")
+    first = F.when(F.col("own_n").isNotNull(), F.col("own_id")).otherwise(F.col("keep_id"))
     return (
         found.withColumn("sha", sha).join(again, ["doc_id", "digest"], "left").where("own_sha is null or own_sha = sha").join(fewer, "digest", "left")
         .select("doc_id", first.alias("keep_id"), F.coalesce("own_n", F.col("n") - F.coalesce("fewer", F.lit(0))).alias("group_size"), F.col("doc_id").eqNullSafe(first).alias("kept"), F.col("sha").alias("text_sha256"))
