@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termlake.llm import exact_dedup, mixing, sharding
+from termlake.llm import bpe_codec, exact_dedup, mixing, sharding, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = bpe_codec.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    encoded = bpe_codec.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    decoded = bpe_codec.decode(encoded, ranks)
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op4_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"), SHARDS)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
@@ -34,6 +43,14 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, d.text_s
 """
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as vocabulary:
+        manifest = token_files.write_tokens(table(spark, sf_dir, "documents"), vocabulary.read(), end_id=1)
+    return token_files.read_tokens(manifest).drop("ids")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -60,7 +77,7 @@ FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
 
 
 def queries() -> dict[str, Query]:
-    return {"op4_virtual_slots": op4_virtual_slots, "op5_exact_dedup": op5_exact_dedup, "op10_mixing": op10_mixing}
+    return {"op2_byte_bpe": op2_byte_bpe, "op4_virtual_slots": op4_virtual_slots, "op5_exact_dedup": op5_exact_dedup, "op9_token_files": op9_token_files, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
