@@ -10,10 +10,10 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import tiktoken
 import xxhash
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from termlake.llm import blocks as B
-from termlake.llm.common import rows_of, ship, stage_table
+from termlake.llm.common import bucketed_table, rows_of, ship
 
 ship(__name__)
 
@@ -31,7 +31,7 @@ _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A space belongs to what follows; of several white spaces the last is apart. These edges are edges of PATTERN too.
 WORDS = re.compile(rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 #: Bytes of distinct words, about, that one hash partition should hold.
-PART_BYTES = 8_000_000
+PART_BYTES = 4_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -84,50 +84,53 @@ def _send(parts: int):
 
 
 def _encode_part(ranks: dict[bytes, int], pattern: str):
-    def encode(frame: pd.DataFrame) -> pd.DataFrame:
+    def encode(table: pa.Table) -> pa.Table:
         """Encode each distinct word of a hash partition once, then give each block its words' ids in the order it sent them."""
         encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        ids: dict[bytes, list[int]] = {}
+        ids: dict[bytes, bytes] = {}
+        out: dict[str, list] = {"block": table.column("block").to_pylist(), "part": table.column("part").to_pylist(), "counts": [], "flat": []}
+        for packed in table.column("words"):
+            words = B.unpack_units(packed.as_py())
+            for word in words:
+                if word not in ids:
+                    ids[word] = array("I", encoding.encode_ordinary(word.decode("utf-8", "surrogatepass"))).tobytes()
+            found = [ids[word] for word in words]
+            out["counts"].append(B.pack_ints(np.fromiter(map(len, found), dtype=np.uint32, count=len(found)) // np.uint32(4)))
+            out["flat"].append(B.pack_ints(np.frombuffer(b"".join(found), dtype="<u4")))
+        return pa.table(out, ENCODED)
 
-        def of(word: bytes) -> list[int]:
-            if word not in ids:
-                ids[word] = encoding.encode_ordinary(word.decode("utf-8", "surrogatepass"))
-            return ids[word]
+    return encode
 
-        out = []
-        for block, packed in zip(frame["block"], frame["words"], strict=True):
-            found = [of(word) for word in B.unpack_units(packed)]
-            flat = np.fromiter((i for x in found for i in x), dtype=np.uint32)
-            out.append((block, frame["part"].iloc[0], B.pack_ints(np.fromiter(map(len, found), dtype=np.uint32, count=len(found))), B.pack_ints(flat)))
-        return pd.DataFrame(out, columns=["block", "part", "counts", "flat"])
 
-    return encode
+ENCODED = pa.schema([("block", pa.string()), ("part", pa.int32()), ("counts", pa.binary()), ("flat", pa.binary())])
 
 
 def _reassemble(parts: int):
-    def reassemble(block: pd.DataFrame, encoded: pd.DataFrame) -> pd.DataFrame:
-        out = {"doc_id": [], "n_tokens": [], "ids": []}
-        for row in block.itertuples(index=False):
-            words = B.unpack_units(row.words)
-            part = _parts_of(words, parts)
-            order = np.argsort(part, kind="stable")
-            encoded = encoded.sort_values("part")
-            counts = np.concatenate([B.unpack_ints(x) for x in encoded["counts"]]) if len(encoded) else np.zeros(0, np.uint32)
-            flat = np.concatenate([B.unpack_ints(x) for x in encoded["flat"]]) if len(encoded) else np.zeros(0, np.uint32)
-            flat = flat.astype("<u4").tobytes()
-            ends = 4 * np.cumsum(counts, dtype=np.int64)
+    def reassemble(block: pa.Table, encoded: pa.Table) -> pa.Table:
+        encoded = encoded.sort_by("part")
+        doc_ids, n_tokens, out = [], [], []
+        for row in block.to_pylist():
+            words = B.unpack_units(row["words"])
+            order = np.argsort(_parts_of(words, parts), kind="stable").tolist()
             table: list[bytes] = [b""] * len(words)
-            for i, a, b in zip(order.tolist(), (ends - 4 * counts).tolist(), ends.tolist(), strict=True):
-                table[i] = flat[a:b]
+            del words
+            at = 0
+            for counts, flat in zip(encoded.column("counts"), encoded.column("flat"), strict=True):
+                sizes = B.unpack_ints(counts.as_py()).astype(np.int64) * 4
+                ends = np.cumsum(sizes)
+                raw = B.unpack_ints(flat.as_py()).tobytes()
+                for i, a, b in zip(order[at : at + len(sizes)], (ends - sizes).tolist(), ends.tolist(), strict=True):
+                    table[i] = raw[a:b]
+                at += len(sizes)
             at = 0
-            codes = B.unpack_ints(row.codes)
-            for doc_id, length in zip(row.ids, B.unpack_ints(row.lengths).tolist(), strict=True):
+            codes = B.unpack_ints(row["codes"])
+            for doc_id, length in zip(row["ids"], B.unpack_ints(row["lengths"]).tolist(), strict=True):
                 ids = b"".join(map(table.__getitem__, codes[at : at + length].tolist()))
                 at += length
-                out["doc_id"].append(doc_id)
-                out["n_tokens"].append(len(ids) // 4)
-                out["ids"].append(ids)
-        return pd.DataFrame(out).astype({"doc_id": "Int64"})
+                doc_ids.append(doc_id)
+                n_tokens.append(len(ids) // 4)
+                out.append(ids)
+        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array(n_tokens, pa.int64()), "ids": pa.array(out, pa.binary())})
 
     return reassemble
 
@@ -140,13 +143,13 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     both of fixed size, bound the memory of a task. Ranks are of the size of the vocabulary.
     """
     texts = rows_of(docs, doc_id=F.col("doc_id").cast("long"), text=F.col("text"))
-    blocks = stage_table(texts.mapInArrow(_to_blocks, BLOCKS), "bpe-blocks")
+    blocks = bucketed_table(texts.mapInArrow(_to_blocks, BLOCKS), "bpe_blocks", "block")
     total = blocks.agg(F.sum("word_bytes")).first()[0] or 0
     parts = int(total // PART_BYTES) + 1
     sent = blocks.select("block", "words").mapInArrow(_send(parts), "part int, block string, words binary")
-    encoded = sent.groupBy("part").applyInPandas(_encode_part(ranks, pattern), "block string, part int, counts binary, flat binary")
+    encoded = sent.groupBy("part").applyInArrow(_encode_part(ranks, pattern), "block string, part int, counts binary, flat binary")
     whole = blocks.select("block", "ids", "lengths", "codes", "words")
-    return whole.groupBy("block").cogroup(encoded.groupBy("block")).applyInPandas(_reassemble(parts), "doc_id bigint, n_tokens bigint, ids binary")
+    return whole.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(_reassemble(parts), "doc_id bigint, n_tokens bigint, ids binary")
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:

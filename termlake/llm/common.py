@@ -56,6 +56,18 @@ def stage_table(df: DataFrame, name: str, partition_by: list[str] | None = None,
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed_table(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As stage_table, in buckets of key, as many as the session has shuffle partitions: grouping by key shuffles it no more."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    table = f"{name}_{path.rpartition('-')[2]}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.options(path=path, compression="zstd").bucketBy(n, key).saveAsTable(table)
+    read = spark.table(table)
+    read.schema  # resolved now; the name may go
+    return read
+
+
 def release(spark: SparkSession) -> None:
     """Delete the scratch tables so far; for callers that have stored every result that reads them."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
