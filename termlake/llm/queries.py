@@ -48,7 +48,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as vocabulary:
         manifest = token_files.write_tokens(table(spark, sf_dir, "documents"), vocabulary.read(), end_id=1)
-    return token_files.read_tokens(manifest).drop("ids")
+    return token_files.read_tokens(manifest, with_ids=False)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

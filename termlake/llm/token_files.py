@@ -7,10 +7,14 @@ segments that count; segments of failed attempts are never in it.
 
 from __future__ import annotations
 
+import json
+import string
 import struct
 import sys
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +29,7 @@ MAGIC = b"TLTOKEN1"
 #: Ids of a segment, about; a longer document is a segment of its own.
 SEGMENT_IDS = 8_000_000
 #: Words that a worker remembers.
-CACHE = 600_000
+CACHE = 900_000
 
 
 class EliasFano:
@@ -112,12 +116,19 @@ class Segment:
 
 
 
+#: Bytes as the printable characters that byte-level vocabularies write for them: printable ones stand for themselves.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_PRINTABLE))}
+
+
 class WordEncoder:
     """Ids of a text, as bytes, by a memory of words.
 
-    Valid for tokenizers whose normaliser and split never look across ASCII white space; `check` compares it with the
-    library. Words that are not remembered are encoded together: plain letter words in one text, cut after each
-    end-of-word token, with a closing punctuation mark apart; all others one by one.
+    For tokenizers that lower-case, drop white space, split into runs of letters, digits and other characters, and end
+    words with a suffix: there a text's ids are those of its words, and A-Z may be lowered first. Lower-case letter
+    words go to the model together, joined by spaces and cut after each end of a word; ASCII marks that follow a word
+    are encoded apart. All other words go through the library one by one, and so do whole texts if the tokenizer
+    is of another kind.
     """
 
     def __init__(self, tokenizer_json: str, width: int) -> None:
@@ -128,53 +139,66 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.kind = f"<u{width}"
-        ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            ends[i] = token.endswith("</w>")
-        self.ends = ends
         self.known: dict[bytes, bytes] = {}
-        self.lean = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        self.tails: dict[str, bytes] = {"": b""}
+        self.by_word = self._by_word(told := json.loads(tokenizer_json))
+        if self.by_word:
+            ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+            for token, i in self.tokenizer.get_vocab().items():
+                ends[i] = token.endswith(told["model"]["end_of_word_suffix"])
+            self.ends = ends
+            self.model = Tokenizer.from_str(json.dumps(told | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
+
+    @staticmethod
+    def _by_word(told: dict) -> bool:
+        steps = [x.get("type") for x in (told.get("normalizer") or {}).get("normalizers", [])]
+        splits = (told.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        pattern = splits[0].get("pattern", {}).get("Regex", "") if splits else ""
+        return bool(told["model"].get("end_of_word_suffix")) and steps == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in splits] == ["Split", "ByteLevel"] and pattern.endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
     def _learn(self, words: list[bytes]) -> None:
-        plain: dict[str, None] = {}
-        simple: list[tuple[bytes, str, bytes]] = []
+        stems: dict[str, bytes] = {}
+        simple: list[tuple[bytes, str, str]] = []
         other: list[bytes] = []
         for word in words:
             text = word.decode("utf-8", "surrogatepass")
-            stem, mark = (text[:-1], word[-1:]) if len(text) > 1 and text[-1] in ".,;:!?" else (text, b"")
-            if stem.isalpha():
-                plain[stem] = None
-                simple.append((word, stem, mark))
+            stem = text.rstrip(string.punctuation)
+            if stem.isalpha() and (stem.isascii() or (stem.islower() and unicodedata.is_normalized("NFC", stem))):
+                stems[stem] = b""
+                simple.append((word, stem, text[len(stem) :]))
             else:
                 other.append(word)
-        stems = list(plain)
-        found: dict[str, bytes] = {}
-        for at in range(0, len(stems), 2000):
-            some = stems[at : at + 2000]
-            ids = np.array(self.lean([" ".join(some)], add_special_tokens=False)[0].ids, dtype=np.int64)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(some):
-                raw, size = ids.astype(self.kind).tobytes(), int(self.kind[2])
-                edges = (cuts * size).tolist()
-                found.update(zip(some, (raw[a:b] for a, b in zip([0, *edges[:-1]], edges, strict=True)), strict=True))
+        all_stems, size = list(stems), int(self.kind[2])
+        for at in range(0, len(all_stems), 2000):
+            some = all_stems[at : at + 2000]
+            shown = " ".join(x if x.isascii() else x.encode().decode("latin-1").translate(_SHOWN) for x in some)
+            ids = np.array(self.model.encode_batch_fast([shown], add_special_tokens=False)[0].ids, dtype=np.int64)
+            edges = ((np.flatnonzero(self.ends[ids]) + 1) * size).tolist()
+            if len(edges) == len(some):
+                raw = ids.astype(self.kind).tobytes()
+                stems.update(zip(some, (raw[a:b] for a, b in zip([0, *edges[:-1]], edges, strict=True)), strict=True))
             else:
-                found.update(zip(some, self._one_by_one(some), strict=True))
-        marks = {mark: self._one_by_one([mark.decode()])[0] for mark in {m for _, _, m in simple if m}}
-        for word, stem, mark in simple:
-            self.known[word] = found[stem] + marks[mark] if mark else found[stem]
-        self.known.update(zip(other, self._one_by_one([x.decode("utf-8", "surrogatepass") for x in other]), strict=True))
-
-    def _one_by_one(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype=self.kind).tobytes() for x in self.lean(texts, add_special_tokens=False)] if texts else []
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [text.encode("utf-8", "surrogatepass").split() for text in texts]
-        unknown = {word for words in split for word in words if word not in self.known}
-        if len(self.known) + len(unknown) > CACHE:
-            self.known = {}
-            unknown = {word for words in split for word in words}
-        if unknown:
-            self._learn(sorted(unknown))
+                stems.update(zip(some, self._library(some), strict=True))
+        new = sorted({tail for _, _, tail in simple}.difference(self.tails))
+        self.tails.update(zip(new, self._library(new), strict=True))
+        self.known.update((word, stems[stem] + self.tails[tail]) for word, stem, tail in simple)
+        self.known.update(zip(other, self._library([x.decode("utf-8", "surrogatepass") for x in other]), strict=True))
+        if len(self.tails) > CACHE // 10:
+            self.tails = {"": b""}
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, dtype=self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        if not self.by_word:
+            return self._library([x.decode("utf-8", "surrogatepass") for x in texts])
+        # nothing is lowered that could become a special token
+        split = [x.split() if b"<|" in x else x.lower().split() for x in texts]
+        distinct = set().union(*split)
+        if len(self.known) + len(distinct) > CACHE:  # the words met first are the frequent ones
+            self.known = dict(islice(self.known.items(), CACHE // 2))
+        if unknown := distinct.difference(self.known):
+            self._learn(list(unknown))
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
@@ -202,7 +226,7 @@ def write_tokens(docs: DataFrame, tokenizer_json: str, end_id: int, path: str |
     width = 2 if max(Tokenizer.from_str(tokenizer_json).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
     end = np.array([end_id], f"<u{width}").tobytes()
     ordered = rows_of(docs, doc_id=F.col("doc_id").cast("long"), text=F.coalesce("text", F.lit(""))).withColumn("tie", F.xxhash64("text"))
-    ordered = ordered.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
+    ordered = ordered.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", F.col("text").cast("binary").alias("text"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from uuid import uuid4
@@ -244,8 +268,8 @@ def write_tokens(docs: DataFrame, tokenizer_json: str, end_id: int, path: str |
     return manifest.withColumn("first", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
-def read_tokens(manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 and ids (little-endian unsigned 32-bit integers) of every document, from the files."""
+def read_tokens(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and, if asked for, ids (little-endian unsigned 32-bit integers) of every document, from the files."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -260,10 +284,11 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                 for at in range(0, segment.n, 512):
                     a, b = starts[at : at + 512], ends[at : at + 512]
                     ids = [segment.ids[x:y].astype("<u4").tobytes() for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(segment.doc_ids[at : at + 512], pa.int64()), "start": first + a, "n_tokens": b - a, "ids_crc32": [zlib.crc32(x) for x in ids], "ids": pa.array(ids, pa.binary())})
+                    out = {"doc_id": pa.array(segment.doc_ids[at : at + 512], pa.int64()), "start": first + a, "n_tokens": b - a, "ids_crc32": [zlib.crc32(x) for x in ids]}
+                    yield pa.RecordBatch.from_pydict(out | ({"ids": pa.array(ids, pa.binary())} if with_ids else {}))
 
-    spread = manifest.select("path", "first").repartition("path")
-    return spread.mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids binary")
+    spread = manifest.select("path", "first").repartition(max(1, manifest.count()), "path")
+    return spread.mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids binary" * with_ids)
 
 
 def read_document(manifest: DataFrame, place: int) -> np.ndarray:
