@@ -20,7 +20,7 @@ from termlake.llm.common import ship
 ship(__name__)
 
 #: A block ends with the document that brings it to so many units.
-UNITS = 2_500_000
+UNITS = 1_200_000
 
 
 def squeeze(data: bytes) -> bytes:

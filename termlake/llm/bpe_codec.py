@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import re
+import sys
 from array import array
 from collections.abc import Iterator
 
@@ -31,7 +32,7 @@ _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A space belongs to what follows; of several white spaces the last is apart. These edges are edges of PATTERN too.
 WORDS = re.compile(rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 #: Bytes of distinct words, about, that one hash partition should hold.
-PART_BYTES = 4_000_000
+PART_BYTES = 2_500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -83,10 +84,20 @@ def _send(parts: int):
     return send
 
 
+def _encoding(ranks: dict[bytes, int], pattern: str) -> tiktoken.Encoding:
+    """The encoding of this worker, kept from task to task."""
+    kept = sys.__dict__.setdefault("_termlake_encodings", {})
+    key = (pattern, hash(frozenset(ranks.items())))
+    if key not in kept:
+        kept.clear()
+        kept[key] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return kept[key]
+
+
 def _encode_part(ranks: dict[bytes, int], pattern: str):
     def encode(table: pa.Table) -> pa.Table:
         """Encode each distinct word of a hash partition once, then give each block its words' ids in the order it sent them."""
-        encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        encoding = _encoding(ranks, pattern)
         ids: dict[bytes, bytes] = {}
         out: dict[str, list] = {"block": table.column("block").to_pylist(), "part": table.column("part").to_pylist(), "counts": [], "flat": []}
         for packed in table.column("words"):
