@@ -119,6 +119,7 @@ class Segment:
 #: Bytes as the printable characters that byte-level vocabularies write for them: printable ones stand for themselves.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_PRINTABLE))}
+_SHOWN_IN_LINE = {b: c for b, c in _SHOWN.items() if b != 32}
 
 
 class WordEncoder:
@@ -157,10 +158,14 @@ class WordEncoder:
         return bool(told["model"].get("end_of_word_suffix")) and steps == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in splits] == ["Split", "ByteLevel"] and pattern.endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
     def _learn(self, words: list[bytes]) -> None:
+        letters = [word for word in words if word.isalpha()]  # ASCII ones
+        self.known.update(zip(letters, self._stems([word.decode() for word in letters]), strict=True))
         stems: dict[str, bytes] = {}
         simple: list[tuple[bytes, str, str]] = []
         other: list[bytes] = []
         for word in words:
+            if word.isalpha():
+                continue
             text = word.decode("utf-8", "surrogatepass")
             stem = text.rstrip(string.punctuation)
             if stem.isalpha() and (stem.isascii() or (stem.islower() and unicodedata.is_normalized("NFC", stem))):
@@ -168,17 +173,7 @@ class WordEncoder:
                 simple.append((word, stem, text[len(stem) :]))
             else:
                 other.append(word)
-        all_stems, size = list(stems), int(self.kind[2])
-        for at in range(0, len(all_stems), 2000):
-            some = all_stems[at : at + 2000]
-            shown = " ".join(x if x.isascii() else x.encode().decode("latin-1").translate(_SHOWN) for x in some)
-            ids = np.array(self.model.encode_batch_fast([shown], add_special_tokens=False)[0].ids, dtype=np.int64)
-            edges = ((np.flatnonzero(self.ends[ids]) + 1) * size).tolist()
-            if len(edges) == len(some):
-                raw = ids.astype(self.kind).tobytes()
-                stems.update(zip(some, (raw[a:b] for a, b in zip([0, *edges[:-1]], edges, strict=True)), strict=True))
-            else:
-                stems.update(zip(some, self._library(some), strict=True))
+        stems.update(zip(list(stems), self._stems(list(stems)), strict=True))
         new = sorted({tail for _, _, tail in simple}.difference(self.tails))
         self.tails.update(zip(new, self._library(new), strict=True))
         self.known.update((word, stems[stem] + self.tails[tail]) for word, stem, tail in simple)
@@ -186,6 +181,21 @@ class WordEncoder:
         if len(self.tails) > CACHE // 10:
             self.tails = {"": b""}
 
+    def _stems(self, words: list[str]) -> list[bytes]:
+        """Ids of lower-case letter words."""
+        out: list[bytes] = []
+        size = int(self.kind[2])
+        for at in range(0, len(words), 2000):
+            some = words[at : at + 2000]
+            shown = " ".join(some)
+            if not shown.isascii():
+                shown = shown.encode().decode("latin-1").translate(_SHOWN_IN_LINE)
+            ids = np.array(self.model.encode_batch_fast([shown], add_special_tokens=False)[0].ids, dtype=np.int64)
+            edges = ((np.flatnonzero(self.ends[ids]) + 1) * size).tolist()
+            raw = ids.astype(self.kind).tobytes()
+            out += [raw[a:b] for a, b in zip([0, *edges[:-1]], edges, strict=True)] if len(edges) == len(some) else self._library(some)
+        return out
+
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype=self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
