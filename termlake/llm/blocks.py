@@ -88,24 +88,26 @@ class _Codes(dict):
 
 
 def build(batches: Iterator[pa.RecordBatch], split: Callable[[str], list[bytes]], most: int = UNITS) -> Iterator[dict]:
-    """Blocks {ids, lengths, codes, units} of batches (doc_id, text); a null text has no units.
+    """Blocks {ids, flags, lengths, codes, units} of batches (doc_id, text) or (doc_id, text, flag); a null text counts as empty.
 
     A document longer than a block is a block of its own.
     """
-    codes, ids, parts = _Codes(), [], []
+    codes, ids, flags, parts = _Codes(), [], [], []
     n = 0
 
     def flush() -> dict:
-        return {"ids": ids, "lengths": np.fromiter(map(len, parts), dtype=np.uint32, count=len(parts)), "codes": np.concatenate(parts) if parts else np.zeros(0, np.uint32), "units": list(codes)}
+        return {"ids": ids, "flags": flags, "lengths": np.fromiter(map(len, parts), dtype=np.uint32, count=len(parts)), "codes": np.concatenate(parts) if parts else np.zeros(0, np.uint32), "units": list(codes)}
 
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        marks = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
+        for doc_id, text, flag in zip(batch.column(0).to_pylist(), batch.column(1), marks, strict=True):
             found = split(text.as_py() or "")
             parts.append(np.fromiter(map(codes.__getitem__, found), dtype=np.uint32, count=len(found)))
             ids.append(doc_id)
+            flags.append(flag)
             n += len(found)
             if n >= most:
                 yield flush()
-                codes, ids, parts, n = _Codes(), [], [], 0
+                codes, ids, flags, parts, n = _Codes(), [], [], [], 0
     if ids:
         yield flush()

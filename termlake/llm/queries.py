@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termlake.llm import bpe_codec, exact_dedup, mixing, sharding, token_files
+from termlake.llm import bpe_codec, exact_dedup, language_id, lm_scoring, mixing, sharding, token_files
+from termlake.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +44,16 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, d.text_s
 """
 
 
+def op6_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 7) == 2)
+
+
+def op7_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold(F.col("doc_id"), 4) == 2
+    found = language_id.identify_documents(table(spark, sf_dir, "documents"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -77,7 +88,8 @@ FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_byte_bpe": op2_byte_bpe, "op4_virtual_slots": op4_virtual_slots, "op5_exact_dedup": op5_exact_dedup, "op9_token_files": op9_token_files, "op10_mixing": op10_mixing}
+    made = (op2_byte_bpe, op4_virtual_slots, op5_exact_dedup, op6_deleted_interpolation, op7_hyperdimensional_language, op9_token_files, op10_mixing)
+    return {query.__name__: query for query in made}
 
 
 def oracle_sql() -> dict[str, str]:
