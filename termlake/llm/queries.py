@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termlake.llm import bpe_codec, exact_dedup, language_id, lm_scoring, mixing, sharding, token_files
+from termlake.llm import ann, bpe_codec, exact_dedup, language_id, lm_scoring, mixing, sharding, token_files, toxicity
 from termlake.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,12 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold(F.col("doc_id"), 5) == 0
+    scored = toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"), SHARDS)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
@@ -54,6 +60,10 @@ def op7_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op8_robust_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search_embeddings(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -88,7 +98,7 @@ FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
 
 
 def queries() -> dict[str, Query]:
-    made = (op2_byte_bpe, op4_virtual_slots, op5_exact_dedup, op6_deleted_interpolation, op7_hyperdimensional_language, op9_token_files, op10_mixing)
+    made = (op2_byte_bpe, op3_counterfactual_toxicity, op4_virtual_slots, op5_exact_dedup, op6_deleted_interpolation, op7_hyperdimensional_language, op8_robust_graph, op9_token_files, op10_mixing)
     return {query.__name__: query for query in made}
 
 
