@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -111,11 +112,16 @@ def train(labelled: list[tuple[str, int]], gamma: float = GAMMA, decay: float =
     kept += sorted(f for term in _NEXT for f in features_of_word(term) if f not in set(kept))
     place = {f: i for i, f in enumerate(dict.fromkeys(kept))}
 
-    def matrix(sets: list[set[str]]) -> tuple[np.ndarray, np.ndarray]:
-        found = [(row, place[f]) for row, some in enumerate(sets) for f in some if f in place]
-        return np.array([r for r, _ in found], np.int64), np.array([c for _, c in found], np.int64)
+    def matrix(sets: Iterable[set[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Row and column of each kept feature; one text's features are held at a time."""
+        at_row, at_column = array("q"), array("q")
+        for row, some in enumerate(sets):
+            own = [place[f] for f in some if f in place]
+            at_row.extend([row] * len(own))
+            at_column.extend(own)
+        return np.array(at_row, np.int64), np.array(at_column, np.int64)
 
-    rows, columns = matrix([features(text) for text, _ in labelled])
+    rows, columns = matrix(features(text) for text, _ in labelled)
     label = np.array([y for _, y in labelled], np.float64)
     pairs = [pair for text, _ in labelled for pair in counterfactuals(text)]
     plus, minus = matrix([a - b for a, b in pairs]), matrix([b - a for a, b in pairs])
