@@ -68,12 +68,12 @@ def bucketed_table(df: DataFrame, name: str, key: str) -> DataFrame:
     return read
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the scratch tables so far; for callers that have stored every result that reads them."""
+def release(spark: SparkSession, keep: str = "") -> None:
+    """Delete the scratch tables so far but `keep`; for callers that have stored every result that reads them."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        _, path = _written.pop()
-        place = jvm.org.apache.hadoop.fs.Path(path)
+    for entry in [x for x in _written if x[1] != keep]:
+        _written.remove(entry)
+        place = jvm.org.apache.hadoop.fs.Path(entry[1])
         place.getFileSystem(conf).delete(place, True)
 
 

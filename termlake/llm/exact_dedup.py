@@ -70,15 +70,15 @@ def looked_up(digests: DataFrame, index: DataFrame) -> DataFrame:
     return cold.unionByName(marked.where("hot_n is not null").withColumnsRenamed({"hot_id": "keep_id", "hot_n": "n"}))
 
 
-def hit_filter(digests: DataFrame, bits: int) -> DataFrame:
-    """A set of digests as bits // 32768 bitmaps of 4 KB at most, (bucket, bitmap): bits is the bound for what is broadcast."""
-    place = F.pmod(F.xxhash64("digest"), F.lit(bits))
-    return digests.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+def hit_filter(keys: DataFrame, bits: int, key: str = "digest") -> DataFrame:
+    """A set of keys as bits // 32768 bitmaps of 4 KB at most, (bucket, bitmap): bits is the bound for what is broadcast."""
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    return keys.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
 
 
-def may_hit(rows: DataFrame, bitmaps: DataFrame, bits: int) -> DataFrame:
-    """Those rows whose digest may be in the filter; none that is in it goes."""
-    place = F.pmod(F.xxhash64("digest"), F.lit(bits))
+def may_hit(rows: DataFrame, bitmaps: DataFrame, bits: int, key: str = "digest") -> DataFrame:
+    """Those rows whose key may be in the filter; none that is in it goes."""
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
     byte = F.conv(F.hex(F.expr("substring(bitmap, int(bit div 8) + 1, 1)")), 16, 10).cast("int")
     marked = rows.withColumn("bucket", F.bitmap_bucket_number(place)).withColumn("bit", F.bitmap_bit_position(place))
     return marked.join(F.broadcast(bitmaps), "bucket").where(F.call_function("shiftright", byte, (F.col("bit") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1).drop("bucket", "bit", "bitmap")

@@ -66,8 +66,17 @@ def prefix_sums(rows: DataFrame) -> DataFrame:
     return here.join(tasks, F.col("source").eqNullSafe(F.col("s")) & (F.col("task") == F.col("t"))).withColumn("ahead", F.col("inside") + F.col("offset")).drop("s", "t", "task", "inside", "offset")
 
 
+def mixed_documents(docs: DataFrame, **rule: object) -> DataFrame:
+    """The rows of docs as often as the mix takes them. Rows equal in doc_id and text are taken alike."""
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    taken = mix(docs, **rule).select(F.col("doc_id").alias("mix_id"), F.col("text_hash").alias("mix_text"), F.col("source").alias("mix_source"), "copies")
+    taken = taken.groupBy("mix_id", "mix_text", "mix_source").agg(F.max("copies").alias("copies")).where("copies > 0")
+    same = F.col("doc_id").eqNullSafe(F.col("mix_id")) & F.col("source").eqNullSafe(F.col("mix_source")) & (text == F.col("mix_text"))
+    return docs.join(taken, same).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*(docs[name] for name in docs.columns))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies: one row for each row of docs, `copies` times of which go into the mix.
+    """doc_id, size, source_size, target, taken, copies, source, text_hash: one row for each row of docs, `copies` times of which go into the mix.
 
     Each source gives as many whole epochs as its target has; documents with the smallest keys follow while more than
     half of the document lies below what is left of the target, so a source misses it by half a document at most.
@@ -76,7 +85,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     """
     text = F.col("text")
     sized = rows_of(docs, doc_id=F.col("doc_id"), source=F.col("source"), text=text, size=words(text))
-    rows = stage_table(sized.select("doc_id", "source", "size", exponential_key(F.col("doc_id"), quality(text, F.col("size")), seed).alias("key")), "mix-rows")
+    rows = stage_table(sized.select("doc_id", "source", "size", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), exponential_key(F.col("doc_id"), quality(text, F.col("size")), seed).alias("key")), "mix-rows")
     goals = stage_table(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "mix-targets").withColumnRenamed("source", "s")
     # the offset of a task and the target of a source join on few distinct keys: AQE splits what a large source skews
     placed = prefix_sums(rows).join(goals, F.col("source").eqNullSafe(F.col("s")))
@@ -84,4 +93,4 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     left = F.col("target") - F.col("epochs") * F.col("source_size")
     more = (F.col("epochs") < most) & (F.col("size") > 0) & (F.col("ahead") + F.col("size") / 2 < left)
     placed = placed.withColumn("epochs", epochs).withColumn("copies", F.col("epochs") + more.cast("long"))
-    return placed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", F.col("source").alias("source"))
+    return placed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source", "text_hash")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termlake.llm import ann, bpe_codec, exact_dedup, language_id, lm_scoring, mixing, sharding, token_files, toxicity
+from termlake.llm import ann, bpe_codec, exact_dedup, language_id, lm_scoring, mixing, near_dedup, sharding, token_files, toxicity
 from termlake.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -98,7 +102,7 @@ FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
 
 
 def queries() -> dict[str, Query]:
-    made = (op2_byte_bpe, op3_counterfactual_toxicity, op4_virtual_slots, op5_exact_dedup, op6_deleted_interpolation, op7_hyperdimensional_language, op8_robust_graph, op9_token_files, op10_mixing)
+    made = (op1_near_dedup, op2_byte_bpe, op3_counterfactual_toxicity, op4_virtual_slots, op5_exact_dedup, op6_deleted_interpolation, op7_hyperdimensional_language, op8_robust_graph, op9_token_files, op10_mixing)
     return {query.__name__: query for query in made}
 
 
