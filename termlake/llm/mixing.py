@@ -36,7 +36,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     Sources by code point, null last, weigh weights[0], weights[1], ..., repeating. Each gets its part of share times
     all words, `most` times its own at most; what is above goes to the others by weight. That is one level for all
     that are not full, found by taking sources in order of most * source_size / weight: the first that its level
-    does not fill, and all after it, share what is left. One row a source passes through one task.
+    does not fill, and all after it, share what is left. Levels only fall from there on, so the largest of those is
+    the first one's. One row a source passes through one task.
     """
     cycle = F.array(*map(F.lit, weights))
     ranked = sizes.withColumn("weight", F.element_at(cycle, ((F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights) + 1).cast("int")).cast("double"))
@@ -47,7 +48,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     whole = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     level = (F.sum("source_size").over(whole) * share - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(rest)
     opened = ranked.withColumn("level", level).withColumn("open", F.when(F.col("ratio") > F.col("level"), F.col("level")))
-    final = F.min("open").over(whole)
+    final = F.max("open").over(whole)
     return opened.withColumn("final", final).select("source", "source_size", F.when(F.col("final").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("final") * F.col("weight"))).alias("target"))
 
 

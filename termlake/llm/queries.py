@@ -91,7 +91,7 @@ r AS (SELECT *, CASE (row_number() OVER (ORDER BY source COLLATE "C" ASC NULLS L
 v AS (SELECT *, cap / w AS ratio,
         ((sum(source_size) OVER ())::DOUBLE * 1.5 - coalesce(sum(cap) OVER (ORDER BY cap / w, source COLLATE "C" NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
         / sum(w) OVER (ORDER BY cap / w, source COLLATE "C" NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
-f AS (SELECT *, min(CASE WHEN ratio > level THEN level END) OVER () AS final FROM v),
+f AS (SELECT *, max(CASE WHEN ratio > level THEN level END) OVER () AS final FROM v),
 t AS (SELECT source, source_size, CASE WHEN final IS NULL THEN cap ELSE least(cap, final * w) END AS target,
         CASE WHEN source_size > 0 THEN least(2, floor(CASE WHEN final IS NULL THEN cap ELSE least(cap, final * w) END / source_size)) ELSE 0 END AS epochs FROM f),
 p AS (SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM k)
