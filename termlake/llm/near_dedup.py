@@ -55,12 +55,12 @@ class _Hashes(dict):
         return value
 
 
-def shingles(text: str, hashes: _Hashes) -> tuple[np.ndarray, np.ndarray, bytes]:
-    """Hashes of the distinct shingles of the lowered text in order, their counts, and a digest of its words.
+def shingles(text: bytes, hashes: _Hashes) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """Hashes of the distinct shingles of the text, A-Z lowered, in order, their counts, and a digest of its words.
 
     A text of one to four words is one shingle; one without words has none.
     """
-    words = text.lower().encode("utf-8", "surrogatepass").split()
+    words = text.lower().split()
     digest = xxhash.xxh3_128_digest(b" ".join(words))
     h = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
     n = max(len(h) - WORDS + 1, min(1, len(h)))
@@ -79,7 +79,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
     hashes, held, size = _Hashes(), [], 0
     for batch in batches:
         for text in batch.column(0):
-            found = shingles(text.as_py() or "", hashes)[0]
+            found = shingles(text.as_py() or b"", hashes)[0]
             if len(found):
                 held.append(found)
                 size += len(found)
@@ -99,9 +99,14 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _counts_of(candidates: np.ndarray):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, counts, _ in _blocks(batches):
-            own = np.isin(keys, candidates, assume_unique=True)
-            yield pa.RecordBatch.from_pydict({"shingle": keys[own].view(np.int64), "n": counts[own].astype(np.int64)})
+        hashes, sums = _Hashes(), np.zeros(len(candidates), np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                found = shingles(text.as_py() or b"", hashes)[0]
+                at = np.minimum(np.searchsorted(candidates, found), len(candidates) - 1)
+                sums[at[candidates[at] == found]] += 1
+        own = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_pydict({"shingle": candidates[own].view(np.int64), "n": sums[own]})
 
     return count
 
@@ -183,7 +188,7 @@ def _sign(common: np.ndarray, idf: np.ndarray):
         for batch in batches:
             digests, bands = [], []
             for text in batch.column(1):
-                keys, counts, digest = shingles(text.as_py() or "", hashes)
+                keys, counts, digest = shingles(text.as_py() or b"", hashes)
                 digests.append(digest if len(keys) else None)
                 bands.append(band_hashes(keys, weights_of(keys, counts, common, idf)) if len(keys) else None)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "digest": pa.array(digests, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64()))})
@@ -196,7 +201,7 @@ def _sets(common: np.ndarray, idf: np.ndarray):
         hashes = _Hashes()
         for batch in batches:
             for text in batch.column(0):
-                keys, counts, digest = shingles(text.as_py() or "", hashes)
+                keys, counts, digest = shingles(text.as_py() or b"", hashes)
                 # quarters of a percent would do; floats keep the verification exact
                 yield pa.RecordBatch.from_pydict({"digest": pa.array([digest], pa.binary()), "keys": [B.pack_sorted(keys)], "weights": [B.squeeze(weights_of(keys, counts, common, idf).astype("<f4").tobytes())]})
 
@@ -230,16 +235,21 @@ class _Verifier:
 
     def __init__(self, texts: DataFrame, nodes: DataFrame, common: np.ndarray, idf: np.ndarray, least: float) -> None:
         self.texts, self.nodes, self.common, self.idf, self.least = texts, nodes, common, idf, least
+        self.sets: DataFrame | None = None
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """(a, b, similarity) of those pairs (a, b) that are similar."""
-        wanted = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct().join(self.nodes, "digest").select("digest", "doc_id")
-        wanted = stage_table(wanted, "near-wanted")
-        texts = may_hit(self.texts, hit_filter(wanted, FILTER_BITS, "doc_id"), FILTER_BITS, "doc_id")
-        texts = texts.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
-        sets = texts.mapInArrow(_sets(self.common, self.idf), "digest binary, keys binary, weights binary")
-        sets = stage_table(sets.join(wanted.select("digest"), "digest", "left_semi").dropDuplicates(["digest"]), "near-sets")
-        first, second = sets.toDF("a", "a_keys", "a_weights"), sets.toDF("b", "b_keys", "b_weights")
+        wanted = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
+        if self.sets is not None:
+            wanted = wanted.join(self.sets.select("digest"), "digest", "left_anti")
+        wanted = stage_table(wanted.join(self.nodes, "digest").select("digest", "doc_id"), "near-wanted")
+        if self.sets is None or not wanted.isEmpty():
+            texts = may_hit(self.texts, hit_filter(wanted, FILTER_BITS, "doc_id"), FILTER_BITS, "doc_id")
+            texts = texts.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
+            new = texts.mapInArrow(_sets(self.common, self.idf), "digest binary, keys binary, weights binary")
+            new = stage_table(new.join(wanted.select("digest"), "digest", "left_semi").dropDuplicates(["digest"]), "near-sets")
+            self.sets = new if self.sets is None else self.sets.union(new)
+        first, second = self.sets.toDF("a", "a_keys", "a_weights"), self.sets.toDF("b", "b_keys", "b_weights")
         both = pairs.join(first, "a").join(second, "b").select("a", "b", "a_keys", "a_weights", "b_keys", "b_weights")
         return stage_table(both.mapInArrow(_verify(self.least), "a binary, b binary, similarity double"), "near-links")
 
@@ -258,7 +268,7 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     Buckets have no cap: in large ones each node is compared with one, and where that leaves several classes, finer
     buckets of two, three and four bands follow, of which the last give all pairs across classes.
     """
-    texts = rows_of(docs, doc_id=F.col("doc_id").cast("long"), text=F.col("text"))
+    texts = rows_of(docs, doc_id=F.col("doc_id").cast("long"), text=F.col("text").cast("binary"))
     common, idf = common_shingles(texts.select("text"))
     signed = stage_table(texts.mapInArrow(_sign(common, idf), "doc_id bigint, digest binary, bands array<bigint>"), "near-signed")
     usable = signed.where("doc_id is not null and digest is not null")
@@ -267,8 +277,15 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     bands = usable.join(index.select("digest", F.col("keep_id").alias("doc_id")), ["digest", "doc_id"], "left_semi").dropDuplicates(["digest"])
     placed = stage_table(bands.select("digest", F.explode("bands").alias("band")), "near-bands")
     verifier = _Verifier(texts, index.select("digest", F.col("keep_id").alias("doc_id")), common, idf, similar)
-    level = placed.select("digest", F.col("band").alias("bucket"), F.array("band").alias("of"), F.col("digest").alias("class"))
-    links, classes, last = None, None, False
+    # first each node with one other, of all that it meets the one with the smallest hash: that links most copies
+    ranked = F.struct(F.xxhash64("digest").alias("rank"), "digest")
+    centers = placed.groupBy("band").agg(F.min(ranked).alias("center"), F.count("*").alias("n")).where("n > 1").select("band", "center")
+    first = placed.join(centers, "band").groupBy("digest").agg(F.min("center").alias("center")).select("digest", "center.digest").toDF("a", "b")
+    links = verifier.links(stage_table(_ordered(first), "near-pairs"))
+    classes = components(links)
+    level = placed.select("digest", F.col("band").alias("bucket"), F.array("band").alias("of"))
+    level = level.join(classes, F.col("digest") == F.col("node"), "left").select("digest", "bucket", "of", F.coalesce("component", "digest").alias("class"))
+    last = False
     while True:
         # what a bucket brings: all pairs of few nodes, or each of many with one that a hash picks; later across classes only
         sizes = level.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by(F.struct("digest", "class"), F.xxhash64("digest", "bucket")).alias("center"), F.min("class").alias("x"), F.max("class").alias("y"))
@@ -283,7 +300,7 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
             large = many.where("class <> center.class").select("digest", "center.digest").toDF("a", "b")
         pairs = stage_table(_ordered(few.union(large)), "near-pairs")
         found = verifier.links(pairs)
-        links = found if links is None else stage_table(links.union(found).dropDuplicates(["a", "b"]), "near-links")
+        links = stage_table(links.union(found).dropDuplicates(["a", "b"]), "near-links")
         classes = components(links)
         if last:
             break
