@@ -42,6 +42,8 @@ REPORT = 0.25
 SMALL = 8
 #: Bands that nodes of a large bucket with several classes must share before all its pairs across classes are compared.
 DEPTH = 4
+#: Nodes of a block in those comparisons, about.
+BLOCK = 256
 #: Shingles counted together in a task, words that a worker remembers.
 TOGETHER = 4_000_000
 CACHE = 500_000
@@ -230,6 +232,39 @@ def _verify(least: float):
     return verify
 
 
+def _verify_block(least: float):
+    def verify(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        sets = [(B.unpack_sorted(r["keys"]), np.frombuffer(B.expand(r["weights"]), "<f4").astype(np.float64)) for r in rows]
+        sums = np.array([w.sum() for _, w in sets])
+        # where each shingle of the block occurs: similarities of a node with all later ones come from one pass over its shingles
+        keys, at = np.unique(np.concatenate([k for k, _ in sets]), return_inverse=True)
+        node = np.repeat(np.arange(len(sets)), [len(k) for k, _ in sets])
+        weight = np.concatenate([w for _, w in sets])
+        order = np.argsort(at, kind="stable")
+        starts = np.searchsorted(at[order], np.arange(len(keys) + 1))
+        ends = np.cumsum([len(k) for k, _ in sets])
+        classes = np.array([int.from_bytes(r["class"][:7], "big") for r in rows])
+        own = np.array([r["own"] for r in rows])
+        one, out = rows[0]["x"] == rows[0]["y"], []
+        # of two nodes of different classes one at least is not of the commonest
+        kinds, many = np.unique(classes, return_counts=True)
+        common = classes == kinds[many.argmax()]
+        for i in np.flatnonzero(~common).tolist():
+            end = int(ends[i])
+            mine = at[end - len(sets[i][0]) : end]
+            sizes = starts[mine + 1] - starts[mine]
+            places = order[np.repeat(starts[mine] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(int(sizes.sum()))]
+            shared = np.bincount(node[places], np.minimum(np.repeat(sets[i][1], sizes), weight[places]), len(sets))
+            found = shared / (sums + sums[i] - shared)
+            for j in np.flatnonzero((found >= least) & ((np.arange(len(sets)) > i) | common) & (classes != classes[i]) & (one | (own != own[i]))).tolist():
+                a, b = sorted((rows[i]["digest"], rows[j]["digest"]))
+                out.append((a, b, float(found[j])))
+        return pa.table(list(map(list, zip(*out, strict=True))) or [[], [], []], pa.schema([("a", pa.binary()), ("b", pa.binary()), ("similarity", pa.float64())]))
+
+    return verify
+
+
 class _Verifier:
     """Compares pairs of nodes by their texts; only texts of nodes in a pair leave their task."""
 
@@ -254,6 +289,19 @@ class _Verifier:
         return stage_table(both.mapInArrow(_verify(self.least), "a binary, b binary, similarity double"), "near-links")
 
 
+    def links_across(self, members: DataFrame) -> DataFrame:
+        """Links between all nodes of different classes in each bucket of members (bucket, digest, n, class), by pairs of blocks.
+
+        The nodes of a bucket hash into blocks of BLOCK about. A node goes to each pair of blocks with its own; one task
+        compares the nodes of a pair of blocks. So a bucket's comparisons spread over tasks of bounded size.
+        """
+        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+        dealt = members.withColumn("own", F.pmod(F.xxhash64("digest", "bucket"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        dealt = dealt.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "class", "digest").join(self.sets, "digest")
+        found = dealt.groupBy("bucket", "x", "y").applyInArrow(_verify_block(self.least), "a binary, b binary, similarity double")
+        return stage_table(found.dropDuplicates(["a", "b"]), "near-links")
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
@@ -280,9 +328,11 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     # first each node with one other, of all that it meets the one with the smallest hash: that links most copies
     ranked = F.struct(F.xxhash64("digest").alias("rank"), "digest")
     centers = placed.groupBy("band").agg(F.min(ranked).alias("center"), F.count("*").alias("n")).where("n > 1").select("band", "center")
-    first = placed.join(centers, "band").groupBy("digest").agg(F.min("center").alias("center")).select("digest", "center.digest").toDF("a", "b")
+    placed = stage_table(placed.join(centers, "band"), "near-shared")  # no other band brings a pair
+    first = placed.groupBy("digest").agg(F.min("center").alias("center")).select("digest", "center.digest").toDF("a", "b")
     links = verifier.links(stage_table(_ordered(first), "near-pairs"))
     classes = components(links)
+    placed = placed.drop("center")
     level = placed.select("digest", F.col("band").alias("bucket"), F.array("band").alias("of"))
     level = level.join(classes, F.col("digest") == F.col("node"), "left").select("digest", "bucket", "of", F.coalesce("component", "digest").alias("class"))
     last = False
@@ -293,13 +343,10 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         few = members.where(F.col("n") <= SMALL).groupBy("bucket").agg(F.collect_list(F.struct("digest", "class")).alias("all"))
         few = few.select(F.explode("all").alias("p"), "all").select("p", F.explode("all").alias("q")).where("p.class <> q.class").select("p.digest", "q.digest").toDF("a", "b")
         many = members.where(F.col("n") > SMALL)
+        large = many.where("class <> center.class" if not last else "false").select("digest", "center.digest").toDF("a", "b")
+        found = verifier.links(stage_table(_ordered(few.union(large)), "near-pairs"))
         if last:
-            other = many.select("bucket", F.col("digest").alias("b"), F.col("class").alias("d"))
-            large = many.join(other, "bucket").where("class < d").select(F.col("digest").alias("a"), "b")
-        else:
-            large = many.where("class <> center.class").select("digest", "center.digest").toDF("a", "b")
-        pairs = stage_table(_ordered(few.union(large)), "near-pairs")
-        found = verifier.links(pairs)
+            found = found.union(verifier.links_across(many))
         links = stage_table(links.union(found).dropDuplicates(["a", "b"]), "near-links")
         classes = components(links)
         if last:
