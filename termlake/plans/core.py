@@ -1,9 +1,378 @@
-"""The queries of the library's own operators."""
+"""The queries of the library's own operators over the driver tables, each with the SQL that says the same."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from termlake.functions import text as T
+from termlake.functions import units as U
+from termlake.operators import claims as C
+from termlake.operators import documents as D
+from termlake.operators import graph as G
+from termlake.operators import resolution as R
+from termlake.streaming import events as E
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+SIGNALS = {"view": "page-view", "click": "interaction", "signup": "registration", "purchase": "sale"}
+
+
+def norm(x: str) -> str:
+    """DuckDB's form of normalise()."""
+    return f"trim(regexp_replace(replace(lower(strip_accents({x})),'ß','ss'),'[^a-z0-9]+',' ','g'))"
+
+
+def key(x: str) -> str:
+    return rf"regexp_replace({x},'([a-z0-9]{{2}}[a-hj-rtv-z0-9])s$','\1')"
+
+
+VOCABULARY = f"(SELECT DISTINCT w FROM (SELECT unnest(string_split({norm('text')},' ')) AS w FROM benchmark) WHERE w <> '')"
+DOC_WORDS = f"(SELECT doc_id, w FROM (SELECT doc_id, unnest(string_split({norm('text')},' ')) AS w FROM documents) WHERE w <> '')"
+CHAT_WORDS = f"(SELECT conv_id, turn, w FROM (SELECT conv_id, turn, unnest(string_split({norm('text')},' ')) AS w FROM conversations WHERE role = 'user') WHERE w <> '')"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def vocabulary(spark, d):
+    """One concept for each word of benchmark."""
+    return t(spark, d, "benchmark").select(F.explode(T.words(F.col("text"))).alias("w")).distinct()
+
+
+def document_words(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.explode(T.words(F.col("text"))).alias("w"))
+
+
+def chat_words(spark, d):
+    return t(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.explode(T.words(F.col("text"))).alias("w"))
+
+
+def misses(spark, d):
+    """Words that no concept has, from documents and from chat, with where they stand."""
+    words = vocabulary(spark, d)
+    docs = document_words(spark, d).select("w", F.lit("document").alias("source"), F.concat(F.lit("doc:"), "doc_id").alias("locator"), F.col("doc_id").alias("at"))
+    chat = chat_words(spark, d).select("w", F.lit("chat").alias("source"), F.concat(F.lit("chat:"), "conv_id", F.lit(":"), "turn").alias("locator"), F.col("conv_id").alias("at"))
+    return docs.union(chat).join(words, "w", "left_anti").select(F.regexp_replace("w", "([a-z0-9]{2}[a-hj-rtv-z0-9])s$", "$1").alias("gap_key"), F.col("w").alias("surface"), "source", "locator", "at")
+
+
+MISSES = f"""m AS (SELECT {key('w')} AS gap_key, w AS surface, source, locator, "at" FROM (
+  SELECT w, 'document' AS source, 'doc:' || doc_id AS locator, doc_id AS "at" FROM {DOC_WORDS}
+  UNION ALL SELECT w, 'chat', 'chat:' || conv_id || ':' || turn, conv_id FROM {CHAT_WORDS})
+  WHERE w NOT IN (SELECT w FROM {VOCABULARY}))"""
+
+
+@query(f"SELECT doc_id, {norm('text')} AS normalised FROM documents")
+def normalise_docs(spark, d):
+    return t(spark, d, "documents").select("doc_id", T.normalise(F.col("text")).alias("normalised"))
+
+
+@query(f"SELECT DISTINCT w AS surface, {key('w')} AS gap_key FROM {DOC_WORDS}")
+def gap_key_docs(spark, d):
+    return document_words(spark, d).select(F.col("w").alias("surface")).distinct().select("surface", F.regexp_replace("surface", "([a-z0-9]{2}[a-hj-rtv-z0-9])s$", "$1").alias("gap_key"))
+
+
+def part_labels(spark, d):
+    part = t(spark, d, "part")
+    return part.select(F.col("p_partkey").alias("concept_id"), F.col("p_type").alias("scheme_id"), F.col("p_name").alias("label"), F.lit("pref").alias("kind")).union(
+        part.select("p_partkey", "p_type", "p_brand", F.lit("alt"))
+    )
+
+
+LABELS = "(SELECT p_partkey AS concept_id, p_type AS scheme_id, p_name AS label, 'pref' AS kind FROM part UNION ALL SELECT p_partkey, p_type, p_brand, 'alt' FROM part)"
+
+
+@query(f"SELECT {norm('label')} AS label_key, count(DISTINCT concept_id) AS n_concepts, string_agg(DISTINCT scheme_id, ',' ORDER BY scheme_id) AS schemes, CASE WHEN max(kind) = 'pref' THEN 'pref' ELSE 'alt' END AS kind FROM {LABELS} GROUP BY 1")
+def label_index(spark, d):
+    return R.label_index(part_labels(spark, d)).select("label_key", F.size("concepts").cast("long").alias("n_concepts"), F.array_join("schemes", ",").alias("schemes"), "kind")
+
+
+@query(f"SELECT scheme_id, {norm('label')} AS label_key, count(DISTINCT concept_id) AS n_concepts FROM {LABELS} GROUP BY 1, 2 HAVING count(DISTINCT concept_id) > 1")
+def label_collisions(spark, d):
+    return R.label_collisions(part_labels(spark, d))
+
+
+@query(f"SELECT kind, scheme_id, count(*) AS n FROM {LABELS} GROUP BY 1, 2")
+def label_union(spark, d):
+    return part_labels(spark, d).groupBy("kind", "scheme_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_type AS scheme_id, count(DISTINCT p_partkey) AS n_concepts, count(DISTINCT p_name) AS n_labels FROM part GROUP BY 1")
+def scheme_counts(spark, d):
+    return t(spark, d, "part").groupBy(F.col("p_type").alias("scheme_id")).agg(F.countDistinct("p_partkey").alias("n_concepts"), F.countDistinct("p_name").alias("n_labels"))
+
+
+@query(f"""SELECT conv_id, turn, count(*) AS n_words, count(v.w) AS n_exact, count(*) - count(v.w) AS n_abstain FROM {CHAT_WORDS} c LEFT JOIN {VOCABULARY} v ON c.w = v.w GROUP BY 1, 2""")
+def resolve_exact(spark, d):
+    index = R.label_index(vocabulary(spark, d).select(F.col("w").alias("concept_id"), F.lit("words").alias("scheme_id"), F.col("w").alias("label"), F.lit("pref").alias("kind")))
+    found = R.resolve_exact(chat_words(spark, d).withColumnRenamed("w", "label_key"), index)
+    return found.groupBy("conv_id", "turn").agg(F.count("*").alias("n_words"), F.count("concept_id").alias("n_exact"), F.count_if(F.col("concept_id").isNull()).alias("n_abstain"))
+
+
+@query(f"""WITH {MISSES} SELECT gap_key AS surface, count(*) AS mention_count, count(DISTINCT locator) AS document_count,
+  'Adding this alternative term will resolve ' || count(*) || CASE WHEN count(*) = 1 THEN ' mention' ELSE ' mentions' END || ' across ' || count(DISTINCT locator)
+  || CASE WHEN count(DISTINCT locator) = 1 THEN ' document' ELSE ' documents' END || '.' AS sentence FROM m WHERE source = 'document' GROUP BY 1""")
+def impact_preview(spark, d):
+    held = misses(spark, d).where("source = 'document'").select("gap_key", F.col("locator").alias("source_file"))
+    return C.impact(held, held.select(F.col("gap_key").alias("surface")).distinct().select("surface"))
+
+
+@query(f"""WITH {MISSES} SELECT gap_key, count(*) AS total, count(*) FILTER (source = 'document') AS from_documents, count(*) FILTER (source = 'chat') AS from_chat, count(DISTINCT surface) AS n_variants FROM m GROUP BY 1""")
+def gap_queue(spark, d):
+    counts = lambda s: F.coalesce(F.try_element_at("counts", F.lit(s)), F.lit(0).cast("long"))
+    return C.gap_queue(misses(spark, d)).select("gap_key", "total", counts("document").alias("from_documents"), counts("chat").alias("from_chat"), "n_variants")
+
+
+@query(f"""WITH {MISSES} SELECT gap_key, count(*) AS total FROM m GROUP BY 1 ORDER BY total DESC, gap_key LIMIT 50""")
+def gap_report(spark, d):
+    return misses(spark, d).groupBy("gap_key").agg(F.count("*").alias("total")).orderBy(F.desc("total"), "gap_key").limit(50)
+
+
+@query(f"""WITH {MISSES}, o AS (SELECT gap_key, source, locator, min("at") AS "at" FROM m GROUP BY 1, 2, 3),
+  r AS (SELECT *, row_number() OVER (PARTITION BY gap_key, source ORDER BY "at", locator) AS rank FROM o) SELECT gap_key, source, rank, locator FROM r WHERE rank <= 5""")
+def evidence_capped(spark, d):
+    return C.evidence(misses(spark, d))
+
+
+@query(f"""WITH {MISSES}, g AS (SELECT gap_key, count(*) AS total, count(*) FILTER (source = 'chat') AS baseline FROM m GROUP BY 1) SELECT gap_key, baseline > 0 AND total >= baseline * 100 AS resurfaced FROM g""")
+def resurfaced(spark, d):
+    g = misses(spark, d).groupBy("gap_key").agg(F.count("*").alias("total"), F.count_if(F.col("source") == "chat").alias("baseline"))
+    return g.select("gap_key", C.resurfaced(F.col("total"), F.col("baseline")).alias("resurfaced"))
+
+
+@query(f"""WITH v AS (SELECT DISTINCT {key('w')} AS k FROM {VOCABULARY}) SELECT CASE WHEN v.k IS NULL THEN 'held' ELSE 'active' END AS status, count(*) AS n_claims FROM {DOC_WORDS} w LEFT JOIN v ON {key('w.w')} = v.k GROUP BY 1""")
+def restate_claims(spark, d):
+    index = vocabulary(spark, d).select(F.regexp_replace("w", "([a-z0-9]{2}[a-hj-rtv-z0-9])s$", "$1").alias("label_key")).distinct().select("label_key", F.array("label_key").alias("concepts"))
+    held = document_words(spark, d).select(F.col("w").alias("surface"), F.lit(None).cast("string").alias("concept_id"), F.lit("held").alias("status"))
+    return C.restate(held, index).groupBy("status").agg(F.count("*").alias("n_claims"))
+
+
+def broader(spark, d):
+    nation, customer, supplier = (t(spark, d, n) for n in ("nation", "customer", "supplier"))
+    return (
+        nation.select(F.concat(F.lit("n"), "n_nationkey").alias("child"), F.concat(F.lit("r"), "n_regionkey").alias("parent"))
+        .union(customer.select(F.concat(F.lit("c"), "c_custkey"), F.concat(F.lit("n"), "c_nationkey")))
+        .union(supplier.select(F.concat(F.lit("s"), "s_suppkey"), F.concat(F.lit("n"), "s_nationkey")))
+    )
+
+
+BROADER = """(SELECT 'n' || n_nationkey AS child, 'r' || n_regionkey AS parent FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier)"""
+
+
+@query(f"""WITH RECURSIVE b AS {BROADER}, p AS (SELECT parent AS root, child AS node FROM b UNION SELECT p.root, b.child FROM p JOIN b ON b.parent = p.node) SELECT root, count(*) AS n_descendants FROM p GROUP BY 1""")
+def descendants(spark, d):
+    return G.descendants(broader(spark, d)).groupBy("root").agg(F.count("*").alias("n_descendants"))
+
+
+@query(f"SELECT child, parent FROM {BROADER} WHERE parent NOT IN (SELECT 'r' || r_regionkey FROM region WHERE r_regionkey <> 0) AND parent NOT IN (SELECT 'n' || n_nationkey FROM nation)")
+def dangling_targets(spark, d):
+    kept = t(spark, d, "region").where("r_regionkey <> 0").select(F.concat(F.lit("r"), "r_regionkey").alias("concept_id")).union(t(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey")))
+    return G.dangling(broader(spark, d), kept)
+
+
+@query(f"SELECT 'r' || r_regionkey AS concept_id FROM region WHERE r_regionkey % 2 = 1 UNION ALL SELECT 'n' || n_nationkey FROM nation WHERE 'n' || n_nationkey NOT IN (SELECT child FROM {BROADER})")
+def orphans(spark, d):
+    concepts = t(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("concept_id"), (F.col("r_regionkey") % 2 == 0).alias("is_top")).union(t(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey"), F.lit(False)))
+    return G.orphans(concepts, broader(spark, d))
+
+
+@query(f"""WITH b AS {BROADER}, e AS (SELECT parent AS seed, child AS neighbour FROM b UNION SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem UNION SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey FROM lineitem) SELECT seed, count(*) AS n_neighbours FROM e GROUP BY 1""")
+def expand_1hop(spark, d):
+    related = t(spark, d, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b"))
+    return G.neighbours(broader(spark, d), related).groupBy("seed").agg(F.count("*").alias("n_neighbours"))
+
+
+@query("""WITH r AS (SELECT DISTINCT CAST(l_quantity AS BIGINT) || CASE CAST(l_linenumber AS INT) % 5 WHEN 0 THEN ' months' WHEN 1 THEN ' L/h' WHEN 2 THEN ' psi' WHEN 3 THEN ' parsecs' ELSE ' years' END AS raw, CAST(l_quantity AS BIGINT) AS q, CAST(l_linenumber AS INT) % 5 AS k FROM lineitem)
+  SELECT raw, q::DOUBLE AS value, CASE k WHEN 0 THEN 'duration_calendar' WHEN 1 THEN 'flow' WHEN 2 THEN 'pressure' WHEN 4 THEN 'duration_calendar' END AS dimension, round(q * CASE k WHEN 0 THEN 1.0 WHEN 1 THEN 1.0 / 60 WHEN 2 THEN 0.0689476 WHEN 4 THEN 12.0 END::DOUBLE, 4) AS canonical FROM r""")
+def parse_quantity(spark, d):
+    unit = F.element_at(F.array(*map(F.lit, (" months", " L/h", " psi", " parsecs", " years"))), (F.col("l_linenumber").cast("int") % 5) + 1)
+    raw = t(spark, d, "lineitem").select(F.concat(F.col("l_quantity").cast("long").cast("string"), unit).alias("raw")).distinct()
+    return raw.withColumn("q", U.parse_quantity(F.col("raw"))).select("raw", "q.value", "q.dimension", F.round("q.canonical", 4).alias("canonical"))
+
+
+@query("""SELECT p_name, p_brand, count(*) AS sides, min(p_retailprice) AS min_value, max(p_retailprice) AS max_value FROM part GROUP BY 1, 2 HAVING count(*) >= 2 AND (max(p_retailprice) - min(p_retailprice)) / max(abs(p_retailprice)) > 0.01""")
+def contradictions(spark, d):
+    sides = t(spark, d, "part").select("p_name", "p_brand", F.col("p_retailprice").alias("value"), F.lit("money_eur").alias("dimension"), F.lit(False).alias("approximate"))
+    return C.contradictions(sides, ["p_name", "p_brand"])
+
+
+@query("""SELECT l_partkey, l_suppkey, count(*) AS sides, min(l_discount) AS min_value, max(l_discount) AS max_value FROM lineitem GROUP BY 1, 2 HAVING count(*) >= 2 AND max(l_discount) <> min(l_discount) AND (max(l_discount) - min(l_discount)) / greatest(abs(max(l_discount)), abs(min(l_discount))) > 0.01""")
+def contradictions_at_volume(spark, d):
+    sides = t(spark, d, "lineitem").select("l_partkey", "l_suppkey", F.col("l_discount").alias("value"), F.lit("ratio").alias("dimension"), F.lit(False).alias("approximate"))
+    return C.contradictions(sides, ["l_partkey", "l_suppkey"])
+
+
+@query("""WITH g AS (SELECT p_name || '|' || p_brand AS group_key, count(*) AS n, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey) AS members, min(p_retailprice) AS a, max(p_retailprice) AS b FROM part GROUP BY 1) SELECT group_key, n AS n_members, members FROM g WHERE n >= 2 AND (b - a) / b > 0.01""")
+def disagreement_sets(spark, d):
+    part = t(spark, d, "part").select(F.concat_ws("|", "p_name", "p_brand").alias("group_key"), "p_partkey", F.col("p_retailprice").alias("value"), F.lit("money_eur").alias("dimension"), F.lit(False).alias("approximate"))
+    apart = C.contradictions(part, ["group_key"]).select("group_key")
+    return part.join(apart, "group_key", "left_semi").groupBy("group_key").agg(F.count("*").alias("n_members"), F.array_join(F.transform(F.array_sort(F.collect_list("p_partkey")), lambda x: x.cast("string")), ",").alias("members"))
+
+
+@query("""SELECT sha1('part-' || p_partkey || ' 1 ' || p_size || ' retail-price ' || CAST(CAST(round(p_retailprice * 100) AS BIGINT) AS VARCHAR) || ' eur') AS claim_id, p_partkey FROM part""")
+def claim_ids(spark, d):
+    part = t(spark, d, "part")
+    cents = F.round(F.col("p_retailprice") * 100).cast("long")
+    made = C.claim_id(F.concat(F.lit("part-"), "p_partkey"), F.lit("1"), F.col("p_size"), U.predicate_key(F.lit("Retail price")), cents, F.lit("eur"))
+    return part.select(made.alias("claim_id"), "p_partkey")
+
+
+MEANS = "m AS (SELECT label, i, avg(x::DOUBLE) AS x FROM (SELECT label, unnest(embedding) AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY 1, 2), l AS (SELECT label, list(x ORDER BY i) AS v FROM m GROUP BY 1)"
+RANKED = f"{MEANS}, s AS (SELECT vec_id, l.label, round(list_dot_product(embedding::DOUBLE[], l.v), 4) AS score FROM embeddings, l), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) AS rank FROM s)"
+
+
+def ranked_labels(spark, d):
+    vectors = t(spark, d, "embeddings")
+    means = vectors.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    labels = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("label_vector"))
+    return R.nearest_labels(vectors.select("vec_id", "embedding"), labels)
+
+
+@query(f"WITH {RANKED} SELECT vec_id, label, score, rank FROM r WHERE rank <= 5")
+def nearest_labels(spark, d):
+    return ranked_labels(spark, d)
+
+
+@query(f"WITH {RANKED} SELECT a.vec_id, CASE WHEN a.score >= 0.82 AND round(a.score - b.score, 4) >= 0.05 THEN a.label::VARCHAR ELSE 'abstain' END AS verdict FROM r a JOIN r b ON a.vec_id = b.vec_id AND a.rank = 1 AND b.rank = 2")
+def resolve_margin(spark, d):
+    return R.margin_verdict(ranked_labels(spark, d))
+
+
+@query("""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, round(1 - list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS distance FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0),
+  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM s) SELECT query_id, rank, vec_id, distance FROM r WHERE rank <= 5""")
+def filtered_topk(spark, d):
+    vectors = t(spark, d, "embeddings")
+    asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
+    scored = asked.join(vectors, "label").where("query_id <> vec_id").withColumn("distance", F.round(1 - R.dot(F.col("q"), F.col("embedding")), 6))
+    order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
+    return scored.withColumn("rank", F.row_number().over(order)).where("rank <= 5").select("query_id", "rank", "vec_id", "distance")
+
+
+FLAT = r"""regexp_replace(regexp_replace(regexp_replace(html,'<!--(.|\n)*?-->','','g'),'(?i)</?\s*(""" + "|".join(T.BLOCK_TAGS) + r""")(>|[^a-zA-Z0-9>][^>]*>)',' ','g'),'<[^>]+>','','g')"""
+
+
+@query(f"""WITH f AS (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace({FLAT},'&nbsp;',' '),'&lt;','<'),'&gt;','>'),'&quot;','"'),'&#39;',''''),'&copy;','©'),'&middot;','·'),'&amp;','&'),' {{2,}}',' ','g')) AS text FROM pages) SELECT page_id, length(text) AS n_chars, sha1(text) AS text_sha1 FROM f""")
+def flatten_pages(spark, d):
+    flat = t(spark, d, "pages").select("page_id", T.flatten_html(F.col("html")).alias("text"))
+    return flat.select("page_id", F.length("text").cast("long").alias("n_chars"), F.sha1("text").alias("text_sha1"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM documents)
+  SELECT doc_id, line_no, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_offset FROM l""")
+def line_offsets(spark, d):
+    return D.lines(t(spark, d, "documents")).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "start_offset")
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM documents),
+  k AS (SELECT doc_id, (line_no - 1) // 5 AS chunk_no, min(line_no) AS a, max(line_no) AS b FROM l GROUP BY 1, 2),
+  c AS (SELECT doc_id, line_no AS a, line_no + 2 AS b FROM l WHERE line_no % 3 = 1) SELECT c.doc_id, count(*) AS n_pairs FROM c JOIN k ON c.doc_id = k.doc_id AND c.a <= k.b AND c.b >= k.a GROUP BY 1""")
+def claim_chunk_overlap(spark, d):
+    lines = D.lines(t(spark, d, "documents")).select("doc_id", "line_no")
+    chunk = lines.groupBy("doc_id", F.floor((F.col("line_no") - 1) / 5).alias("chunk_no")).agg(F.min("line_no").alias("k_start"), F.max("line_no").alias("k_end"))
+    claim = lines.where("line_no % 3 = 1").select("doc_id", F.col("line_no").alias("c_start"), (F.col("line_no") + 2).alias("c_end"))
+    return claim.join(chunk, "doc_id").where(D.overlaps(F.col("c_start"), F.col("c_end"), F.col("k_start"), F.col("k_end"))).groupBy("doc_id").agg(F.count("*").alias("n_pairs"))
+
+
+MAPPED = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SIGNALS.items()) + " END"
+
+
+def signals(spark, d):
+    mapping = spark.createDataFrame(list(SIGNALS.items()), "event_type string, concept string")
+    return t(spark, d, "events").join(F.broadcast(mapping), "event_type", "left")
+
+
+@query(f"SELECT event_type, {MAPPED} AS concept, count(*) AS n FROM events WHERE {MAPPED} IS NOT NULL GROUP BY 1, 2")
+def signal_map(spark, d):
+    return signals(spark, d).where("concept is not null").groupBy("event_type", "concept").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT event_type, count(*) AS occurrences, count(DISTINCT user_id) AS devices FROM events WHERE {MAPPED} IS NULL GROUP BY 1")
+def unmapped_signals(spark, d):
+    return signals(spark, d).where("concept is null").groupBy("event_type").agg(F.count("*").alias("occurrences"), F.countDistinct("user_id").alias("devices"))
+
+
+@query(f"WITH r AS (SELECT {MAPPED} AS concept, user_id, event_id, value, row_number() OVER (PARTITION BY {MAPPED}, user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE {MAPPED} IS NOT NULL) SELECT concept, user_id, event_id, value FROM r WHERE n = 1")
+def latest_signal(spark, d):
+    known = signals(spark, d).where("concept is not null")
+    return known.groupBy("concept", "user_id").agg(F.max_by(F.struct("event_id", "value"), F.struct("ts", "event_id")).alias("last")).select("concept", "user_id", "last.event_id", "last.value")
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d %H:00') AS bucket, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def events_hourly(spark, d):
+    return E.hourly(t(spark, d, "events")).select(F.date_format("bucket", "yyyy-MM-dd HH:mm").alias("bucket"), "event_type", "n")
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+  s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, count(*) AS n FROM s GROUP BY user_id, session""")
+def event_sessions(spark, d):
+    return E.sessions(t(spark, d, "events")).select("user_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), "n")
+
+
+@query("""WITH w AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS w FROM part) SELECT a.w AS a, b.w AS b, levenshtein(a.w, b.w) AS distance FROM w a JOIN w b ON a.w < b.w WHERE levenshtein(a.w, b.w) <= CASE WHEN length(a.w) <= 4 THEN 1 WHEN length(a.w) <= 8 THEN 2 ELSE 3 END""")
+def levenshtein_pairs(spark, d):
+    """Words of a governed vocabulary against each other, by length: within a budget of 3, lengths differ by 3 at most."""
+    words = t(spark, d, "part").select(F.explode(T.words(F.col("p_name"))).alias("w")).distinct().withColumn("n", F.length("w"))
+    a = words.select(F.col("w").alias("a"), F.explode(F.sequence(F.col("n") - 3, F.col("n") + 3)).alias("n"))
+    b = words.select(F.col("w").alias("b"), "n")
+    return a.join(b, "n").where("a < b").select("a", "b", F.levenshtein("a", "b").cast("long").alias("distance")).where(F.col("distance") <= T.edit_budget(F.col("a")))
+
+
+@query("SELECT o_custkey, max(o_orderdate)::DATE::VARCHAR AS newest FROM orders GROUP BY 1")
+def latest_version(spark, d):
+    return D.latest(t(spark, d, "orders"), "o_custkey", "o_orderdate").select("o_custkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("newest"))
+
+
+@query("""SELECT 'run-' || o_custkey % 20 AS run_id, count(*) FILTER (o_orderstatus = 'F') AS accepted, count(*) FILTER (o_orderstatus <> 'F') AS rejected,
+  concat_ws(' · ', CASE WHEN count(*) FILTER (o_orderstatus = 'F') > 0 THEN count(*) FILTER (o_orderstatus = 'F') || ' accepted' END, CASE WHEN count(*) FILTER (o_orderstatus <> 'F') > 0 THEN count(*) FILTER (o_orderstatus <> 'F') || ' rejected' END) AS summary FROM orders GROUP BY 1""")
+def run_totals(spark, d):
+    totals = t(spark, d, "orders").groupBy(F.concat(F.lit("run-"), F.col("o_custkey") % 20).alias("run_id")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("accepted"), F.count_if(F.col("o_orderstatus") != "F").alias("rejected"))
+    said = lambda name: F.when(F.col(name) > 0, F.concat(F.col(name).cast("string"), F.lit(f" {name}")))
+    return totals.withColumn("summary", F.concat_ws(" · ", said("accepted"), said("rejected")))
+
+
+@query(f"""WITH v AS {VOCABULARY}, c AS (SELECT DISTINCT w FROM {DOC_WORDS}) SELECT count(*) AS words, count(c.w) AS covered, floor(100 * count(c.w) / count(*))::BIGINT AS percent FROM v LEFT JOIN c USING (w)""")
+def vocabulary_coverage(spark, d):
+    seen = document_words(spark, d).select("w").distinct().withColumn("seen", F.lit(1))
+    found = vocabulary(spark, d).join(seen, "w", "left").agg(F.count("*").alias("words"), F.count("seen").alias("covered"))
+    return found.withColumn("percent", F.floor(100 * F.col("covered") / F.col("words")))
+
+
+@query()
+def greedy_sweep(spark, d):
+    index = R.label_index(vocabulary(spark, d).select(F.col("w").alias("concept_id"), F.lit("words").alias("scheme_id"), F.col("w").alias("label"), F.lit("pref").alias("kind")))
+    asked = t(spark, d, "conversations").where("role = 'user'").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
+    return R.greedy_sweep(asked, index).select("id", F.array_join("terms", "|").alias("terms"))
+
+
+@query()
+def chunk_documents(spark, d):
+    return D.chunks(t(spark, d, "documents")).select("doc_id", "chunk_no", "start_line", "end_line", F.sha1("text").alias("text_sha1"))
+
+
+@query()
+def verbatim_gate(spark, d):
+    docs = t(spark, d, "documents")
+    facts = docs.select("doc_id", F.concat(F.lit("document "), "doc_id").alias("subject"), F.when(F.col("doc_id") % 3 == 0, F.lit("not there at all ☃")).otherwise(F.substring("text", 5, 40)).alias("snippet"), "text")
+    return D.gate_facts(facts).select("doc_id", "reason")
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
