@@ -40,10 +40,8 @@ FLOOR = 0.75
 REPORT = 0.25
 #: Buckets of so many nodes give all their pairs; in larger ones all nodes are compared with chosen ones.
 SMALL = 8
-#: Bands that nodes of a large bucket with several classes must share before all its pairs across classes are compared.
-DEPTH = 4
 #: Nodes of a block in those comparisons, about.
-BLOCK = 256
+BLOCK = 1024
 #: Shingles counted together in a task, words that a worker remembers.
 TOGETHER = 4_000_000
 CACHE = 500_000
@@ -313,8 +311,8 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     whose rows are kept. `links` counts the linked texts among those compared, equal texts being one. Texts without words are
     no one's duplicates, and rows without doc_id have no class and are kept. An empty table gives an empty result.
     A pair of exactly that similarity meets in no bucket with probability (1 - similar ** ROWS) ** BANDS, 2e-4 at 0.8.
-    Buckets have no cap: in large ones each node is compared with one, and where that leaves several classes, finer
-    buckets of two, three and four bands follow, of which the last give all pairs across classes.
+    Buckets have no cap: in large ones each node is compared with one, and where that leaves several classes, all
+    pairs across classes are, in blocks.
     """
     texts = rows_of(docs, doc_id=F.col("doc_id").cast("long"), text=F.col("text").cast("binary"))
     common, idf = common_shingles(texts.select("text"))
@@ -333,33 +331,24 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     links = verifier.links(stage_table(_ordered(first), "near-pairs"))
     classes = components(links)
     placed = placed.drop("center")
-    level = placed.select("digest", F.col("band").alias("bucket"), F.array("band").alias("of"))
-    level = level.join(classes, F.col("digest") == F.col("node"), "left").select("digest", "bucket", "of", F.coalesce("component", "digest").alias("class"))
-    last = False
-    while True:
-        # what a bucket brings: all pairs of few nodes, or each of many with one that a hash picks; later across classes only
-        sizes = level.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by(F.struct("digest", "class"), F.xxhash64("digest", "bucket")).alias("center"), F.min("class").alias("x"), F.max("class").alias("y"))
-        members = stage_table(level.join(sizes.where("n > 1 and x <> y").drop("x", "y"), "bucket"), "near-members")
-        few = members.where(F.col("n") <= SMALL).groupBy("bucket").agg(F.collect_list(F.struct("digest", "class")).alias("all"))
-        few = few.select(F.explode("all").alias("p"), "all").select("p", F.explode("all").alias("q")).where("p.class <> q.class").select("p.digest", "q.digest").toDF("a", "b")
-        many = members.where(F.col("n") > SMALL)
-        large = many.where("class <> center.class" if not last else "false").select("digest", "center.digest").toDF("a", "b")
-        found = verifier.links(stage_table(_ordered(few.union(large)), "near-pairs"))
-        if last:
-            found = found.union(verifier.links_across(many))
-        links = stage_table(links.union(found).dropDuplicates(["a", "b"]), "near-links")
+    level = placed.select("digest", F.col("band").alias("bucket")).join(classes, F.col("digest") == F.col("node"), "left").select("digest", "bucket", F.coalesce("component", "digest").alias("class"))
+    # across classes only: all pairs of a bucket of few nodes; each of many with one that a hash picks
+    sizes = level.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by(F.struct("digest", "class"), F.xxhash64("digest", "bucket")).alias("center"), F.min("class").alias("x"), F.max("class").alias("y"))
+    members = stage_table(level.join(sizes.where("x <> y").drop("x", "y"), "bucket"), "near-members")
+    few = members.where(F.col("n") <= SMALL).groupBy("bucket").agg(F.collect_list(F.struct("digest", "class")).alias("all"))
+    few = few.select(F.explode("all").alias("p"), "all").select("p", F.explode("all").alias("q")).where("p.class < q.class").select("p.digest", "q.digest").toDF("a", "b")
+    many = members.where(F.col("n") > SMALL)
+    large = many.where("class <> center.class").select("digest", "center.digest").toDF("a", "b")
+    links = links.union(verifier.links(stage_table(_ordered(few.union(large)), "near-pairs")))
+    # what is left are large buckets of several classes: there every pair across classes is compared
+    classes = components(links)
+    now = many.select("bucket", "digest", "n").join(classes, F.col("digest") == F.col("node"), "left").select("bucket", "digest", "n", F.coalesce("component", "digest").alias("class"))
+    mixed = now.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("bucket")
+    now = stage_table(now.join(mixed, "bucket", "left_semi"), "near-mixed")
+    if not now.isEmpty():
+        links = links.union(verifier.links_across(now))
         classes = components(links)
-        if last:
-            break
-        now = many.select("bucket", "of", "digest").join(classes, F.col("digest") == F.col("node"), "left").select("bucket", "of", "digest", F.coalesce("component", "digest").alias("class"))
-        mixed = now.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("bucket")
-        now = stage_table(now.join(mixed, "bucket", "left_semi"), "near-mixed")
-        if now.isEmpty():
-            break
-        # large buckets of several classes: their nodes must agree in one more band, at the last level all are compared
-        finer = now.join(placed, "digest").where(~F.array_contains("of", F.col("band"))).select("digest", "class", F.array_sort(F.array_append("of", F.col("band"))).alias("of"))
-        level = stage_table(finer.select("digest", F.xxhash64("of").alias("bucket"), "of", "class").distinct(), "near-finer")
-        last = level.select(F.size("of")).first()[0] >= DEPTH if not level.isEmpty() else True
+    links = links.dropDuplicates(["a", "b"])
     degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("links")).withColumnRenamed("a", "node")
     labelled = index.join(classes, F.col("digest") == F.col("node"), "left").drop("node").join(degree, F.col("digest") == F.col("node"), "left")
     labelled = stage_table(labelled.select("digest", "keep_id", "n", F.coalesce("component", "digest").alias("class"), F.coalesce("links", F.lit(0)).alias("links")), "near-labelled")
