@@ -108,6 +108,7 @@ def build(batches: Iterator[pa.RecordBatch], split: Callable[[str], list[bytes]]
             n += len(found)
             if n >= most:
                 yield flush()
+                pa.default_memory_pool().release_unused()
                 codes, ids, flags, parts, n = _Codes(), [], [], [], 0
     if ids:
         yield flush()

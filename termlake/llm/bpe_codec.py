@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from termlake.llm import blocks as B
-from termlake.llm.common import bucketed_table, rows_of, ship
+from termlake.llm.common import bucketed_table, rows_of, ship, small_batches
 
 ship(__name__)
 
@@ -153,6 +153,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     twice gives two rows; an empty table gives an empty result. A block and a hash partition of distinct words,
     both of fixed size, bound the memory of a task. Ranks are of the size of the vocabulary.
     """
+    small_batches(docs.sparkSession)
     texts = rows_of(docs, doc_id=F.col("doc_id").cast("long"), text=F.col("text"))
     blocks = bucketed_table(texts.mapInArrow(_to_blocks, BLOCKS), "bpe_blocks", "block")
     total = blocks.agg(F.sum("word_bytes")).first()[0] or 0

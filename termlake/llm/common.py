@@ -68,6 +68,14 @@ def bucketed_table(df: DataFrame, name: str, key: str) -> DataFrame:
     return read
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let the session hand at most so many rows at a time to Python: whole texts make wide rows, and a batch is in memory
+    several times. A smaller setting of the session's own stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def release(spark: SparkSession, keep: str = "") -> None:
     """Delete the scratch tables so far but `keep`; for callers that have stored every result that reads them."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termlake.llm import blocks as B
-from termlake.llm.common import rows_of, ship, stage_table
+from termlake.llm.common import rows_of, ship, small_batches, stage_table
 from termlake.llm.components import components
 from termlake.llm.exact_dedup import FILTER_BITS, hit_filter, looked_up, may_hit
 
@@ -314,6 +314,7 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     Buckets have no cap: in large ones each node is compared with one, and where that leaves several classes, all
     pairs across classes are, in blocks.
     """
+    small_batches(docs.sparkSession)
     texts = rows_of(docs, doc_id=F.col("doc_id").cast("long"), text=F.col("text").cast("binary"))
     common, idf = common_shingles(texts.select("text"))
     signed = stage_table(texts.mapInArrow(_sign(common, idf), "doc_id bigint, digest binary, bands array<bigint>"), "near-signed")
