@@ -17,6 +17,7 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _written: list[tuple[SparkSession, str]] = []
+_kept: list[tuple[SparkSession, str]] = []
 _own_dirs: dict[str, str] = {}
 
 
@@ -41,10 +42,10 @@ def scratch_root(spark: SparkSession) -> str:
     return "file://" + _own_dirs[app]
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder, removed by release() or at the end of the process."""
+def scratch_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new path below the shared folder, removed by release(), unless it is kept, or at the end of the process."""
     path = f"{scratch_root(spark)}/termlake/{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    (_kept if keep else _written).append((spark, path))
     return path
 
 
@@ -76,18 +77,17 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
-def release(spark: SparkSession, keep: str = "") -> None:
-    """Delete the scratch tables so far but `keep`; for callers that have stored every result that reads them."""
+def release(spark: SparkSession) -> None:
+    """Delete the scratch tables so far; for callers that have stored every result that reads them."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for entry in [x for x in _written if x[1] != keep]:
-        _written.remove(entry)
-        place = jvm.org.apache.hadoop.fs.Path(entry[1])
+    while _written:
+        place = jvm.org.apache.hadoop.fs.Path(_written.pop()[1])
         place.getFileSystem(conf).delete(place, True)
 
 
 @atexit.register
 def _at_exit() -> None:
-    for path in {path for _, path in _written}:
+    for path in {path for _, path in _written + _kept}:
         if path.startswith("file:"):
             shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 

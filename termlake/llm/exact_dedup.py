@@ -112,7 +112,8 @@ def exact_duplicates(docs: DataFrame, digest: Callable[[Column], Column] = sha25
     spark = docs.sparkSession
     texts = rows_of(docs, doc_id=F.col("doc_id").cast("long"), text=normalised(F.col("text")))
     own_sha = [] if digest is sha256 else [F.sha2("text", 256).alias("text_sha256")]
-    texts = texts.withColumn("digest", digest(F.col("text")))
+    # a generator keeps filters and projections above it from computing the text and its digest again and again
+    texts = texts.withColumn("digest", digest(F.col("text"))).select(F.inline(F.array(F.struct("doc_id", "digest", "text"))))
     entries = stage_table(texts.select("doc_id", "digest", *own_sha), "digests")
     index = MergeIndex(spark, scratch_path(spark, "digest-index"))
     index.flush(entries.select("doc_id", "digest"))
