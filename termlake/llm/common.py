@@ -88,7 +88,7 @@ def release(spark: SparkSession) -> None:
 @atexit.register
 def _at_exit() -> None:
     for path in {path for _, path in _written + _kept}:
-        if path.startswith("file:"):
+        if path.startswith(("file:", "/")):
             shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
 

@@ -21,7 +21,8 @@ PER_REPLICA = 512
 HOT = 1000
 #: Size of the filter over digests of two or more rows; it is broadcast, so 2 MB at most.
 FILTER_BITS = 1 << 24
-FILTER = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "1000000", "parquet.bloom.filter.max.bytes": "2097152"}
+#: The file's filter is as large as its number of digests asks for.
+FILTER = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true", "parquet.bloom.filter.max.bytes": "1048576"}
 
 
 def normalised(text: Column) -> Column:
