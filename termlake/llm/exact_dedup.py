@@ -125,10 +125,10 @@ def exact_duplicates(docs: DataFrame, digest: Callable[[Column], Column] = sha25
     if failed.isEmpty():
         return found.select("doc_id", "keep_id", F.col("n").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), sha.alias("text_sha256"))
     own = failed.groupBy("digest", F.sha2("text", 512).alias("bytes"), "text").agg(F.min("doc_id").alias("own_id"), F.count("*").alias("own_n"))
-    again = failed.join(own, ["digest", "text"]).select("doc_id", "digest", F.sha2("text", 256).alias("own_sha"), "own_id", "own_n").dropDuplicates()
+    again = failed.join(own, ["digest", "text"]).select(F.col("doc_id").alias("again_id"), F.col("digest").alias("again"), F.sha2("text", 256).alias("own_sha"), "own_id", "own_n").dropDuplicates()
     fewer = failed.groupBy("digest").agg(F.count("*").alias("fewer"))
     first = F.when(F.col("own_n").isNotNull(), F.col("own_id")).otherwise(F.col("keep_id"))
     return (
-        found.withColumn("sha", sha).join(again, ["doc_id", "digest"], "left").where("own_sha is null or own_sha = sha").join(fewer, "digest", "left")
+        found.withColumn("sha", sha).join(again, F.col("doc_id").eqNullSafe(F.col("again_id")) & (F.col("digest") == F.col("again")) & (F.col("sha") == F.col("own_sha")), "left").join(fewer, "digest", "left")
         .select("doc_id", first.alias("keep_id"), F.coalesce("own_n", F.col("n") - F.coalesce("fewer", F.lit(0))).alias("group_size"), F.col("doc_id").eqNullSafe(first).alias("kept"), F.col("sha").alias("text_sha256"))
     )

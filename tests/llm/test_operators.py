@@ -1,0 +1,156 @@
+"""Operators against brute force on small tables with nulls, empty texts, ties, repeated rows and clashing columns."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from termlake.llm import ann, bpe_codec, exact_dedup, language_id, lm_scoring, near_dedup, sharding, token_files, toxicity
+
+TEXTS = ["a b", "a  b", "a\tb", None, "", "  ", "c d e f g h i j k l", "don't stop, we're 123 45abc!", "x" * 3000, "日本語 テキスト", "'s 't \n\n z", "c d e f g h i j k l", "ﬁn Σας"]
+SCHEMA = "doc_id bigint, text string, lang string, source string, digest string, n bigint, block string, slot string, size string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", "s", "d", 1, "b", "s", "z") for i, t in enumerate(TEXTS)] + [(1, "a  b", "en", "s", "d", 1, "b", "s", "z"), (None, "nobody's", None, None, None, None, None, None, None)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def squeezed(text):
+    return re.sub(r"[\x20\x09-\x0D]+", " ", text or "")
+
+
+@pytest.mark.parametrize("digest", [exact_dedup.sha256, lambda t: F.unhex(F.substring(F.sha2(t, 256), 1, 2)), lambda t: F.unhex(F.lit("00"))])
+def test_exact(docs, none, digest):
+    ids = {}
+    counts = Counter(squeezed(r["text"]) for r in docs.collect())
+    for r in docs.collect():
+        if r["doc_id"] is not None:
+            ids[squeezed(r["text"])] = min(ids.get(squeezed(r["text"]), 99), r["doc_id"])
+    by_sha = {hashlib.sha256(t.encode()).hexdigest(): t for t in counts}
+    out = exact_dedup.exact_duplicates(docs, digest).collect()
+    assert len(out) == docs.count()
+    for r in out:
+        text = by_sha[r["text_sha256"]]
+        assert (r["keep_id"], r["group_size"]) == (ids.get(text), counts[text])
+        assert r["kept"] == (r["doc_id"] == r["keep_id"])
+    assert exact_dedup.exact_duplicates(none, digest).count() == 0
+
+
+def test_bpe(docs, none):
+    ranks = bpe_codec.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    whole = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = Counter((r["doc_id"], tuple(whole.encode_ordinary(r["text"] or "")), (r["text"] or "").encode()) for r in docs.collect())
+    out = bpe_codec.decode(bpe_codec.encode(docs, ranks, public_tokenizers.PATTERN), ranks).collect()
+    assert Counter((r["doc_id"], tuple(np.frombuffer(r["ids"], "<u4").tolist()), bytes(r["decoded"])) for r in out) == want
+    assert bpe_codec.encode(none, ranks, public_tokenizers.PATTERN).count() == 0
+
+
+def test_token_files(docs, none):
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        vocabulary = f.read()
+    library = Tokenizer.from_str(vocabulary)
+    out = token_files.read_tokens(token_files.write_tokens(docs, vocabulary, 1)).orderBy("start").collect()
+    assert [r["doc_id"] for r in out] == sorted([r["doc_id"] for r in out], key=lambda x: (x is not None, x or 0))
+    assert Counter((r["doc_id"], tuple(np.frombuffer(r["ids"], "<u4").tolist())) for r in out) == Counter((r["doc_id"], (*library.encode(r["text"] or "", add_special_tokens=False).ids, 1)) for r in docs.collect())
+    at = 0
+    for r in out:
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(r["ids"]) // 4, zlib.crc32(r["ids"]))
+        at += r["n_tokens"]
+    assert token_files.read_tokens(token_files.write_tokens(none, vocabulary, 1)).count() == 0
+
+
+@pytest.mark.parametrize("values", [[1], [0, 0, 0], [3, 3, 90, 1000, 1000, 70_000], list(range(0, 9000, 7))])
+def test_elias_fano(values):
+    coded = token_files.EliasFano.load(token_files.EliasFano.of(np.array(values)).dump())
+    assert coded.all().tolist() == values
+    assert [coded.select(i) for i in range(len(values))] == values
+
+
+def test_shards(docs, none, spark, tmp_path):
+    out = sharding.shard_documents(docs, 4).collect()
+    for shard in range(4):
+        own = sorted(r["slot"] for r in out if r["shard"] == shard)
+        assert own == list(range(len(own)))
+    many = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 90).cast("int")).alias("text"))
+    path = f"file://{tmp_path}/map"
+    sizes = [r["s"] for r in sharding.shard_documents(many, 16, path).groupBy("shard").agg(F.sum("size").alias("s")).collect()]
+    assert len(sizes) == 16 and max(sizes) - min(sizes) <= 91 * 3
+    records = many.select("doc_id", sharding.text_bytes(F.col("text")).alias("size"), sharding.record_slot(F.col("doc_id")).alias("virtual_slot"))
+    before, after = (r.select("virtual_slot", "shard") for r in (sharding.read_map(spark, path, 1), sharding.rebalance(records, path, 1, 17)))
+    moved = before.toDF("virtual_slot", "was").join(after, "virtual_slot").where("was <> shard").count()
+    assert 0 < moved < 0.2 * before.count()
+    assert sharding.shard_documents(none, 4).count() == 0
+
+
+def test_near(spark, docs, none):
+    words = [f"w{i}" for i in range(200)]
+    near = [*words[:100], "odd", *words[101:]]
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(words).upper()), (4, " ".join(words[:60] + [f"z{i}" for i in range(140)])), (5, None), (6, ""), (7, "short"), (8, "short"), (None, "short")]
+    out = {r["doc_id"]: r for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {i: out[i]["class_id"] for i in out} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6, 7: 7, 8: 7, None: None}
+    assert near_dedup.near_duplicates(docs).count() == docs.count()
+    assert near_dedup.near_duplicates(none).count() == 0
+
+
+def test_language_model(docs, none):
+    out = lm_scoring.score_documents(docs, F.coalesce(F.col("doc_id") == 7, F.lit(False))).collect()
+    tokens = lambda t: [*(t or "").encode().lower().split(), b""]
+    seen = Counter(w for r in docs.collect() if r["doc_id"] != 7 for w in tokens(r["text"]))
+    n = sum(seen.values())
+    want = Counter((r["doc_id"], len(tokens(r["text"])), sum(w in seen for w in tokens(r["text"])), round(sum(np.log10((seen[w] + 1) / (n + len(seen) + 1)) for w in tokens(r["text"])), 6)) for r in docs.collect())
+    assert Counter((r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in out) == want
+    assert all(r["train_tokens"] == n and r["score"] < 0 for r in out)
+    assert lm_scoring.score_documents(none, F.lit(False)).count() == 0
+
+
+def test_language(spark, docs, none):
+    rows = [("the cat and the dog are in the house", "en"), ("le chat et le chien sont dans la maison", "fr"), (None, "en"), ("x", None)] * 5
+    profiles = language_id.learn_profiles(spark.createDataFrame(rows, "text string, lang string"))
+    assert sorted(profiles) == ["en", "fr"]
+    asked = spark.createDataFrame([("the house and the cat",), ("la maison et le chat",), (None,), ("12 !",)], "text string")
+    assert [r["lang_pred"] for r in language_id.identify(asked, profiles).collect()] == ["en", "fr", "und", "und"]
+    assert language_id.identify_documents(docs, F.lit(True)).count() == docs.count()
+    assert language_id.identify_documents(none, F.lit(True)).count() == 0
+
+
+def test_toxicity(spark, docs, none):
+    toxic = [(f"you {w} idiot muslims here", 1) for w in "abcdefghij"]
+    clean = [(f"some {w} calm words here", 0) for w in "abcdefghij"]
+    fair, plain = toxicity.train(toxic + clean, gamma=5.0), toxicity.train(toxic + clean, gamma=0.0)
+    gap = lambda m: abs(m.score("muslims live here") - m.score("christians live here"))
+    assert gap(fair) < gap(plain)
+    assert fair.score("you idiot") > 0.5 > fair.score("calm words")
+    assert toxicity.score_texts(docs, fair).count() == docs.count()
+    labels = spark.createDataFrame([], "doc_id bigint, toxic int")
+    assert {r["score"] for r in toxicity.score_documents(docs, labels, F.lit(True)).collect()} == {0.5}
+    assert toxicity.score_documents(none, labels, F.lit(True)).count() == 0
+
+
+def test_nearest(spark):
+    random = np.random.default_rng(3)
+    vectors = random.normal(size=(600, 16))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)] + [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [None] * 16), (904, [float(x) for x in vectors[0]])]
+    found = ann.search_embeddings(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") % 50 == 0, 5).collect()
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 600, 50):
+        scores = unit @ unit[q]
+        scores[q] = -2
+        hits += len(set(np.argsort(-scores)[:5].tolist()) & {r["vec_id"] for r in found if r["query_id"] == q})
+    assert hits >= 0.9 * 12 * 5
+    assert next(r["vec_id"] for r in found if r["query_id"] == 0 and r["rank"] == 1) == 904
+    assert not {900, 901, 902, 903} & {r["query_id"] for r in found}
