@@ -232,7 +232,7 @@ def claim_ids(spark, d):
 
 
 MEANS = "m AS (SELECT label, i, avg(x::DOUBLE) AS x FROM (SELECT label, unnest(embedding) AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY 1, 2), l AS (SELECT label, list(x ORDER BY i) AS v FROM m GROUP BY 1)"
-RANKED = f"{MEANS}, s AS (SELECT vec_id, l.label, round(list_dot_product(embedding::DOUBLE[], l.v), 4) AS score FROM embeddings, l), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) AS rank FROM s)"
+RANKED = f"{MEANS}, s AS (SELECT vec_id, l.label, round(list_dot_product(embedding::DOUBLE[], l.v), 4) + 0.0 AS score FROM embeddings, l), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) AS rank FROM s)"
 
 
 def ranked_labels(spark, d):
