@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termlake.llm.common import rows_of, ship
+from termlake.llm.common import lean, rows_of, ship
 
 ship(__name__)
 
@@ -87,7 +87,7 @@ def _learn(dim: int):
 def learn_profiles(texts: DataFrame, dim: int = DIM) -> dict[str, np.ndarray]:
     """The vector of each language of texts (text, lang), rows with a null apart. One row a language and task is shuffled."""
     known = rows_of(texts, text=F.col("text"), lang=F.col("lang")).where("text is not null and lang is not null")
-    parts = known.mapInArrow(_learn(dim), "lang string, bundle array<double>")
+    parts = known.mapInArrow(lean(_learn(dim)), "lang string, bundle array<double>")
     places = parts.select("lang", F.posexplode("bundle").alias("place", "value")).groupBy("lang", "place").agg(F.sum("value").alias("value"))
     out: dict[str, np.ndarray] = {}
     for row in places.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("bundle")).collect():
@@ -132,7 +132,7 @@ def identify(rows: DataFrame, profiles: dict[str, np.ndarray], text: str = "text
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
     schema = StructType([*rows.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return rows.mapInArrow(_predict(profiles, dim, rows.columns.index(text), schema.names), schema)
+    return rows.mapInArrow(lean(_predict(profiles, dim, rows.columns.index(text), schema.names)), schema)
 
 
 def identify_documents(docs: DataFrame, learn_from: Column) -> DataFrame:

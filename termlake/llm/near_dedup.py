@@ -7,7 +7,6 @@ connected nodes are a class.
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Iterator
 
@@ -18,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termlake.llm import blocks as B
-from termlake.llm.common import rows_of, ship, small_batches, stage_table
+from termlake.llm.common import lean, rows_of, ship, small_batches, stage_table
 from termlake.llm.components import components
 from termlake.llm.exact_dedup import FILTER_BITS, hit_filter, looked_up, may_hit
 
@@ -43,8 +42,8 @@ SMALL = 8
 #: Nodes of a block in those comparisons, about.
 BLOCK = 1024
 #: Shingles counted together in a task, words that a worker remembers.
-TOGETHER = 4_000_000
-CACHE = 500_000
+TOGETHER = 2_000_000
+CACHE = 200_000
 
 
 class _Hashes(dict):
@@ -117,14 +116,14 @@ def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     A shingle of that share has a part of it in some block. Blocks report what comes near, whose sums leave a
     bounded number of candidates, and these are counted in all documents.
     """
-    reported = texts.mapInArrow(_report, "shingle bigint, n bigint, docs bigint").groupBy("shingle").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    reported = texts.mapInArrow(lean(_report), "shingle bigint, n bigint, docs bigint").groupBy("shingle").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     reported = stage_table(reported, "near-reported")
     total = reported.agg(F.sum("docs")).first()[0] or 0
     found = reported.where((F.col("n") > 0) & (F.col("n") >= (1 - REPORT) * COMMON * total)).select("shingle").collect()
     candidates = np.sort(np.array([x[0] for x in found], np.int64).view(np.uint64))
     if not len(candidates):
         return candidates, np.zeros(0)
-    rows = texts.mapInArrow(_counts_of(candidates), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > COMMON * total).collect()
+    rows = texts.mapInArrow(lean(_counts_of(candidates)), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > COMMON * total).collect()
     keys = np.array([x["shingle"] for x in rows], np.int64).view(np.uint64)
     idf = np.array([max(FLOOR, math.log(total / x["n"]) / math.log(1 / COMMON)) for x in rows])
     order = np.argsort(keys)
@@ -139,8 +138,10 @@ def weights_of(keys: np.ndarray, counts: np.ndarray, common: np.ndarray, idf: np
     return weights
 
 
-@functools.cache
-def _randomness() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+Tables = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _randomness() -> Tables:
     """r, ln c and beta of the sampling for each table row and sample, and ln a for weight 1."""
     random = np.random.default_rng(SEED)
     shape = (TABLE, BANDS * ROWS)
@@ -150,9 +151,9 @@ def _randomness() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return r, c, beta, c - r * (1 - beta)
 
 
-def samples(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
+def samples(keys: np.ndarray, weights: np.ndarray, tables: Tables) -> np.ndarray:
     """For each of the samples a number that two weighted sets share with the probability of their weighted Jaccard similarity."""
-    r, c, beta, ln_a_of_one = _randomness()
+    r, c, beta, ln_a_of_one = tables
     best, chosen, step = np.full(BANDS * ROWS, np.inf, np.float32), np.zeros(BANDS * ROWS, np.uint64), np.zeros(BANDS * ROWS, np.int64)
     for a in range(0, len(keys), 4096):
         part, logs = keys[a : a + 4096], np.log(weights[a : a + 4096]).astype(np.float32)
@@ -172,9 +173,9 @@ def samples(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return chosen ^ (step.view(np.uint64) * np.uint64(0x94D049BB133111EB))
 
 
-def band_hashes(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
+def band_hashes(keys: np.ndarray, weights: np.ndarray, tables: Tables) -> np.ndarray:
     """A hash for each band, of its number and its samples."""
-    by_band = samples(keys, weights).reshape(BANDS, ROWS)
+    by_band = samples(keys, weights, tables).reshape(BANDS, ROWS)
     out = np.arange(1, BANDS + 1, dtype=np.uint64)
     for i in range(ROWS):
         out = (out ^ by_band[:, i]) * np.uint64(0xBF58476D1CE4E5B9)
@@ -184,13 +185,13 @@ def band_hashes(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 def _sign(common: np.ndarray, idf: np.ndarray):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
+        hashes, tables = _Hashes(), _randomness()
         for batch in batches:
             digests, bands = [], []
             for text in batch.column(1):
                 keys, counts, digest = shingles(text.as_py() or b"", hashes)
                 digests.append(digest if len(keys) else None)
-                bands.append(band_hashes(keys, weights_of(keys, counts, common, idf)) if len(keys) else None)
+                bands.append(band_hashes(keys, weights_of(keys, counts, common, idf), tables) if len(keys) else None)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "digest": pa.array(digests, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64()))})
 
     return sign
@@ -279,12 +280,12 @@ class _Verifier:
         if self.sets is None or not wanted.isEmpty():
             texts = may_hit(self.texts, hit_filter(wanted, FILTER_BITS, "doc_id"), FILTER_BITS, "doc_id")
             texts = texts.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
-            new = texts.mapInArrow(_sets(self.common, self.idf), "digest binary, keys binary, weights binary")
+            new = texts.mapInArrow(lean(_sets(self.common, self.idf)), "digest binary, keys binary, weights binary")
             new = stage_table(new.join(wanted.select("digest"), "digest", "left_semi").dropDuplicates(["digest"]), "near-sets")
             self.sets = new if self.sets is None else self.sets.union(new)
         first, second = self.sets.toDF("a", "a_keys", "a_weights"), self.sets.toDF("b", "b_keys", "b_weights")
         both = pairs.join(first, "a").join(second, "b").select("a", "b", "a_keys", "a_weights", "b_keys", "b_weights")
-        return stage_table(both.mapInArrow(_verify(self.least), "a binary, b binary, similarity double"), "near-links")
+        return stage_table(both.mapInArrow(lean(_verify(self.least)), "a binary, b binary, similarity double"), "near-links")
 
 
     def links_across(self, members: DataFrame) -> DataFrame:
@@ -317,7 +318,7 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     small_batches(docs.sparkSession)
     texts = rows_of(docs, doc_id=F.col("doc_id").cast("long"), text=F.col("text").cast("binary"))
     common, idf = common_shingles(texts.select("text"))
-    signed = stage_table(texts.mapInArrow(_sign(common, idf), "doc_id bigint, digest binary, bands array<bigint>"), "near-signed")
+    signed = stage_table(texts.mapInArrow(lean(_sign(common, idf)), "doc_id bigint, digest binary, bands array<bigint>"), "near-signed")
     usable = signed.where("doc_id is not null and digest is not null")
     index = stage_table(usable.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n")), "near-nodes")
     # equal texts have equal bands, so any row of a node will do; the one of its smallest id is joined by that id
