@@ -96,6 +96,13 @@ def flatten_html(markup: Column) -> Column:
     return F.trim(F.regexp_replace(out, " {2,}", " "))
 
 
+def blank_comments(markup: Column) -> Column:
+    """Comments become the line breaks inside them, so every later line keeps its number."""
+    comment = r"(?s)<!--.*?-->"
+    breaks = F.transform(F.regexp_extract_all(markup, F.lit(comment), F.lit(0)), lambda c: F.regexp_replace(c, r"[^\n]+", ""))
+    return F.array_join(F.zip_with(F.split(markup, comment), breaks, lambda piece, b: F.concat(piece, F.coalesce(b, F.lit("")))), "")
+
+
 def token_estimate(text: Column) -> Column:
     """Four thirds of the number of words, 1 at least."""
     n = F.when(F.trim(text) == "", 0).otherwise(F.size(F.split(F.trim(text), r"\s+")))

@@ -17,6 +17,35 @@ def lines(docs: DataFrame) -> DataFrame:
     return split.select("doc_id", F.posexplode(F.arrays_zip("all", starts.alias("starts"))).alias("i", "z")).select("doc_id", (F.col("i") + 1).alias("line_no"), F.col("z.starts").alias("start_offset"), F.col("z.all").alias("line"))
 
 
+def html_lines(pages: DataFrame) -> DataFrame:
+    """(doc_id, line_no, start_offset, line) of pages (doc_id, markup): each line flattened by itself, blank ones gone,
+    line_no as in the markup, offsets in the text that remains."""
+    clean = T.blank_comments(F.regexp_replace(F.coalesce("markup", F.lit("")), "\r\n?", "\n"))
+    flat = F.transform(F.split(clean, "\n"), lambda x, i: F.struct((i + 1).alias("no"), T.flatten_html(x).alias("line")))
+    kept = pages.select("doc_id", F.filter(flat, lambda x: x["line"] != "").alias("all"))
+    starts = F.expr("aggregate(all, named_struct('at', 0L, 'starts', cast(array() as array<bigint>)), (s, x) -> named_struct('at', s.at + length(x.line) + 1, 'starts', array_append(s.starts, s.at))).starts")
+    return kept.select("doc_id", F.explode(F.arrays_zip("all", starts.alias("starts"))).alias("z")).select("doc_id", F.col("z.all.no").alias("line_no"), F.col("z.starts").alias("start_offset"), F.col("z.all.line").alias("line"))
+
+
+def locate(snippet: Column, text: Column) -> Column:
+    """(start, end) of the snippet in the text, counted in characters from 0, end excluded; null if it is not there.
+
+    First as it stands, then with any white space between its words: the match is found in the original text, so no
+    map from a collapsed one is needed. Empty snippets are nowhere.
+    """
+    words = F.split(F.trim(F.regexp_replace(snippet, r"\s+", " ")), " ")
+    pattern = F.concat(F.lit(r"\Q"), F.array_join(F.transform(words, lambda w: F.replace(w, F.lit(r"\E"), F.lit(r"\E\\E\Q"))), r"\E\s+\Q"), F.lit(r"\E"))
+    exact = F.position(snippet, text)
+    found = F.when(exact > 0, snippet).otherwise(F.regexp_substr(text, pattern))
+    start = F.when(exact > 0, exact).otherwise(F.regexp_instr(text, pattern))
+    return F.when((F.trim(F.regexp_replace(snippet, r"\s+", " ")) != "") & (start > 0), F.struct((start - 1).alias("start"), (start - 1 + F.length(found)).alias("end")))
+
+
+def line_of(offset: Column, text: Column) -> Column:
+    """The line, from 1, that a character offset from 0 lies in."""
+    return F.size(F.split(F.substring(text, F.lit(1), offset), "\n"))
+
+
 def chunks(docs: DataFrame, tokens: int = CHUNK_TOKENS) -> DataFrame:
     """(doc_id, chunk_no, start_line, end_line, text): a heading opens a chunk, and so does the line after one that fills it."""
     heads = F.transform("all", lambda x: F.struct(x.alias("line"), T.is_heading(x).alias("head"), T.token_estimate(x).alias("n")))

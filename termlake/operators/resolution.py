@@ -54,15 +54,40 @@ def margin_verdict(ranked: DataFrame, clear: float = CLEAR, margin: float = MARG
     return top.select("vec_id", F.when(sure, F.col("label").cast("string")).otherwise("abstain").alias("verdict"))
 
 
-def greedy_sweep(questions: DataFrame, index: DataFrame, most: int = 4) -> DataFrame:
-    """(id, terms): at each word from the left the longest phrase that is a label, whose words are consumed."""
+def sweep_runs(questions: DataFrame, index: DataFrame, most: int = 4) -> DataFrame:
+    """(id, text, runs) for each question: at each word from the left the longest phrase that is a label, whose words
+    are consumed. A run is (start, size, label_key), start counted from 1."""
     phrases = questions.select("id", F.explode(T.ngrams(T.question_words(F.col("text")), most)).alias("g")).select("id", "g.start", "g.size", "g.phrase")
     hits = phrases.withColumn("label_key", T.normalise(F.col("phrase"))).join(index.select("label_key"), "label_key", "left_semi")
     longest = hits.groupBy("id", "start").agg(F.max(F.struct("size", "label_key")).alias("best"))
     runs = longest.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "best.size", "best.label_key"))).alias("runs"))
-    kept = F.expr("""aggregate(runs, named_struct('until', 1, 'terms', cast(array() as array<string>)), (s, r) -> if(r.start >= s.until,
-        named_struct('until', r.start + r.size, 'terms', array_append(s.terms, r.label_key)), s)).terms""")
-    return questions.select("id").join(runs.select("id", kept.alias("terms")), "id", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
+    none = "cast(array() as array<struct<start: int, size: int, label_key: string>>)"
+    kept = F.expr(f"""aggregate(runs, named_struct('until', 1, 'kept', {none}), (s, r) -> if(r.start >= s.until,
+        named_struct('until', r.start + r.size, 'kept', array_append(s.kept, named_struct('start', r.start, 'size', r.size, 'label_key', r.label_key))), s)).kept""")
+    return questions.select("id", "text").join(runs.select("id", kept.alias("runs")), "id", "left").withColumn("runs", F.coalesce("runs", F.expr(none)))
+
+
+def greedy_sweep(questions: DataFrame, index: DataFrame, most: int = 4) -> DataFrame:
+    """(id, terms): the labels of sweep_runs()."""
+    return sweep_runs(questions, index, most).select("id", F.col("runs.label_key").alias("terms"))
+
+
+def residual_sweep(swept: DataFrame, most: int = 4, lookups: int = 12) -> DataFrame:
+    """(id, misses) of swept (id, text, runs): phrases of unconsumed words that are worth reporting, longest first.
+
+    A phrase has no function word at its edges; `lookups` of them are looked at for each question, and one that is
+    worth reporting consumes its words.
+    """
+    tokens = T.question_words(F.col("text"))
+    edge = lambda word: T.normalise(word).isin(T.FUNCTION_WORDS)
+    spans = F.transform(T.ngrams(tokens, most), lambda g: F.struct((-g["size"]).alias("rank"), g["start"].alias("start"), g["size"].alias("size"), g["phrase"].alias("phrase")))
+    shaped = F.filter(spans, lambda g: (T.normalise(g["phrase"]) != "") & ~edge(F.split(g["phrase"], " ")[0]) & ~edge(F.element_at(F.split(g["phrase"], " "), -1)))
+    judged = F.transform(F.array_sort(shaped), lambda g: F.struct(g["start"].alias("start"), g["size"].alias("size"), g["phrase"].alias("phrase"), T.worth_reporting(g["phrase"]).alias("worth")))
+    used = F.flatten(F.transform("runs", lambda r: F.sequence(r["start"], r["start"] + r["size"] - 1)))
+    fold = F.expr(f"""aggregate(spans, named_struct('used', used, 'seen', 0, 'found', cast(array() as array<string>)), (s, c) ->
+        if(s.seen >= {lookups} or arrays_overlap(s.used, sequence(c.start, c.start + c.size - 1)), s,
+           named_struct('used', if(c.worth, concat(s.used, sequence(c.start, c.start + c.size - 1)), s.used), 'seen', s.seen + 1, 'found', if(c.worth, array_append(s.found, c.phrase), s.found)))).found""")
+    return swept.select("id", judged.alias("spans"), used.alias("used")).select("id", fold.alias("misses"))
 
 
 def correction_map(pairs: DataFrame) -> DataFrame:
