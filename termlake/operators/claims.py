@@ -68,3 +68,32 @@ def evidence(misses: DataFrame, most: int = EVIDENCE) -> DataFrame:
 def resurfaced(total: Column, baseline: Column, factor: int = RESURFACE) -> Column:
     """A dismissed gap comes back when it has been met `factor` times as often as when it was dismissed."""
     return (baseline > 0) & (total >= baseline * factor)
+
+
+def held_surfaces(claims: DataFrame) -> DataFrame:
+    """The distinct merge keys (gap_key) that claims (gap_key, status) are held under."""
+    return claims.where("status = 'held'").select("gap_key").distinct()
+
+
+def reresolve_backlog(claims: DataFrame, index: DataFrame) -> DataFrame:
+    """claims (gap_key, concept_id, status, ...) where held ones whose merge key is a label of exactly one concept become active.
+
+    `promoted` says which did, so the documents to index again are those of promoted claims. Active claims stay as they are.
+    """
+    single = index.where(F.size("concepts") == 1).select(F.col("label_key").alias("gap_key"), F.col("concepts")[0].alias("to"))
+    promoted = (F.col("status") == "held") & F.col("to").isNotNull()
+    found = claims.join(single, "gap_key", "left").withColumn("promoted", F.coalesce(promoted, F.lit(False)))
+    return found.withColumn("concept_id", F.when(F.col("promoted"), F.col("to")).otherwise(F.col("concept_id"))).withColumn("status", F.when(F.col("promoted"), "active").otherwise(F.col("status"))).drop("to")
+
+
+def gap_status(changes: DataFrame, order: list[str]) -> DataFrame:
+    """(gap_key, status) of appended changes (gap_key, status, ...): the last by `order` holds; writers only append."""
+    return changes.groupBy("gap_key").agg(F.max_by("status", F.struct(*order)).alias("status"))
+
+
+def upsert(stored: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """stored with the rows of new in place of those with equal keys; of new rows with equal keys the last by `order`. Null keys equal each other."""
+    last = new.groupBy(*keys).agg(F.max_by(F.struct(*(c for c in new.columns if c not in keys)), F.struct(*order)).alias("row")).select(*keys, "row.*")
+    marks = last.select(*(F.col(k).alias(f"new_{k}") for k in keys))
+    same = [F.col(k).eqNullSafe(F.col(f"new_{k}")) for k in keys]
+    return stored.join(marks, same, "left_anti").unionByName(last)
