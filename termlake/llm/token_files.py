@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from termlake.llm.common import rows_of, scratch_path, ship, stage_table
+from termlake.llm.common import lean, rows_of, scratch_path, ship, stage_table
 
 ship(__name__)
 
@@ -128,8 +128,8 @@ class WordEncoder:
     For tokenizers that lower-case, drop white space, split into runs of letters, digits and other characters, and end
     words with a suffix: there a text's ids are those of its words, and A-Z may be lowered first. Lower-case letter
     words go to the model together, joined by spaces and cut after each end of a word; ASCII marks that follow a word
-    are encoded apart. All other words go through the library one by one, and so do whole texts if the tokenizer
-    is of another kind.
+    are encoded apart. All other words go through the library one by one, and so do whole texts that hold a special token in
+    any case, and all texts if the tokenizer is of another kind.
     """
 
     def __init__(self, tokenizer_json: str, width: int) -> None:
@@ -143,6 +143,8 @@ class WordEncoder:
         self.known: dict[bytes, bytes] = {}
         self.tails: dict[str, bytes] = {"": b""}
         self.by_word = self._by_word(told := json.loads(tokenizer_json))
+        self.added = [token["content"].encode().lower() for token in told.get("added_tokens", [])]
+        self.marks = {token[:1] for token in self.added}
         if self.by_word:
             ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
             for token, i in self.tokenizer.get_vocab().items():
@@ -155,7 +157,8 @@ class WordEncoder:
         steps = [x.get("type") for x in (told.get("normalizer") or {}).get("normalizers", [])]
         splits = (told.get("pre_tokenizer") or {}).get("pretokenizers", [])
         pattern = splits[0].get("pattern", {}).get("Regex", "") if splits else ""
-        return bool(told["model"].get("end_of_word_suffix")) and steps == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in splits] == ["Split", "ByteLevel"] and pattern.endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        normalised = any(token["normalized"] for token in told.get("added_tokens", []))
+        return not normalised and bool(told["model"].get("end_of_word_suffix")) and steps == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in splits] == ["Split", "ByteLevel"] and pattern.endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
     def _learn(self, words: list[bytes]) -> None:
         letters = [word for word in words if word.isalpha()]  # ASCII ones
@@ -202,14 +205,18 @@ class WordEncoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_word:
             return self._library([x.decode("utf-8", "surrogatepass") for x in texts])
-        # nothing is lowered that could become a special token
-        split = [x.split() if b"<|" in x else x.lower().split() for x in texts]
-        distinct = set().union(*split)
+        split: list[list[bytes] | None] = []
+        for x in texts:
+            lowered = x.lower()
+            # special tokens are looked for before anything is lowered, and lowering could make one
+            split.append(None if any(mark in lowered for mark in self.marks) and any(token in lowered for token in self.added) else lowered.split())
+        distinct = set().union(*filter(None, split))
         if len(self.known) + len(distinct) > CACHE:  # the words met first are the frequent ones
             self.known = dict(islice(self.known.items(), CACHE // 2))
         if unknown := distinct.difference(self.known):
             self._learn(list(unknown))
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        whole = iter(self._library([x.decode("utf-8", "surrogatepass") for x, words in zip(texts, split, strict=True) if words is None]))
+        return [next(whole) if words is None else b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
 def _encoder(tokenizer_json: str, width: int) -> WordEncoder:
@@ -273,7 +280,7 @@ def write_tokens(docs: DataFrame, tokenizer_json: str, end_id: int, path: str |
         if names:
             yield flush()
 
-    manifest = stage_table(ordered.mapInArrow(write, "task int, seq int, path string, n_docs bigint, n_ids bigint"), "token-manifest")
+    manifest = stage_table(ordered.mapInArrow(lean(write), "task int, seq int, path string, n_docs bigint, n_ids bigint"), "token-manifest")
     before = Window.orderBy("task", "seq").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("first", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 

@@ -73,6 +73,15 @@ def test_token_files(docs, none):
     assert token_files.read_tokens(token_files.write_tokens(none, vocabulary, 1)).count() == 0
 
 
+@pytest.mark.parametrize("text", ["x <| y USA Hello, Sam", "a <|endoftext|> B Hello!", "a<|startoftext|>B", "f <|ENDOFTEXT|> USA Émile", "<|USER|> Hello <|end", "USA"])
+def test_token_ids_with_special_tokens(text):
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        vocabulary = f.read()
+    ids = token_files.WordEncoder(vocabulary, 2).encode(["Hello, USA".encode(), text.encode(), b""])
+    library = Tokenizer.from_str(vocabulary)
+    assert [np.frombuffer(x, "<u2").tolist() for x in ids] == [library.encode(x, add_special_tokens=False).ids for x in ("Hello, USA", text, "")]
+
+
 @pytest.mark.parametrize("values", [[1], [0, 0, 0], [3, 3, 90, 1000, 1000, 70_000], list(range(0, 9000, 7))])
 def test_elias_fano(values):
     coded = token_files.EliasFano.load(token_files.EliasFano.of(np.array(values)).dump())
