@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import html.entities
 import unicodedata
 
 from pyspark.sql import Column
@@ -86,13 +87,37 @@ def worth_reporting(phrase: Column) -> Column:
     return (F.size(left) > 0) & F.exists(left, lambda w: ~F.lower(w).isin(GENERIC_NOUNS + FUNCTION_WORDS))
 
 
+@functools.cache
+def _entities() -> tuple[str, str]:
+    """A pattern of entities, the longest first, and what names and irregular numbers stand for, as str_to_map reads it."""
+    names = html.entities.html5 | {"nbsp;": " "}
+    numbers = {f"#{n}": "" for n in html._invalid_codepoints} | {f"#{n}": c for n, c in html._invalid_charrefs.items()}
+    pattern = "&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|" + "|".join(sorted(names, key=len, reverse=True)) + ")"
+    return pattern, "\x1e".join(f"{key}\x1f{c}" for key, c in (names | numbers).items())
+
+
+def unescape(text: Column) -> Column:
+    """Named and numeric entities decoded as html.unescape does, but `&nbsp;` as a space."""
+    pattern, known = _entities()
+    known = F.str_to_map(F.lit(known), F.lit("\x1e"), F.lit("\x1f"))
+
+    def character(entity: Column) -> Column:
+        digits = F.regexp_extract(entity, "^&#[xX]?0*([0-9a-fA-F]+)", 1).substr(1, 8)  # eight are too large already
+        n = F.when(entity.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).cast("bigint")
+        point = F.when(n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), 0xFFFD).otherwise(n)
+        regular = F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(F.hex(point), 8, "0"))), "UTF-32")
+        return F.coalesce(F.try_element_at(known, F.substring(entity, 2, 40)), F.try_element_at(known, F.concat(F.lit("#"), n.cast("string"))), regular)
+
+    decoded = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), character)
+    return F.array_join(F.zip_with(F.split(text, pattern), decoded, lambda piece, c: F.concat(piece, F.coalesce(c, F.lit("")))), "")
+
+
 def flatten_html(markup: Column) -> Column:
     """Text of markup: comments go, block tags are spaces, other tags nothing, entities decode, runs of spaces are one."""
     out = F.regexp_replace(markup, r"(?s)<!--.*?-->", "")
     out = F.regexp_replace(out, rf"(?i)</?\s*({'|'.join(BLOCK_TAGS)})(?![a-zA-Z0-9])[^>]*>", " ")
     out = F.regexp_replace(out, r"<[^>]+>", "")
-    for name, character in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(name), F.lit(character))
+    out = F.when(F.contains(out, F.lit("&")), unescape(out)).otherwise(out)
     return F.trim(F.regexp_replace(out, " {2,}", " "))
 
 

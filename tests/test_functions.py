@@ -1,5 +1,7 @@
 """Table-driven cases of the text and quantity functions."""
 
+import html.entities
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,3 +49,11 @@ def test_content_phrase(spark, raw, want):
 
 def test_html(spark):
     assert value(spark, T.flatten_html(F.col("x")), x="<!-- a\nb --><tr><td>1</td><td>2 <b>x</b>y &amp; z</td></tr>") == "1 2 xy & z"
+
+
+def test_entities(spark):
+    texts = ["caf&eacute;&rsquo;s &mdash; &hellip;", "&#233;&#x27;&#X1F600;&#x1f600 &#39;", "&copyright; &notit; &notin; &amp;lt; & &; &x; &#; &amp", "&#0;&#x80;&#129;&#xD800;&#x110000;&#99999999999999999999;&#1;&#xfeff;&#xfdd0;&#000065;x", "&NotEqualTilde;&ngE;&AMP&lt&gt;&quot;&middot;", "none", ""]
+    every = "".join(f"[&{name}]" for name in html.entities.html5 if name != "nbsp;") + "".join(f"[&#{n};]" for n in (*range(1, 300), 0xFFFE, 0x10FFFF))
+    for text in [*texts, every]:
+        assert value(spark, T.unescape(F.col("x")), x=text) == html.unescape(text)
+    assert value(spark, T.flatten_html(F.col("x")), x="<p>a&nbsp;&nbsp;b&ndash;&#163;7</p>") == "a b–£7"
