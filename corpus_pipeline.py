@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termlake.llm import bpe_codec, exact_dedup, language_id, mixing, near_dedup
-from termlake.llm.common import release, scratch_path
+from termlake.llm.common import release, scratch_path, stage_table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,21 +24,31 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal normalised text the one with the smallest doc_id stays, one row of it."""
     release(spark)
-    gone = exact_dedup.exact_duplicates(docs).where(~F.col("kept")).select("doc_id", F.col("text_sha256").alias("gone"))
-    kept = docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti")
+    gone = exact_dedup.exact_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone"))
+    kept = docs.join(gone.select("gone_id").distinct(), F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
     repeated = docs.groupBy("doc_id").count().where("count > 1")
     if repeated.isEmpty():
         return kept.select(*docs.columns)
     sha = F.sha2(exact_dedup.normalised(F.col("text")), 256)
-    pairs = gone.distinct().select(F.col("doc_id").alias("gone_id"), "gone")
-    return docs.withColumn("sha", sha).join(pairs, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("sha") == F.col("gone")), "left_anti").dropDuplicates(["doc_id", "sha"]).select(*docs.columns)
+    return docs.withColumn("sha", sha).join(gone.distinct(), F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("sha") == F.col("gone")), "left_anti").dropDuplicates(["doc_id", "sha"]).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays."""
+    """One document of each class of near duplicates stays, that of the smallest doc_id; rows without doc_id stay.
+
+    If ids repeat, rows are told apart by their places in order of doc_id and text.
+    """
     release(spark)
-    gone = near_dedup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if repeated.isEmpty():
+        gone = near_dedup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    tie = F.sha2(F.coalesce("text", F.lit("")), 256)
+    ordered = docs.withColumn("near_tie", tie).repartitionByRange("doc_id", "near_tie").sortWithinPartitions("doc_id", "near_tie")
+    placed = stage_table(ordered.withColumn("near_place", F.monotonically_increasing_id()).drop("near_tie"), "near-places")
+    rows = placed.select(F.when(F.col("doc_id").isNotNull(), F.col("near_place")).alias("doc_id"), "text")
+    gone = near_dedup.near_duplicates(rows).where(~F.col("kept")).select(F.col("doc_id").alias("near_place"))
+    return placed.join(gone, "near_place", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
