@@ -7,6 +7,7 @@ tables of the stages before it.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +16,11 @@ from termlake.llm.common import release, scratch_path, stage_table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Profiles come from all documents with a lang; documents in which no language can be told (`und`) go."""
+    """Profiles come from all documents with a lang; documents without a letter go, and no others."""
     release(spark)
-    found = language_id.identify(docs, language_id.learn_profiles(docs))
+    # a prefix keeps a lang that is called `und` apart from UNKNOWN; without any lang, an empty profile is met by all texts with letters
+    profiles = {f"={lang}": vector for lang, vector in language_id.learn_profiles(docs).items()} or {"=": np.zeros(language_id.DIM)}
+    found = language_id.identify(docs, profiles)
     return found.where(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
 
 

@@ -26,7 +26,7 @@ A, B, C, D, E, F, G = map(prose, range(7))
 UNIQUE = [(1, A), (2, f"  {A}".strip().replace(" ", "  ")), (3, B), (4, f"{B} end"), (5, C), (6, D), (7, "123 ?"), (8, None), (9, ""), (10, f"{D} end"), (11, E)]
 REPEATED = [*UNIQUE, (5, f"{B} more"), (12, F), (12, f"{F} end"), (12, A), (None, A), (None, G), (None, G)]
 ONE_NULL = [*UNIQUE, (None, A)]
-CASES = {"unique": (UNIQUE, "en"), "repeated": (REPEATED, "en"), "one null": (ONE_NULL, "en"), "empty": ([], "en")}
+CASES = {"unique": (UNIQUE, "en"), "repeated": (REPEATED, "en"), "one null": (ONE_NULL, "en"), "no lang": (UNIQUE, None), "und": (UNIQUE, "und"), "empty": ([], "en")}
 
 
 def squeezed(text):
