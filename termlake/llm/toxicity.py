@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termlake.llm.common import rows_of, ship
+from termlake.llm.common import rows_of, ship, stage_table
 
 ship(__name__)
 
@@ -143,13 +143,27 @@ def train(labelled: list[tuple[str, int]], gamma: float = GAMMA, decay: float =
 
 
 def sample(docs: DataFrame, labels: DataFrame, learn_from: Column, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> list[tuple[str, int]]:
-    """Up to `rows` labelled texts, up to `size` bytes of them, in order of a hash of doc_id. Of several labels of an id the largest counts."""
+    """Up to `rows` labelled texts, up to `size` bytes of them, in order of a hash of doc_id; texts that do not fit what is
+    left are passed over. Of several labels of an id the largest counts. Texts of equal id and length go together."""
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(learn_from)
     known = rows_of(docs, doc_id=F.col("doc_id"), bytes=F.coalesce(F.octet_length("text"), F.lit(0))).join(marked, "doc_id")
-    first = known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", "bytes").limit(rows).collect()
-    taken = np.cumsum([x["bytes"] for x in first]) <= size if first else []
-    ids = docs.sparkSession.createDataFrame([(x["doc_id"], x["toxic"]) for x, t in zip(first, taken, strict=True) if t], "doc_id bigint, toxic int").dropDuplicates(["doc_id"])
-    found = rows_of(docs, doc_id=F.col("doc_id"), text=F.coalesce("text", F.lit(""))).join(F.broadcast(ids), "doc_id").orderBy("doc_id", "text").collect()
+    known = stage_table(known.groupBy("doc_id", "toxic", "bytes").agg(F.count("*").alias("n")).withColumn("hash", F.md5(F.col("doc_id").cast("string"))), "toxic-known")
+    place = F.struct("hash", F.col("doc_id").cast("long").alias("doc_id"), F.col("bytes").cast("long").alias("bytes"))
+    taken: list[tuple[int, int, int]] = []
+    after = F.lit(True)
+    while rows > 0:
+        some = known.where(after & (F.col("n") <= rows) & (F.col("n") * F.col("bytes") <= size)).orderBy("hash", "doc_id", "bytes").limit(asked := rows).collect()
+        for x in some:
+            if x["n"] <= rows and x["n"] * x["bytes"] <= size:
+                taken.append((x["doc_id"], x["toxic"], x["bytes"]))
+                rows, size = rows - x["n"], size - x["n"] * x["bytes"]
+        if len(some) < asked:
+            break
+        last = some[-1]
+        after = place > F.struct(F.lit(last["hash"]).alias("hash"), F.lit(last["doc_id"]).cast("long").alias("doc_id"), F.lit(last["bytes"]).cast("long").alias("bytes"))
+    ids = docs.sparkSession.createDataFrame(taken, "doc_id bigint, toxic int, bytes int")
+    texts = rows_of(docs, doc_id=F.col("doc_id"), text=F.coalesce("text", F.lit(""))).withColumn("bytes", F.octet_length("text"))
+    found = texts.join(F.broadcast(ids), ["doc_id", "bytes"]).orderBy("doc_id", "text").collect()
     return [(x["text"], x["toxic"]) for x in found]
 
 

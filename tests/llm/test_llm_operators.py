@@ -149,6 +149,20 @@ def test_toxicity(spark, docs, none):
     assert toxicity.score_documents(none, labels, F.lit(True)).count() == 0
 
 
+def test_toxicity_sample_passes_over_giants(spark):
+    order = sorted(range(20), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    texts = {i: "x" * (500 if at in (0, 7) else 60 if at == 4 else 10) for at, i in enumerate(order)}
+    rows = [*texts.items(), (order[1], "y" * 700)]
+    docs, labels = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([(i, i % 2) for i in texts], "doc_id bigint, toxic int")
+    for most, size in ((20, 100), (5, 100), (20, 115), (20, 5), (20, 10_000)):
+        want, left, n = [], size, most
+        for i, text in sorted(rows, key=lambda r: (order.index(r[0]), len(r[1]))):
+            if n and len(text) <= left:
+                want.append((text, i % 2))
+                left, n = left - len(text), n - 1
+        assert Counter(toxicity.sample(docs, labels, F.lit(True), most, size)) == Counter(want)
+
+
 def test_nearest(spark):
     random = np.random.default_rng(3)
     vectors = random.normal(size=(600, 16))
