@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import gc
 import shutil
@@ -20,8 +21,11 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_written: list[tuple[SparkSession, str]] = []
-_kept: list[tuple[SparkSession, str]] = []
+#: Keys that more than one row in so many has are hot: there are so many at most, so they may be broadcast.
+HOT = 1000
+
+_owner = ""
+_written: dict[str, list[str]] = {}
 _own_dirs: dict[str, str] = {}
 
 
@@ -34,25 +38,43 @@ ship(__name__)
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the session. Only a local master may do without one and gets a temporary folder."""
-    if root := spark.conf.get("spark.checkpoint.dir", None):
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    """A folder of this application in the shared folder of the session, deleted when the application ends. Only a local
+    master may do without a shared folder and gets a temporary one."""
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="termlake-")
-        atexit.register(shutil.rmtree, _own_dirs[app], ignore_errors=True)
-    return "file://" + _own_dirs[app]
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            root = "file://" + (own := tempfile.mkdtemp(prefix="termlake-"))
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+        _own_dirs[app] = f"{root.rstrip('/')}/termlake/{app}"
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dirs[app])
+        store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        store.mkdirs(place)
+        store.deleteOnExit(place)
+    return _own_dirs[app]
 
 
 def scratch_path(spark: SparkSession, name: str, keep: bool = False) -> str:
-    """A new path below the shared folder, removed by release(), unless it is kept, or at the end of the process."""
-    path = f"{scratch_root(spark)}/termlake/{name}-{uuid.uuid4().hex}"
-    (_kept if keep else _written).append((spark, path))
+    """A new path in the application's folder. It is removed with that folder, and before that by release(), unless it is kept."""
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if not keep:
+        _written.setdefault(_owner, []).append(path)
     return path
 
 
+@contextlib.contextmanager
+def owned(owner: str) -> Iterator[None]:
+    """Scratch tables that are made inside belong to `owner`."""
+    global _owner
+    before, _owner = _owner, owner
+    try:
+        yield
+    finally:
+        _owner = before
+
+
 def stage_table(df: DataFrame, name: str, partition_by: list[str] | None = None, **options: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: the lineage ends there, and lost executors lose nothing."""
     path = scratch_path(df.sparkSession, name)
@@ -69,7 +91,7 @@ def bucketed_table(df: DataFrame, name: str, key: str) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.options(path=path, compression="zstd").bucketBy(n, key).saveAsTable(table)
     read = spark.table(table)
-    read.schema  # resolved now; the name may go
+    spark.sql(f"DROP TABLE {table}")  # the name only: the files are outside the warehouse, and `read` is resolved
     return read
 
 
@@ -95,19 +117,21 @@ def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -
     return run
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the scratch tables so far; for callers that have stored every result that reads them."""
+def release(spark: SparkSession, owner: str = "") -> None:
+    """Delete the scratch tables of `owner` so far; for owners that have stored every result that reads them."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        place = jvm.org.apache.hadoop.fs.Path(_written.pop()[1])
+    for path in _written.pop(owner, []):
+        place = jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(conf).delete(place, True)
 
 
-@atexit.register
-def _at_exit() -> None:
-    for path in {path for _, path in _written + _kept}:
-        if path.startswith(("file:", "/")):
-            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+def join_counted(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows joined with the stored table (key, n, ...), one row a key, n being the rows of that key. Hot keys, HOT at most,
+    are broadcast, so no task gets all rows of one; the others are shuffled."""
+    total = table.agg(F.sum("n").alias("total"))
+    hot = table.crossJoin(F.broadcast(total)).where(F.col("n") * HOT > F.col("total")).drop("total")
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table, key)
+    return cold.unionByName(rows.join(F.broadcast(hot), key))
 
 
 def fold(doc_id: Column, parts: int) -> Column:
@@ -118,3 +142,13 @@ def fold(doc_id: Column, parts: int) -> Column:
 def rows_of(df: DataFrame, **columns: Column) -> DataFrame:
     """Just these columns: whatever else df has, clashing names included, stays behind."""
     return df.select(*(column.alias(name) for name, column in columns.items()))
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as make it differ from all taken ones."""
+    known, out = {x.lower() for x in taken}, []
+    for name in names:
+        while name in known:
+            name += "_"
+        out.append(name)
+    return out

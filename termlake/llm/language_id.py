@@ -124,14 +124,15 @@ def _predict(profiles: dict[str, np.ndarray], dim: int, at: int, names: list[str
     return predict
 
 
-def identify(rows: DataFrame, profiles: dict[str, np.ndarray], text: str = "text", dim: int = DIM) -> DataFrame:
-    """rows with lang_pred and score, the cosine (negative ones as 0).
+def identify(rows: DataFrame, profiles: dict[str, np.ndarray], text: str = "text", dim: int = DIM, added: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """rows with lang_pred and score, the cosine (negative ones as 0); `added` gives these columns other names.
 
     `und` and 0 where the text is null or has no letter, or no language was learned. Ties go to the first language in order.
+    Texts of any length are bundled whole, a part of their triples at a time. Repeated rows and repeated ids are rows of their own.
     """
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-    schema = StructType([*rows.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*rows.schema.fields, StructField(added[0], StringType()), StructField(added[1], DoubleType())])
     return rows.mapInArrow(lean(_predict(profiles, dim, rows.columns.index(text), schema.names)), schema)
 
 

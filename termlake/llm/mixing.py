@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from termlake.llm.common import rows_of, stage_table
+from termlake.llm.common import fresh, rows_of, stage_table
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -59,7 +59,7 @@ def prefix_sums(rows: DataFrame) -> DataFrame:
     of the tasks before make the whole. The dealt rows are stored first, since the ranges come from a sample.
     """
     dealt = stage_table(rows.repartitionByRange("source", "key", "doc_id").withColumn("task", F.spark_partition_id()), "mix-dealt")
-    inside = Window.partitionBy("source", "task").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "task").orderBy("key", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy("source").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     tasks = dealt.groupBy("source", "task").agg(F.sum("size").alias("sum")).withColumn("offset", F.coalesce(F.sum("sum").over(earlier), F.lit(0)))
     tasks = tasks.select(F.col("source").alias("s"), F.col("task").alias("t"), "offset")
@@ -69,11 +69,11 @@ def prefix_sums(rows: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, **rule: object) -> DataFrame:
     """The rows of docs as often as the mix takes them. Rows equal in doc_id and text are taken alike."""
-    text = F.xxhash64(F.coalesce("text", F.lit("")))
-    taken = mix(docs, **rule).select(F.col("doc_id").alias("mix_id"), F.col("text_hash").alias("mix_text"), F.col("source").alias("mix_source"), "copies")
-    taken = taken.groupBy("mix_id", "mix_text", "mix_source").agg(F.max("copies").alias("copies")).where("copies > 0")
-    same = F.col("doc_id").eqNullSafe(F.col("mix_id")) & F.col("source").eqNullSafe(F.col("mix_source")) & (text == F.col("mix_text"))
-    return docs.join(taken, same).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*(docs[name] for name in docs.columns))
+    own_id, own_text, own_source, copies, copy = fresh(docs.columns, "mix_id", "mix_text", "mix_source", "mix_copies", "mix_copy")
+    taken = mix(docs, **rule).select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_text), F.col("source").alias(own_source), F.col("copies").alias(copies))
+    taken = taken.groupBy(own_id, own_text, own_source).agg(F.max(copies).alias(copies)).where(F.col(copies) > 0)
+    same = F.col("doc_id").eqNullSafe(F.col(own_id)) & F.col("source").eqNullSafe(F.col(own_source)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(own_text))
+    return docs.join(taken, same).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED) -> DataFrame:
@@ -82,7 +82,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     Each source gives as many whole epochs as its target has; documents with the smallest keys follow while more than
     half of the document lies below what is left of the target, so a source misses it by half a document at most.
     Null and empty texts have size 0, no words to give, and as many copies as there are whole epochs. Ties of keys
-    go by doc_id; rows equal in both count in any order. Runs agree. An empty table gives an empty result.
+    go by doc_id, size and a hash of the text, so only equal rows count in any order. Texts of any length count whole. Runs agree.
+    Columns but doc_id, source and text stay behind. An empty table gives an empty result.
     """
     text = F.col("text")
     sized = rows_of(docs, doc_id=F.col("doc_id"), source=F.col("source"), text=text, size=words(text))

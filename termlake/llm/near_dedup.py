@@ -1,13 +1,15 @@
 """Near duplicates by improved consistent weighted sampling over TF-IDF shingles, banded, verified.
 
-Texts with equal words are one node. A shingle of five words weighs its count times its IDF. Nodes whose samples
-agree in a band meet in a bucket; pairs from buckets are verified by weighted Jaccard similarity over all their shingles, and
-connected nodes are a class.
+Texts with equal words are one node. A shingle of five words weighs its count times its IDF, which comes from the exact
+number of documents that hold it. Nodes whose samples agree in a band meet in a bucket; pairs from buckets are verified by
+weighted Jaccard similarity over all their shingles, and connected nodes are a class.
+
+Document frequencies go by blocks of documents, as in blocks.py: a block sends its distinct shingles, in order and cut to
+the bits that tell them apart, to the tasks of their hash ranges and gets back the number of documents for each.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,9 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termlake.llm import blocks as B
-from termlake.llm.common import lean, rows_of, ship, small_batches, stage_table
+from termlake.llm.common import bucketed_table, join_counted, lean, rows_of, ship, small_batches, stage_table
 from termlake.llm.components import components
-from termlake.llm.exact_dedup import FILTER_BITS, hit_filter, looked_up, may_hit
+from termlake.llm.exact_dedup import filter_bits, hit_filter, looked_up, may_hit
 
 ship(__name__)
 
@@ -30,19 +32,20 @@ ROWS = 4
 SEED = 1
 #: Randomness of the sampling: a shingle's hash picks one of so many rows.
 TABLE = 1 << 16
-#: IDF is ln(documents / documents with the shingle) / ln(1 / COMMON), 1 at most and FLOOR at least: it sets shingles
-#: apart that are in more than the share COMMON of all documents.
-COMMON = 0.05
+#: IDF runs from 1 for a shingle of one document down to FLOOR for one of all: FLOOR + (1 - FLOOR) * ln(N / df) / ln(N).
+#: Undamped, what a group of thousands of near copies shares would weigh so little beside the words of an edit that
+#: texts with nine tenths of their shingles in common fell below 0.8.
 FLOOR = 0.75
-#: Local counts are reported from this part of the common share on, which bounds the candidates by
-#: (mean shingles of a document) / ((1 - REPORT) * COMMON), whatever the number of documents.
-REPORT = 0.25
+#: Shingles of a block of documents; shingles, about, whose counts one hash range holds.
+TOGETHER = 1_000_000
+PART_SHINGLES = 2_000_000
+#: Bits of a shingle's hash beyond the logarithm of the number of shingles: a chance of 2**-24 that one meets another.
+SPARE_BITS = 24
 #: Buckets of so many nodes give all their pairs; in larger ones all nodes are compared with chosen ones.
 SMALL = 8
 #: Nodes of a block in those comparisons, about.
 BLOCK = 1024
-#: Shingles counted together in a task, words that a worker remembers.
-TOGETHER = 2_000_000
+#: Words that a worker remembers.
 CACHE = 200_000
 
 
@@ -73,69 +76,65 @@ def shingles(text: bytes, hashes: _Hashes) -> tuple[np.ndarray, np.ndarray, byte
     return known, counts, digest
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(shingles, documents with each, documents) of parts of a task."""
-    hashes, held, size = _Hashes(), [], 0
-    for batch in batches:
-        for text in batch.column(0):
-            found = shingles(text.as_py() or b"", hashes)[0]
-            if len(found):
-                held.append(found)
-                size += len(found)
-            if size >= TOGETHER:
-                yield (*np.unique(np.concatenate(held), return_counts=True), len(held))
-                held, size = [], 0
-    if held:
-        yield (*np.unique(np.concatenate(held), return_counts=True), len(held))
-
-
-def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for keys, counts, n in _blocks(batches):
-        often = counts >= max(REPORT * COMMON * n, 1)
-        keys, counts = keys[often].view(np.int64), counts[often]
-        yield pa.RecordBatch.from_pydict({"shingle": np.append(keys, 0), "n": np.append(counts, 0).astype(np.int64), "docs": np.append(np.zeros(len(keys), np.int64), n)})
-
-
-def _counts_of(candidates: np.ndarray):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, sums = _Hashes(), np.zeros(len(candidates), np.int64)
-        for batch in batches:
-            for text in batch.column(0):
-                found = shingles(text.as_py() or b"", hashes)[0]
-                at = np.minimum(np.searchsorted(candidates, found), len(candidates) - 1)
-                sums[at[candidates[at] == found]] += 1
-        own = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_pydict({"shingle": candidates[own].view(np.int64), "n": sums[own]})
+SHINGLED = "block string, doc_id bigint, tie bigint, digest binary, n bigint, keys binary, counts binary"
 
-    return count
+SHINGLED_AS = pa.schema([("block", pa.string()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
-def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles in more than COMMON of all documents that have words, in order, and their IDF; exact.
+def _shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each text that has words: its block, its distinct shingles in order, how often each occurs in it."""
+    from uuid import uuid4
 
-    A shingle of that share has a part of it in some block. Blocks report what comes near, whose sums leave a
-    bounded number of candidates, and these are counted in all documents.
-    """
-    reported = texts.mapInArrow(lean(_report), "shingle bigint, n bigint, docs bigint").groupBy("shingle").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    reported = stage_table(reported, "near-reported")
-    total = reported.agg(F.sum("docs")).first()[0] or 0
-    found = reported.where((F.col("n") > 0) & (F.col("n") >= (1 - REPORT) * COMMON * total)).select("shingle").collect()
-    candidates = np.sort(np.array([x[0] for x in found], np.int64).view(np.uint64))
-    if not len(candidates):
-        return candidates, np.zeros(0)
-    rows = texts.mapInArrow(lean(_counts_of(candidates)), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > COMMON * total).collect()
-    keys = np.array([x["shingle"] for x in rows], np.int64).view(np.uint64)
-    idf = np.array([max(FLOOR, math.log(total / x["n"]) / math.log(1 / COMMON)) for x in rows])
-    order = np.argsort(keys)
-    return keys[order], idf[order]
-
-
-def weights_of(keys: np.ndarray, counts: np.ndarray, common: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    weights = counts.astype(np.float64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, keys), len(common) - 1)
-        weights = np.where(common[at] == keys, weights * idf[at], weights)
-    return weights
+    hashes, block, held = _Hashes(), uuid4().hex, 0
+    for batch in batches:
+        out: dict[str, list] = {name: [] for name in SHINGLED_AS.names}
+        for doc_id, tie, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            keys, counts, digest = shingles(text.as_py() or b"", hashes)
+            if not len(keys):
+                continue
+            once = bool((counts == 1).all())
+            row = (block, doc_id, tie, digest, len(keys), keys.astype("<u8").tobytes(), None if once else B.pack_ints(counts))
+            for values, value in zip(out.values(), row, strict=True):
+                values.append(value)
+            held += len(keys)
+            if held >= TOGETHER:
+                block, held = uuid4().hex, 0
+        yield pa.RecordBatch.from_pydict(out, SHINGLED_AS)
+
+
+def _keys_of(table: pa.Table) -> tuple[np.ndarray, list[int]]:
+    """All keys of a block's documents, one after the other, and where each document's end."""
+    parts = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("keys")]
+    return np.concatenate(parts), np.cumsum([len(x) for x in parts]).tolist()
+
+
+def _send(parts: int, bits: int):
+    def send(block: pa.Table) -> pa.Table:
+        """For each hash range a row with the block's distinct shingles in it and the number of its documents with each."""
+        keys, n = np.unique(_keys_of(block)[0], return_counts=True)
+        keys = keys >> np.uint64(64 - bits)
+        edges = np.searchsorted(keys, np.array([(p << bits) // parts for p in range(parts)], dtype=np.uint64)).tolist() + [len(keys)]
+        some = [p for p in range(parts) if edges[p] < edges[p + 1]]
+        name = block.column("block")[0].as_py()
+        own = [slice(edges[p], edges[p + 1]) for p in some]
+        return pa.table({"part": pa.array(some, pa.int32()), "block": [name] * len(some), "keys": [B.pack_sorted(keys[x]) for x in own], "n": [B.pack_ints(n[x]) for x in own]})
+
+    return send
+
+
+def _count(table: pa.Table) -> pa.Table:
+    """For each block's shingles, in their order, the number of documents of all blocks."""
+    keys = [B.unpack_sorted(x.as_py()) for x in table.column("keys")]
+    _, at = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = np.bincount(at, weights=np.concatenate([B.unpack_ints(x.as_py()) for x in table.column("n")]))
+    found = np.split(sums[at].astype(np.uint32), np.cumsum([len(x) for x in keys])[:-1])
+    return pa.table({"block": table.column("block"), "part": table.column("part"), "found": pa.array([B.pack_ints(x) for x in found], pa.binary())})
+
+
+def weights_of(counts: np.ndarray | None, documents: np.ndarray, total: int) -> np.ndarray:
+    """Count times IDF of shingles that are in so many of all `total` documents; counts None: once each."""
+    idf = FLOOR + (1 - FLOOR) * np.log(total / documents) / np.log(total) if total > 1 else np.ones(len(documents))
+    return idf if counts is None else counts * idf
 
 
 Tables = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
@@ -183,32 +182,40 @@ def band_hashes(keys: np.ndarray, weights: np.ndarray, tables: Tables) -> np.nda
     return out.view(np.int64)
 
 
-def _sign(common: np.ndarray, idf: np.ndarray):
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, tables = _Hashes(), _randomness()
-        for batch in batches:
-            digests, bands = [], []
-            for text in batch.column(1):
-                keys, counts, digest = shingles(text.as_py() or b"", hashes)
-                digests.append(digest if len(keys) else None)
-                bands.append(band_hashes(keys, weights_of(keys, counts, common, idf), tables) if len(keys) else None)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "digest": pa.array(digests, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64()))})
+SIGNED = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("documents", pa.binary())])
+
+
+def _sign(total: int):
+    def sign(block: pa.Table, counted: pa.Table) -> pa.Table:
+        """Band hashes of a block's documents, and for each of their shingles the number of documents with it."""
+        tables, counted = _randomness(), counted.sort_by("part")
+        keys, ends = _keys_of(block)
+        at = np.unique(keys, return_inverse=True)[1]
+        documents = np.concatenate([B.unpack_ints(x.as_py()) for x in counted.column("found")])[at]
+        bands, packed = [], []
+        for a, b, counts in zip([0, *ends[:-1]], ends, block.column("counts"), strict=True):
+            weights = weights_of(B.unpack_ints(counts.as_py()) if counts.is_valid else None, documents[a:b], total)
+            bands.append(band_hashes(keys[a:b], weights, tables))
+            packed.append(B.pack_ints(documents[a:b]))
+        return pa.table({"doc_id": block.column("doc_id"), "tie": block.column("tie"), "digest": block.column("digest"), "bands": pa.array(bands, pa.list_(pa.int64())), "documents": pa.array(packed, pa.binary())}, SIGNED)
 
     return sign
 
 
-def _sets(common: np.ndarray, idf: np.ndarray):
+def _sets(total: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
         for batch in batches:
-            for text in batch.column(0):
-                keys, counts, digest = shingles(text.as_py() or b"", hashes)
-                # quarters of a percent would do; floats keep the verification exact
-                yield pa.RecordBatch.from_pydict({"digest": pa.array([digest], pa.binary()), "keys": [B.pack_sorted(keys)], "weights": [B.squeeze(weights_of(keys, counts, common, idf).astype("<f4").tobytes())]})
+            weights = [weights_of(B.unpack_ints(c.as_py()) if c.is_valid else None, B.unpack_ints(d.as_py()), total) for c, d in zip(batch.column(2), batch.column(3), strict=True)]
+            # quarters of a percent would do; floats keep the verification exact
+            yield pa.RecordBatch.from_pydict({"digest": batch.column(0), "keys": batch.column(1), "weights": pa.array([B.squeeze(w.astype("<f4").tobytes()) for w in weights], pa.binary())})
 
     return sets
 
 
+def _load(keys: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(keys, "<u8"), np.frombuffer(B.expand(weights), "<f4").astype(np.float64)
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of two (keys in order, weights)."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -218,13 +225,10 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _verify(least: float):
-    def load(keys: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
-        return B.unpack_sorted(keys), np.frombuffer(B.expand(weights), "<f4").astype(np.float64)
-
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, *sets = batch.columns
-            out = [similarity(load(x.as_py(), y.as_py()), load(z.as_py(), w.as_py())) for x, y, z, w in zip(*sets, strict=True)]
+            out = [similarity(_load(x.as_py(), y.as_py()), _load(z.as_py(), w.as_py())) for x, y, z, w in zip(*sets, strict=True)]
             keep = pa.array([s >= least for s in out], pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep), pa.array(out, pa.float64()).filter(keep)], names=["a", "b", "similarity"])
 
@@ -234,7 +238,7 @@ def _verify(least: float):
 def _verify_block(least: float):
     def verify(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        sets = [(B.unpack_sorted(r["keys"]), np.frombuffer(B.expand(r["weights"]), "<f4").astype(np.float64)) for r in rows]
+        sets = [_load(r["keys"], r["weights"]) for r in rows]
         sums = np.array([w.sum() for _, w in sets])
         # where each shingle of the block occurs: similarities of a node with all later ones come from one pass over its shingles
         keys, at = np.unique(np.concatenate([k for k, _ in sets]), return_inverse=True)
@@ -265,10 +269,10 @@ def _verify_block(least: float):
 
 
 class _Verifier:
-    """Compares pairs of nodes by their texts; only texts of nodes in a pair leave their task."""
+    """Compares pairs of nodes by their shingles; only shingles of nodes in a pair leave their task."""
 
-    def __init__(self, texts: DataFrame, nodes: DataFrame, common: np.ndarray, idf: np.ndarray, least: float) -> None:
-        self.texts, self.nodes, self.common, self.idf, self.least = texts, nodes, common, idf, least
+    def __init__(self, shingled: DataFrame, signed: DataFrame, nodes: DataFrame, total: int, least: float) -> None:
+        self.shingled, self.signed, self.nodes, self.total, self.least = shingled, signed, nodes, total, least
         self.sets: DataFrame | None = None
 
     def links(self, pairs: DataFrame) -> DataFrame:
@@ -278,16 +282,17 @@ class _Verifier:
             wanted = wanted.join(self.sets.select("digest"), "digest", "left_anti")
         wanted = stage_table(wanted.join(self.nodes, "digest").select("digest", "doc_id"), "near-wanted")
         if self.sets is None or not wanted.isEmpty():
-            texts = may_hit(self.texts, hit_filter(wanted, FILTER_BITS, "doc_id"), FILTER_BITS, "doc_id")
-            texts = texts.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
-            new = texts.mapInArrow(lean(_sets(self.common, self.idf)), "digest binary, keys binary, weights binary")
-            new = stage_table(new.join(wanted.select("digest"), "digest", "left_semi").dropDuplicates(["digest"]), "near-sets")
+            bits = filter_bits(wanted.count())
+            own = hit_filter(wanted, bits, "doc_id")
+            of = lambda rows: may_hit(rows, own, bits, "doc_id").join(wanted, ["digest", "doc_id"], "left_semi").dropDuplicates(["digest"]).drop("doc_id")
+            keys, documents = of(self.shingled.select("doc_id", "digest", "keys", "counts")), of(self.signed.select("doc_id", "digest", "documents"))
+            both = keys.join(documents, "digest").select("digest", "keys", "counts", "documents")
+            new = stage_table(both.mapInArrow(lean(_sets(self.total)), "digest binary, keys binary, weights binary"), "near-sets")
             self.sets = new if self.sets is None else self.sets.union(new)
         first, second = self.sets.toDF("a", "a_keys", "a_weights"), self.sets.toDF("b", "b_keys", "b_weights")
         both = pairs.join(first, "a").join(second, "b").select("a", "b", "a_keys", "a_weights", "b_keys", "b_weights")
         return stage_table(both.mapInArrow(lean(_verify(self.least)), "a binary, b binary, similarity double"), "near-links")
 
-
     def links_across(self, members: DataFrame) -> DataFrame:
         """Links between all nodes of different classes in each bucket of members (bucket, digest, n, class), by pairs of blocks.
 
@@ -305,38 +310,54 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 
-def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """doc_id, class_id, class_size, kept, links for each row of docs (doc_id, text).
+def signed_documents(texts: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Stored tables of texts (doc_id, tie, text as bytes): the shingles of each text that has words, its bands with the document frequencies
+    of its shingles in their order; and the number of those texts."""
+    shingled = bucketed_table(texts.mapInArrow(lean(_shingle), SHINGLED), "near_shingles", "block")
+    total, whole = shingled.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    parts, bits = whole // PART_SHINGLES + 1, min(63, max(whole, 1).bit_length() + SPARE_BITS)
+    sent = shingled.select("block", "keys").groupBy("block").applyInArrow(_send(parts, bits), "part int, block string, keys binary, n binary")
+    counted = sent.groupBy("part").applyInArrow(_count, "block string, part int, found binary")
+    own = shingled.select("block", "doc_id", "tie", "digest", "keys", "counts").groupBy("block")
+    signed = own.cogroup(counted.groupBy("block")).applyInArrow(_sign(total), "doc_id bigint, tie bigint, digest binary, bands array<bigint>, documents binary")
+    return shingled, stage_table(signed, "near-signed"), total
+
+
+def near_duplicates(docs: DataFrame, similar: float = SIMILAR, tie: Column | None = None) -> DataFrame:
+    """doc_id, class_id, class_size, kept and, if asked for, tie for each row of docs (doc_id, text).
 
     A class is a set of documents connected by similarities of `similar` or more; class_id is its smallest doc_id,
-    whose rows are kept. `links` counts the linked texts among those compared, equal texts being one. Texts without words are
-    no one's duplicates, and rows without doc_id have no class and are kept. An empty table gives an empty result.
+    whose rows are kept, and of these the ones with the smallest `tie`, an integer, if there is one. Texts without words, null ones too, are no one's duplicates, and rows without doc_id have no class and
+    are kept. Rows that repeat a doc_id with other words belong to the class of their own words. A text longer than a block is a
+    block of its own, whatever its length. Columns but doc_id and text stay behind. An empty table gives an empty result.
     A pair of exactly that similarity meets in no bucket with probability (1 - similar ** ROWS) ** BANDS, 2e-4 at 0.8.
     Buckets have no cap: in large ones each node is compared with one, and where that leaves several classes, all
     pairs across classes are, in blocks.
     """
     small_batches(docs.sparkSession)
-    texts = rows_of(docs, doc_id=F.col("doc_id").cast("long"), text=F.col("text").cast("binary"))
-    common, idf = common_shingles(texts.select("text"))
-    signed = stage_table(texts.mapInArrow(lean(_sign(common, idf)), "doc_id bigint, digest binary, bands array<bigint>"), "near-signed")
-    usable = signed.where("doc_id is not null and digest is not null")
-    index = stage_table(usable.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n")), "near-nodes")
+    rows = rows_of(docs, doc_id=F.col("doc_id").cast("long"), tie=(F.lit(0) if tie is None else tie).cast("long"), text=F.col("text"))
+    shingled, signed, total = signed_documents(rows.withColumn("text", F.col("text").cast("binary")))
+    usable = signed.where("doc_id is not null")
+    first = F.min(F.struct("doc_id", "tie"))
+    index = usable.groupBy("digest").agg(first.alias("keep"), F.count("*").alias("n"))
+    index = stage_table(index.select("digest", "keep", F.col("keep.doc_id").alias("keep_id"), "n"), "near-nodes")
     # equal texts have equal bands, so any row of a node will do; the one of its smallest id is joined by that id
-    bands = usable.join(index.select("digest", F.col("keep_id").alias("doc_id")), ["digest", "doc_id"], "left_semi").dropDuplicates(["digest"])
+    bands = usable.join(index.select("digest", F.col("keep_id").alias("doc_id")), ["digest", "doc_id"], "left_semi").select("digest", "bands").dropDuplicates(["digest"])
     placed = stage_table(bands.select("digest", F.explode("bands").alias("band")), "near-bands")
-    verifier = _Verifier(texts, index.select("digest", F.col("keep_id").alias("doc_id")), common, idf, similar)
+    verifier = _Verifier(shingled, signed, index.select("digest", F.col("keep_id").alias("doc_id")), total, similar)
     # first each node with one other, of all that it meets the one with the smallest hash: that links most copies
     ranked = F.struct(F.xxhash64("digest").alias("rank"), "digest")
-    centers = placed.groupBy("band").agg(F.min(ranked).alias("center"), F.count("*").alias("n")).where("n > 1").select("band", "center")
-    placed = stage_table(placed.join(centers, "band"), "near-shared")  # no other band brings a pair
+    centers = stage_table(placed.groupBy("band").agg(F.min(ranked).alias("center"), F.count("*").alias("n")).where("n > 1"), "near-centers")
+    placed = stage_table(join_counted(placed, centers, "band"), "near-shared")  # no other band brings a pair
     first = placed.groupBy("digest").agg(F.min("center").alias("center")).select("digest", "center.digest").toDF("a", "b")
     links = verifier.links(stage_table(_ordered(first), "near-pairs"))
     classes = components(links)
-    placed = placed.drop("center")
-    level = placed.select("digest", F.col("band").alias("bucket")).join(classes, F.col("digest") == F.col("node"), "left").select("digest", "bucket", F.coalesce("component", "digest").alias("class"))
+    level = placed.select("digest", F.col("band").alias("bucket")).join(classes, F.col("digest") == F.col("node"), "left")
+    level = stage_table(level.select("digest", "bucket", F.coalesce("component", "digest").alias("class")), "near-level")
     # across classes only: all pairs of a bucket of few nodes; each of many with one that a hash picks
-    sizes = level.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by(F.struct("digest", "class"), F.xxhash64("digest", "bucket")).alias("center"), F.min("class").alias("x"), F.max("class").alias("y"))
-    members = stage_table(level.join(sizes.where("x <> y").drop("x", "y"), "bucket"), "near-members")
+    center = F.min_by(F.struct("digest", "class"), F.xxhash64("digest", "bucket")).alias("center")
+    sizes = level.groupBy("bucket").agg(F.count("*").alias("n"), center, F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").drop("x", "y")
+    members = stage_table(join_counted(level, stage_table(sizes, "near-sizes"), "bucket"), "near-members")
     few = members.where(F.col("n") <= SMALL).groupBy("bucket").agg(F.collect_list(F.struct("digest", "class")).alias("all"))
     few = few.select(F.explode("all").alias("p"), "all").select("p", F.explode("all").alias("q")).where("p.class < q.class").select("p.digest", "q.digest").toDF("a", "b")
     many = members.where(F.col("n") > SMALL)
@@ -344,19 +365,20 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     links = links.union(verifier.links(stage_table(_ordered(few.union(large)), "near-pairs")))
     # what is left are large buckets of several classes: there every pair across classes is compared
     classes = components(links)
-    now = many.select("bucket", "digest", "n").join(classes, F.col("digest") == F.col("node"), "left").select("bucket", "digest", "n", F.coalesce("component", "digest").alias("class"))
-    mixed = now.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("bucket")
-    now = stage_table(now.join(mixed, "bucket", "left_semi"), "near-mixed")
+    now = many.select("bucket", "digest").join(classes, F.col("digest") == F.col("node"), "left")
+    now = stage_table(now.select("bucket", "digest", F.coalesce("component", "digest").alias("class")), "near-many")
+    mixed = now.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("bucket", "n")
+    now = stage_table(join_counted(now, stage_table(mixed, "near-mixed"), "bucket"), "near-across")
     if not now.isEmpty():
         links = links.union(verifier.links_across(now))
         classes = components(links)
-    links = links.dropDuplicates(["a", "b"])
-    degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("links")).withColumnRenamed("a", "node")
-    labelled = index.join(classes, F.col("digest") == F.col("node"), "left").drop("node").join(degree, F.col("digest") == F.col("node"), "left")
-    labelled = stage_table(labelled.select("digest", "keep_id", "n", F.coalesce("component", "digest").alias("class"), F.coalesce("links", F.lit(0)).alias("links")), "near-labelled")
-    whole = labelled.groupBy("class").agg(F.min("keep_id").alias("class_id"), F.sum("n").alias("class_size"))
-    named = stage_table(labelled.join(whole, "class").select("digest", F.struct("class_id", "class_size", "links").alias("of"), "n", "keep_id"), "near-named")
-    found = looked_up(usable.select("doc_id", "digest"), named.select("digest", F.col("of").alias("keep_id"), "n")).select("doc_id", "keep_id.*")
-    found = found.select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"), "links")
-    alone = signed.where("doc_id is null or digest is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"), F.lit(0).cast("long").alias("links"))
-    return found.unionByName(alone)
+    labelled = stage_table(index.join(classes, F.col("digest") == F.col("node"), "left").select("digest", "keep", "n", F.coalesce("component", "digest").alias("class")), "near-labelled")
+    whole = stage_table(labelled.groupBy("class").agg(F.min("keep").alias("class_id"), F.sum("n").alias("class_size"), F.count("*").alias("n")), "near-classes")
+    named = join_counted(labelled.select("digest", "class", F.col("n").alias("copies")), whole, "class")
+    named = stage_table(named.select("digest", F.struct("class_id", "class_size").alias("of"), F.col("copies").alias("n")), "near-named")
+    found = looked_up(usable.select("doc_id", "tie", "digest"), named.select("digest", F.col("of").alias("keep_id"), "n")).select("doc_id", "tie", "keep_id.*")
+    found = found.select("doc_id", "tie", F.col("class_id.doc_id").alias("class_id"), "class_size", (F.struct("doc_id", "tie") == F.col("class_id")).alias("kept"))
+    # all other rows stand for themselves: those without words, which have no shingles, and those without doc_id
+    wordless = rows.where(F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    alone = wordless.select("doc_id", "tie", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
+    return found.unionByName(alone).drop(*(["tie"] if tie is None else []))

@@ -50,6 +50,21 @@ def test_exact(docs, none, digest):
     assert exact_dedup.exact_duplicates(none, digest).count() == 0
 
 
+@pytest.mark.parametrize(("memtable", "fanout"), [(1, 2), (5, 2), (40, 8), (1000, 8)])
+def test_merge_index(spark, tmp_path, memtable, fanout):
+    rows = [(i if i % 9 else None, hashlib.md5(str(i % 17 if i % 3 else i).encode()).digest()) for i in range(200)]
+    index = exact_dedup.MergeIndex(spark, f"file://{tmp_path}/index", memtable, fanout)
+    index.flush(spark.createDataFrame(rows, "doc_id bigint, digest binary"))
+    assert index.number() == -(-200 // memtable)
+    merged = index.compact().collect()
+    assert index.number() == 1 and fanout**index.level >= -(-200 // memtable) > fanout ** (index.level - 1)
+    ids = {}
+    for i, digest in rows:
+        ids.setdefault(digest, []).append(i)
+    assert {(bytes(r["digest"]), r["keep_id"], r["n"]) for r in merged} == {(d, min((x for x in own if x is not None), default=None), len(own)) for d, own in ids.items()}
+    assert len(merged) == len(ids)
+
+
 def test_bpe(docs, none):
     ranks = bpe_codec.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     whole = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -115,6 +130,46 @@ def test_near(spark, docs, none):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
+def shingle_weights(texts):
+    """Count times IDF of the five-word shingles of each text, by the definition."""
+    words = [t.lower().split() for t in texts]
+    sets = [Counter(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(1, len(w))))) for w in words]
+    total, frequency = sum(1 for s in sets if s), Counter(g for s in sets for g in s)
+    return [{g: n * (near_dedup.FLOOR + (1 - near_dedup.FLOOR) * np.log(total / frequency[g]) / np.log(total)) for g, n in s.items()} for s in sets]
+
+
+@pytest.mark.parametrize("small", [8, 2])
+def test_near_against_brute_force(spark, monkeypatch, small):
+    monkeypatch.setattr(near_dedup, "SMALL", small)
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "TOGETHER", 500)
+    monkeypatch.setattr(near_dedup, "PART_SHINGLES", 2000)
+    random = np.random.default_rng(5)
+    word = lambda: "".join(random.choice(list("abcdefgh"), 6))
+    rows = [(7, "the very same long text of many words", "x")]
+    for group in range(12):
+        base = [word() for _ in range(int(random.integers(30, 160)))]
+        base += base[:20] * (group % 3)  # shingles that occur twice
+        for _ in range((3, 40)[group % 6 == 0]):
+            edited = list(base)
+            for place in random.integers(0, len(base), int(random.integers(0, 5))):
+                edited[place] = word()
+            rows.append((len(rows) + 100, " ".join(edited), "x"))
+    rows += [(len(rows) + 200, rows[1][1].upper(), None), (7, "other words under an id that occurs twice", "x")]
+    weights = shingle_weights([r[1] for r in rows])
+    above = lambda a, b: sum(min(v, b.get(g, 0)) for g, v in a.items()) / sum(max(a.get(g, 0), b.get(g, 0)) for g in a.keys() | b.keys()) >= near_dedup.SIMILAR
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if label[i] != label[j] and above(weights[i], weights[j]):
+                label = [label[j] if x == label[i] else x for x in label]
+    want = Counter((rows[i][0], min(r[0] for r, x in zip(rows, label, strict=True) if x == label[i]), label.count(label[i])) for i in range(len(rows)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, digest string").repartition(5)
+    out = near_dedup.near_duplicates(docs).collect()
+    assert Counter((r["doc_id"], r["class_id"], r["class_size"]) for r in out) == want
+    assert all(r["kept"] == (r["doc_id"] == r["class_id"]) for r in out)
+
+
 def test_language_model(docs, none):
     out = lm_scoring.score_documents(docs, F.coalesce(F.col("doc_id") == 7, F.lit(False))).collect()
     tokens = lambda t: [*(t or "").encode().lower().split(), b""]

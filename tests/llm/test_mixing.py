@@ -60,6 +60,14 @@ def test_small_shares_go_first(spark):
     assert {r["copies"]: r["n"] for r in out.groupBy("copies").agg(F.count("*").alias("n")).collect()} == {1: 20, 2: 20}
 
 
+def test_mixed_documents_with_clashing_columns(spark):
+    rows = [(1, "a", "x y z", 7, "m", "k"), (1, "a", "x y z", 7, "m", "k"), (2, None, None, 7, "m", "k")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string, copies int, mix_id string, key string")
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    assert {tuple(r) for r in mixed.collect()} <= set(rows) and mixed.count() >= 3
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id bigint, source string, text string")
     assert mixing.mix(docs).count() == 0

@@ -76,6 +76,18 @@ def mixed(rows):
     return out
 
 
+@pytest.mark.parametrize("at", range(4))
+def test_clashing_columns(spark, at):
+    """Helper columns of a stage take no column of documents with their name."""
+    names = ("score", "lang_pred", "copies", "sha", "own_sha", "gone_id", "gone_tie", "digest", "block", "kept", "n", "key", "size", "filter_bit", "mix_id")
+    rows = [(i, text, "en", "s", len(text or ""), *(f"{name}{i}" for name in names)) for i, text in REPEATED]
+    docs = spark.createDataFrame(rows, SCHEMA + "".join(f", {name} string" for name in names))
+    out = STAGES[at](spark, docs, "")
+    assert out.columns == docs.columns
+    assert {tuple(r) for r in out.collect()} <= set(rows)
+    assert out.count() > 0
+
+
 @pytest.fixture
 def given(spark, request):
     rows, lang = CASES[request.param]
