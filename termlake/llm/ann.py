@@ -2,7 +2,7 @@
 
 Equal vectors are one node. Nodes hash into shards of bounded size. A shard's graph begins at random; in two passes
 greedy searches from its medoid propose neighbours for each node, and pruning keeps a candidate only if no kept one
-is nearer to it by the factor alpha. Queries go in blocks to every shard; the best of all shards are merged.
+is nearer to it by the factor alpha. Queries stream past every shard; the best of all shards are merged.
 """
 
 from __future__ import annotations
@@ -18,12 +18,12 @@ from termlake.llm.common import rows_of, ship, stage_table
 
 ship(__name__)
 
-#: Nodes of a shard, queries of a block.
-SHARD = 4096
-BLOCK = 1024
+#: Nodes of a shard. Every query visits every shard, so shards should be as large as a task's memory allows: a node takes
+#: 8 bytes a dimension, 4 bytes an edge, and some 300 bytes while it is built. Building takes about 1.3 ms a node.
+SHARD = 32_768
 DEGREE = 32
 BUILD_BEAM = 48
-SEARCH_BEAM = 64
+SEARCH_BEAM = 192
 ALPHA = 1.2
 #: Nodes that are inserted, and queries that are searched, at a time.
 TOGETHER = 256
@@ -31,8 +31,8 @@ TOGETHER = 256
 
 def usable(vector: Column) -> Column:
     """Neither null nor zero, every component a finite number."""
-    squares = F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    return F.coalesce((squares > 0) & (squares < float("inf")) & ~F.isnan(squares), F.lit(False))
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
 def beam_search(vectors: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,18 +126,22 @@ def build_graph(vectors: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEA
 INDEX = pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("n", pa.int32()), ("medoid", pa.int32()), ("vectors", pa.binary()), ("graph", pa.binary()), ("members", pa.list_(pa.list_(pa.int64())))])
 
 
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector times a power of two that brings its largest component near 1: cosines stay, squares neither overflow nor vanish."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
+
+
 def _unit(vectors: np.ndarray) -> np.ndarray:
-    wide = vectors.astype(np.float64)
-    return (wide / np.linalg.norm(wide, axis=1, keepdims=True)).astype(np.float32)
+    """Unit vectors of scaled ones."""
+    return (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+def _matrix(column: pa.Array) -> np.ndarray:
+    return _scaled(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1))
 
 
 def _build(table: pa.Table) -> pa.Table:
-    vectors = _matrix(table.column("vector"))
+    vectors = _matrix(table.column("vector").combine_chunks())
     graph, medoid = build_graph(_unit(vectors))
     row = {"dim": [table.column("dim")[0].as_py()], "shard": [table.column("shard")[0].as_py()], "n": [len(vectors)], "medoid": [medoid], "vectors": [vectors.astype("<f8").tobytes()], "graph": [graph.astype("<i4").tobytes()], "members": [table.column("members").to_pylist()]}
     return pa.table(row, INDEX)
@@ -150,31 +154,39 @@ def build_index(vectors: DataFrame, k: int, shard: int = SHARD) -> DataFrame:
     nodes = stage_table(ranked.groupBy(F.xxhash64("vector").alias("hash"), "vector").agg(F.sort_array(F.collect_list("vec_id")).alias("members")), "ann-nodes")
     shards = nodes.count() // shard + 1
     dealt = nodes.select(F.size("vector").alias("dim"), F.pmod("hash", F.lit(shards)).cast("int").alias("shard"), F.col("vector").cast("array<double>").alias("vector"), "members")
-    return stage_table(dealt.groupBy("dim", "shard").applyInArrow(_build, "dim int, shard int, n int, medoid int, vectors binary, graph binary, members array<array<bigint>>"), "ann-index")
+    return stage_table(dealt.groupBy("dim", "shard").applyInArrow(_build, _INDEX), "ann-index")
 
 
 FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+_INDEX = "dim int, shard int, n int, medoid int, vectors binary, graph binary, members array<array<bigint>>"
 
 
 def _search(k: int, beam: int):
-    def search(index: pa.Table, queries: pa.Table) -> pa.Table:
-        """The k nearest of a shard for each query of a block."""
-        out: list[tuple[int, int, float]] = []
-        if not index.num_rows or not queries.num_rows:
-            return pa.table({"query_id": [], "vec_id": [], "score": []}, FOUND)
-        (row,) = index.to_pylist()
-        vectors = np.frombuffer(row["vectors"], "<f8").reshape(row["n"], -1)
-        graph, unit, norms = np.frombuffer(row["graph"], "<i4").reshape(row["n"], -1).astype(np.int64), _unit(vectors), np.linalg.norm(vectors, axis=1)
-        query_ids, asked = queries.column("query_id").to_pylist(), _matrix(queries.column("vector"))
-        for a in range(0, len(asked), TOGETHER):
-            block = asked[a : a + TOGETHER]
-            ids, _ = beam_search(unit, graph, row["medoid"], _unit(block), beam)
-            for query_id, query, nodes in zip(query_ids[a : a + TOGETHER], block, ids, strict=True):
-                nodes = nodes[nodes >= 0]
-                scores = (vectors[nodes] @ query / (norms[nodes] * np.linalg.norm(query))).tolist()
-                near = sorted((-s, m) for s, node in zip(scores, nodes.tolist(), strict=True) for m in row["members"][node] if m != query_id)
-                out += [(query_id, m, -s) for s, m in near[:k]]
-        return pa.table(list(map(list, zip(*out, strict=True))) or [[], [], []], FOUND)
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A shard, which comes first, and then the queries: for each the k nearest of the shard. The shard stays, queries stream past."""
+        held: list = []
+        for batch in batches:
+            if not held:
+                (row,) = batch.slice(0, 1).to_pylist()
+                if row["graph"] is None:
+                    return  # queries whose dimension has no shard
+                vectors = np.frombuffer(row["vectors"], "<f8").reshape(row["n"], -1)
+                graph = np.frombuffer(row["graph"], "<i4").reshape(row["n"], -1).astype(np.int64)
+                held = [vectors, graph, row["medoid"], row["members"], _unit(vectors), np.linalg.norm(vectors, axis=1)]
+                batch = batch.slice(1)
+            vectors, graph, medoid, members, unit, norms = held
+            for at in range(0, batch.num_rows, TOGETHER):
+                some, out = batch.slice(at, TOGETHER), ([], [], [])
+                asked = _matrix(some.column("vector"))
+                ids, _ = beam_search(unit, graph, medoid, _unit(asked), beam)
+                for query_id, query, nodes in zip(some.column("query_id").to_pylist(), asked, ids, strict=True):
+                    nodes = nodes[nodes >= 0]
+                    scores = (vectors[nodes] @ query / (norms[nodes] * np.linalg.norm(query))).tolist()
+                    near = sorted((-s, m) for s, node in zip(scores, nodes.tolist(), strict=True) for m in members[node] if m != query_id)
+                    for s, m in near[:k]:
+                        for column, value in zip(out, (query_id, m, -s), strict=True):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind.type) for x, kind in zip(out, FOUND, strict=True)], schema=FOUND)
 
     return search
 
@@ -182,24 +194,25 @@ def _search(k: int, beam: int):
 def nearest(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARCH_BEAM) -> DataFrame:
     """query_id, rank, vec_id, score: up to k rows of the index for each row of queries (query_id, vector), itself apart.
 
-    score is the cosine in double precision, ties go to the smaller vec_id. Every block of queries meets every shard of its dimension.
+    score is the cosine in double precision, ties go to the smaller vec_id. Every query meets every shard of its dimension: a
+    task has a shard and streams the queries past it, so a shard is sent once, whatever the number of queries.
     """
-    blocks = queries.count() // BLOCK + 1
-    shards = index.select("dim", F.col("shard").alias("to"))
-    asked = queries.select(F.size("vector").alias("dim"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), "query_id", F.col("vector").cast("array<double>").alias("vector"))
-    sent = asked.join(shards, "dim").select((F.col("dim") + 0).alias("dim"), (F.col("to") + 0).alias("shard"), "block", "query_id", "vector")
-    copies = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = copies.groupBy("dim", "shard", "block").cogroup(sent.groupBy("dim", "shard", "block")).applyInArrow(_search(k, beam), "query_id bigint, vec_id bigint, score double")
+    shards = F.broadcast(index.select("dim", "shard"))  # two integers a shard: 16 bytes for some ten thousand vectors
+    asked = queries.select(F.size("vector").alias("dim"), "query_id", F.col("vector").cast("array<double>").alias("vector")).join(shards, "dim")
+    met = index.withColumn("kind", F.lit(0)).unionByName(asked.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    met = met.repartition("dim", "shard").sortWithinPartitions("dim", "shard", "kind")
+    found = met.groupBy("dim", "shard").applyInArrow(_search(k, beam), "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def search_embeddings(rows: DataFrame, is_query: Column, k: int, beam: int = SEARCH_BEAM) -> DataFrame:
+def search_embeddings(rows: DataFrame, is_query: Column, k: int, beam: int = SEARCH_BEAM, shard: int = SHARD) -> DataFrame:
     """nearest() for the rows of `rows` (vec_id, embedding) that is_query marks, against all others.
 
     Vectors that are null, zero or hold a null or a number that is not finite take no part, nor do null ids. Candidates have
-    the query's dimension. A vec_id that occurs twice is two candidates with one id. Without candidates a query has no rows.
+    the query's dimension. A vec_id that occurs twice is two candidates with one id. Without candidates a query has no rows, and an
+    empty table gives an empty result. Columns but vec_id and embedding stay behind. Finite components may be of any size.
     """
     good = rows_of(rows, vec_id=F.col("vec_id").cast("long"), vector=F.col("embedding"), query=is_query).where(usable(F.col("vector")) & F.col("vec_id").isNotNull())
     queries = good.where("query").select(F.col("vec_id").alias("query_id"), "vector")
-    return nearest(build_index(good.select("vec_id", "vector"), k), queries, k, beam)
+    return nearest(build_index(good.select("vec_id", "vector"), k, shard), queries, k, beam)

@@ -2,8 +2,8 @@
 
 Documents are split into words with their positions, a word being a run of whole matches of the split pattern that
 never continues across its edges. Each distinct word of the corpus is encoded once, in the task that its hash names;
-its ids go back to the blocks that hold it, where documents are put together by position. Decoding looks ids up in
-the table of token bytes.
+its ids go back to the blocks that hold it, where documents are put together by position. Decoding joins ids with the
+table of token bytes.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ ship(__name__)
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A space belongs to what follows; of several white spaces the last is apart. These edges are edges of PATTERN too.
 WORDS = re.compile(rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+#: Fixed value: the split pattern whose edges WORDS has. Another one is refused, as its words may end elsewhere.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of distinct words, about, that one hash partition should hold.
 PART_BYTES = 2_500_000
 
@@ -149,10 +151,13 @@ def _reassemble(parts: int):
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids for each row of docs (doc_id, text): ids are little-endian unsigned 32-bit integers.
 
-    The same ids as tiktoken's encode_ordinary of the whole text. Null and empty texts have none; a doc_id that occurs
+    The same ids as tiktoken's encode_ordinary of the whole text; any pattern but SPLIT raises ValueError. Null and empty texts have none; a doc_id that occurs
     twice gives two rows; an empty table gives an empty result. A block and a hash partition of distinct words,
-    both of fixed size, bound the memory of a task. Ranks are of the size of the vocabulary.
+    both of fixed size, bound the memory of a task; a text longer than a block is one of its own. Ranks are of the size of the
+    vocabulary. Columns but doc_id and text stay behind.
     """
+    if pattern != SPLIT:
+        raise ValueError(f"words cannot be cut for the pattern {pattern!r}")
     small_batches(docs.sparkSession)
     texts = rows_of(docs, doc_id=F.col("doc_id").cast("long"), text=F.col("text"))
     blocks = bucketed_table(texts.mapInArrow(_to_blocks, BLOCKS), "bpe_blocks", "block")
@@ -165,14 +170,33 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """The rows of encoded with `decoded`, the bytes of their ids, from the table of token bytes. Unknown ids raise; null ids give null."""
+    """The rows of encoded with `decoded`, the bytes of their ids. Unknown ids raise; null ids give null.
+
+    A broadcast join with the table (id, token bytes): ids are its places, so a batch of ids is joined by one take, whose
+    values stand one after the other as the decoded texts. The table has the size of the vocabulary.
+    """
     schema = StructType([*encoded.schema.fields, StructField("decoded", BinaryType())])
-    table = token_table(ranks)
+    table = pa.array(token_table(ranks), pa.large_binary())
     at = encoded.columns.index("ids")
 
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if x is None else b"".join(map(table.__getitem__, np.frombuffer(x, dtype="<u4").tolist())) for x in (y.as_py() for y in batch.column(at))]
+            texts: list[bytes | None] = []
+            for ids in batch.column(at):
+                if not ids.is_valid:
+                    texts.append(None)
+                    continue
+                found = table.take(pa.array(np.frombuffer(ids.as_buffer(), "<u4")))
+                if found.null_count:
+                    raise ValueError("an id that no token has")
+                texts.append(_values(found) if len(found) else b"")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=schema.names)
 
-    return encoded.mapInArrow(look_up, schema)
+    return encoded.mapInArrow(join, schema)
+
+
+def _values(found: pa.Array) -> bytes:
+    """The values of an array without nulls, one after the other."""
+    _, offsets, values = found.buffers()
+    ends = np.frombuffer(offsets, "<i8", len(found) + 1, 8 * found.offset)
+    return values[int(ends[0]) : int(ends[-1])].to_pybytes()

@@ -1,8 +1,9 @@
 """Token files: one concatenated array of ids a segment, document boundaries in Elias-Fano code.
 
-A segment is a file: magic, counts, the ids of its documents (2 or 4 bytes each), the ends of the documents as an
-Elias-Fano sequence with a select table, and their doc_ids. A manifest, written last as a Spark table, names the
-segments that count; segments of failed attempts are never in it.
+A segment is a file: magic, counts, the ids of its documents (2 or 4 bytes each), the ends of the documents and their
+doc_ids, both as Elias-Fano sequences with the place of every SAMPLE-th one bit, from which select starts. Nothing is
+rebuilt when a file is read, and no table of 64-bit offsets exists in the file or in memory. A manifest, written last as
+a Spark table, names the segments that count; segments of failed attempts are never in it.
 """
 
 from __future__ import annotations
@@ -25,95 +26,98 @@ from termlake.llm.common import lean, rows_of, scratch_path, ship, stage_table
 
 ship(__name__)
 
-MAGIC = b"TLTOKEN1"
+MAGIC = b"TLTOKEN2"
 #: Ids of a segment, about; a longer document is a segment of its own.
 SEGMENT_IDS = 8_000_000
+#: Every so many-th one bit of a high part has its place stored: an eighth of a bit for each value.
+SAMPLE = 256
+#: Documents that are read at a time.
+TOGETHER = 512
 #: Words that a worker remembers.
 CACHE = 900_000
 
 
 class EliasFano:
-    """A non-decreasing sequence of integers: low bits apart, high parts in unary, and a rank by byte to select from."""
+    """A non-decreasing sequence of integers: low bits apart, high parts in unary, and places of some ones to select from."""
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray) -> None:
-        self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        ones = np.unpackbits(high, bitorder="little")
-        per_byte = np.add.reduceat(ones, np.arange(0, len(ones), 8), dtype=np.int64) if len(ones) else np.zeros(0, np.int64)
-        self.rank = np.concatenate([[0], np.cumsum(per_byte)])
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, samples: np.ndarray) -> None:
+        self.n, self.low_bits, self.low, self.high, self.samples = n, low_bits, low, high, samples
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
-        values = np.asarray(values, dtype=np.uint64)
+        values = np.asarray(values).astype(np.uint64)
         n, top = len(values), int(values[-1]) if len(values) else 0
         low_bits = max(0, (top // n).bit_length() - 1) if n else 0
-        if low_bits:
-            shifts = np.arange(low_bits, dtype=np.uint64)
-            low = np.packbits(((values[:, None] >> shifts) & np.uint64(1)).astype(np.uint8).reshape(-1), bitorder="little")
-        else:
-            low = np.zeros(0, np.uint8)
+        shifts = np.arange(low_bits, dtype=np.uint64)
+        # so many values at a time end at a byte
+        parts = [np.packbits(((values[a : a + 65536, None] >> shifts) & np.uint64(1)).astype(np.uint8).reshape(-1), bitorder="little") for a in range(0, n, 65536)] if low_bits else []
         ones = np.zeros((top >> low_bits) + n, np.uint8)
-        ones[(values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)] = 1
-        return cls(n, low_bits, low, np.packbits(ones, bitorder="little"))
+        places = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
+        ones[places] = 1
+        low = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+        return cls(n, low_bits, low, np.packbits(ones, bitorder="little"), places[::SAMPLE].astype("<u4" if len(ones) < 1 << 32 else "<u8"))
 
     def select(self, i: int) -> int:
         """The i-th value: the place of the i-th one in the high part, less i, and its low bits."""
-        byte = int(np.searchsorted(self.rank, i, side="right")) - 1
-        left, bits, at = i - int(self.rank[byte]), int(self.high[byte]), 0
-        while True:
-            if bits >> at & 1:
-                if left == 0:
-                    break
-                left -= 1
-            at += 1
-        low = 0
-        if self.low_bits:
-            first = i * self.low_bits
-            raw = int.from_bytes(self.low[first // 8 : (first + self.low_bits + 7) // 8].tobytes(), "little")
-            low = raw >> first % 8 & (1 << self.low_bits) - 1
-        return (byte * 8 + at - i << self.low_bits) | low
-
-    def all(self) -> np.ndarray:
-        places = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n].astype(np.uint64)
-        high = places - np.arange(self.n, dtype=np.uint64)
+        return int(self.range(i, i + 1)[0])
+
+    def range(self, a: int, b: int) -> np.ndarray:
+        """The values from the a-th to before the b-th, unsigned 64-bit, by select of both ends: only their part is decoded."""
+        if not 0 <= a < b <= self.n:
+            if a == b:
+                return np.zeros(0, np.uint64)
+            raise IndexError((a, b))
+        first, after = a // SAMPLE, (b - 1) // SAMPLE + 1
+        begin = int(self.samples[first])
+        end = int(self.samples[after]) if after < len(self.samples) else 8 * len(self.high)
+        bits = np.unpackbits(self.high[begin // 8 : (end + 7) // 8], bitorder="little")[begin % 8 :]
+        places = np.flatnonzero(bits)[a - first * SAMPLE : b - first * SAMPLE] + begin
+        high = places.astype(np.uint64) - np.arange(a, b, dtype=np.uint64)
         if not self.low_bits:
             return high
-        bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits).astype(np.uint64)
-        return high << np.uint64(self.low_bits) | (bits << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        begin = a * self.low_bits
+        raw = np.unpackbits(self.low[begin // 8 : (b * self.low_bits + 7) // 8], bitorder="little")[begin % 8 :]
+        low = raw[: (b - a) * self.low_bits].reshape(b - a, self.low_bits).astype(np.uint64)
+        return high << np.uint64(self.low_bits) | (low << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
     def dump(self) -> bytes:
-        return struct.pack("<QBQQ", self.n, self.low_bits, len(self.low), len(self.high)) + self.low.tobytes() + self.high.tobytes()
+        head = struct.pack("<QBBQQQ", self.n, self.low_bits, self.samples.itemsize, len(self.low), len(self.high), len(self.samples))
+        return head + self.low.tobytes() + self.high.tobytes() + self.samples.tobytes()
 
     @classmethod
     def load(cls, data: bytes) -> EliasFano:
-        n, low_bits, a, b = struct.unpack_from("<QBQQ", data)
-        return cls(n, low_bits, np.frombuffer(data, np.uint8, a, 25), np.frombuffer(data, np.uint8, b, 25 + a))
+        """Views of `data`; no table is built."""
+        n, low_bits, wide, a, b, c = struct.unpack_from("<QBBQQQ", data)
+        at = 34
+        return cls(n, low_bits, np.frombuffer(data, np.uint8, a, at), np.frombuffer(data, np.uint8, b, at + a), np.frombuffer(data, f"<u{wide}", c, at + a + b))
 
 
 def write_segment(doc_ids: list[int | None], ends: np.ndarray, ids: bytes, width: int) -> bytes:
-    """The bytes of a segment; ends are the numbers of ids up to the end of each document."""
-    coded = EliasFano.of(ends).dump()
-    known = np.array([x is not None for x in doc_ids], np.uint8).tobytes()
-    names = np.array([x or 0 for x in doc_ids], "<i8").tobytes()
-    return MAGIC + struct.pack("<BQQQ", width, len(doc_ids), len(ids), len(coded)) + ids + coded + known + names
+    """The bytes of a segment; ends are the numbers of ids up to the end of each document. doc_ids ascend, nulls first."""
+    known = np.array([x for x in doc_ids if x is not None], np.int64)
+    least = int(known[0]) if len(known) else 0
+    coded, names = EliasFano.of(ends).dump(), EliasFano.of(known.astype(np.uint64) - np.uint64(least % (1 << 64))).dump()
+    return MAGIC + struct.pack("<BQQqQQ", width, len(doc_ids), len(doc_ids) - len(known), least, len(ids), len(coded)) + ids + coded + names
 
 
 class Segment:
     def __init__(self, data: bytes) -> None:
         if data[:8] != MAGIC:
             raise ValueError("not a token file")
-        self.width, self.n, n_bytes, n_coded = struct.unpack_from("<BQQQ", data, 8)
-        at = 33
+        self.width, self.n, self.nulls, self.least, n_bytes, n_coded = struct.unpack_from("<BQQqQQ", data, 8)
+        at = 49
         self.ids = np.frombuffer(data, f"<u{self.width}", n_bytes // self.width, at)
         self.ends = EliasFano.load(data[at + n_bytes : at + n_bytes + n_coded])
-        at += n_bytes + n_coded
-        known = np.frombuffer(data, np.uint8, self.n, at)
-        names = np.frombuffer(data, "<i8", self.n, at + self.n)
-        self.doc_ids = [x if k else None for x, k in zip(names.tolist(), known.tolist(), strict=True)]
+        self.names = EliasFano.load(data[at + n_bytes + n_coded :])
 
-    def bounds(self, i: int) -> tuple[int, int]:
-        """First id and end of the i-th document, by two selects."""
-        return self.ends.select(i - 1) if i else 0, self.ends.select(i)
+    def bounds(self, a: int, b: int) -> np.ndarray:
+        """First id of the a-th document and the ends of all from it to before the b-th, by select."""
+        ends = self.ends.range(max(a - 1, 0), b).astype(np.int64)
+        return ends if a else np.concatenate([[0], ends])
 
+    def doc_ids(self, a: int, b: int) -> list[int | None]:
+        some = self.names.range(max(a - self.nulls, 0), max(b - self.nulls, 0)) + np.uint64(self.least % (1 << 64))
+        return [None] * (b - a - len(some)) + some.view(np.int64).tolist()
 
 
 #: Bytes as the printable characters that byte-level vocabularies write for them: printable ones stand for themselves.
@@ -233,7 +237,7 @@ def write_tokens(docs: DataFrame, tokenizer_json: str, end_id: int, path: str |
     """Write the ids of docs (doc_id, text), each document's followed by end_id, and return the manifest.
 
     Documents are in ascending order of doc_id, nulls first, rows with the same id by text. Null and empty texts give
-    end_id alone; an empty table gives no segment. `path` must be a folder that all executors can write, as a URI.
+    end_id alone; a text longer than a segment is one of its own; an empty table gives no segment. Columns but doc_id and text stay behind. `path` must be a folder that all executors can write, as a URI.
     Manifest: task, seq, path, n_docs, n_ids, first, the number of ids in all earlier segments.
     """
     from tokenizers import Tokenizer
@@ -296,12 +300,12 @@ def read_tokens(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
                 store, place = fs.FileSystem.from_uri(path)
                 with store.open_input_stream(place) as data:
                     segment = Segment(data.read())
-                ends = segment.ends.all().astype(np.int64)
-                starts = np.concatenate([[0], ends[:-1]])
-                for at in range(0, segment.n, 512):
-                    a, b = starts[at : at + 512], ends[at : at + 512]
+                for at in range(0, segment.n, TOGETHER):
+                    until = min(at + TOGETHER, segment.n)
+                    bounds = segment.bounds(at, until)
+                    a, b = bounds[:-1], bounds[1:]
                     ids = [segment.ids[x:y].astype("<u4").tobytes() for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-                    out = {"doc_id": pa.array(segment.doc_ids[at : at + 512], pa.int64()), "start": first + a, "n_tokens": b - a, "ids_crc32": [zlib.crc32(x) for x in ids]}
+                    out = {"doc_id": pa.array(segment.doc_ids(at, until), pa.int64()), "start": first + a, "n_tokens": b - a, "ids_crc32": [zlib.crc32(x) for x in ids]}
                     yield pa.RecordBatch.from_pydict(out | ({"ids": pa.array(ids, pa.binary())} if with_ids else {}))
 
     spread = manifest.select("path", "first").repartition(max(1, manifest.count()), "path")
@@ -319,5 +323,6 @@ def read_document(manifest: DataFrame, place: int) -> np.ndarray:
     store, name = fs.FileSystem.from_uri(row["path"])
     with store.open_input_stream(name) as data:
         segment = Segment(data.read())
-    a, b = segment.bounds(place - row["docs_before"])
+    at = place - row["docs_before"]
+    a, b = segment.bounds(at, at + 1)
     return segment.ids[a:b]

@@ -72,6 +72,11 @@ def test_bpe(docs, none):
     out = bpe_codec.decode(bpe_codec.encode(docs, ranks, public_tokenizers.PATTERN), ranks).collect()
     assert Counter((r["doc_id"], tuple(np.frombuffer(r["ids"], "<u4").tolist()), bytes(r["decoded"])) for r in out) == want
     assert bpe_codec.encode(none, ranks, public_tokenizers.PATTERN).count() == 0
+    with pytest.raises(ValueError, match="pattern"):
+        bpe_codec.encode(docs, ranks, r"\S+|\s+")
+    ids = docs.sparkSession.createDataFrame([(1, None), (2, b""), (3, (72).to_bytes(4, "little"))], "doc_id bigint, ids binary")
+    table = bpe_codec.token_table(ranks)
+    assert [r["decoded"] for r in bpe_codec.decode(ids, ranks).orderBy("doc_id").collect()] == [None, b"", table[72]]
 
 
 def test_token_files(docs, none):
@@ -97,11 +102,36 @@ def test_token_ids_with_special_tokens(text):
     assert [np.frombuffer(x, "<u2").tolist() for x in ids] == [library.encode(x, add_special_tokens=False).ids for x in ("Hello, USA", text, "")]
 
 
-@pytest.mark.parametrize("values", [[1], [0, 0, 0], [3, 3, 90, 1000, 1000, 70_000], list(range(0, 9000, 7))])
+@pytest.mark.parametrize("values", [[], [1], [0, 0, 0], [3, 3, 90, 1000, 1000, 70_000], list(range(0, 9000, 7)), [5] * 700 + [1 << 40] * 300, [0, (1 << 63) + 5]])
 def test_elias_fano(values):
-    coded = token_files.EliasFano.load(token_files.EliasFano.of(np.array(values)).dump())
-    assert coded.all().tolist() == values
+    coded = token_files.EliasFano.load(token_files.EliasFano.of(np.array(values, np.uint64)).dump())
+    assert coded.range(0, len(values)).tolist() == values
     assert [coded.select(i) for i in range(len(values))] == values
+    assert all(coded.range(a, min(a + 300, len(values))).tolist() == values[a : a + 300] for a in range(0, len(values), 77))
+    # near-minimal: two bits and the low ones a value, an eighth of a bit for select, and the head
+    assert 8 * len(coded.dump()) <= len(values) * (coded.low_bits + 3.2) + 8 * 50
+    with pytest.raises(IndexError):
+        coded.select(len(values))
+
+
+@pytest.mark.parametrize("names", [[None, None], [None, -5, -5, 0, 9], [-(1 << 63), (1 << 63) - 1], [7]])
+def test_segment(names):
+    ids = np.arange(2 * len(names), dtype="<u2")
+    segment = token_files.Segment(token_files.write_segment(names, np.arange(1, len(names) + 1) * 2, ids.tobytes(), 2))
+    assert segment.doc_ids(0, len(names)) == names
+    assert [segment.doc_ids(i, i + 1)[0] for i in range(len(names))] == names
+    assert [segment.bounds(i, i + 1).tolist() for i in range(len(names))] == [[2 * i, 2 * i + 2] for i in range(len(names))]
+
+
+def test_read_document(spark, docs):
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        vocabulary = f.read()
+    manifest = token_files.write_tokens(docs, vocabulary, 1)
+    rows = token_files.read_tokens(manifest).orderBy("start").collect()
+    for place in (0, 5, len(rows) - 1):
+        assert token_files.read_document(manifest, place).astype("<u4").tobytes() == bytes(rows[place]["ids"])
+    with pytest.raises(IndexError):
+        token_files.read_document(manifest, len(rows))
 
 
 def test_shards(docs, none, spark, tmp_path):
@@ -218,17 +248,25 @@ def test_toxicity_sample_passes_over_giants(spark):
         assert Counter(toxicity.sample(docs, labels, F.lit(True), most, size)) == Counter(want)
 
 
-def test_nearest(spark):
+@pytest.mark.parametrize("shard", [4096, 150])
+def test_nearest(spark, shard):
     random = np.random.default_rng(3)
     vectors = random.normal(size=(600, 16))
-    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)] + [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [None] * 16), (904, [float(x) for x in vectors[0]])]
-    found = ann.search_embeddings(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") % 50 == 0, 5).collect()
+    scale = np.ones(600)
+    scale[[50, 51]], scale[[100, 101]] = 1e200, 1e-200  # squares leave the range of doubles
+    rows = [(i, [float(x) for x in v * s], "t", 1) for i, (v, s) in enumerate(zip(vectors, scale, strict=True))]
+    rows += [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [None] * 16), (904, [float(x) for x in vectors[0]]), (905, [float("inf")] * 16), (950, [1.0, 2.0]), (None, [1.0] * 16)]
+    docs = spark.createDataFrame([(*r, "t", 1)[:4] for r in rows], "vec_id bigint, embedding array<double>, shard string, rank int")
+    found = ann.search_embeddings(docs, F.col("vec_id") % 50 == 0, 5, shard=shard).collect()
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     hits = 0
     for q in range(0, 600, 50):
         scores = unit @ unit[q]
         scores[q] = -2
-        hits += len(set(np.argsort(-scores)[:5].tolist()) & {r["vec_id"] for r in found if r["query_id"] == q})
+        own = {r["vec_id"]: r["score"] for r in found if r["query_id"] == q}
+        hits += len(set(np.argsort(-scores)[:5].tolist()) & own.keys())
+        assert len(own) == 5 and all(abs(s - scores[i]) < 1e-12 for i, s in own.items() if i < 600)
     assert hits >= 0.9 * 12 * 5
     assert next(r["vec_id"] for r in found if r["query_id"] == 0 and r["rank"] == 1) == 904
-    assert not {900, 901, 902, 903} & {r["query_id"] for r in found}
+    assert not {900, 901, 902, 903, 905, 950} & {r["query_id"] for r in found}
+    assert ann.search_embeddings(docs.limit(0), F.col("vec_id") % 50 == 0, 5).count() == 0
