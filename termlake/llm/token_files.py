@@ -9,13 +9,14 @@ a Spark table, names the segments that count; segments of failed attempts are ne
 from __future__ import annotations
 
 import json
+import operator
 import string
 import struct
 import sys
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import islice
+from itertools import compress, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -123,6 +124,7 @@ class Segment:
 #: Bytes as the printable characters that byte-level vocabularies write for them: printable ones stand for themselves.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_PRINTABLE))}
+_MARKS = string.punctuation.encode()
 _SHOWN_IN_LINE = {b: c for b, c in _SHOWN.items() if b != 32}
 
 
@@ -165,26 +167,33 @@ class WordEncoder:
         return not normalised and bool(told["model"].get("end_of_word_suffix")) and steps == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in splits] == ["Split", "ByteLevel"] and pattern.endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
     def _learn(self, words: list[bytes]) -> None:
-        letters = [word for word in words if word.isalpha()]  # ASCII ones
-        self.known.update(zip(letters, self._stems([word.decode() for word in letters]), strict=True))
-        stems: dict[str, bytes] = {}
-        simple: list[tuple[bytes, str, str]] = []
-        other: list[bytes] = []
+        letters, marked, other = [], [], []
         for word in words:
-            if word.isalpha():
-                continue
+            if word.isalpha():  # ASCII ones
+                letters.append(word)
+            elif (stem := word.rstrip(_MARKS)).isalpha():
+                marked.append((word, stem, word[len(stem) :]))
+            else:
+                other.append(word)
+        stems = {stem for _, stem, _ in marked}.difference(self.known, letters)
+        self.known.update(zip(letters, self._stems([word.decode() for word in letters]), strict=True))
+        own = dict(zip(stems, self._stems([word.decode() for word in stems]), strict=True))
+        wide: list[tuple[bytes, str, str]] = []
+        rest: list[str] = []
+        for word in other:
             text = word.decode("utf-8", "surrogatepass")
             stem = text.rstrip(string.punctuation)
-            if stem.isalpha() and (stem.isascii() or (stem.islower() and unicodedata.is_normalized("NFC", stem))):
-                stems[stem] = b""
-                simple.append((word, stem, text[len(stem) :]))
+            if stem.isalpha() and stem.islower() and unicodedata.is_normalized("NFC", stem):
+                wide.append((word, stem, text[len(stem) :]))
             else:
-                other.append(word)
-        stems.update(zip(list(stems), self._stems(list(stems)), strict=True))
-        new = sorted({tail for _, _, tail in simple}.difference(self.tails))
+                rest.append(text)
+        shown = list({stem for _, stem, _ in wide})
+        shown = dict(zip(shown, self._stems(shown), strict=True))
+        new = sorted({tail.decode() for _, _, tail in marked}.union(tail for _, _, tail in wide).difference(self.tails))
         self.tails.update(zip(new, self._library(new), strict=True))
-        self.known.update((word, stems[stem] + self.tails[tail]) for word, stem, tail in simple)
-        self.known.update(zip(other, self._library([x.decode("utf-8", "surrogatepass") for x in other]), strict=True))
+        self.known.update((word, (own.get(stem) or self.known[stem]) + self.tails[tail.decode()]) for word, stem, tail in marked)
+        self.known.update((word, shown[stem] + self.tails[tail]) for word, stem, tail in wide)
+        self.known.update(zip((x.encode("utf-8", "surrogatepass") for x in rest), self._library(rest), strict=True))
         if len(self.tails) > CACHE // 10:
             self.tails = {"": b""}
 
@@ -214,13 +223,20 @@ class WordEncoder:
             lowered = x.lower()
             # special tokens are looked for before anything is lowered, and lowering could make one
             split.append(None if any(mark in lowered for mark in self.marks) and any(token in lowered for token in self.added) else lowered.split())
-        distinct = set().union(*filter(None, split))
-        if len(self.known) + len(distinct) > CACHE:  # the words met first are the frequent ones
-            self.known = dict(islice(self.known.items(), CACHE // 2))
-        if unknown := distinct.difference(self.known):
+        found = [list(map(self.known.get, words or ())) for words in split]
+        unknown: set[bytes] = set()
+        missing = [list(compress(range(len(ids)), map(operator.is_, ids, repeat(None)))) if None in ids else [] for ids in found]
+        for words, places in zip(split, missing, strict=True):
+            unknown.update(map((words or []).__getitem__, places))
+        if unknown:
+            if len(self.known) + len(unknown) > CACHE:  # the words met first are the frequent ones
+                self.known = dict(islice(self.known.items(), CACHE // 2))
             self._learn(list(unknown))
+            for words, ids, places in zip(split, found, missing, strict=True):
+                for i in places:
+                    ids[i] = self.known[words[i]]
         whole = iter(self._library([x.decode("utf-8", "surrogatepass") for x, words in zip(texts, split, strict=True) if words is None]))
-        return [next(whole) if words is None else b"".join(map(self.known.__getitem__, words)) for words in split]
+        return [next(whole) if words is None else b"".join(ids) for words, ids in zip(split, found, strict=True)]
 
 
 def _encoder(tokenizer_json: str, width: int) -> WordEncoder:

@@ -102,6 +102,20 @@ def test_token_ids_with_special_tokens(text):
     assert [np.frombuffer(x, "<u2").tolist() for x in ids] == [library.encode(x, add_special_tokens=False).ids for x in ("Hello, USA", text, "")]
 
 
+def test_token_ids_of_random_texts():
+    """Against the library: capitals, marks, numbers, special tokens, all kinds of space, marks that combine."""
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        vocabulary = f.read()
+    library, encoder = Tokenizer.from_str(vocabulary), token_files.WordEncoder(vocabulary, 2)
+    random = np.random.default_rng(11)
+    pieces = ["the", "Cat", "USA", "naïve", "É", "e\u0301", "don't", "o'clock,", "x_y", "--", "...", "!?", "42", "3.5", "<|endoftext|>", "<|", "|>", "日本", "ﬁn", "Σας", "İ", "ß", "\u0301", "emoji😀", "A.B", "ZZZ.", "zzz,", "'s", "'S"]
+    gaps = [" ", "", "\t", "\n ", "\x0b", "\xa0", "\u2003", "\u3000", "\x85", "\x1c"]
+    for _ in range(60):
+        texts = ["".join(str(x) for _ in range(int(random.integers(0, 30))) for x in (random.choice(pieces), random.choice(gaps))) for _ in range(50)]
+        want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+        assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode([t.encode() for t in texts])] == want
+
+
 @pytest.mark.parametrize("values", [[], [1], [0, 0, 0], [3, 3, 90, 1000, 1000, 70_000], list(range(0, 9000, 7)), [5] * 700 + [1 << 40] * 300, [0, (1 << 63) + 5]])
 def test_elias_fano(values):
     coded = token_files.EliasFano.load(token_files.EliasFano.of(np.array(values, np.uint64)).dump())
