@@ -9,42 +9,88 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Tags that separate text, English function words, nouns that name nothing in particular.
+# Tags that separate text, function words of English and of French, Dutch, German and Spanish, nouns that name nothing
+# in particular, the form of a heading, terms that an interface shows for properties, and what it must never show.
 BLOCK_TAGS = """address article aside blockquote br caption col colgroup dd div dl dt fieldset figcaption figure footer form
 h1 h2 h3 h4 h5 h6 header hr li main nav ol option p pre section table tbody td tfoot th thead tr ul""".split()
-FUNCTION_WORDS = """a an the this that these those my our your its it they them he she we i you is are was were be been being
+ENGLISH_FUNCTION_WORDS = """a an the this that these those my our your its it they them he she we i you is are was were be been being
 am do does did done doing have has had having can could shall should will would may might must how what when where why
 which who whom whose whether to of in on at by for from with without into onto about over under after before during
 between through as and or but not no nor if then than so check checking find finding get getting know knowing see seeing
 tell telling use using need needing want wanting make making take taking put putting replace replacing replaced change
 changing changed clean cleaning fix fixing often long much many always ever again also just still now soon please help me
 mine ok okay""".split()
+OTHER_FUNCTION_WORDS = """le la les un une des du de d au aux ce cet cette ces mon ma mes votre vos est sont etait je tu il elle nous
+vous ils elles qui que quoi quel quelle quels quelles comment pourquoi quand ou dois faire fait dans sur sous avec sans pour par
+entre apres avant plus moins tres
+de het een deze dit die dat mijn uw zijn haar ik jij hij zij wij is zijn was waren heb heeft hebben kan kunnen moet moeten zal
+zullen hoe wat waar waarom wanneer welke wie doe doen maak maken in op aan van voor met zonder naar bij over onder tussen na
+der die das ein eine einen dem den des ich du er sie wir ihr ist sind war waren habe hat haben kann koennen muss muessen wird
+werden wie was wo warum wann welche wer mache machen im auf an von fuer mit ohne nach bei ueber unter zwischen
+el los las uno una unos unas mi mis su sus este esta estos estas es son era eran tengo tiene tienen puedo pueden debe deben como
+que donde por cuando cual quien hago hacer en sobre bajo con sin para entre despues antes""".split()
+FUNCTION_WORDS = list(dict.fromkeys(ENGLISH_FUNCTION_WORDS + OTHER_FUNCTION_WORDS))
 GENERIC_NOUNS = """process processes procedure procedures method methods thing things stuff item items way ways system systems
 information info data detail details step steps question questions""".split()
+HEADING = r"^\s{0,3}#{1,6}\s+\S"
+SHOWN_AS = {
+    "prefLabel": "Preferred term", "altLabel": "Also called", "hiddenLabel": "Common misspelling", "definition": "Definition",
+    "scopeNote": "When to use it", "changeNote": "Reason for this change", "broader": "Part of", "narrower": "Includes",
+    "related": "See also", "inScheme": "Vocabulary", "notation": "Code", "versionInfo": "Version", "deprecated": "Retired",
+    "isReplacedBy": "Replaced by",
+}
+JARGON = (r"(?i)skos:", r"(?i)owl:", r"(?i)\bdct:", r"(?i)@prefix", r"\bSELECT\b", r"\bprefLabel\b", r"\baltLabel\b", r"\bhiddenLabel\b", r"https?://", r"component\.type", r"fault\.code")
 EDGE_MARKS = "[.,;:!?()\\[\\]{}\"'“”‘’]+"
 
 
+def _folded(character: str) -> str:
+    """The compatibility decomposition, without marks and case-folded, anything but a-z and 0-9 being a space."""
+    plain = "".join(c for c in unicodedata.normalize("NFKD", character) if not unicodedata.combining(c)).casefold()
+    return "".join(c if c.isascii() and c.isalnum() else " " for c in plain)
+
+
+def _ranges(points: list[int]) -> str:
+    """A Java character class of code points in order."""
+    parts, first = [], None
+    for before, point in zip([None, *points], [*points, None], strict=False):
+        if before is None or point != before + 1:
+            if first is not None:
+                parts.append(rf"\x{{{first:x}}}-\x{{{before:x}}}" if first != before else rf"\x{{{first:x}}}")
+            first = point
+    return "[" + "".join(parts) + "]"
+
+
 @functools.cache
-def _folds() -> tuple[str, str]:
-    """Characters whose compatibility decomposition, without marks and case-folded, is one ASCII letter or digit; and those."""
-    before, after = [], []
-    for cp in range(0x80, 0x10000):
+def _folds() -> tuple[str, str, str, str, str]:
+    """Characters of the first plane that fold to one letter or digit, and those; a class of all others that fold to some, and what
+    these fold to, as str_to_map reads it; a class of the marks that go."""
+    before, after, several, marks = [], [], {}, []
+    for cp in range(0x80, 0x110000):
         if 0xD800 <= cp < 0xE000:
             continue
-        folded = "".join(c for c in unicodedata.normalize("NFKD", chr(cp)) if not unicodedata.combining(c)).casefold()
-        if len(folded) == 1 and folded.isascii() and folded.isalnum():
+        folded = _folded(chr(cp))
+        if not folded:
+            marks.append(cp)
+            continue
+        if len(folded) == 1 and folded != " " and cp < 0x10000:
             before.append(chr(cp))
             after.append(folded)
-    return "".join(before), "".join(after)
+        elif folded.strip():
+            several[cp] = folded
+    known = "\x1e".join(f"{chr(cp)}\x1f{folded}" for cp, folded in several.items())
+    return "".join(before), "".join(after), _ranges(sorted(several)), known, _ranges(marks)
 
 
 def normalise(text: Column) -> Column:
-    """Without accents and case, runs of anything but a-z and 0-9 as one space, trimmed. `ß` and common ligatures expand."""
-    before, after = _folds()
-    out = text
-    for ligature, letters in (("ß", "ss"), ("ẞ", "ss"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("™", "tm")):
-        out = F.replace(out, F.lit(ligature), F.lit(letters))
-    out = F.lower(F.translate(F.regexp_replace(out, r"\p{M}+", ""), before, after))
+    """Without accents and case, runs of anything but a-z and 0-9 as one space, trimmed. Characters that stand for several letters,
+    such as ligatures, fractions and Roman numbers, and those beyond the first plane, expand; few texts hold any."""
+    before, after, several, known, marks = _folds()
+    table = F.str_to_map(F.lit(known), F.lit("\x1e"), F.lit("\x1f"))
+    expanded = F.transform(F.regexp_extract_all(text, F.lit(several), F.lit(0)), lambda c: F.try_element_at(table, c))
+    pieces = F.split(text, several)
+    whole = F.array_join(F.zip_with(pieces, expanded, lambda piece, c: F.concat(F.coalesce(piece, F.lit("")), F.coalesce(c, F.lit("")))), "")
+    out = F.when(text.rlike(several), whole).otherwise(text)
+    out = F.lower(F.translate(F.when(out.rlike(marks), F.regexp_replace(out, marks, "")).otherwise(out), before, after))
     return F.trim(F.regexp_replace(out, "[^a-z0-9]+", " "))
 
 
@@ -74,17 +120,18 @@ def ngrams(tokens: Column, most: int = 4) -> Column:
 
 
 def content_phrase(phrase: Column, function_words: list[str] = FUNCTION_WORDS) -> Column:
-    """The phrase without function words at either end; inside they stay."""
+    """The normalised phrase without function words at either end; inside they stay."""
     known = F.array(*map(F.lit, function_words))
-    tokens = F.split(F.trim(phrase), r"\s+")
-    content = F.filter(F.sequence(F.lit(1), F.size(tokens)), lambda i: ~F.array_contains(known, F.lower(F.element_at(tokens, i))))
+    tokens = words(phrase)
+    content = F.filter(F.transform(tokens, lambda w, i: F.when(~F.array_contains(known, w), i + 1)), lambda i: i.isNotNull())
     return F.when(F.size(content) > 0, F.array_join(F.slice(tokens, F.array_min(content), F.array_max(content) - F.array_min(content) + 1), " ")).otherwise("")
 
 
-def worth_reporting(phrase: Column) -> Column:
-    """Something is left of the phrase, and not only generic nouns."""
+def worth_reporting(phrase: Column, top_score: Column | None = None, floor: float = 0.0) -> Column:
+    """Something is left of the phrase, and not only generic nouns; with a floor, the best candidate's score reaches it as well."""
     left = F.filter(F.split(content_phrase(phrase), " "), lambda w: w != "")
-    return (F.size(left) > 0) & F.exists(left, lambda w: ~F.lower(w).isin(GENERIC_NOUNS + FUNCTION_WORDS))
+    named = (F.size(left) > 0) & F.exists(left, lambda w: ~w.isin(GENERIC_NOUNS + FUNCTION_WORDS))
+    return named & F.coalesce(top_score >= floor, F.lit(False)) if floor and top_score is not None else named
 
 
 @functools.cache
@@ -128,14 +175,96 @@ def blank_comments(markup: Column) -> Column:
     return F.array_join(F.zip_with(F.split(markup, comment), breaks, lambda piece, b: F.concat(piece, F.coalesce(b, F.lit("")))), "")
 
 
+#: White space as str.split() has it.
+BLANK = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def word_count(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(f"[^{BLANK}]+")), F.lit(0))
+
+
+def stripped(text: Column) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(text, f"^[{BLANK}]+|[{BLANK}]+$", "")
+
+
 def token_estimate(text: Column) -> Column:
-    """Four thirds of the number of words, 1 at least."""
-    n = F.when(F.trim(text) == "", 0).otherwise(F.size(F.split(F.trim(text), r"\s+")))
-    return F.greatest(F.lit(1), F.floor(F.coalesce(n, F.lit(0)) * 4 / 3)).cast("int")
+    """Four thirds of the number of words, rounded down, 1 at least."""
+    return F.greatest(F.lit(1), F.floor(word_count(text) * 4 / 3)).cast("int")
 
 
 def is_heading(line: Column) -> Column:
-    return line.rlike(r"^\s{0,3}#{1,6}\s+\S")
+    return line.rlike(HEADING)
+
+
+def heading_text(line: Column) -> Column:
+    return F.trim(F.regexp_replace(line, "^[# ]+", ""))
+
+
+def readable(text: Column, is_html: Column) -> Column:
+    """Markup flattened, other text as it is."""
+    return F.when(is_html, flatten_html(text)).otherwise(text)
+
+
+def add_gutter(text: Column, first: Column) -> Column:
+    """Each line behind its number: L12|text. `first` is the number of the first line."""
+    return F.array_join(F.transform(F.split(text, "\n"), lambda line, i: F.concat(F.lit("L"), (first + i).cast("string"), F.lit("|"), line)), "\n")
+
+
+def strip_gutter(text: Column) -> Column:
+    """Without such numbers of up to seven characters, L included, before the bar."""
+    return F.regexp_replace(text, r"(?m)^L[0-9]{1,6}\|", "")
+
+
+def whole_word_in(label: Column, corpus: Column) -> Column:
+    """A normalised label, as whole words, in a normalised text; an empty label never is."""
+    return (label != "") & F.contains(F.concat(F.lit(" "), corpus, F.lit(" ")), F.concat(F.lit(" "), label, F.lit(" ")))
+
+
+def holds_stem(label: Column, stems: list[str]) -> Column:
+    """Any of the stems in the label, whatever its case."""
+    return F.lower(label).rlike("|".join(f"\\Q{stem.lower()}\\E" for stem in stems))
+
+
+def entities(markup: Column) -> Column:
+    """The distinct entities of markup, in order."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(markup, F.lit("&[a-zA-Z#][a-zA-Z0-9]*;"), F.lit(0))))
+
+
+def is_iri(text: Column) -> Column:
+    """Holds a colon, and no space, control character or any of <>"{}|^`\\."""
+    return F.coalesce(text.contains(":") & ~text.rlike(r'[\x00-\x20<>"{}|^`\\]'), F.lit(False))
+
+
+def is_language_tag(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"^[A-Za-z]{1,8}(-[A-Za-z0-9]{1,8})*$"), F.lit(False))
+
+
+def literal(text: Column, language: Column | None = None) -> Column:
+    """A literal as an N-Quads line has it. A language that is no tag raises."""
+    out = text
+    for plain, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        out = F.replace(out, F.lit(plain), F.lit(escaped))
+    out = F.concat(F.lit('"'), out, F.lit('"'))
+    if language is None:
+        return out
+    checked = F.when(language.isNull() | is_language_tag(language), language).otherwise(F.raise_error(F.concat(F.lit("not a language tag: "), language)).cast("string"))
+    return F.concat(out, F.coalesce(F.concat(F.lit("@"), checked), F.lit("")))
+
+
+def shown_as(name: Column) -> Column:
+    """What an interface calls a property; its own name where there is no other."""
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in SHOWN_AS.items() for x in pair)), name), name)
+
+
+def jargon(text: Column) -> Column:
+    """Which of the patterns that no reader should meet are in the text, in their order."""
+    return F.filter(F.array(*(F.when(text.rlike(pattern), F.lit(pattern)) for pattern in JARGON)), lambda x: x.isNotNull())
+
+
+def server_event(item: Column) -> Column:
+    """A struct as one frame of an event stream."""
+    return F.concat(F.lit("data: "), F.to_json(item), F.lit("\n\n"))
 
 
 def phrase_count(text: Column, phrase: str) -> Column:
@@ -160,3 +289,12 @@ def plural(n: Column, noun: str) -> Column:
 
 def slug(iri: Column) -> Column:
     return F.element_at(F.split(iri, "/"), -1)
+
+
+def iri_of(namespace: str, name: Column) -> Column:
+    return F.concat(F.lit(namespace), name)
+
+
+def in_namespaces(iri: Column, namespaces: tuple[str, ...]) -> Column:
+    """Whether an address is one of ours, so that links to others are left out."""
+    return functools.reduce(lambda a, b: a | b, (iri.startswith(n) for n in namespaces))

@@ -8,23 +8,39 @@ from pyspark.sql import functions as F
 from termlake.functions import text as T
 
 CHUNK_TOKENS = 400
+#: Lines of a bucket that intervals of a document are joined by.
+BUCKET = 64
+
+
+def _split(text: Column) -> Column:
+    return F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"), "\n")
+
+
+def _with_offsets(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, row, line_no, line) with start_offset, one character counted for each break; by a window over a document's lines."""
+    before = Window.partitionBy("doc_id", "row").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).cast("long")
+    return rows.select("doc_id", "line_no", start.alias("start_offset"), "line")
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, start_offset, line), offsets counted in characters with one for each break; made within the row."""
-    split = docs.select("doc_id", F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n?", "\n"), "\n").alias("all"))
-    starts = F.expr("aggregate(all, named_struct('at', 0L, 'starts', cast(array() as array<bigint>)), (s, x) -> named_struct('at', s.at + length(x) + 1, 'starts', array_append(s.starts, s.at))).starts")
-    return split.select("doc_id", F.posexplode(F.arrays_zip("all", starts.alias("starts"))).alias("i", "z")).select("doc_id", (F.col("i") + 1).alias("line_no"), F.col("z.starts").alias("start_offset"), F.col("z.all").alias("line"))
+    """(doc_id, line_no, start_offset, line), offsets counted in characters with one for each break."""
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text").select("doc_id", "row", F.posexplode(_split(F.col("text"))).alias("i", "line"))
+    return _with_offsets(rows.withColumn("line_no", F.col("i") + 1))
+
+
+def _html_array(markup: Column) -> Column:
+    """(no, line) of lines of markup that say something, each flattened by itself and numbered as in the markup."""
+    clean = T.blank_comments(F.regexp_replace(F.coalesce(markup, F.lit("")), "\r\n?", "\n"))
+    flat = F.transform(F.split(clean, "\n"), lambda x, i: F.struct((i + 1).alias("no"), T.flatten_html(x).alias("line")))
+    return F.filter(flat, lambda x: x["line"] != "")
 
 
 def html_lines(pages: DataFrame) -> DataFrame:
     """(doc_id, line_no, start_offset, line) of pages (doc_id, markup): each line flattened by itself, blank ones gone,
     line_no as in the markup, offsets in the text that remains."""
-    clean = T.blank_comments(F.regexp_replace(F.coalesce("markup", F.lit("")), "\r\n?", "\n"))
-    flat = F.transform(F.split(clean, "\n"), lambda x, i: F.struct((i + 1).alias("no"), T.flatten_html(x).alias("line")))
-    kept = pages.select("doc_id", F.filter(flat, lambda x: x["line"] != "").alias("all"))
-    starts = F.expr("aggregate(all, named_struct('at', 0L, 'starts', cast(array() as array<bigint>)), (s, x) -> named_struct('at', s.at + length(x.line) + 1, 'starts', array_append(s.starts, s.at))).starts")
-    return kept.select("doc_id", F.explode(F.arrays_zip("all", starts.alias("starts"))).alias("z")).select("doc_id", F.col("z.all.no").alias("line_no"), F.col("z.starts").alias("start_offset"), F.col("z.all.line").alias("line"))
+    rows = pages.select("doc_id", F.monotonically_increasing_id().alias("row"), "markup").select("doc_id", "row", F.explode(_html_array(F.col("markup"))).alias("z"))
+    return _with_offsets(rows.select("doc_id", "row", F.col("z.no").alias("line_no"), F.col("z.line").alias("line")))
 
 
 def locate(snippet: Column, text: Column) -> Column:
@@ -46,22 +62,68 @@ def line_of(offset: Column, text: Column) -> Column:
     return F.size(F.split(F.substring(text, F.lit(1), offset), "\n"))
 
 
+def source_lines(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, is_html) as (doc_id, all): the (no, line) that can be cited, of text as it stands, of markup flattened."""
+    whole = F.split(F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n?", "\n"), "\n$", ""), "\n")
+    plain = F.transform(whole, lambda x, i: F.struct((i + 1).alias("no"), x.alias("line")))
+    return docs.select("doc_id", F.when(F.coalesce("is_html", F.lit(False)), _html_array(F.col("text"))).otherwise(plain).alias("all"))
+
+
 def chunks(docs: DataFrame, tokens: int = CHUNK_TOKENS) -> DataFrame:
-    """(doc_id, chunk_no, start_line, end_line, text): a heading opens a chunk, and so does the line after one that fills it."""
-    heads = F.transform("all", lambda x: F.struct(x.alias("line"), T.is_heading(x).alias("head"), T.token_estimate(x).alias("n")))
-    split = docs.select("doc_id", F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n?", "\n"), "\n").alias("all")).select("doc_id", heads.alias("all"))
-    numbered = F.expr(f"""aggregate(all, named_struct('chunk', 0, 'held', 0, 'of', cast(array() as array<int>)), (s, x) ->
-        named_struct('chunk', if((x.head and s.held > 0) or s.held >= {tokens}, s.chunk + 1, s.chunk), 'held', if((x.head and s.held > 0) or s.held >= {tokens}, x.n, s.held + x.n),
-        'of', array_append(s.of, if((x.head and s.held > 0) or s.held >= {tokens}, s.chunk + 1, s.chunk)))).of""")
-    rows = split.select("doc_id", F.posexplode(F.arrays_zip("all", numbered.alias("of"))).alias("i", "z")).select("doc_id", (F.col("i") + 1).alias("line_no"), F.col("z.all.line").alias("line"), F.col("z.of").alias("chunk_no"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
-    return rows.groupBy("doc_id", "chunk_no").agg(F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), F.trim(text).alias("text")).where("text <> ''")
+    """(doc_id, chunk_no, start_line, end_line, heading, text) of docs (doc_id, text): chunk_lines() of plain text."""
+    return chunk_lines(source_lines(docs.select("doc_id", "text", F.lit(False).alias("is_html"))), tokens)
+
+
+def chunk_lines(sources: DataFrame, tokens: int = CHUNK_TOKENS) -> DataFrame:
+    """(doc_id, chunk_no, start_line, end_line, heading, text) of sources (doc_id, all).
+
+    A heading opens a section; in a section, lines are packed until their estimate reaches `tokens`. Blank chunks are left
+    out, white space at both ends too. The fold keeps the places of the cuts only, so its work grows with the number of lines.
+    """
+    shaped = F.transform("all", lambda x: F.struct(T.is_heading(x["line"]).alias("head"), T.word_count(x["line"]).alias("n")))
+    marked = sources.select("doc_id", "all", shaped.alias("shaped"), F.filter(F.transform("all", lambda x, i: F.when(T.is_heading(x["line"]), i + 1)), lambda i: i.isNotNull()).alias("heads"))
+    full = f"greatest(1, floor((s.held + x.n) * 4 / 3)) >= {tokens}"
+    # state: place of the line, words of the open chunk, whether a cut comes before the next line, places of the cuts so far
+    fold = F.expr(f"""aggregate(shaped, named_struct('i', 0, 'held', 0, 'due', true, 'cuts', cast(array() as array<int>)), (s, x) ->
+        aggregate(array(s.due or x.head), s, (t, cut) -> named_struct('i', s.i + 1,
+            'held', if({full.replace("s.held", "if(cut, 0, s.held)")}, 0, if(cut, 0, s.held) + x.n), 'due', {full.replace("s.held", "if(cut, 0, s.held)")},
+            'cuts', if(cut, array_append(s.cuts, s.i + 1), s.cuts)))).cuts""")
+    cut = marked.select("doc_id", "all", "heads", fold.alias("cuts"))
+    ends = F.concat(F.slice("cuts", 2, F.greatest(F.size("cuts"), F.lit(1))), F.array(F.size("all") + 1))
+    parts = cut.select("doc_id", "all", "heads", F.posexplode(F.arrays_zip(F.col("cuts").alias("a"), ends.alias("b"))).alias("part", "z")).where("z.a is not null")
+    own = F.slice("all", F.col("z.a"), F.col("z.b") - F.col("z.a"))
+    head = F.element_at(F.filter("heads", lambda i: i <= F.col("z.a")), -1)
+    heading = F.when(F.size(F.filter("heads", lambda i: i <= F.col("z.a"))) > 0, T.heading_text(F.element_at(F.col("all.line"), head)))
+    text = T.stripped(F.array_join(F.transform(own, lambda x: x["line"]), "\n"))
+    out = parts.select("doc_id", F.col("part").alias("chunk_no"), own[0]["no"].alias("start_line"), F.element_at(own, -1)["no"].alias("end_line"), heading.alias("heading"), text.alias("text"))
+    return out.where("text <> ''")
 
 
 def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
     return (a_start <= b_end) & (a_end >= b_start)
 
 
+def overlap_join(a: DataFrame, b: DataFrame, key: str, size: int = BUCKET) -> DataFrame:
+    """a (key, a_start, a_end) with b (key, b_start, b_end) where their lines overlap, each pair once; malformed ranges meet nothing.
+
+    Both sides go to the buckets of `size` lines that they touch, so an interval meets what is near it and not all of its document;
+    a pair that shares several buckets is kept in the first of them.
+    """
+    def dealt(rows: DataFrame, start: str, end: str) -> DataFrame:
+        last = F.greatest(F.floor(F.col(end) / size), F.floor(F.col(start) / size))
+        return rows.where(F.col(start) <= F.col(end)).withColumn("bucket", F.explode(F.sequence(F.floor(F.col(start) / size), last)))
+
+    met = dealt(a, "a_start", "a_end").join(dealt(b, "b_start", "b_end"), [key, "bucket"])
+    first = F.greatest(F.floor(F.col("a_start") / size), F.floor(F.col("b_start") / size))
+    return met.where(overlaps(F.col("a_start"), F.col("a_end"), F.col("b_start"), F.col("b_end")) & (F.col("bucket") == first)).drop("bucket")
+
+
+def line_range(text: Column) -> Column:
+    """(start, end) of a range such as 3-7, null if it is none."""
+    start, end = (F.regexp_extract(text, r"^\s*(-?\d+)\s*-\s*(-?\d+)\s*$", i).try_cast("int") for i in (1, 2))
+    return F.when(start.isNotNull() & end.isNotNull(), F.struct(start.alias("start"), end.alias("end")))
+
+
 def verbatim(snippet: Column, text: Column) -> Column:
     """Whether the snippet stands in the text, white space apart; empty ones never do."""
     flat = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))

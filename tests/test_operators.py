@@ -63,8 +63,23 @@ def test_corrections(spark):
 
 
 def test_chunks(spark):
-    docs = spark.createDataFrame([(1, "# A\none two\n# B\nthree"), (2, None)], "doc_id bigint, text string")
-    assert [(r["start_line"], r["end_line"], r["text"]) for r in documents.chunks(docs).orderBy("doc_id", "chunk_no").collect()] == [(1, 2, "# A\none two"), (3, 4, "# B\nthree")]
+    many = "\n".join(["w " * 100] * 7)  # 300 words fill a chunk of 400 tokens
+    docs = spark.createDataFrame([(1, "\n# A\none two\n\n# B\nthree\n"), (2, None), (3, "  \n\t\n"), (4, many), (5, "x\r\n" + many)], "doc_id bigint, text string")
+    found = documents.chunks(docs).orderBy("doc_id", "chunk_no").collect()
+    assert [(r["start_line"], r["end_line"], r["heading"], r["text"]) for r in found if r["doc_id"] == 1] == [(2, 4, "A", "# A\none two"), (5, 6, "B", "# B\nthree")]
+    assert not [r for r in found if r["doc_id"] in (2, 3)]
+    assert [(r["start_line"], r["end_line"]) for r in found if r["doc_id"] == 4] == [(1, 3), (4, 6), (7, 7)]
+    assert [(r["start_line"], r["end_line"], r["heading"]) for r in found if r["doc_id"] == 5] == [(1, 4, None), (5, 7, None), (8, 8, None)]
+    page = documents.source_lines(spark.createDataFrame([(1, "<!-- x\ny --><h1>A</h1>\n\n<p>b</p>", True)], "doc_id bigint, text string, is_html boolean"))
+    assert [(r["start_line"], r["end_line"], r["text"]) for r in documents.chunk_lines(page).collect()] == [(2, 4, "A\nb")]
+
+
+def test_overlap_join(spark):
+    a = [(k, s, s + n) for k in "xy" for s, n in ((1, 0), (5, 200), (60, 10), (64, 0), (300, -1))]
+    b = [(k, s, s + n) for k in "xz" for s, n in ((1, 4), (63, 2), (100, 100), (129, 0))]
+    found = documents.overlap_join(spark.createDataFrame(a, "k string, a_start int, a_end int"), spark.createDataFrame(b, "k string, b_start int, b_end int"), "k")
+    want = [(*x, *y[1:]) for x in a for y in b if x[0] == y[0] and x[1] <= x[2] and x[1] <= y[2] and x[2] >= y[1]]
+    assert sorted(tuple(r) for r in found.select("k", "a_start", "a_end", "b_start", "b_end").collect()) == sorted(want)
 
 
 def test_quads(spark, tmp_path):
