@@ -61,9 +61,9 @@ def _ranges(points: list[int]) -> str:
 
 
 @functools.cache
-def _folds() -> tuple[str, str, str, str, str]:
+def _folds() -> tuple[str, str, str, str, str, str]:
     """Characters of the first plane that fold to one letter or digit, and those; a class of all others that fold to some, and what
-    these fold to, as str_to_map reads it; a class of the marks that go."""
+    these fold to, as str_to_map reads it; a class of the marks that go; a class that holds these and those and is cheap to look for."""
     before, after, several, marks = [], [], {}, []
     for cp in range(0x80, 0x110000):
         if 0xD800 <= cp < 0xE000:
@@ -78,20 +78,21 @@ def _folds() -> tuple[str, str, str, str, str]:
         elif folded.strip():
             several[cp] = folded
     known = "\x1e".join(f"{chr(cp)}\x1f{folded}" for cp, folded in several.items())
-    return "".join(before), "".join(after), _ranges(sorted(several)), known, _ranges(marks)
+    # one look for whatever is rare, in few ranges: all from the first mark on but punctuation, and what expands before that
+    rare = _ranges([cp for cp in range(0x110000) if (cp >= marks[0] and not 0x2000 <= cp < 0x2070 and not 0xD800 <= cp < 0xE000) or (cp in several and cp != 0xDF) or cp in marks])
+    return "".join(before), "".join(after), _ranges(sorted(several)), known, _ranges(marks), rare
 
 
 def normalise(text: Column) -> Column:
     """Without accents and case, runs of anything but a-z and 0-9 as one space, trimmed. Characters that stand for several letters,
     such as ligatures, fractions and Roman numbers, and those beyond the first plane, expand; few texts hold any."""
-    before, after, several, known, marks = _folds()
+    before, after, several, known, marks, rare = _folds()
     table = F.str_to_map(F.lit(known), F.lit("\x1e"), F.lit("\x1f"))
-    expanded = F.transform(F.regexp_extract_all(text, F.lit(several), F.lit(0)), lambda c: F.try_element_at(table, c))
-    pieces = F.split(text, several)
-    whole = F.array_join(F.zip_with(pieces, expanded, lambda piece, c: F.concat(F.coalesce(piece, F.lit("")), F.coalesce(c, F.lit("")))), "")
-    out = F.when(text.rlike(several), whole).otherwise(text)
-    out = F.lower(F.translate(F.when(out.rlike(marks), F.regexp_replace(out, marks, "")).otherwise(out), before, after))
-    return F.trim(F.regexp_replace(out, "[^a-z0-9]+", " "))
+    plain = F.replace(text, F.lit("ß"), F.lit("ss"))
+    expanded = F.transform(F.regexp_extract_all(plain, F.lit(several), F.lit(0)), lambda c: F.try_element_at(table, c))
+    whole = F.array_join(F.zip_with(F.split(plain, several), expanded, lambda piece, c: F.concat(F.coalesce(piece, F.lit("")), F.coalesce(c, F.lit("")))), "")
+    out = F.when(plain.rlike(rare), F.regexp_replace(whole, marks, "")).otherwise(plain)
+    return F.trim(F.regexp_replace(F.lower(F.translate(out, before, after)), "[^a-z0-9]+", " "))
 
 
 def merge_key(text: Column) -> Column:
