@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termlake.functions import text as T
 from termlake.functions.units import TOLERANCE
+from termlake.operators.impact import sentence
 
 EVIDENCE = 5
 RESURFACE = 100
@@ -36,26 +39,47 @@ def contradictions(sides: DataFrame, keys: list[str], tolerance: float = TOLERAN
     return grouped.where((F.col("sides") >= 2) & (F.col("dimensions") == 1) & F.when(F.col("dimension").isNull(), low != high).otherwise((low != high) & apart)).select(*keys, "sides", "min_value", "max_value")
 
 
-def restate(claims: DataFrame, index: DataFrame) -> DataFrame:
-    """claims (surface, ...) with concept_id and status by the index as it is now, in both directions; doing it twice changes nothing."""
-    keyed = claims.drop("concept_id", "status").withColumn("label_key", T.merge_key(F.col("surface")))
-    single = index.where(F.size("concepts") == 1).select(T.merge_key(F.col("label_key")).alias("label_key"), F.col("concepts")[0].alias("concept_id")).groupBy("label_key").agg(F.count_distinct("concept_id").alias("n"), F.min("concept_id").alias("concept_id")).where("n = 1").drop("n")
-    return keyed.join(single, "label_key", "left").withColumn("status", F.when(F.col("concept_id").isNull(), "held").otherwise("active"))
-
+def unique_labels(index: DataFrame) -> DataFrame:
+    """(label_key, to) of labels that exactly one concept has."""
+    return index.where(F.size("concepts") == 1).select("label_key", F.col("concepts")[0].alias("to"))
 
-def impact(held: DataFrame, drafts: DataFrame) -> DataFrame:
-    """(surface, mention_count, document_count, sentence): what each draft label (surface) would resolve of held (gap_key, source_file)."""
-    found = held.join(drafts.select(T.merge_key(F.col("surface")).alias("gap_key")).distinct(), "gap_key").groupBy("gap_key").agg(F.count("*").alias("mention_count"), F.countDistinct("source_file").alias("document_count"))
-    sentence = F.concat(F.lit("Adding this alternative term will resolve "), T.plural(F.col("mention_count"), "mention"), F.lit(" across "), T.plural(F.col("document_count"), "document"), F.lit("."))
-    return found.select(F.col("gap_key").alias("surface"), "mention_count", "document_count", sentence.alias("sentence"))
 
-
-def gap_queue(misses: DataFrame) -> DataFrame:
-    """(gap_key, total, counts by source, n_variants, first_surface) of misses (gap_key, surface, source, locator): a source never seen is absent, not 0."""
-    by_source = misses.groupBy("gap_key", "source").agg(F.count("*").alias("n"), F.min("surface").alias("surface"))
-    variants = misses.groupBy("gap_key").agg(F.countDistinct("surface").alias("n_variants"))
-    totals = by_source.groupBy("gap_key").agg(F.sum("n").alias("total"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("source", "n")))).alias("counts"), F.min("surface").alias("first_surface"))
-    return totals.join(variants, "gap_key")
+def restate(claims: DataFrame, index: DataFrame) -> DataFrame:
+    """claims (surface, ...) with concept_id, status and, where they have such columns, gap_key, resolved_by and resolution_score, by the
+    index as it is now, in both directions; doing it twice changes nothing. Labels match as they are: the fold of plurals merges
+    entries of the queue and resolves nothing."""
+    found = claims.withColumn("label_key", T.normalise(F.col("surface"))).join(unique_labels(index), "label_key", "left")
+    held = F.col("to").isNull()
+    made = {"concept_id": F.col("to"), "status": F.when(held, "held").otherwise("active")}
+    own = {"gap_key": F.when(held, T.merge_key(F.col("surface"))), "resolved_by": F.when(held, "abstain").otherwise("exact"), "resolution_score": F.when(held, 0.0).otherwise(1.0)}
+    return found.withColumns(made | {name: value for name, value in own.items() if name in claims.columns}).drop("to", "label_key")
+
+
+def restate_totals(claims: DataFrame) -> DataFrame:
+    """(claims, active, held)"""
+    return claims.agg(F.count("*").alias("claims"), F.count_if(F.col("status") == "active").alias("active"), F.count_if(F.col("status") == "held").alias("held"))
+
+
+def impact(held: DataFrame, drafts: DataFrame | None = None) -> DataFrame:
+    """(surface, mention_count, document_count, sentence): what each draft label (surface) would resolve of held (gap_key, source_file);
+    without drafts, what a label for each key would."""
+    if drafts is not None:
+        held = held.join(drafts.select(T.merge_key(F.col("surface")).alias("gap_key")).distinct(), "gap_key")
+    by_file = held.groupBy("gap_key", "source_file").agg(F.count("*").alias("n"))
+    found = by_file.groupBy("gap_key").agg(F.sum("n").alias("mention_count"), F.count("source_file").alias("document_count"))
+    return found.select(F.col("gap_key").alias("surface"), "mention_count", "document_count", sentence(F.col("mention_count"), F.col("document_count")).alias("sentence"))
+
+
+def gap_queue(misses: DataFrame, sources: tuple[str, ...]) -> DataFrame:
+    """(gap_key, total, counts by source, n_variants, first_surface) of misses (gap_key, surface, source): a source never seen is
+    absent, not 0. `sources` are all that there are. Misses are read once: counted by key and form, then by key."""
+    of = [F.count_if(F.col("source") == name).alias(f"n{i}") for i, name in enumerate(sources)]
+    forms = misses.groupBy("gap_key", "surface").agg(*of)
+    sums = [F.sum(f"n{i}").alias(f"n{i}") for i in range(len(sources))]
+    whole = forms.groupBy("gap_key").agg(*sums, F.count("*").alias("n_variants"), F.min("surface").alias("first_surface"))
+    counts = F.map_filter(F.create_map(*(x for i, name in enumerate(sources) for x in (F.lit(name), F.col(f"n{i}")))), lambda _, n: n > 0)
+    total = functools.reduce(lambda a, b: a + b, (F.col(f"n{i}") for i in range(len(sources))))
+    return whole.select("gap_key", total.alias("total"), counts.alias("counts"), "n_variants", "first_surface")
 
 
 def evidence(misses: DataFrame, most: int = EVIDENCE) -> DataFrame:
@@ -75,12 +99,16 @@ def held_surfaces(claims: DataFrame) -> DataFrame:
     return claims.where("status = 'held'").select("gap_key").distinct()
 
 
-def reresolve_backlog(claims: DataFrame, index: DataFrame) -> DataFrame:
-    """claims (gap_key, concept_id, status, ...) where held ones whose merge key is a label of exactly one concept become active.
+def reresolve_backlog(claims: DataFrame, index: DataFrame, fold: bool = False) -> DataFrame:
+    """claims (gap_key, concept_id, status, ...) where held ones whose merge key is a label of exactly one concept become active. With
+    `fold` labels are folded as well, so that a label in the plural promotes what a preview, which folds it, promises.
 
     `promoted` says which did, so the documents to index again are those of promoted claims. Active claims stay as they are.
     """
-    single = index.where(F.size("concepts") == 1).select(F.col("label_key").alias("gap_key"), F.col("concepts")[0].alias("to"))
+    single = unique_labels(index).withColumnRenamed("label_key", "gap_key")
+    if fold:
+        single = single.groupBy(T.merge_key(F.col("gap_key")).alias("gap_key")).agg(F.min("to").alias("to"), F.max("to").alias("also"))
+        single = single.where(F.col("to") == F.col("also")).drop("also")
     promoted = (F.col("status") == "held") & F.col("to").isNotNull()
     found = claims.join(single, "gap_key", "left").withColumn("promoted", F.coalesce(promoted, F.lit(False)))
     return found.withColumn("concept_id", F.when(F.col("promoted"), F.col("to")).otherwise(F.col("concept_id"))).withColumn("status", F.when(F.col("promoted"), "active").otherwise(F.col("status"))).drop("to")

@@ -2,19 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termlake.functions import text as T
 
 CLEAR, MARGIN, SHORTLIST = 0.82, 0.05, 5
+#: Schemes of machine names.
+MACHINE = ("telemetry",)
 
 
-def label_index(labels: DataFrame) -> DataFrame:
-    """(label_key, concepts, schemes, kind) of labels (concept_id, scheme_id, label, kind): pref goes before hidden, hidden before alt."""
-    rank = F.when(F.col("kind") == "pref", 3).when(F.col("kind") == "hidden", 2).otherwise(1)
+RANK = {"pref": 3, "hidden": 2, "alt": 1}
+
+
+def owners(labels: DataFrame) -> DataFrame:
+    """(label_key, concept_id, scheme_id, kind): each owner of each label key once, empty keys left out; pref goes before hidden, hidden before alt."""
+    rank = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in RANK.items() for x in pair)), F.col("kind")), F.lit(0))
     keyed = labels.withColumn("label_key", T.normalise(F.col("label"))).where("label_key <> ''")
-    return keyed.groupBy("label_key").agg(F.sort_array(F.collect_set("concept_id")).alias("concepts"), F.sort_array(F.collect_set("scheme_id")).alias("schemes"), F.max_by("kind", rank).alias("kind"))
+    return keyed.groupBy("label_key", "concept_id", "scheme_id").agg(F.max_by("kind", rank).alias("kind"))
+
+
+def label_index(labels: DataFrame) -> DataFrame:
+    """(label_key, n_concepts, concepts, schemes, kind) of labels (concept_id, scheme_id, label, kind).
+
+    `concepts` are the smallest and the largest owner, so it has one entry exactly if the owner is unique; all owners, of which a
+    label may have any number, are rows of owners(). Schemes are governed and few.
+    """
+    rank = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in RANK.items() for x in pair)), F.col("kind")), F.lit(0))
+    grouped = owners(labels).groupBy("label_key")
+    ends = F.array_distinct(F.array(F.min("concept_id"), F.max("concept_id")))
+    return grouped.agg(F.countDistinct("concept_id").alias("n_concepts"), ends.alias("concepts"), F.sort_array(F.collect_set("scheme_id")).alias("schemes"), F.max_by("kind", rank).alias("kind"))
+
+
+class Collision(ValueError):
+    """Labels that several concepts of one scheme have."""
+
+
+def build_index(labels: DataFrame) -> DataFrame:
+    """label_index(), refused with Collision if any scheme has a label twice; the message names 20 of these at most."""
+    if found := label_collisions(labels).orderBy("scheme_id", "label_key").limit(20).collect():
+        raise Collision("; ".join(f"{r['label_key']!r} has {r['n_concepts']} concepts in {r['scheme_id']}" for r in found))
+    return label_index(labels)
+
+
+def english_names(labels: DataFrame) -> DataFrame:
+    """(concept_id, pref_label): the last preferred label, in text order, in English or no language."""
+    own = labels.where("kind = 'pref' and (language is null or language = 'en')")
+    return own.groupBy("concept_id").agg(F.max("label").alias("pref_label"))
 
 
 def label_collisions(labels: DataFrame) -> DataFrame:
@@ -35,16 +71,125 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def nearest_labels(vectors: DataFrame, labels: DataFrame, k: int = SHORTLIST, most_labels: int = 100_000) -> DataFrame:
+def nearest_labels(vectors: DataFrame, labels: DataFrame, k: int = SHORTLIST, block: int = 100_000) -> DataFrame:
     """(vec_id, rank, label, score): the k nearest of labels (label, label_vector). Scores are rounded before they are ranked.
 
-    Labels are the governed vocabulary: their number is checked, and beyond most_labels this raises rather than broadcasts.
+    Up to `block` labels, whose number is counted, are broadcast. More are dealt into blocks of that size: each vector meets each
+    block, keeps the k best of it, and the best of all blocks are merged, so any number of labels is compared exactly.
     """
-    if labels.limit(most_labels + 1).count() > most_labels:
-        raise ValueError("too many labels to compare every vector with: search an index instead")
-    scored = vectors.crossJoin(F.broadcast(labels)).select("vec_id", "label", F.round(dot(F.col("embedding"), F.col("label_vector")), 4).alias("score"))
+    blocks = -(-labels.count() // block)
+    if blocks <= 1:
+        met = vectors.crossJoin(F.broadcast(labels)).withColumn("block", F.lit(0))
+    else:
+        dealt = labels.withColumn("block", F.pmod(F.xxhash64("label"), F.lit(blocks)).cast("int"))
+        met = vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "block")
+    scored = met.select("vec_id", "block", "label", F.round(dot(F.col("embedding"), F.col("label_vector")), 4).alias("score"))
+    best = F.row_number().over(Window.partitionBy("vec_id", "block").orderBy(F.desc("score"), "label"))
+    scored = scored.withColumn("rank", best).where(F.col("rank") <= k)
+    if blocks > 1:
+        scored = scored.withColumn("rank", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("score"), "label"))).where(F.col("rank") <= k)
+    return scored.select("vec_id", "label", "score", "rank")
+
+
+def nearest_concepts(vectors: DataFrame, labels: DataFrame, k: int = SHORTLIST, machine: tuple[str, ...] = MACHINE) -> DataFrame:
+    """(vec_id, rank, concept_id, label, score): the k nearest concepts by their best label of labels (label, concept_id, scheme_id,
+    label_vector); the first label wins ties. Machine schemes are never listed, though they match exactly."""
+    named = labels.where(~F.coalesce(F.col("scheme_id").isin(list(machine)), F.lit(False)))
+    blocks = -(-named.count() // 100_000)
+    dealt = named.withColumn("block", F.pmod(F.xxhash64("label"), F.lit(max(blocks, 1))).cast("int"))
+    met = vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(blocks, 1) - 1))))
+    met = met.join(F.broadcast(dealt) if blocks <= 1 else dealt, "block")
+    scored = met.select("vec_id", "concept_id", "label", F.round(dot(F.col("embedding"), F.col("label_vector")), 4).alias("score"))
+    # of a concept the label with the best score, the first in order among equals
+    best = scored.groupBy("vec_id", "concept_id").agg(F.max("score").alias("score"), F.min(F.struct((-F.col("score")).alias("less"), "label")).alias("of"))
     order = Window.partitionBy("vec_id").orderBy(F.desc("score"), "label")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = best.select("vec_id", "concept_id", F.col("of.label").alias("label"), "score").withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= k)
+
+
+def hash_embedding(text: Column, dim: int = 64) -> Column:
+    """A deterministic unit vector of a text, for tests and for those without a model: its words hashed to places and signs; zeros without words."""
+    hashed = F.transform(T.words(text), lambda w: F.xxhash64(w))
+    place = lambda h: F.pmod(h, F.lit(dim))
+    sums = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.aggregate(F.filter(hashed, lambda h: place(h) == d), F.lit(0.0), lambda s, h: s + F.when(F.call_function("shiftright", h, F.lit(40)) % 2 == 0, 1.0).otherwise(-1.0)))
+    norm = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda s, x: s + x * x))
+    return F.transform(sums, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+
+
+def resolve(mentions: DataFrame, index: DataFrame, vectors: DataFrame | None = None, aliases: DataFrame | None = None, embed: Callable[[Column], Column] | None = None,
+            clear: float = CLEAR, margin: float = MARGIN, k: int = SHORTLIST) -> DataFrame:
+    """mentions (id, surface) with normalised, lookup, concept_id, stage, score, label_kind, collision, shortlist.
+
+    First exact: a key of one concept resolves with score 1, a key of several abstains and names two of them. What is in no label
+    goes to the vectors (label, concept_id, scheme_id, label_vector), if there are any and an `embed`: the best concept resolves if
+    its score is clear and far enough from the second. All else abstains and keeps its shortlist. aliases (original, corrected), both
+    normalised, change what is looked up and never the surface; then label_kind is `alias`. Each mention is one row.
+    """
+    keyed = mentions.select("*", F.coalesce(T.normalise(F.col("surface")), F.lit("")).alias("normalised"))
+    if aliases is not None:
+        keyed = keyed.join(aliases.select(F.col("original").alias("normalised"), "corrected"), "normalised", "left")
+        keyed = keyed.withColumn("lookup", F.coalesce("corrected", "normalised")).drop("corrected")
+    else:
+        keyed = keyed.withColumn("lookup", F.col("normalised"))
+    own = index.select(F.col("label_key").alias("lookup"), "concepts", F.col("kind").alias("of_kind"))
+    found = keyed.join(own, "lookup", "left")
+    found = found.withColumn("hits", F.when(F.col("normalised") == "", 0).otherwise(F.coalesce(F.size("concepts"), F.lit(0))))
+    near = "array<struct<concept_id: string, label: string, score: double>>"
+    if vectors is not None and embed is not None:
+        asked = found.where("hits = 0 and normalised <> ''").select(F.col("lookup").alias("vec_id")).distinct().withColumn("embedding", embed(F.col("vec_id")))
+        ranked = nearest_concepts(asked, vectors, k)
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("concept_id").cast("string").alias("concept_id"), "label", F.col("score").cast("double").alias("score")))), lambda x: x.dropFields("rank"))
+        found = found.join(ranked.groupBy(F.col("vec_id").alias("lookup")).agg(listed.alias("near")), "lookup", "left")
+    else:
+        found = found.withColumn("near", F.lit(None).cast(near))
+    found = found.withColumn("shortlist", F.when((F.col("hits") == 0) & (F.col("normalised") != ""), F.coalesce("near", F.expr(f"cast(array() as {near})"))).otherwise(F.expr(f"cast(array() as {near})")))
+    best, second = F.get(F.col("shortlist"), F.lit(0)), F.get(F.col("shortlist"), F.lit(1))
+    sure = F.coalesce((best["score"] >= clear) & (second.isNull() | (F.round(best["score"] - second["score"], 4) >= margin)), F.lit(False))
+    exact = F.col("hits") == 1
+    return found.select(
+        *mentions.columns, "normalised", "lookup",
+        F.when(exact, F.col("concepts")[0].cast("string")).when(sure, best["concept_id"]).alias("concept_id"),
+        F.when(exact, "exact").when(sure, "embedding").otherwise("abstain").alias("stage"),
+        F.when(exact, 1.0).otherwise(F.coalesce(best["score"], F.lit(0.0))).alias("score"),
+        F.when(exact & (F.col("lookup") != F.col("normalised")), "alias").when(exact, F.col("of_kind")).alias("label_kind"),
+        F.when(F.col("hits") > 1, F.transform("concepts", lambda c: c.cast("string"))).otherwise(F.array().cast("array<string>")).alias("collision"),
+        "shortlist",
+    )
+
+
+def known_instances(mentions: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """mentions whose key is one of known: machine numbers match exactly or not at all."""
+    return mentions.join(known.select(key).distinct(), key, "left_semi")
+
+
+def prune_aliases(aliases: DataFrame, index: DataFrame) -> DataFrame:
+    """aliases (original, corrected) without those whose original is a label, or has several words while the corrected form is a label."""
+    labels = index.select(F.col("label_key").alias("original"))
+    kept = aliases.join(labels, "original", "left_anti")
+    several = kept.where(F.col("original").contains(" ")).join(index.select(F.col("label_key").alias("corrected")), "corrected", "left_anti")
+    return kept.where(~F.col("original").contains(" ")).unionByName(several.select(*kept.columns))
+
+
+def close_aliases(words: DataFrame, known: DataFrame) -> DataFrame:
+    """(original, corrected) of words (word) that are within their edit budget of exactly one nearest known (word): what stands in
+    for a model that corrects spelling. Candidates share what is left when up to the budget of letters is deleted."""
+    a = deletions(words.select(F.col("word").alias("original")).distinct(), "original", T.edit_budget(F.col("original")))
+    b = deletions(known.select(F.col("word").alias("corrected")).distinct(), "corrected", F.lit(3))
+    near = a.join(b, "variant").where((b["deleted"] <= a["budget"]) & (F.col("original") != F.col("corrected"))).select("original", "corrected").distinct()
+    near = near.withColumn("distance", F.levenshtein("original", "corrected")).where(F.col("distance") <= T.edit_budget(F.col("original")))
+    best = near.groupBy("original").agg(F.min("distance").alias("distance"))
+    return near.join(best, ["original", "distance"]).groupBy("original").agg(F.count("*").alias("n"), F.min("corrected").alias("corrected")).where("n = 1").drop("n")
+
+
+def deletions(words: DataFrame, word: str, budget: Column) -> DataFrame:
+    """words with budget, and a row for each `variant` that is left when `deleted` letters, up to the budget, are taken out of the word."""
+    rows = words.withColumn("budget", budget).withColumn("deleted", F.lit(0)).withColumn("variant", F.col(word))
+    out = rows
+    for n in range(1, 4):
+        rows = rows.where(f"budget >= {n} and length(variant) >= 1").withColumn("at", F.explode(F.sequence(F.lit(1), F.length("variant"))))
+        rows = rows.withColumn("variant", F.concat(F.expr("substring(variant, 1, at - 1)"), F.expr("substring(variant, at + 1)"))).withColumn("deleted", F.lit(n)).drop("at").distinct()
+        out = out.unionByName(rows)
+    return out
 
 
 def margin_verdict(ranked: DataFrame, clear: float = CLEAR, margin: float = MARGIN) -> DataFrame:
@@ -57,7 +202,9 @@ def margin_verdict(ranked: DataFrame, clear: float = CLEAR, margin: float = MARG
 def sweep_runs(questions: DataFrame, index: DataFrame, most: int = 4) -> DataFrame:
     """(id, text, runs) for each question: at each word from the left the longest phrase that is a label, whose words
     are consumed. A run is (start, size, label_key), start counted from 1."""
-    phrases = questions.select("id", F.explode(T.ngrams(T.question_words(F.col("text")), most)).alias("g")).select("id", "g.start", "g.size", "g.phrase")
+    # the words are a column first, so a text is split once and not for each phrase
+    tokens = questions.select("id", T.question_words(F.col("text")).alias("tokens"))
+    phrases = tokens.select("id", F.explode(T.ngrams(F.col("tokens"), most)).alias("g")).select("id", "g.start", "g.size", "g.phrase")
     hits = phrases.withColumn("label_key", T.normalise(F.col("phrase"))).join(index.select("label_key"), "label_key", "left_semi")
     longest = hits.groupBy("id", "start").agg(F.max(F.struct("size", "label_key")).alias("best"))
     runs = longest.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "best.size", "best.label_key"))).alias("runs"))
@@ -72,22 +219,28 @@ def greedy_sweep(questions: DataFrame, index: DataFrame, most: int = 4) -> DataF
     return sweep_runs(questions, index, most).select("id", F.col("runs.label_key").alias("terms"))
 
 
-def residual_sweep(swept: DataFrame, most: int = 4, lookups: int = 12) -> DataFrame:
-    """(id, misses) of swept (id, text, runs): phrases of unconsumed words that are worth reporting, longest first.
+def residual_sweep(swept: DataFrame, most: int = 4, lookups: int = 12, aliases: DataFrame | None = None) -> DataFrame:
+    """(id, misses) of swept (id, text, runs): phrases of unconsumed words that are worth reporting, in the order of the looks.
 
-    A phrase has no function word at its edges; `lookups` of them are looked at for each question, and one that is
-    worth reporting consumes its words.
+    A phrase has no function word at its edges; `lookups` of them are looked at for each question: first those with an alias, then
+    the longest, then the leftmost. One that is worth reporting, by its alias if it has one, consumes its words.
     """
-    tokens = T.question_words(F.col("text"))
-    edge = lambda word: T.normalise(word).isin(T.FUNCTION_WORDS)
-    spans = F.transform(T.ngrams(tokens, most), lambda g: F.struct((-g["size"]).alias("rank"), g["start"].alias("start"), g["size"].alias("size"), g["phrase"].alias("phrase")))
-    shaped = F.filter(spans, lambda g: (T.normalise(g["phrase"]) != "") & ~edge(F.split(g["phrase"], " ")[0]) & ~edge(F.element_at(F.split(g["phrase"], " "), -1)))
-    judged = F.transform(F.array_sort(shaped), lambda g: F.struct(g["start"].alias("start"), g["size"].alias("size"), g["phrase"].alias("phrase"), T.worth_reporting(g["phrase"]).alias("worth")))
+    tokens = swept.select("id", "runs", T.question_words(F.col("text")).alias("tokens"))
+    spans = tokens.select("id", F.explode(T.ngrams(F.col("tokens"), most)).alias("g")).select("id", "g.start", "g.size", "g.phrase").withColumn("key", T.normalise(F.col("phrase")))
+    edge = lambda i: F.coalesce(T.normalise(F.element_at(F.split("phrase", " "), i)), F.lit("")).isin(["", *T.FUNCTION_WORDS])
+    shaped = spans.where((F.col("key") != "") & ~edge(1) & ~edge(-1))
+    if aliases is not None:
+        shaped = shaped.join(aliases.select(F.col("original").alias("key"), F.col("corrected").alias("said")), "key", "left")
+    else:
+        shaped = shaped.withColumn("said", F.lit(None).cast("string"))
+    rank = F.struct(F.col("said").isNull().alias("plain"), (-F.col("size")).alias("less"), "start", "size", "phrase", T.worth_reporting(F.coalesce("said", "phrase")).alias("worth"))
+    ordered = tokens.select("id", "runs").join(shaped.groupBy("id").agg(F.array_sort(F.collect_list(rank)).alias("spans")), "id")
     used = F.flatten(F.transform("runs", lambda r: F.sequence(r["start"], r["start"] + r["size"] - 1)))
     fold = F.expr(f"""aggregate(spans, named_struct('used', used, 'seen', 0, 'found', cast(array() as array<string>)), (s, c) ->
         if(s.seen >= {lookups} or arrays_overlap(s.used, sequence(c.start, c.start + c.size - 1)), s,
            named_struct('used', if(c.worth, concat(s.used, sequence(c.start, c.start + c.size - 1)), s.used), 'seen', s.seen + 1, 'found', if(c.worth, array_append(s.found, c.phrase), s.found)))).found""")
-    return swept.select("id", judged.alias("spans"), used.alias("used")).select("id", fold.alias("misses"))
+    found = ordered.select("id", "spans", used.alias("used")).select("id", fold.alias("misses"))
+    return swept.select("id").join(found, "id", "left").withColumn("misses", F.coalesce("misses", F.array().cast("array<string>")))
 
 
 def correction_map(pairs: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from termlake.operators import claims as C
 from termlake.operators import documents as D
 from termlake.operators import graph as G
 from termlake.operators import resolution as R
+from termlake.operators import vectors as V
 from termlake.streaming import events as E
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +55,11 @@ def vocabulary(spark, d):
     return t(spark, d, "benchmark").select(F.explode(T.words(F.col("text"))).alias("w")).distinct()
 
 
+def word_labels(words):
+    """Each word (w) as the preferred label of a concept of its own."""
+    return words.select(F.col("w").alias("concept_id"), F.lit("words").alias("scheme_id"), F.col("w").alias("label"), F.lit("pref").alias("kind"))
+
+
 def document_words(spark, d):
     return t(spark, d, "documents").select("doc_id", F.explode(T.words(F.col("text"))).alias("w"))
 
@@ -67,7 +73,7 @@ def misses(spark, d):
     words = vocabulary(spark, d)
     docs = document_words(spark, d).select("w", F.lit("document").alias("source"), F.concat(F.lit("doc:"), "doc_id").alias("locator"), F.col("doc_id").alias("at"))
     chat = chat_words(spark, d).select("w", F.lit("chat").alias("source"), F.concat(F.lit("chat:"), "conv_id", F.lit(":"), "turn").alias("locator"), F.col("conv_id").alias("at"))
-    return docs.union(chat).join(words, "w", "left_anti").select(F.regexp_replace("w", "([a-z0-9]{2}[a-hj-rtv-z0-9])s$", "$1").alias("gap_key"), F.col("w").alias("surface"), "source", "locator", "at")
+    return docs.union(chat).join(words, "w", "left_anti").select(T.merge_key(F.col("w")).alias("gap_key"), F.col("w").alias("surface"), "source", "locator", "at")
 
 
 MISSES = f"""m AS (SELECT {key('w')} AS gap_key, w AS surface, source, locator, "at" FROM (
@@ -83,7 +89,7 @@ def normalise_docs(spark, d):
 
 @query(f"SELECT DISTINCT w AS surface, {key('w')} AS gap_key FROM {DOC_WORDS}")
 def gap_key_docs(spark, d):
-    return document_words(spark, d).select(F.col("w").alias("surface")).distinct().select("surface", F.regexp_replace("surface", "([a-z0-9]{2}[a-hj-rtv-z0-9])s$", "$1").alias("gap_key"))
+    return document_words(spark, d).select(F.col("w").alias("surface")).distinct().select("surface", T.merge_key(F.col("surface")).alias("gap_key"))
 
 
 def part_labels(spark, d):
@@ -98,7 +104,7 @@ LABELS = "(SELECT p_partkey AS concept_id, p_type AS scheme_id, p_name AS label,
 
 @query(f"SELECT {norm('label')} AS label_key, count(DISTINCT concept_id) AS n_concepts, string_agg(DISTINCT scheme_id, ',' ORDER BY scheme_id) AS schemes, CASE WHEN max(kind) = 'pref' THEN 'pref' ELSE 'alt' END AS kind FROM {LABELS} GROUP BY 1")
 def label_index(spark, d):
-    return R.label_index(part_labels(spark, d)).select("label_key", F.size("concepts").cast("long").alias("n_concepts"), F.array_join("schemes", ",").alias("schemes"), "kind")
+    return R.label_index(part_labels(spark, d)).select("label_key", "n_concepts", F.array_join("schemes", ",").alias("schemes"), "kind")
 
 
 @query(f"SELECT scheme_id, {norm('label')} AS label_key, count(DISTINCT concept_id) AS n_concepts FROM {LABELS} GROUP BY 1, 2 HAVING count(DISTINCT concept_id) > 1")
@@ -118,7 +124,7 @@ def scheme_counts(spark, d):
 
 @query(f"""SELECT conv_id, turn, count(*) AS n_words, count(v.w) AS n_exact, count(*) - count(v.w) AS n_abstain FROM {CHAT_WORDS} c LEFT JOIN {VOCABULARY} v ON c.w = v.w GROUP BY 1, 2""")
 def resolve_exact(spark, d):
-    index = R.label_index(vocabulary(spark, d).select(F.col("w").alias("concept_id"), F.lit("words").alias("scheme_id"), F.col("w").alias("label"), F.lit("pref").alias("kind")))
+    index = R.label_index(word_labels(vocabulary(spark, d)))
     found = R.resolve_exact(chat_words(spark, d).withColumnRenamed("w", "label_key"), index)
     return found.groupBy("conv_id", "turn").agg(F.count("*").alias("n_words"), F.count("concept_id").alias("n_exact"), F.count_if(F.col("concept_id").isNull()).alias("n_abstain"))
 
@@ -127,14 +133,13 @@ def resolve_exact(spark, d):
   'Adding this alternative term will resolve ' || count(*) || CASE WHEN count(*) = 1 THEN ' mention' ELSE ' mentions' END || ' across ' || count(DISTINCT locator)
   || CASE WHEN count(DISTINCT locator) = 1 THEN ' document' ELSE ' documents' END || '.' AS sentence FROM m WHERE source = 'document' GROUP BY 1""")
 def impact_preview(spark, d):
-    held = misses(spark, d).where("source = 'document'").select("gap_key", F.col("locator").alias("source_file"))
-    return C.impact(held, held.select(F.col("gap_key").alias("surface")).distinct().select("surface"))
+    return C.impact(misses(spark, d).where("source = 'document'").select("gap_key", F.col("locator").alias("source_file")))
 
 
 @query(f"""WITH {MISSES} SELECT gap_key, count(*) AS total, count(*) FILTER (source = 'document') AS from_documents, count(*) FILTER (source = 'chat') AS from_chat, count(DISTINCT surface) AS n_variants FROM m GROUP BY 1""")
 def gap_queue(spark, d):
     counts = lambda s: F.coalesce(F.try_element_at("counts", F.lit(s)), F.lit(0).cast("long"))
-    return C.gap_queue(misses(spark, d)).select("gap_key", "total", counts("document").alias("from_documents"), counts("chat").alias("from_chat"), "n_variants")
+    return C.gap_queue(misses(spark, d), ("document", "chat")).select("gap_key", "total", counts("document").alias("from_documents"), counts("chat").alias("from_chat"), "n_variants")
 
 
 @query(f"""WITH {MISSES} SELECT gap_key, count(*) AS total FROM m GROUP BY 1 ORDER BY total DESC, gap_key LIMIT 50""")
@@ -154,9 +159,9 @@ def resurfaced(spark, d):
     return g.select("gap_key", C.resurfaced(F.col("total"), F.col("baseline")).alias("resurfaced"))
 
 
-@query(f"""WITH v AS (SELECT DISTINCT {key('w')} AS k FROM {VOCABULARY}) SELECT CASE WHEN v.k IS NULL THEN 'held' ELSE 'active' END AS status, count(*) AS n_claims FROM {DOC_WORDS} w LEFT JOIN v ON {key('w.w')} = v.k GROUP BY 1""")
+@query(f"""SELECT CASE WHEN v.w IS NULL THEN 'held' ELSE 'active' END AS status, count(*) AS n_claims FROM {DOC_WORDS} w LEFT JOIN {VOCABULARY} v ON w.w = v.w GROUP BY 1""")
 def restate_claims(spark, d):
-    index = vocabulary(spark, d).select(F.regexp_replace("w", "([a-z0-9]{2}[a-hj-rtv-z0-9])s$", "$1").alias("label_key")).distinct().select("label_key", F.array("label_key").alias("concepts"))
+    index = R.label_index(word_labels(vocabulary(spark, d)))
     held = document_words(spark, d).select(F.col("w").alias("surface"), F.lit(None).cast("string").alias("concept_id"), F.lit("held").alias("status"))
     return C.restate(held, index).groupBy("status").agg(F.count("*").alias("n_claims"))
 
@@ -256,10 +261,10 @@ def resolve_margin(spark, d):
   r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM s) SELECT query_id, rank, vec_id, distance FROM r WHERE rank <= 5""")
 def filtered_topk(spark, d):
     vectors = t(spark, d, "embeddings")
-    asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
-    scored = asked.join(vectors, "label").where("query_id <> vec_id").withColumn("distance", F.round(1 - R.dot(F.col("q"), F.col("embedding")), 6))
-    order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where("rank <= 5").select("query_id", "rank", "vec_id", "distance")
+    tagged = vectors.select("vec_id", "embedding", F.array(F.col("label").cast("string")).alias("concepts"))
+    asked = tagged.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), "concepts")
+    found = V.nearest_filtered(asked, tagged.select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"), "concepts"))
+    return found.select("query_id", "rank", F.col("key").alias("vec_id"), "distance")
 
 
 FLAT = r"""regexp_replace(regexp_replace(regexp_replace(html,'<!--(.|\n)*?-->','','g'),'(?i)</?\s*(""" + "|".join(T.BLOCK_TAGS) + r""")(>|[^a-zA-Z0-9>][^>]*>)',' ','g'),'<[^>]+>','','g')"""
@@ -282,9 +287,9 @@ def line_offsets(spark, d):
   c AS (SELECT doc_id, line_no AS a, line_no + 2 AS b FROM l WHERE line_no % 3 = 1) SELECT c.doc_id, count(*) AS n_pairs FROM c JOIN k ON c.doc_id = k.doc_id AND c.a <= k.b AND c.b >= k.a GROUP BY 1""")
 def claim_chunk_overlap(spark, d):
     lines = D.lines(t(spark, d, "documents")).select("doc_id", "line_no")
-    chunk = lines.groupBy("doc_id", F.floor((F.col("line_no") - 1) / 5).alias("chunk_no")).agg(F.min("line_no").alias("k_start"), F.max("line_no").alias("k_end"))
-    claim = lines.where("line_no % 3 = 1").select("doc_id", F.col("line_no").alias("c_start"), (F.col("line_no") + 2).alias("c_end"))
-    return claim.join(chunk, "doc_id").where(D.overlaps(F.col("c_start"), F.col("c_end"), F.col("k_start"), F.col("k_end"))).groupBy("doc_id").agg(F.count("*").alias("n_pairs"))
+    chunk = lines.groupBy("doc_id", F.floor((F.col("line_no") - 1) / 5).alias("chunk_no")).agg(F.min("line_no").alias("b_start"), F.max("line_no").alias("b_end"))
+    claim = lines.where("line_no % 3 = 1").select("doc_id", F.col("line_no").alias("a_start"), (F.col("line_no") + 2).alias("a_end"))
+    return D.overlap_join(claim, chunk, "doc_id").groupBy("doc_id").agg(F.count("*").alias("n_pairs"))
 
 
 MAPPED = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SIGNALS.items()) + " END"
@@ -324,11 +329,12 @@ def event_sessions(spark, d):
 
 @query("""WITH w AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS w FROM part) SELECT a.w AS a, b.w AS b, levenshtein(a.w, b.w) AS distance FROM w a JOIN w b ON a.w < b.w WHERE levenshtein(a.w, b.w) <= CASE WHEN length(a.w) <= 4 THEN 1 WHEN length(a.w) <= 8 THEN 2 ELSE 3 END""")
 def levenshtein_pairs(spark, d):
-    """Words of a governed vocabulary against each other, by length: within a budget of 3, lengths differ by 3 at most."""
-    words = t(spark, d, "part").select(F.explode(T.words(F.col("p_name"))).alias("w")).distinct().withColumn("n", F.length("w"))
-    a = words.select(F.col("w").alias("a"), F.explode(F.sequence(F.col("n") - 3, F.col("n") + 3)).alias("n"))
-    b = words.select(F.col("w").alias("b"), "n")
-    return a.join(b, "n").where("a < b").select("a", "b", F.levenshtein("a", "b").cast("long").alias("distance")).where(F.col("distance") <= T.edit_budget(F.col("a")))
+    """Words against each other through what is left of them when letters are taken out: no pairs of all words of a length."""
+    words = t(spark, d, "part").select(F.explode(T.words(F.col("p_name"))).alias("w")).distinct()
+    a = R.deletions(words.select(F.col("w").alias("a")), "a", T.edit_budget(F.col("a")))
+    b = R.deletions(words.select(F.col("w").alias("b")), "b", F.lit(3))
+    near = a.join(b, "variant").where((b["deleted"] <= a["budget"]) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
+    return near.withColumn("distance", F.levenshtein("a", "b").cast("long")).where(F.col("distance") <= T.edit_budget(F.col("a")))
 
 
 @query("SELECT o_custkey, max(o_orderdate)::DATE::VARCHAR AS newest FROM orders GROUP BY 1")
@@ -351,22 +357,66 @@ def vocabulary_coverage(spark, d):
     return found.withColumn("percent", F.floor(100 * F.col("covered") / F.col("words")))
 
 
-@query()
+TOKENS = r"""(SELECT conv_id || ':' || turn AS id, list_filter(list_transform(regexp_split_to_array(trim(text), '\s+'), lambda w: regexp_replace(w, '^[.,;:!?()\[\]{}"''“”‘’]+|[.,;:!?()\[\]{}"''“”‘’]+$', '', 'g')), lambda w: w <> '') AS w FROM conversations WHERE role = 'user')"""
+
+
+def sweep_labels(spark, d):
+    """Words of an even length, and all runs of two words, of benchmark."""
+    words = t(spark, d, "benchmark").select(T.words(F.col("text")).alias("ws"))
+    both = words.select(F.explode(T.ngrams(F.col("ws"), 2)["phrase"]).alias("w")).where("w like '% %' or length(w) % 2 = 0").distinct()
+    return R.label_index(word_labels(both))
+
+
+@query(f"""WITH RECURSIVE b AS (SELECT string_split({norm('text')}, ' ') AS x FROM benchmark),
+  labels AS (SELECT DISTINCT w FROM (SELECT unnest(x) AS w FROM b UNION ALL SELECT unnest(list_transform(range(1, len(x)), lambda i: x[i] || ' ' || x[i + 1])) FROM b) WHERE w <> '' AND (w LIKE '% %' OR length(w) % 2 = 0)),
+  q AS {TOKENS},
+  g AS (SELECT id, unnest(range(1, len(w) + 1)) AS i, w FROM q),
+  h AS (SELECT id, i, n, {norm("array_to_string(w[i:i + n - 1], ' ')")} AS k FROM g, (SELECT unnest([1, 2, 3, 4]) AS n) WHERE i + n - 1 <= len(w)),
+  best AS (SELECT id, i, max(n) AS n, arg_max(k, n) AS k FROM h WHERE k IN (SELECT w FROM labels) GROUP BY 1, 2),
+  s AS (SELECT id, 0::BIGINT AS i, 1::BIGINT AS until, NULL::VARCHAR AS k FROM q
+        UNION ALL SELECT s.id, s.i + 1, CASE WHEN s.i + 1 >= s.until AND b.n IS NOT NULL THEN s.i + 1 + b.n ELSE s.until END, CASE WHEN s.i + 1 >= s.until THEN b.k END
+        FROM s JOIN g ON g.id = s.id AND g.i = s.i + 1 LEFT JOIN best b ON b.id = s.id AND b.i = s.i + 1)
+  SELECT id, coalesce(string_agg(k, '|' ORDER BY i) FILTER (k IS NOT NULL), '') AS terms FROM s GROUP BY 1""")
 def greedy_sweep(spark, d):
-    index = R.label_index(vocabulary(spark, d).select(F.col("w").alias("concept_id"), F.lit("words").alias("scheme_id"), F.col("w").alias("label"), F.lit("pref").alias("kind")))
     asked = t(spark, d, "conversations").where("role = 'user'").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
-    return R.greedy_sweep(asked, index).select("id", F.array_join("terms", "|").alias("terms"))
+    return R.greedy_sweep(asked, sweep_labels(spark, d)).select("id", F.array_join("terms", "|").alias("terms"))
 
 
-@query()
+@query(f"""WITH q AS {TOKENS} SELECT id, sum(greatest(len(w) - n + 1, 0))::BIGINT AS n_candidates, max(CASE WHEN n = 1 THEN len(w) END)::BIGINT AS n_words FROM q, (SELECT unnest([1, 2, 3, 4]) AS n) GROUP BY 1""")
+def ngram_candidates(spark, d):
+    asked = t(spark, d, "conversations").where("role = 'user'").select(F.concat_ws(":", "conv_id", "turn").alias("id"), T.question_words(F.col("text")).alias("w"))
+    return asked.select("id", F.size(T.ngrams(F.col("w"))).cast("long").alias("n_candidates"), F.size("w").cast("long").alias("n_words"))
+
+
+@query(r"""WITH RECURSIVE d AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '\n$', ''), chr(10)) AS a FROM documents),
+  l AS (SELECT doc_id, unnest(a) AS line, unnest(range(1, len(a) + 1)) AS no FROM d),
+  w AS (SELECT *, len(regexp_extract_all(line, '[^\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+')) AS n, regexp_matches(line, '^\s{0,3}#{1,6}\s+\S') AS head FROM l),
+  p AS (SELECT doc_id, no, 0 AS chunk_no, n AS held FROM w WHERE no = 1
+        UNION ALL SELECT w.doc_id, w.no, p.chunk_no + CASE WHEN w.head OR greatest(1, floor(p.held * 4 / 3)) >= 400 THEN 1 ELSE 0 END,
+               CASE WHEN w.head OR greatest(1, floor(p.held * 4 / 3)) >= 400 THEN w.n ELSE p.held + w.n END FROM p JOIN w ON w.doc_id = p.doc_id AND w.no = p.no + 1),
+  c AS (SELECT doc_id, chunk_no, min(no) AS start_line, max(no) AS end_line, regexp_replace(regexp_replace(string_agg(line, chr(10) ORDER BY no), '^\s+', ''), '\s+$', '') AS text FROM p JOIN w USING (doc_id, no) GROUP BY 1, 2)
+  SELECT doc_id, chunk_no::BIGINT AS chunk_no, start_line::BIGINT AS start_line, end_line::BIGINT AS end_line, sha1(text) AS text_sha1 FROM c WHERE text <> ''""")
 def chunk_documents(spark, d):
-    return D.chunks(t(spark, d, "documents")).select("doc_id", "chunk_no", "start_line", "end_line", F.sha1("text").alias("text_sha1"))
+    made = D.chunks(t(spark, d, "documents"))
+    return made.select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), F.sha1("text").alias("text_sha1"))
+
+
+#: A snippet of 40 characters from a place that the id picks in the whole text; every third is altered.
+def snippet_of(doc_id, text):
+    place = (doc_id * 7919) % F.greatest(F.length(text) - 40, F.lit(1)) + 1
+    cut = F.substring(text, place, F.lit(40))
+    return F.when(doc_id % 3 == 0, F.concat(cut, F.lit(" ☃"))).otherwise(cut)
+
+
+SNIPPET = "CASE WHEN doc_id % 3 = 0 THEN substr(text, ((doc_id * 7919) % greatest(length(text) - 40, 1) + 1)::BIGINT, 40) || ' ☃' ELSE substr(text, ((doc_id * 7919) % greatest(length(text) - 40, 1) + 1)::BIGINT, 40) END"
 
 
-@query()
+@query(rf"""WITH f AS (SELECT doc_id, text, {SNIPPET} AS snippet FROM documents WHERE text IS NOT NULL),
+  g AS (SELECT doc_id, trim(regexp_replace(snippet, '\s+', ' ', 'g')) AS s, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM f)
+  SELECT doc_id, CASE WHEN s = '' THEN 'empty snippet' WHEN NOT contains(t, s) THEN 'snippet not in the source' END AS reason FROM g""")
 def verbatim_gate(spark, d):
-    docs = t(spark, d, "documents")
-    facts = docs.select("doc_id", F.concat(F.lit("document "), "doc_id").alias("subject"), F.when(F.col("doc_id") % 3 == 0, F.lit("not there at all ☃")).otherwise(F.substring("text", 5, 40)).alias("snippet"), "text")
+    docs = t(spark, d, "documents").where("text is not null")
+    facts = docs.select("doc_id", F.concat(F.lit("document "), "doc_id").alias("subject"), snippet_of(F.col("doc_id"), F.col("text")).alias("snippet"), "text")
     return D.gate_facts(facts).select("doc_id", "reason")
 
 

@@ -1,23 +1,38 @@
-"""Quads as a table: N-Quads in and out, digests, versioned publication."""
+"""Quads as a table: N-Quads in and out, digests, tables by version."""
 
 from __future__ import annotations
 
+import hashlib
+import re
+import time
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termlake.scratch import hadoop
+from termlake.sources.turtle import SCHEMA
+
 QUAD = r'^(\S+)\s+(\S+)\s+(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?)\s*(<[^>]*>|_:\S+)?\s*\.\s*$'
 
 
 def read_nquads(spark: SparkSession, path: str) -> DataFrame:
-    """(subject, predicate, object, graph, lang, datatype) of N-Quads lines; blank lines and comments are skipped, a line that is no quad raises."""
+    """(subject, predicate, object, graph, lang, datatype) of N-Quads lines; blank lines and comments are skipped, a line that is
+    no quad raises. A path where nothing is gives an empty table."""
+    place, store = hadoop(spark, path)
+    if not store.globStatus(place):
+        return spark.createDataFrame([], SCHEMA)
     lines = spark.read.text(path).where("trim(value) <> '' and value not like '#%'")
     part = lambda i: F.regexp_extract("value", QUAD, i)
     checked = lines.where(F.when(F.col("value").rlike(QUAD), True).otherwise(F.raise_error(F.concat(F.lit("not a quad: "), "value")).cast("boolean")))
-    return checked.select(part(1).alias("subject"), part(2).alias("predicate"), part(3).alias("object"), F.nullif(part(4), F.lit("")).alias("graph"), F.nullif(F.regexp_extract("value", r'"@([A-Za-z0-9-]+)', 1), F.lit("")).alias("lang"), F.nullif(F.regexp_extract("value", r'"\^\^<([^>]*)>', 1), F.lit("")).alias("datatype"))
+    return checked.select(part(1).alias("subject"), part(2).alias("predicate"), part(3).alias("object"), F.nullif(F.regexp_replace(part(4), "^<|>$", ""), F.lit("")).alias("graph"), F.nullif(F.regexp_extract("value", r'"@([A-Za-z0-9-]+)', 1), F.lit("")).alias("lang"), F.nullif(F.regexp_extract("value", r'"\^\^<([^>]*)>', 1), F.lit("")).alias("datatype"))
 
 
 def quad_lines(quads: DataFrame) -> DataFrame:
-    return quads.select(F.concat_ws(" ", "subject", "predicate", "object", "graph", F.lit(".")).alias("line")).distinct()
+    """Lines of N-Quads; a graph's name stands in the table without the brackets that it has in a line."""
+    graph = F.when(F.col("graph").startswith("_:"), F.col("graph")).otherwise(F.concat(F.lit("<"), "graph", F.lit(">")))
+    return quads.select(F.concat_ws(" ", "subject", "predicate", "object", graph, F.lit(".")).alias("line")).distinct()
 
 
 def write_nquads(quads: DataFrame, path: str) -> None:
@@ -26,30 +41,130 @@ def write_nquads(quads: DataFrame, path: str) -> None:
 
 
 def digest(quads: DataFrame) -> str:
-    """An order-independent digest of the distinct lines, built from sums: no line list is gathered."""
-    h = lambda i: F.conv(F.substring(F.sha2("line", 256), 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")
-    row = quad_lines(quads).agg(*(F.sum(h(i)).alias(f"h{i}") for i in range(4)), F.count("*").alias("n")).select(F.sha2(F.concat_ws(":", "h0", "h1", "h2", "h3", "n"), 256).alias("d"))
-    return row.first()["d"]
+    """sha256 of the bytes that write_nquads() would write: distinct lines in order, each with its break.
+
+    Lines stream through the driver, a partition in memory at a time, as a hash of bytes in order is one sequence. It is
+    meant for the governed vocabulary; an empty table has the digest of no bytes.
+    """
+    whole = hashlib.sha256()
+    for row in quad_lines(quads).orderBy("line").toLocalIterator(prefetchPartitions=True):
+        whole.update(row["line"].encode() + b"\n")
+    return whole.hexdigest()
 
 
 class VersionConflict(Exception):
     """Another writer published the version first."""
 
 
+def current_version(spark: SparkSession, path: str) -> int:
+    """The newest version below path, 0 if there is none."""
+    place, store = hadoop(spark, f"{path}/versions/v*")
+    return max((int(x.getPath().getName()[1:]) for x in store.globStatus(place) or []), default=0)
+
+
+def version_path(spark: SparkSession, path: str, version: int) -> str:
+    """The folder that holds a version: what its pointer says."""
+    place, store = hadoop(spark, f"{path}/versions/v{version}")
+    stream = store.open(place)
+    try:
+        return f"{path}/data/{bytes(stream.readAllBytes()).decode()}"
+    finally:
+        stream.close()
+
+
 def publish(table: DataFrame, path: str, expected: int) -> int:
-    """Write version expected + 1 and fail if it exists: the directory is created only by the writer that wins."""
+    """Write version expected + 1, or raise VersionConflict if it exists.
+
+    The data go to a folder of their own; then a pointer is renamed into place, which fails if another writer's is there. So a
+    version exists as a whole or not at all, and a writer that dies leaves only a folder that nothing points to.
+    """
     spark = table.sparkSession
+    name = uuid.uuid4().hex
+    if current_version(spark, path) != expected:
+        raise VersionConflict(str(expected + 1))
+    table.write.parquet(f"{path}/data/{name}")
     jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(f"{path}/claimed-{expected + 1}")
-    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    pointer, store = hadoop(spark, f"{path}/versions/v{expected + 1}")
+    waiting = jvm.org.apache.hadoop.fs.Path(f"{path}/waiting/{name}")
+    out = store.create(waiting, False)
+    out.write(name.encode())
+    out.close()
+    store.mkdirs(pointer.getParent())
+    none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
     try:
-        store.create(place, False).close()
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(waiting, pointer, none)
     except Exception as error:
-        raise VersionConflict(str(expected + 1)) from error
-    table.write.parquet(f"{path}/version={expected + 1}")
+        if store.exists(pointer):
+            for orphan in (waiting, jvm.org.apache.hadoop.fs.Path(f"{path}/data/{name}")):
+                store.delete(orphan, True)
+            raise VersionConflict(str(expected + 1)) from error
+        raise
     return expected + 1
 
 
+class Cached:
+    """A table that is loaded again when it is older than `ttl` seconds, or forgotten."""
+
+    def __init__(self, load: Callable[[], DataFrame], ttl: float = 30.0, clock: Callable[[], float] = time.monotonic) -> None:
+        self.load, self.ttl, self.clock = load, ttl, clock
+        self.held: DataFrame | None = None
+        self.at = 0.0
+
+    def get(self) -> DataFrame:
+        if self.held is None or self.clock() - self.at >= self.ttl:
+            self.forget()
+            self.held, self.at = self.load().cache(), self.clock()
+        return self.held
+
+    def forget(self) -> None:
+        if self.held is not None:
+            self.held.unpersist()
+            self.held = None
+
+
+class SeedRefused(Exception):
+    """A seed over a store that holds more than the published graph."""
+
+
+def seed(stored: DataFrame, fresh: DataFrame, force: bool = False) -> DataFrame:
+    """stored with `fresh` as its published graph; every other graph stays. With facts or history there it is refused unless forced."""
+    others = stored.where(~F.col("graph").eqNullSafe("published"))
+    if not force and not others.isEmpty():
+        raise SeedRefused("the store holds facts or history: seeding it again needs force")
+    return others.unionByName(fresh.withColumn("graph", F.lit("published"))).distinct()
+
+
+def matching(quads: DataFrame, **bound: str) -> DataFrame:
+    """Quads whose columns have the values given; any subset may be bound, and filters reach the scan."""
+    for name, value in bound.items():
+        quads = quads.where(F.col(name) == value)
+    return quads
+
+
+def bind(query: str, **terms: object) -> tuple[str, dict[str, object]]:
+    """A query and its arguments for spark.sql(), checked: every :name is given and every name given is used; values are text,
+    numbers, truth values or Column literals of addresses, never parts of the query."""
+    asked = set(re.findall(r"(?<!:):([a-z_]\w*)", re.sub(r"'(?:[^']|'')*'", "''", query)))
+    if asked != set(terms):
+        raise ValueError(f"not given: {sorted(asked - set(terms))}; not used: {sorted(set(terms) - asked)}")
+    if wrong := [name for name, value in terms.items() if not isinstance(value, (str, int, float, bool))]:
+        raise ValueError(f"neither text nor number: {wrong}")
+    return query, terms
+
+
+def records(rows: DataFrame) -> DataFrame:
+    """Columns of terms as their lexical values: languages and datatypes dropped, addresses without their brackets."""
+    return rows.select(*(lexical(F.col(name)).alias(name) for name in rows.columns))
+
+
+def lexical(term):
+    """The text of a literal, its escapes undone, or the address of an IRI."""
+    inner = F.regexp_extract(term, r'(?s)^"((?:[^"\\]|\\.)*)"', 1)
+    for escaped, plain in (("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t")):
+        inner = F.regexp_replace(inner, r"(?<!\\)((?:\\\\)*)" + "\\" + escaped, "$1" + plain)
+    return F.when(term.startswith('"'), F.regexp_replace(inner, r'\\(["\\])', "$1")).otherwise(F.regexp_replace(term, "^<|>$", ""))
+
+
 def archive(quads: DataFrame, concept: str, history: str) -> DataFrame:
     """quads with all of a published concept moved to its history graph."""
     mine = (F.col("subject") == concept) & (F.col("graph") == "published")

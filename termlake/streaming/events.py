@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +32,27 @@ def sessions(events: DataFrame, gap_seconds: int = 1800) -> DataFrame:
     return numbered.groupBy("user_id", "session").agg(F.min("ts").alias("session_start"), F.count("*").alias("n")).drop("session")
 
 
+def counts_stream(events: DataFrame, keys: list[str]) -> DataFrame:
+    """Running counts by key for output mode update: writers only append, so counts of concurrent ones add up."""
+    return events.groupBy(*keys).agg(F.count("*").alias("n"))
+
+
+def payload_stream(spark: SparkSession, path: str) -> DataFrame:
+    """Files of telemetry payloads as they arrive, one payload each, replayed file by file."""
+    from termlake.operators.telemetry import parse_payloads
+
+    texts = spark.readStream.option("wholetext", True).text(path)
+    return texts.select(parse_payloads(F.col("value")).alias("p")).select("p.*")
+
+
+def mapped_batches(signals: DataFrame, load: Callable[[], DataFrame], write: Callable[[DataFrame, int], None], checkpoint: str):
+    """A query that maps each micro-batch by the mapping as it is then (load), so that it is never staler than one batch; available files
+    are read and the query ends."""
+    from termlake.operators.telemetry import mapped
+
+    return signals.writeStream.foreachBatch(lambda batch, n: write(mapped(batch, load()), n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def deduplicated(events: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
