@@ -198,7 +198,8 @@ def orphans(spark, d):
 @query(f"""WITH b AS {BROADER}, e AS (SELECT parent AS seed, child AS neighbour FROM b UNION SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem UNION SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey FROM lineitem) SELECT seed, count(*) AS n_neighbours FROM e GROUP BY 1""")
 def expand_1hop(spark, d):
     related = t(spark, d, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b"))
-    return G.neighbours(broader(spark, d), related).groupBy("seed").agg(F.count("*").alias("n_neighbours"))
+    steps = G.neighbours(broader(spark, d), related)
+    return G.expand(steps.select("seed").distinct(), steps, 1).where("seed <> node").groupBy("seed").agg(F.count("*").alias("n_neighbours"))
 
 
 @query("""WITH r AS (SELECT DISTINCT CAST(l_quantity AS BIGINT) || CASE CAST(l_linenumber AS INT) % 5 WHEN 0 THEN ' months' WHEN 1 THEN ' L/h' WHEN 2 THEN ' psi' WHEN 3 THEN ' parsecs' ELSE ' years' END AS raw, CAST(l_quantity AS BIGINT) AS q, CAST(l_linenumber AS INT) % 5 AS k FROM lineitem)

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from termlake.operators import claims, documents, graph, resolution
-from termlake.plans import core, flows
+from termlake.plans import core, flows, library
 from termlake.sources import quads
 
 SF = "/root/testdata/sf0.001"
@@ -20,11 +20,11 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(core.oracle_sql() | flows.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(core.oracle_sql() | flows.oracle_sql() | library.oracle_sql()))
 def test_query(spark, duck, name):
     shown = lambda rows: sorted(repr([round(x, 6) if isinstance(x, float) else x for x in r]) for r in rows)
-    ours = (core.queries() | flows.queries())[name](spark, SF)
-    theirs = duck.execute((core.oracle_sql() | flows.oracle_sql())[name])
+    ours = (core.queries() | flows.queries() | library.queries())[name](spark, SF)
+    theirs = duck.execute((core.oracle_sql() | flows.oracle_sql() | library.oracle_sql())[name])
     columns = [x[0] for x in theirs.description]
     assert sorted(columns) == sorted(ours.columns)
     assert shown(map(tuple, ours.select(*columns).collect())) == shown(theirs.fetchall())
