@@ -52,7 +52,9 @@ IDENTITIES = (
     ("mujeres", "hombres"),
     ("musulmanes", "cristianos", "judíos"),
 )
-_NEXT = {term: group[(i + 1) % len(group)] for group in IDENTITIES for i, term in enumerate(group)}
+#: For each shift the term that stands so many places further in its list; lists are rings.
+_SHIFTS = [{term: group[(i + shift) % len(group)] for group in IDENTITIES for i, term in enumerate(group)} for shift in range(1, max(map(len, IDENTITIES)))]
+_TERMS = _SHIFTS[0].keys()
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[^.!?\n]+")
 
@@ -67,14 +69,20 @@ def features(text: str) -> set[str]:
 
 
 def counterfactuals(text: str) -> Iterator[tuple[set[str], set[str]]]:
-    """Features of each sentence that names a group, before and after every such term becomes the next one of its list."""
+    """Features of each sentence that names a group, before and after every such term becomes another one of its list; each shift
+    along the lists that changes the sentence is one pair, so all terms of a list are tried."""
     lowered = text.lower()
-    if _NEXT.keys().isdisjoint(_LETTERS.findall(lowered)):
+    if _TERMS.isdisjoint(_LETTERS.findall(lowered)):
         return
     for sentence in _SENTENCE.findall(lowered):
         words = _LETTERS.findall(sentence)
-        if not _NEXT.keys().isdisjoint(words):
-            yield features(sentence), features(" ".join(_NEXT.get(word, word) for word in words))
+        if not _TERMS.isdisjoint(words):
+            own, tried = features(sentence), {tuple(words)}
+            for shift in _SHIFTS:
+                swapped = tuple(shift.get(word, word) for word in words)
+                if swapped not in tried:
+                    tried.add(swapped)
+                    yield own, features(" ".join(swapped))
 
 
 def _ratio(a: int, b: int, toxic: int, clean: int) -> float:
@@ -97,43 +105,67 @@ def _sigmoid(x: float) -> float:
     return 1 / (1 + math.exp(-x)) if x >= 0 else math.exp(x) / (1 + math.exp(x))
 
 
+def _share(toxic: int, clean: int) -> Model:
+    """Without both labels: the share of label 1 for every text, 0.5 without any."""
+    share = (toxic + 0.5) / (toxic + clean + 1)
+    return Model({}, math.log(share / (1 - share)))
+
+
+def _kept(often: Iterable[tuple[str, int]]) -> dict[str, int]:
+    """Places of features (feature, number of toxic texts), those of toxic texts first, and of all that terms for groups have."""
+    found = sorted(often, key=lambda x: (x[1] == 0, x[0]))
+    names = [f for f, _ in found]
+    names += sorted(f for term in _TERMS for f in features_of_word(term))
+    return {f: i for i, f in enumerate(dict.fromkeys(names))}
+
+
 def train(labelled: list[tuple[str, int]], gamma: float = GAMMA, decay: float = DECAY, steps: int = STEPS) -> Model:
-    """A model of (text, label) pairs. Without both labels it gives every text the share of label 1, or 0.5 without any."""
+    """A model of (text, label) pairs in memory."""
     toxic = sum(label for _, label in labelled)
     clean = len(labelled) - toxic
     if not toxic or not clean:
-        share = (toxic + 0.5) / (len(labelled) + 1)
-        return Model({}, math.log(share / (1 - share)))
+        return _share(toxic, clean)
     counts: tuple[Counter, Counter] = (Counter(), Counter())
     for text, label in labelled:
         counts[label].update(features(text))
-    kept = sorted(f for f, a in counts[1].items() if a + counts[0][f] >= LEAST_TEXTS and _ratio(a, counts[0][f], toxic, clean) >= LEAST_RATIO)
-    kept += sorted(f for f, b in counts[0].items() if f not in counts[1] and b >= LEAST_TEXTS and _ratio(0, b, toxic, clean) >= LEAST_RATIO)
-    kept += sorted(f for term in _NEXT for f in features_of_word(term) if f not in set(kept))
-    place = {f: i for i, f in enumerate(dict.fromkeys(kept))}
+    both = counts[0].keys() | counts[1].keys()
+    place = _kept((f, counts[1][f]) for f in both if counts[0][f] + counts[1][f] >= LEAST_TEXTS and _ratio(counts[1][f], counts[0][f], toxic, clean) >= LEAST_RATIO)
+    return fit([(label, *encoded(text, place)) for text, label in labelled], place, gamma, decay, steps)
+
 
-    def matrix(sets: Iterable[set[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """Row and column of each kept feature; one text's features are held at a time."""
+def encoded(text: str, place: dict[str, int]) -> tuple[list[int], list[list[int]], list[list[int]]]:
+    """Places of the text's kept features, and for each counterfactual pair of those that it loses and gains."""
+    own = sorted(place[f] for f in features(text) if f in place)
+    pairs = list(counterfactuals(text))
+    lost = [sorted(place[f] for f in a - b if f in place) for a, b in pairs]
+    return own, lost, [sorted(place[f] for f in b - a if f in place) for a, b in pairs]
+
+
+def fit(rows: list[tuple[int, list[int], list[list[int]], list[list[int]]]], place: dict[str, int], gamma: float = GAMMA, decay: float = DECAY, steps: int = STEPS) -> Model:
+    """Weights by gradient steps on the log loss, the squares of weights, and the squares of score changes between counterfactuals.
+    rows: label and what encoded() gives."""
+
+    def matrix(lists: Iterable[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Row and column of each entry."""
         at_row, at_column = array("q"), array("q")
-        for row, some in enumerate(sets):
-            own = [place[f] for f in some if f in place]
-            at_row.extend([row] * len(own))
-            at_column.extend(own)
+        for row, some in enumerate(lists):
+            at_row.extend([row] * len(some))
+            at_column.extend(some)
         return np.array(at_row, np.int64), np.array(at_column, np.int64)
 
-    rows, columns = matrix(features(text) for text, _ in labelled)
-    label = np.array([y for _, y in labelled], np.float64)
-    pairs = [pair for text, _ in labelled for pair in counterfactuals(text)]
-    plus, minus = matrix([a - b for a, b in pairs]), matrix([b - a for a, b in pairs])
-    weights, bias = np.zeros(len(place)), math.log(toxic / clean)
+    label = np.array([r[0] for r in rows], np.float64)
+    at, columns = matrix(r[1] for r in rows)
+    plus, minus = matrix(x for r in rows for x in r[2]), matrix(x for r in rows for x in r[3])
+    pairs = sum(len(r[2]) for r in rows)
+    weights, bias = np.zeros(len(place)), math.log(label.sum() / (len(label) - label.sum()))
     m, v = np.zeros(len(place) + 1), np.zeros(len(place) + 1)
     for step in range(1, steps + 1):
-        logits = np.bincount(rows, weights[columns], len(label)) + bias
+        logits = np.bincount(at, weights[columns], len(label)) + bias
         error = (1 / (1 + np.exp(-np.clip(logits, -50, 50))) - label) / len(label)
-        slope = np.bincount(columns, error[rows], len(place)) + decay * weights / len(place)
+        slope = np.bincount(columns, error[at], len(place)) + decay * weights / len(place)
         if pairs:
-            change = np.bincount(plus[0], weights[plus[1]], len(pairs)) - np.bincount(minus[0], weights[minus[1]], len(pairs))
-            scaled = 2 * gamma * change / len(pairs)
+            change = np.bincount(plus[0], weights[plus[1]], pairs) - np.bincount(minus[0], weights[minus[1]], pairs)
+            scaled = 2 * gamma * change / pairs
             slope += np.bincount(plus[1], scaled[plus[0]], len(place)) - np.bincount(minus[1], scaled[minus[0]], len(place))
         whole = np.append(slope, error.sum())
         m, v = 0.9 * m + 0.1 * whole, 0.999 * v + 0.001 * whole**2
@@ -142,9 +174,47 @@ def train(labelled: list[tuple[str, int]], gamma: float = GAMMA, decay: float =
     return Model({f: float(weights[i]) for f, i in place.items() if weights[i]}, float(bias))
 
 
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            found = sorted(features(text.as_py() or ""))
+            yield pa.RecordBatch.from_pydict({"feature": found, "toxic": pa.array([label] * len(found), pa.int32())}, pa.schema([("feature", pa.string()), ("toxic", pa.int32())]))
+
+
+def _encode(place: dict[str, int]):
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = pa.list_(pa.list_(pa.int32()))
+        for batch in batches:
+            rows = [encoded(text.as_py() or "", place) for text in batch.column(0)]
+            own, lost, gained = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(own, pa.list_(pa.int32())), pa.array(lost, lists), pa.array(gained, lists)], names=["toxic", "own", "lost", "gained"])
+
+    return encode
+
+
+def learn(sampled: DataFrame, gamma: float = GAMMA) -> Model:
+    """A model of sampled (text, toxic). Tasks count features and encode texts; the driver gets the kept features, and of each text
+    the places of those, never a text."""
+    toxic, clean = sampled.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0))).first()
+    if not toxic or not clean:
+        return _share(toxic, clean)
+    counts = sampled.mapInArrow(_features, "feature string, toxic int").groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+    h = lambda k, n: F.when((k > 0) & (k < n), k * F.log(k / n) + (n - k) * F.log((n - k) / n)).otherwise(0.0)
+    ratio = 2 * (h(F.col("a"), F.lit(toxic)) + h(F.col("b"), F.lit(clean)) - h(F.col("a") + F.col("b"), F.lit(toxic + clean)))
+    often = counts.where((F.col("a") + F.col("b") >= LEAST_TEXTS) & (ratio >= LEAST_RATIO)).select("feature", "a").collect()
+    place = _kept((x["feature"], x["a"]) for x in often)
+    rows = sampled.mapInArrow(_encode(place), "toxic int, own array<int>, lost array<array<int>>, gained array<array<int>>").collect()
+    return fit(sorted((x["toxic"], list(x["own"]), [list(y) for y in x["lost"]], [list(y) for y in x["gained"]]) for x in rows), place, gamma)
+
+
 def sample(docs: DataFrame, labels: DataFrame, learn_from: Column, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> list[tuple[str, int]]:
-    """Up to `rows` labelled texts, up to `size` bytes of them, in order of a hash of doc_id; texts that do not fit what is
-    left are passed over. Of several labels of an id the largest counts. Texts of equal id and length go together."""
+    """sampled() in memory."""
+    return [(x["text"], x["toxic"]) for x in sampled(docs, labels, learn_from, rows, size).orderBy("text").collect()]
+
+
+def sampled(docs: DataFrame, labels: DataFrame, learn_from: Column, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> DataFrame:
+    """(text, toxic): up to `rows` labelled texts, up to `size` bytes of them, in order of a hash of doc_id; texts that do not fit
+    what is left are passed over. Of several labels of an id the largest counts. Texts of equal id and length go together."""
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(learn_from)
     known = rows_of(docs, doc_id=F.col("doc_id"), bytes=F.coalesce(F.octet_length("text"), F.lit(0))).join(marked, "doc_id")
     known = stage_table(known.groupBy("doc_id", "toxic", "bytes").agg(F.count("*").alias("n")).withColumn("hash", F.md5(F.col("doc_id").cast("string"))), "toxic-known")
@@ -163,8 +233,7 @@ def sample(docs: DataFrame, labels: DataFrame, learn_from: Column, rows: int = S
         after = place > F.struct(F.lit(last["hash"]).alias("hash"), F.lit(last["doc_id"]).cast("long").alias("doc_id"), F.lit(last["bytes"]).cast("long").alias("bytes"))
     ids = docs.sparkSession.createDataFrame(taken, "doc_id bigint, toxic int, bytes int")
     texts = rows_of(docs, doc_id=F.col("doc_id"), text=F.coalesce("text", F.lit(""))).withColumn("bytes", F.octet_length("text"))
-    found = texts.join(F.broadcast(ids), ["doc_id", "bytes"]).orderBy("doc_id", "text").collect()
-    return [(x["text"], x["toxic"]) for x in found]
+    return stage_table(texts.join(F.broadcast(ids), ["doc_id", "bytes"]).select("text", "toxic"), "toxic-sample")
 
 
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
@@ -188,5 +257,7 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, learn_from: Column) -> DataFrame:
-    """doc_id, score for each row of docs; the model is trained on a bounded sample of the labelled rows that learn_from marks."""
-    return score_texts(docs, train(sample(docs, labels, learn_from)))
+    """doc_id, score for each row of docs; the model is trained on a bounded sample of the labelled rows that learn_from marks. Texts
+    of any length are scored whole; repeated rows and ids are rows of their own; columns but doc_id and text stay behind; an
+    empty table gives an empty result, and without labels every score is 0.5."""
+    return score_texts(docs, learn(sampled(docs, labels, learn_from)))

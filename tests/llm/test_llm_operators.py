@@ -164,6 +164,26 @@ def test_shards(docs, none, spark, tmp_path):
     assert sharding.shard_documents(none, 4).count() == 0
 
 
+def test_shards_against_brute_force(spark, docs, none):
+    rows = docs.union(spark.createDataFrame([(77, "é" * 100_000, "en", "s", "d", 1, "b", "s", "z")], SCHEMA))
+    out = sharding.shard_documents(rows, 4).collect()
+    want = Counter((r["doc_id"], len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode())) for r in rows.collect())
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in out) == want
+    # largest slots first, each to the lightest shard
+    slots, where = Counter(), {}
+    for r in out:
+        slots[r["virtual_slot"]] += r["size"]
+        where.setdefault(r["virtual_slot"], set()).add(r["shard"])
+    loads, picks = [0] * 4, {}
+    for slot, size in sorted(slots.items(), key=lambda x: (-x[1], x[0])):
+        picks[slot] = loads.index(min(loads))
+        loads[picks[slot]] += size
+    assert where == {slot: {shard} for slot, shard in picks.items()}
+    for shard in range(4):
+        own = sorted((r["slot"], r["virtual_slot"]) for r in out if r["shard"] == shard)
+        assert [x for x, _ in own] == list(range(len(own))) and [x for _, x in own] == sorted(x for _, x in own)
+
+
 def test_near(spark, docs, none):
     words = [f"w{i}" for i in range(200)]
     near = [*words[:100], "odd", *words[101:]]
@@ -225,6 +245,77 @@ def test_language_model(docs, none):
     assert lm_scoring.score_documents(none, F.lit(False)).count() == 0
 
 
+def test_language_model_score_against_brute_force(spark):
+    """The mixture by its definition: deleted estimates in bins, weights by expectation-maximisation, probabilities of whole texts."""
+    random = np.random.default_rng(4)
+    vocabulary = ["alpha", "beta", "gamma", "delta", "rare", "once"]
+    rows = [(i, " ".join(random.choice(vocabulary, int(random.integers(0, 25)), p=[0.4, 0.25, 0.2, 0.1, 0.04, 0.01]))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    out = {r["doc_id"]: r["score"] for r in lm_scoring.score_documents(docs, F.col("doc_id") % 5 == 0).collect()}
+    stream = [(i, w) for i, text in rows for w in [*text.split(), ""]]
+    train = [i % 5 != 0 for i, _ in stream]
+    before = ["", *[w for _, w in stream[:-1]]]
+    words = Counter(w for (_, w), t in zip(stream, train, strict=True) if t)
+    pairs = Counter((b, w) for b, (_, w), t in zip(before, stream, train, strict=True) if t)
+    n, distinct = sum(words.values()), len(words)
+    bucket = lambda c: 1 + int(np.floor(np.log2(c))) if c > 0 else 0
+    fine = lambda p: min(1 + int(np.floor(-4 * np.log2(p))), 255) if p > 0 else 0
+    middle = lambda b: 2.0 ** (-(b - 0.5) / 4) if b else 0.0
+    held = Counter()
+    for b, (_, w), t in zip(before, stream, train, strict=True):
+        if t:
+            c, q = words[b] - 1, pairs[b, w] - 1
+            held[bucket(c), fine(q / c if c > 0 else 0), fine((words[w] - 1) / (n - 1))] += 1
+    weights = {}
+    for own in sorted({k for k, _, _ in held}):
+        mix = np.array([0.4 * (own > 0), 0.4, 0.2])
+        for _ in range(lm_scoring.EM_STEPS):
+            total = np.zeros(3)
+            for (k, a, b), count in held.items():
+                if k == own:
+                    share = mix * np.array([middle(a), middle(b), 1 / (distinct + 1)])
+                    total += count * share / share.sum()
+            mix = total / total.sum()
+        mix = np.maximum(mix, 1e-6 * np.array([own > 0, 1, 1]))
+        weights[own] = mix / mix.sum()
+    for own in range(64):
+        weights.setdefault(own, weights[own - 1] if own > 1 else np.array([0.0, 0.9, 0.1]))
+    want = Counter()
+    for b, (i, w) in zip(before, stream, strict=True):
+        mix, c = weights[bucket(words[b])], words[b]
+        want[i] += np.log10(mix[0] * (pairs[b, w] / c if c else 0) + mix[1] * words[w] / n + mix[2] / (distinct + 1))
+    assert all(abs(want[i] - out[i]) < 1e-6 for i, _ in rows)
+
+
+def test_language_against_brute_force(spark):
+    """Triples bound and bundled one by one, cosines with each profile."""
+    random = np.random.default_rng(6)
+    alphabets = {"aa": "abcdefg é", "bb": "fghijkl ñ", "cc": "mnopqrs日本"}
+    texts = [("".join(random.choice(list(alphabets[lang]), int(random.integers(1, 60)))), lang) for lang in alphabets for _ in range(30)]
+    texts += [("x" * 300_000 + " abc", "aa"), ("12 !", "bb"), ("", "bb"), (None, "aa"), ("😀a", None), ("Ab Ab", None)]
+    rows = spark.createDataFrame([(t, x, "s", 1.0) for t, x in texts], "text string, lang string, lang_ string, n double")
+    first, second, third = (x.astype(np.int64) for x in language_id._vectors(language_id.DIM))
+
+    def bundle(text):
+        letters = [1 + ord(c) % 1023 if c.isalpha() else 0 for c in (text or "").lower()]
+        padded = [0, *letters, 0]
+        padded = [c for i, c in enumerate(padded) if i == 0 or c or padded[i - 1]]
+        counted = Counter(zip(padded, padded[1:], padded[2:], strict=False))
+        return sum((n * first[a] * second[b] * third[c] for (a, b, c), n in counted.items()), np.zeros(language_id.DIM)), bool(counted)
+
+    profiles = {}
+    for text, lang in texts:
+        if text is not None and lang is not None:
+            profiles[lang] = profiles.get(lang, 0) + bundle(text)[0]
+    found = language_id.identify(rows, language_id.learn_profiles(rows)).collect()
+    for r in found:
+        vector, any_ = bundle(r["text"])
+        cosines = {x: float(vector @ p) / (np.linalg.norm(vector) * np.linalg.norm(p) or 1) for x, p in profiles.items()}
+        best = max(cosines.values())
+        assert r["lang_pred"] == "und" if not any_ else abs(cosines[r["lang_pred"]] - best) < 1e-5
+        assert abs(r["score"] - (min(max(best, 0), 1) if any_ else 0)) < 1e-5
+
+
 def test_language(spark, docs, none):
     rows = [("the cat and the dog are in the house", "en"), ("le chat et le chien sont dans la maison", "fr"), (None, "en"), ("x", None)] * 5
     profiles = language_id.learn_profiles(spark.createDataFrame(rows, "text string, lang string"))
@@ -248,6 +339,33 @@ def test_toxicity(spark, docs, none):
     assert toxicity.score_documents(none, labels, F.lit(True)).count() == 0
 
 
+def test_toxicity_in_tasks_as_in_memory(spark):
+    """The distributed training gives the model of the one in memory, and scores in tasks are those by the definition."""
+    random = np.random.default_rng(2)
+    words = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(12) for j in range(5)]
+    rows = []
+    for i in range(160):
+        toxic = i % 4 == 0
+        text = " ".join(random.choice(words, 12)) + (" idiot muslims. calm women" if toxic else " friends. " + str(random.choice(["muslims", "jews", "men", "x"])))
+        rows.append((i, text, int(toxic)))
+    docs = spark.createDataFrame([(i, text, "c", 1.0) for i, text, _ in rows] + [(None, None, "c", 1.0), (3, "x " * 200_000 + "idiot", "c", 1.0)], "doc_id bigint, text string, lang string, score double")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows if i != 3], "doc_id bigint, toxic int")
+    taken = toxicity.sample(docs, labels, F.lit(True))
+    assert len(taken) == 159
+    here, there = toxicity.train(sorted(taken)), toxicity.learn(toxicity.sampled(docs, labels, F.lit(True)))
+    assert here.weights.keys() == there.weights.keys() and abs(here.bias - there.bias) < 1e-6
+    assert all(abs(w - there.weights[f]) < 1e-6 for f, w in here.weights.items())
+    scored = toxicity.score_documents(docs, labels, F.lit(True)).collect()
+    assert Counter((r["doc_id"], round(r["score"], 6)) for r in scored) == Counter((r["doc_id"], round(there.score(r["text"] or ""), 6)) for r in docs.collect())
+    flips = lambda m: np.mean([m.score(f"{a} live here") >= 0.5 for group in toxicity.IDENTITIES for a in group])
+    plain = toxicity.learn(toxicity.sampled(docs, labels, F.lit(True)), gamma=0.0)
+    assert flips(there) <= flips(plain)
+    # every other term of a list is tried, each once
+    pairs = list(toxicity.counterfactuals("The muslims live. Women too."))
+    swapped = {frozenset(b - a) for a, b in pairs}
+    assert len(pairs) == 5 + 1 and all(any(t in x for x in swapped) for t in ("christians", "jews", "hindus", "buddhists", "atheists", "men"))
+
+
 def test_toxicity_sample_passes_over_giants(spark):
     order = sorted(range(20), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
     texts = {i: "x" * (500 if at in (0, 7) else 60 if at == 4 else 10) for at, i in enumerate(order)}
