@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from termlake.llm import blocks as B
-from termlake.llm.common import bucketed_table, rows_of, ship, small_batches
+from termlake.llm.common import bucketed_table, lean, lean_pair, lean_table, rows_of, ship, small_batches
 
 ship(__name__)
 
@@ -160,13 +160,13 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
         raise ValueError(f"words cannot be cut for the pattern {pattern!r}")
     small_batches(docs.sparkSession)
     texts = rows_of(docs, doc_id=F.col("doc_id").cast("long"), text=F.col("text"))
-    blocks = bucketed_table(texts.mapInArrow(_to_blocks, BLOCKS), "bpe_blocks", "block")
+    blocks = bucketed_table(texts.mapInArrow(lean(_to_blocks), BLOCKS), "bpe_blocks", "block")
     total = blocks.agg(F.sum("word_bytes")).first()[0] or 0
     parts = int(total // PART_BYTES) + 1
-    sent = blocks.select("block", "words").mapInArrow(_send(parts), "part int, block string, words binary")
-    encoded = sent.groupBy("part").applyInArrow(_encode_part(ranks, pattern), "block string, part int, counts binary, flat binary")
+    sent = blocks.select("block", "words").mapInArrow(lean(_send(parts)), "part int, block string, words binary")
+    encoded = sent.groupBy("part").applyInArrow(lean_table(_encode_part(ranks, pattern)), "block string, part int, counts binary, flat binary")
     whole = blocks.select("block", "ids", "lengths", "codes", "words")
-    return whole.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(_reassemble(parts), "doc_id bigint, n_tokens bigint, ids binary")
+    return whole.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(lean_pair(_reassemble(parts)), "doc_id bigint, n_tokens bigint, ids binary")
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
@@ -192,7 +192,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
                 texts.append(_values(found) if len(found) else b"")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=schema.names)
 
-    return encoded.mapInArrow(join, schema)
+    return encoded.mapInArrow(lean(join), schema)
 
 
 def _values(found: pa.Array) -> bytes:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termlake.llm import blocks as B
-from termlake.llm.common import bucketed_table, join_counted, lean, rows_of, ship, small_batches, stage_table
+from termlake.llm.common import bucketed_table, join_counted, lean, lean_pair, lean_table, rows_of, ship, small_batches, stage_table
 from termlake.llm.components import components
 from termlake.llm.exact_dedup import filter_bits, hit_filter, looked_up, may_hit
 
@@ -302,7 +302,7 @@ class _Verifier:
         blocks = F.ceil(F.col("n") / BLOCK).cast("int")
         dealt = members.withColumn("own", F.pmod(F.xxhash64("digest", "bucket"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         dealt = dealt.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "class", "digest").join(self.sets, "digest")
-        found = dealt.groupBy("bucket", "x", "y").applyInArrow(_verify_block(self.least), "a binary, b binary, similarity double")
+        found = dealt.groupBy("bucket", "x", "y").applyInArrow(lean_table(_verify_block(self.least)), "a binary, b binary, similarity double")
         return stage_table(found.dropDuplicates(["a", "b"]), "near-links")
 
 
@@ -316,10 +316,10 @@ def signed_documents(texts: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     shingled = bucketed_table(texts.mapInArrow(lean(_shingle), SHINGLED), "near_shingles", "block")
     total, whole = shingled.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     parts, bits = whole // PART_SHINGLES + 1, min(63, max(whole, 1).bit_length() + SPARE_BITS)
-    sent = shingled.select("block", "keys").groupBy("block").applyInArrow(_send(parts, bits), "part int, block string, keys binary, n binary")
-    counted = sent.groupBy("part").applyInArrow(_count, "block string, part int, found binary")
+    sent = shingled.select("block", "keys").groupBy("block").applyInArrow(lean_table(_send(parts, bits)), "part int, block string, keys binary, n binary")
+    counted = sent.groupBy("part").applyInArrow(lean_table(_count), "block string, part int, found binary")
     own = shingled.select("block", "doc_id", "tie", "digest", "keys", "counts").groupBy("block")
-    signed = own.cogroup(counted.groupBy("block")).applyInArrow(_sign(total), "doc_id bigint, tie bigint, digest binary, bands array<bigint>, documents binary")
+    signed = own.cogroup(counted.groupBy("block")).applyInArrow(lean_pair(_sign(total)), "doc_id bigint, tie bigint, digest binary, bands array<bigint>, documents binary")
     return shingled, stage_table(signed, "near-signed"), total
 
 
