@@ -144,9 +144,13 @@ def _randomness() -> Tables:
     """r, ln c and beta of the sampling for each table row and sample, and ln a for weight 1."""
     random = np.random.default_rng(SEED)
     shape = (TABLE, BANDS * ROWS)
-    r, c = (random.gamma(2.0, 1.0, shape).astype(np.float32) for _ in range(2))
+
+    def gamma() -> np.ndarray:
+        """Of shape 2: minus the logarithm of the product of two numbers in (0, 1]."""
+        return np.maximum(-np.log((1 - random.random(shape, np.float32)) * (1 - random.random(shape, np.float32))), np.float32(1e-6))
+
+    r, c = gamma(), np.log(gamma())
     beta = random.random(shape, np.float32)
-    c = np.log(c)
     return r, c, beta, c - r * (1 - beta)
 
 
