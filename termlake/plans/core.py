@@ -13,6 +13,7 @@ from termlake.operators import claims as C
 from termlake.operators import documents as D
 from termlake.operators import graph as G
 from termlake.operators import resolution as R
+from termlake.operators import runs as L
 from termlake.operators import vectors as V
 from termlake.streaming import events as E
 
@@ -346,7 +347,10 @@ def latest_version(spark, d):
 @query("""SELECT 'run-' || o_custkey % 20 AS run_id, count(*) FILTER (o_orderstatus = 'F') AS accepted, count(*) FILTER (o_orderstatus <> 'F') AS rejected,
   concat_ws(' · ', CASE WHEN count(*) FILTER (o_orderstatus = 'F') > 0 THEN count(*) FILTER (o_orderstatus = 'F') || ' accepted' END, CASE WHEN count(*) FILTER (o_orderstatus <> 'F') > 0 THEN count(*) FILTER (o_orderstatus <> 'F') || ' rejected' END) AS summary FROM orders GROUP BY 1""")
 def run_totals(spark, d):
-    totals = t(spark, d, "orders").groupBy(F.concat(F.lit("run-"), F.col("o_custkey") % 20).alias("run_id")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("accepted"), F.count_if(F.col("o_orderstatus") != "F").alias("rejected"))
+    kept = F.when(F.col("o_orderstatus") == "F", "accepted").otherwise("rejected")
+    steps = t(spark, d, "orders").select(F.concat(F.lit("run-"), F.col("o_custkey") % 20).alias("run_id"), F.lit("STEP#01#read").alias("sk"), F.create_map(kept, F.lit(1).cast("long")).alias("counts"))
+    of = lambda name: F.coalesce(F.max(F.when(F.col("name") == name, F.col("total"))), F.lit(0).cast("long")).alias(name)
+    totals = L.totals(steps).groupBy("run_id").agg(of("accepted"), of("rejected"))
     said = lambda name: F.when(F.col(name) > 0, F.concat(F.col(name).cast("string"), F.lit(f" {name}")))
     return totals.withColumn("summary", F.concat_ws(" · ", said("accepted"), said("rejected")))
 
