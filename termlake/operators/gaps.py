@@ -55,16 +55,17 @@ def source_counts(misses: DataFrame) -> DataFrame:
 def entries(misses: DataFrame) -> DataFrame:
     """A row a gap of keyed misses: total, counts by source, the first form, when first and last seen, the kind it had first, what was
     last suggested; n_variants and VARIANTS of them at most, the most frequent. A source never seen is absent from counts, not 0."""
-    first, last = F.struct("at", "display"), F.struct("at", "surface", "source")
-    by_source = misses.groupBy("gap_key", "source").agg(
-        F.count("*").alias("n"), F.min_by(F.struct("display", "gap_type"), first).alias("first"), F.min(first).alias("first_at"), F.max("at").alias("last_seen"),
-        F.max_by(F.struct("suggestions", "scheme", "run_id"), last).alias("last"), F.max(last).alias("last_at"),
+    # misses are read once: what follows goes by key, source and form
+    forms = misses.groupBy("gap_key", "source", "surface").agg(
+        F.count("*").alias("n"), F.min(F.struct("at", "display", "gap_type")).alias("first"), F.max("at").alias("last_seen"), F.max_by(F.struct("suggestions", "scheme", "run_id"), "at").alias("last"),
     )
+    newest = F.struct("last_seen", "surface", "source")
+    by_source = forms.groupBy("gap_key", "source").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max_by("last", newest).alias("last"), F.max(newest).alias("last_at"))
     whole = by_source.groupBy("gap_key").agg(
         F.sum("n").alias("total"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "n")))).alias("counts"),
-        F.min_by("first", "first_at").alias("first"), F.min("first_at.at").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.max_by("last", "last_at").alias("last"),
-    )
-    spelt = misses.groupBy("gap_key", "surface").agg(F.count("*").alias("n"))
+        F.min("first").alias("first"), F.max("last_at.last_seen").alias("last_seen"), F.max_by("last", "last_at").alias("last"),
+    ).withColumn("first_seen", F.col("first.at"))
+    spelt = forms.groupBy("gap_key", "surface").agg(F.sum("n").alias("n"))
     ranked = spelt.withColumn("nth", F.row_number().over(Window.partitionBy("gap_key").orderBy(F.desc("n"), "surface"))).where(F.col("nth") <= VARIANTS)
     variants = ranked.groupBy("gap_key").agg(F.sort_array(F.collect_list("surface")).alias("variants"))
     number = spelt.groupBy("gap_key").agg(F.count("*").alias("n_variants"))
