@@ -209,7 +209,8 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
 
     The model learns from the rows that are not held out. base_score has add-one estimates of single words; score is
     the log10 probability of the mixture. Null and empty texts are one end token. The word before a document is the end of
-    another. An empty table gives an empty result; with no training rows every token gets the same probability.
+    another. Texts of any length are scored whole; repeated rows and ids are rows of their own; columns but doc_id, text and those of
+    held_out stay behind. An empty table gives an empty result; with no training rows every token gets the same probability.
     """
     rows = rows_of(docs, doc_id=F.col("doc_id").cast("long"), text=F.col("text"), flag=held_out)
     blocks = bucketed_table(rows.mapInArrow(_to_blocks, BLOCKS), "lm_blocks", "block")

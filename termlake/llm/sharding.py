@@ -91,7 +91,8 @@ def shard_documents(docs: DataFrame, shards: int, map_path: str | None = None, s
     """doc_id, size, text_crc32, virtual_slot, shard, slot: shards of near equal bytes.
 
     Version 1 of the slot map is stored below map_path (by default in the session's shared folder). A null text has
-    size 1 and the checksum of the empty text; empty tables give empty results; repeated rows are placed one by one.
+    size 1 and the checksum of the empty text; texts of any length count whole; empty tables give empty results; repeated rows
+    are placed one by one. Columns but doc_id and text stay behind.
     """
     spark = docs.sparkSession
     records = stage_table(
