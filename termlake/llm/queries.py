@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termlake.llm import ann, bpe_codec, exact_dedup, language_id, lm_scoring, mixing, near_dedup, sharding, token_files, toxicity
+from termlake.llm import ann, bpe_codec, collocations, exact_dedup, language_id, lm_scoring, mixing, near_dedup, sharding, token_files, toxicity
 from termlake.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,10 +101,35 @@ FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
 """
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH p AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+s AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p),
+o AS (SELECT lang, w, i, unnest(range(1, least(5, len(w) - i + 1) + 1)) AS k FROM s),
+g AS (SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, k, count(*) AS f FROM o GROUP BY ALL HAVING count(*) >= 100),
+t AS (SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang),
+c AS (SELECT lang, phrase, string_split(phrase, ' ') AS w, k, f AS a FROM g WHERE k >= 2),
+b AS (SELECT lang, w, a, k, unnest(range(1, k + 1)) AS i FROM c),
+e AS (SELECT lang, w, a, k, i, unnest(range(2, k - i + 2)) AS m FROM b),
+v AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer FROM e WHERE m < k GROUP BY ALL),
+x AS (SELECT c.*, unnest(range(1, k)) AS cut FROM c LEFT JOIN v USING (lang, phrase) WHERE longer IS NULL OR longer < a),
+q AS (SELECT x.lang, x.phrase, x.a, x.cut, f.f AS l, r.f AS r, t.n::BIGINT AS n, ((1000::HUGEINT * x.a * t.n::HUGEINT) // (f.f::HUGEINT * r.f))::BIGINT AS score
+      FROM x JOIN g f ON f.lang = x.lang AND f.phrase = array_to_string(x.w[1:x.cut], ' ') JOIN g r ON r.lang = x.lang AND r.phrase = array_to_string(x.w[x.cut + 1:], ' ') JOIN t ON t.lang = x.lang),
+y AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase COLLATE "C") AS rank, phrase, a, l, r, n, score FROM y
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase COLLATE "C") <= 2000
+"""
+
+
 def queries() -> dict[str, Query]:
-    made = (op1_near_dedup, op2_byte_bpe, op3_counterfactual_toxicity, op4_virtual_slots, op5_exact_dedup, op6_deleted_interpolation, op7_hyperdimensional_language, op8_robust_graph, op9_token_files, op10_mixing)
+    made = (op1_near_dedup, op2_byte_bpe, op3_counterfactual_toxicity, op4_virtual_slots, op5_exact_dedup, op6_deleted_interpolation, op7_hyperdimensional_language, op8_robust_graph, op9_token_files, op10_mixing, op13_collocations)
     return {query.__name__: query for query in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL, "op10_mixing": OP10_SQL}
+    return {"op5_exact_dedup": OP5_SQL, "op10_mixing": OP10_SQL, "op13_collocations": OP13_SQL}
