@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termlake.llm import ann, bpe_codec, collocations, exact_dedup, language_id, lm_scoring, mixing, near_dedup, prefix_trie, sharding, token_files, toxicity
+from termlake.llm import ann, bpe_codec, collocations, exact_dedup, html_text, language_id, lm_scoring, mixing, near_dedup, prefix_trie, sharding, token_files, toxicity
 from termlake.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,6 +101,10 @@ FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
 """
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
@@ -113,7 +117,8 @@ h AS (SELECT conv_id, conv_id - conv_id % 20 AS base, xor(list_reduce(list_conca
   lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda v, ignored: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295) % 4 AS h FROM c),
 o AS (SELECT h.conv_id, t.role, t.text, 0 AS own, t.i FROM h JOIN t ON t.conv_id = h.base AND t.i < h.h UNION ALL SELECT h.conv_id, t.role, t.text, 1, t.i FROM h JOIN t ON t.conv_id = h.conv_id AND t.i >= h.h),
 r AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY own, i) AS depth FROM o),
-k AS (SELECT conv_id, depth, len(regexp_extract_all(text, '[^ 	-]+')) AS words, sha256(string_agg(sha256(len(role) || ':' || role || ':' || text), '') OVER (PARTITION BY conv_id ORDER BY depth)) AS key FROM r
+k AS (SELECT conv_id, depth, len(regexp_extract_all(text, '[^ 	-
+]+')) AS words, sha256(string_agg(sha256(len(role) || ':' || role || ':' || text), '') OVER (PARTITION BY conv_id ORDER BY depth)) AS key FROM r
   UNION ALL SELECT conv_id, 0, 0, '' FROM c),
 l AS (SELECT conv_id, max(depth) AS length FROM k GROUP BY conv_id),
 n AS (SELECT k.depth, k.key, min(k.conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words, sha256(coalesce(string_agg(k.conv_id, ',' ORDER BY k.conv_id) FILTER (k.depth = length), '')) AS ends_sha256 FROM k JOIN l USING (conv_id) GROUP BY ALL),
@@ -152,7 +157,7 @@ QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase
 
 
 def queries() -> dict[str, Query]:
-    made = (op1_near_dedup, op2_byte_bpe, op3_counterfactual_toxicity, op4_virtual_slots, op5_exact_dedup, op6_deleted_interpolation, op7_hyperdimensional_language, op8_robust_graph, op9_token_files, op10_mixing, op12_prefix_trie, op13_collocations)
+    made = (op1_near_dedup, op2_byte_bpe, op3_counterfactual_toxicity, op4_virtual_slots, op5_exact_dedup, op6_deleted_interpolation, op7_hyperdimensional_language, op8_robust_graph, op9_token_files, op10_mixing, op11_html_text, op12_prefix_trie, op13_collocations)
     return {query.__name__: query for query in made}
 
 
