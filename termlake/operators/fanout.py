@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -21,18 +22,25 @@ from termlake.sources import quads as Q
 
 
 class IndexStore:
-    """Indexes by watermark below `path`; a pointer, written last, says which one holds."""
+    """Indexes below `path`, each in a folder of its own; a pointer, written last, names the folder that holds.
+
+    A folder begins with the watermark of its index and is never written again, so whoever holds an index keeps it, also when another
+    one of the same watermark is published.
+    """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
 
-    def publish(self, index: DataFrame, watermark: str) -> None:
-        """An index of the same watermark is written anew; readers meet the old one until the pointer is replaced."""
-        index.write.mode("overwrite").parquet(f"{self.path}/index/{watermark}")
+    def publish(self, index: DataFrame, watermark: str, vectors: DataFrame | None = None) -> None:
+        """Write an index, and the vectors (label, concept_id, scheme_id, label_vector) of its labels if there are any, and make it current."""
+        name = f"{watermark}-{uuid.uuid4().hex}"
+        index.write.parquet(f"{self.path}/index/{name}/labels")
+        if vectors is not None:
+            vectors.select("label", "concept_id", "scheme_id", "label_vector").write.parquet(f"{self.path}/index/{name}/vectors")
         jvm = self.spark.sparkContext._jvm
-        waiting, store = hadoop(self.spark, f"{self.path}/current.{watermark}")
-        out = store.create(waiting, True)
-        out.write(watermark.encode())
+        waiting, store = hadoop(self.spark, f"{self.path}/waiting/{name}")
+        out = store.create(waiting, False)
+        out.write(name.encode())
         out.close()
         options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
         options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
@@ -40,6 +48,11 @@ class IndexStore:
         jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(waiting, pointer, options)
 
     def watermark(self) -> str | None:
+        """Of which graph the current index was built; None without one."""
+        name = self._current()
+        return name and name.rpartition("-")[0]
+
+    def _current(self) -> str | None:
         place, store = hadoop(self.spark, f"{self.path}/current")
         if not store.exists(place):
             return None
@@ -51,8 +64,16 @@ class IndexStore:
 
     def load(self) -> DataFrame | None:
         """The index that the pointer names; None without one."""
-        name = self.watermark()
-        return self.spark.read.parquet(f"{self.path}/index/{name}") if name else None
+        name = self._current()
+        return self.spark.read.parquet(f"{self.path}/index/{name}/labels") if name else None
+
+    def vectors(self) -> DataFrame | None:
+        """The vectors of the current index's labels; None if it was published without."""
+        name = self._current()
+        if name is None:
+            return None
+        place, store = hadoop(self.spark, f"{self.path}/index/{name}/vectors")
+        return self.spark.read.parquet(str(place)) if store.exists(place) else None
 
 
 @dataclass
@@ -91,7 +112,8 @@ def rebuild_index(w: Workspace, event: dict) -> dict[str, int]:
     quads = w.quads()
     labels = P.views(quads).labels
     index = R.build_index(labels.select("concept_id", F.col("scheme_id"), "label", "kind"))
-    w.index.publish(index, Q.digest(quads))
+    named = labels.select("label", "concept_id", "scheme_id").distinct().withColumn("label_vector", w.embed(F.col("label")))
+    w.index.publish(index, Q.digest(quads), named)
     return {"labels": w.index.load().count(), "concepts": labels.select("concept_id").distinct().count()}
 
 

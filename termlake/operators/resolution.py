@@ -27,13 +27,12 @@ def owners(labels: DataFrame) -> DataFrame:
 def label_index(labels: DataFrame) -> DataFrame:
     """(label_key, n_concepts, concepts, schemes, kind) of labels (concept_id, scheme_id, label, kind).
 
-    `concepts` are the smallest and the largest owner, so it has one entry exactly if the owner is unique; all owners, of which a
-    label may have any number, are rows of owners(). Schemes are governed and few.
+    `concepts` are all owners in order, one entry exactly if the owner is unique. Schemes are governed and few.
     """
     rank = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in RANK.items() for x in pair)), F.col("kind")), F.lit(0))
     grouped = owners(labels).groupBy("label_key")
-    ends = F.array_distinct(F.array(F.min("concept_id"), F.max("concept_id")))
-    return grouped.agg(F.countDistinct("concept_id").alias("n_concepts"), ends.alias("concepts"), F.sort_array(F.collect_set("scheme_id")).alias("schemes"), F.max_by("kind", rank).alias("kind"))
+    found = grouped.agg(F.sort_array(F.collect_set("concept_id")).alias("concepts"), F.sort_array(F.collect_set("scheme_id")).alias("schemes"), F.max_by("kind", rank).alias("kind"))
+    return found.select("label_key", F.size("concepts").cast("long").alias("n_concepts"), "concepts", "schemes", "kind")
 
 
 class Collision(ValueError):
@@ -120,7 +119,7 @@ def resolve(mentions: DataFrame, index: DataFrame, vectors: DataFrame | None = N
             clear: float = CLEAR, margin: float = MARGIN, k: int = SHORTLIST) -> DataFrame:
     """mentions (id, surface) with normalised, lookup, concept_id, stage, score, label_kind, collision, shortlist.
 
-    First exact: a key of one concept resolves with score 1, a key of several abstains and names two of them. What is in no label
+    First exact: a key of one concept resolves with score 1, a key of several abstains and names them all. What is in no label
     goes to the vectors (label, concept_id, scheme_id, label_vector), if there are any and an `embed`: the best concept resolves if
     its score is clear and far enough from the second. All else abstains and keeps its shortlist. aliases (original, corrected), both
     normalised, change what is looked up and never the surface; then label_kind is `alias`. Each mention is one row.

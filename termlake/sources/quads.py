@@ -6,13 +6,21 @@ import hashlib
 import re
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termlake.scratch import hadoop
 from termlake.sources.turtle import SCHEMA
+from termlake.tasks import ship
+
+ship(__name__)
+
+#: Bytes of lines that are hashed at a time.
+CHUNK = 1 << 20
 
 QUAD = r'^(\S+)\s+(\S+)\s+(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?)\s*(<[^>]*>|_:\S+)?\s*\.\s*$'
 
@@ -40,16 +48,38 @@ def write_nquads(quads: DataFrame, path: str) -> None:
     quad_lines(quads).orderBy("line").write.text(path)
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+    row = lambda: pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "number": pa.array([number], pa.int64()), "lines": pa.array([b"".join(held)], pa.binary())})
+    for batch in batches:
+        for line in batch.column(0).to_pylist():
+            held.append(line.encode() + b"\n")
+            size += len(held[-1])
+            if size >= CHUNK:
+                yield row()
+                number, held, size = number + 1, [], 0
+    if held:
+        yield row()
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    whole = hashlib.sha256()
+    for batch in batches:
+        for lines in batch.column(0):
+            whole.update(lines.as_py())
+    yield pa.RecordBatch.from_pydict({"digest": [whole.hexdigest()]})
+
+
 def digest(quads: DataFrame) -> str:
     """sha256 of the bytes that write_nquads() would write: distinct lines in order, each with its break.
 
-    Lines stream through the driver, a partition in memory at a time, as a hash of bytes in order is one sequence. It is
-    meant for the governed vocabulary; an empty table has the digest of no bytes.
+    Ranges of lines are sorted and joined to chunks in many tasks. A hash of bytes in order is one sequence, so one task takes the
+    chunks in their order, one in memory at a time; the driver gets the digest alone. An empty table has the digest of no bytes.
     """
-    whole = hashlib.sha256()
-    for row in quad_lines(quads).orderBy("line").toLocalIterator(prefetchPartitions=True):
-        whole.update(row["line"].encode() + b"\n")
-    return whole.hexdigest()
+    chunks = quad_lines(quads).orderBy("line").mapInArrow(_chunks, "part int, number bigint, lines binary")
+    ordered = chunks.repartition(1).sortWithinPartitions("part", "number").select("lines")
+    rows = ordered.mapInArrow(_hashed, "digest string").collect()
+    return rows[0]["digest"] if rows else hashlib.sha256().hexdigest()
 
 
 class VersionConflict(Exception):

@@ -1,24 +1,30 @@
-"""Turtle files as quads. Files are authored by people and small, so the driver parses them; collections are refused."""
+"""Turtle files as quads, each parsed in a task. Files are authored by people; one file is one row."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Mapping
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from termlake.tasks import ship
+
+ship(__name__)
 
 SCHEMA = "subject string, predicate string, object string, graph string, lang string, datatype string"
 RDF, XSD = "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "http://www.w3.org/2001/XMLSchema#"
 TOKEN = re.compile(
     r"""(?P<skip>\s+|\#[^\n]*)|(?P<iri><[^<>\s]*>)|(?P<text>\"{3}(?:[^"\\]|\\.|"(?!""))*\"{3}|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')"""
     r"""|(?P<at>@[A-Za-z]+(?:-[A-Za-z0-9]+)*)|(?P<kind>\^\^)|(?P<number>[+-]?\d+(?:\.\d+)?)|(?P<node>_:\w+)"""
-    r"""|(?P<name>[\w-]*(?:\.[\w-]+)*:(?:[\w%-](?:[\w.%:-]*[\w%:-])?)?)|(?P<word>[A-Za-z]+)|(?P<mark>[;,.\[\]])""",
+    r"""|(?P<name>[\w-]*(?:\.[\w-]+)*:(?:[\w%-](?:[\w.%:-]*[\w%:-])?)?)|(?P<word>[A-Za-z]+)|(?P<mark>[;,.\[\]()])""",
     re.DOTALL,
 )
 
 
 class TurtleError(ValueError):
-    """A file that is no Turtle, or uses a collection; the message names file and line."""
+    """A file that is no Turtle; the message names file and line."""
 
 
 class _Reader:
@@ -71,8 +77,27 @@ class _Reader:
                 self.properties(node)
             self.expect("]")
             return node
+        if self.value == "(":
+            return self.collection()
         raise self.fail(f"unexpected {self.value!r}")
 
+    def collection(self) -> str:
+        """A list as first and rest from its last item on; the node that begins it."""
+        self.step()
+        items = []
+        while self.value != ")":
+            if self.kind == "end":
+                raise self.fail("')' expected")
+            items.append(self.term())
+        self.step()
+        rest = f"<{RDF}nil>"
+        for item in reversed(items):
+            self.nodes += 1
+            node = f"_:n{self.nodes}"
+            self.found += [(node, f"<{RDF}first>", *item), (node, f"<{RDF}rest>", rest, None, None)]
+            rest = node
+        return rest
+
     def term(self) -> tuple[str, str | None, str | None]:
         """(object, lang, datatype) as they stand in an N-Quads line."""
         if self.kind == "text":
@@ -128,12 +153,32 @@ class _Reader:
             self.found.clear()
 
 
+def parse(name: str, text: str, graph: str) -> list[tuple]:
+    """Rows of one text, repeated triples once; blank nodes belong to their file."""
+    mark = re.sub(r"[^A-Za-z0-9]", "", name)
+    own = lambda x: x.replace("_:", f"_:{mark}", 1) if x.startswith("_:") else x
+    rows = ((own(s), p, own(o), graph, lang, datatype) for s, p, o, lang, datatype in _Reader(name, text).statements())
+    return list(dict.fromkeys(rows))
+
+
+def scan_turtle(spark: SparkSession, path: str, graph: str) -> DataFrame:
+    """(subject, predicate, object, graph, lang, datatype) of the files of a path or pattern, repeated triples once.
+
+    Files are dealt over tasks and parsed there. One that is no Turtle fails the job; the message has its name and line.
+    """
+    schema = pa.schema([(x, pa.string()) for x in ("subject", "predicate", "object", "graph", "lang", "datatype")])
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows = parse(name, content.decode("utf-8"), graph)
+                yield from pa.Table.from_pylist([dict(zip(schema.names, row, strict=True)) for row in rows], schema).to_batches(max_chunksize=50_000)
+
+    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), "content")
+    return files.repartition("name").mapInArrow(parsed, SCHEMA).distinct()
+
+
 def read_turtle(spark: SparkSession, sources: Mapping[str, str], graph: str) -> DataFrame:
-    """(subject, predicate, object, graph, lang, datatype) of texts by file name, in the order of the names, repeated triples once."""
-    rows = []
-    for name in sorted(sources):
-        for subject, predicate, item, lang, datatype in _Reader(name, sources[name]).statements():
-            # blank nodes belong to their file
-            own = lambda x, name=name: x.replace("_:", f"_:{re.sub(r'[^A-Za-z0-9]', '', name)}", 1) if x.startswith("_:") else x
-            rows.append((own(subject), predicate, own(item), graph, lang, datatype))
+    """As scan_turtle(), of texts by file name that the caller has in hand, in the order of the names."""
+    rows = [row for name in sorted(sources) for row in parse(name, sources[name], graph)]
     return spark.createDataFrame(list(dict.fromkeys(rows)), SCHEMA)
