@@ -47,6 +47,7 @@ def rows_of(seed):
 @pytest.mark.parametrize(("seed", "shard", "least", "top"), [(1, 2_000_000, 3, 2000), (2, 50, 5, 7), (3, 300, 2, 2000)])
 def test_collocations(spark, monkeypatch, seed, shard, least, top):
     monkeypatch.setattr(collocations, "SHARD", shard)
+    monkeypatch.setattr(collocations, "PART", 100 if shard < 1000 else 2_000_000)
     rows = rows_of(seed)
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
     assert sorted(map(tuple, collocations.collocations(docs, least, top).collect())) == brute(rows, least, top)
@@ -61,7 +62,7 @@ def test_empty(spark):
 def test_bitmaps_grow_over_word_edges(most):
     codes = np.random.default_rng(5).integers(0, 4, 1000)
     found = Counter()
-    for words, counts in collocations.phrases(collocations.Bitmaps(codes), 5, most=most):
+    for words, _, counts in collocations.phrases(collocations.Bitmaps(codes), 5, np.arange(4), most=most):
         for w, n in zip(words.tolist(), counts.tolist(), strict=True):
             assert tuple(w) not in found
             found[tuple(w)] = n
