@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termlake.functions import text as T
+from termlake.operators import similarity as S
 
 CLEAR, MARGIN, SHORTLIST = 0.82, 0.05, 5
 #: Schemes of machine names.
@@ -70,40 +71,19 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def nearest_labels(vectors: DataFrame, labels: DataFrame, k: int = SHORTLIST, block: int = 100_000) -> DataFrame:
-    """(vec_id, rank, label, score): the k nearest of labels (label, label_vector). Scores are rounded before they are ranked.
-
-    Up to `block` labels, whose number is counted, are broadcast. More are dealt into blocks of that size: each vector meets each
-    block, keeps the k best of it, and the best of all blocks are merged, so any number of labels is compared exactly.
-    """
-    blocks = -(-labels.count() // block)
-    if blocks <= 1:
-        met = vectors.crossJoin(F.broadcast(labels)).withColumn("block", F.lit(0))
-    else:
-        dealt = labels.withColumn("block", F.pmod(F.xxhash64("label"), F.lit(blocks)).cast("int"))
-        met = vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "block")
-    scored = met.select("vec_id", "block", "label", F.round(dot(F.col("embedding"), F.col("label_vector")), 4).alias("score"))
-    best = F.row_number().over(Window.partitionBy("vec_id", "block").orderBy(F.desc("score"), "label"))
-    scored = scored.withColumn("rank", best).where(F.col("rank") <= k)
-    if blocks > 1:
-        scored = scored.withColumn("rank", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("score"), "label"))).where(F.col("rank") <= k)
-    return scored.select("vec_id", "label", "score", "rank")
+def nearest_labels(vectors: DataFrame, labels: DataFrame, k: int = SHORTLIST, tile_bytes: int = S.TILE_BYTES) -> DataFrame:
+    """(vec_id, rank, label, score): the k nearest of labels (label, label_vector) to vectors (vec_id, embedding), exactly and by tiles.
+    Scores are rounded before they are ranked, ties go by label."""
+    found = S.nearest(vectors, labels.select("label", "label_vector"), k, "vec_id", "embedding", "label_vector", ["label"], tile_bytes=tile_bytes)
+    return found.select("vec_id", "label", "score", "rank")
 
 
-def nearest_concepts(vectors: DataFrame, labels: DataFrame, k: int = SHORTLIST, machine: tuple[str, ...] = MACHINE) -> DataFrame:
+def nearest_concepts(vectors: DataFrame, labels: DataFrame, k: int = SHORTLIST, machine: tuple[str, ...] = MACHINE, tile_bytes: int = S.TILE_BYTES) -> DataFrame:
     """(vec_id, rank, concept_id, label, score): the k nearest concepts by their best label of labels (label, concept_id, scheme_id,
     label_vector); the first label wins ties. Machine schemes are never listed, though they match exactly."""
-    named = labels.where(~F.coalesce(F.col("scheme_id").isin(list(machine)), F.lit(False)))
-    blocks = -(-named.count() // 100_000)
-    dealt = named.withColumn("block", F.pmod(F.xxhash64("label"), F.lit(max(blocks, 1))).cast("int"))
-    met = vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(blocks, 1) - 1))))
-    met = met.join(F.broadcast(dealt) if blocks <= 1 else dealt, "block")
-    scored = met.select("vec_id", "concept_id", "label", F.round(dot(F.col("embedding"), F.col("label_vector")), 4).alias("score"))
-    # of a concept the label with the best score, the first in order among equals
-    best = scored.groupBy("vec_id", "concept_id").agg(F.max("score").alias("score"), F.min(F.struct((-F.col("score")).alias("less"), "label")).alias("of"))
-    order = Window.partitionBy("vec_id").orderBy(F.desc("score"), "label")
-    ranked = best.select("vec_id", "concept_id", F.col("of.label").alias("label"), "score").withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= k)
+    named = labels.where(~F.coalesce(F.col("scheme_id").isin(list(machine)), F.lit(False))).select("label", "concept_id", "label_vector")
+    found = S.nearest(vectors, named, k, "vec_id", "embedding", "label_vector", ["label", "concept_id"], group="concept_id", tile_bytes=tile_bytes)
+    return found.select("vec_id", "concept_id", "label", "score", "rank")
 
 
 def hash_embedding(text: Column, dim: int = 64) -> Column:

@@ -2,6 +2,7 @@
 
 import datetime
 import json
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -130,7 +131,31 @@ def test_many_labels_in_blocks(spark):
     asked = spark.createDataFrame(rows, "vec_id int, embedding array<double>")
     labels = spark.createDataFrame([(f"l{i:02}", [float(i % 5), float(i % 4)]) for i in range(30)], "label string, label_vector array<double>")
     key = lambda df: sorted(tuple(r) for r in df.select("vec_id", "rank", "label", "score").collect())
-    assert key(resolution.nearest_labels(asked, labels, 5, block=4)) == key(resolution.nearest_labels(asked, labels, 5))
+    assert key(resolution.nearest_labels(asked, labels, 5, tile_bytes=64)) == key(resolution.nearest_labels(asked, labels, 5))
+    want = []
+    for q, (x, y) in rows:
+        near = sorted((-round(x * (i % 5) + y * (i % 4), 4), f"l{i:02}") for i in range(30))[:5]
+        want += [(q, n, label, -s) for n, (s, label) in enumerate(near, 1)]
+    assert key(resolution.nearest_labels(asked, labels, 5, tile_bytes=64)) == sorted(want)
+    empty = asked.limit(0)
+    assert resolution.nearest_labels(empty, labels).count() == 0 and resolution.nearest_labels(asked, labels.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("tile_bytes", [48, 1 << 20])
+def test_concepts_by_their_best_label_in_tiles(spark, tile_bytes):
+    rows = [(f"l{i % 23:02}", f"c{i % 7}", "telemetry" if i % 11 == 0 else "s", [float(i % 5), float(i % 4)] if i != 3 else None) for i in range(40)]
+    labels = spark.createDataFrame(rows, "label string, concept_id string, scheme_id string, label_vector array<double>")
+    asked = spark.createDataFrame([(i, [i % 7 / 3, i % 3 / 7]) for i in range(9)] + [(99, None)], "vec_id int, embedding array<double>")
+    want = []
+    for q in range(9):
+        best = {}
+        for label, concept, scheme, v in rows:
+            if v and scheme == "s":
+                score = (-float(round(Decimal(repr(q % 7 / 3 * v[0] + q % 3 / 7 * v[1])), 4)), label)
+                best[concept] = min(best.get(concept, score), score)
+        want += [(q, n, c, label, -s) for n, (s, label, c) in enumerate(sorted((s, label, c) for c, (s, label) in best.items())[:3], 1)]
+    found = resolution.nearest_concepts(asked, labels, 3, tile_bytes=tile_bytes)
+    assert sorted(tuple(r) for r in found.select("vec_id", "rank", "concept_id", "label", "score").collect()) == sorted(want)
 
 
 def miss(surface, source, locator, minute, merge_as=None, text="t", kind=gaps.ADD_LABEL, suggestions=None):
