@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import html.entities
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -95,6 +96,17 @@ def normalise(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.translate(out, before, after)), "[^a-z0-9]+", " "))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once for a row: what a lambda only refers to would be computed at each of its calls."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def unit(vector: Column) -> Column:
+    """The vector of length 1 in its direction; zeros stay."""
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    return let(vector, lambda v: let(norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0))))
+
+
 def merge_key(text: Column) -> Column:
     """normalise() without a plural s: of a last word of four letters or more that does not end in ss, us or is."""
     return F.regexp_replace(normalise(text), "([a-z0-9]{2}[a-hj-rtv-z0-9])s$", "$1")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from termlake.functions import text as T
 from termlake.operators import similarity as S
+from termlake.scratch import stage
 
 CLEAR, MARGIN, SHORTLIST = 0.82, 0.05, 5
 #: Schemes of machine names.
@@ -88,11 +89,9 @@ def nearest_concepts(vectors: DataFrame, labels: DataFrame, k: int = SHORTLIST,
 
 def hash_embedding(text: Column, dim: int = 64) -> Column:
     """A deterministic unit vector of a text, for tests and for those without a model: its words hashed to places and signs; zeros without words."""
-    hashed = F.transform(T.words(text), lambda w: F.xxhash64(w))
     place = lambda h: F.pmod(h, F.lit(dim))
-    sums = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.aggregate(F.filter(hashed, lambda h: place(h) == d), F.lit(0.0), lambda s, h: s + F.when(F.call_function("shiftright", h, F.lit(40)) % 2 == 0, 1.0).otherwise(-1.0)))
-    norm = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(sums, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+    sums = lambda hashed: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.aggregate(F.filter(hashed, lambda h: place(h) == d), F.lit(0.0), lambda s, h: s + F.when(F.call_function("shiftright", h, F.lit(40)) % 2 == 0, 1.0).otherwise(-1.0)))
+    return T.let(F.transform(T.words(text), lambda w: F.xxhash64(w)), lambda hashed: T.unit(sums(hashed)))
 
 
 def resolve(mentions: DataFrame, index: DataFrame, vectors: DataFrame | None = None, aliases: DataFrame | None = None, embed: Callable[[Column], Column] | None = None,
@@ -198,30 +197,66 @@ def greedy_sweep(questions: DataFrame, index: DataFrame, most: int = 4) -> DataF
     return sweep_runs(questions, index, most).select("id", F.col("runs.label_key").alias("terms"))
 
 
-def residual_sweep(swept: DataFrame, most: int = 4, lookups: int = 12, aliases: DataFrame | None = None) -> DataFrame:
-    """(id, misses) of swept (id, text, runs): phrases of unconsumed words that are worth reporting, in the order of the looks.
+#: Looks of the second pass at each question.
+LOOKS = 12
+_FOUND = "array<struct<start: int, size: int, phrase: string, lookup: string>>"
 
-    A phrase has no function word at its edges; `lookups` of them are looked at for each question: first those with an alias, then
-    the longest, then the leftmost. One that is worth reporting, by its alias if it has one, consumes its words.
-    """
-    tokens = swept.select("id", "runs", T.question_words(F.col("text")).alias("tokens"))
-    spans = tokens.select("id", F.explode(T.ngrams(F.col("tokens"), most)).alias("g")).select("id", "g.start", "g.size", "g.phrase").withColumn("key", T.normalise(F.col("phrase")))
-    edge = lambda i: F.coalesce(T.normalise(F.element_at(F.split("phrase", " "), i)), F.lit("")).isin(["", *T.FUNCTION_WORDS])
-    shaped = spans.where((F.col("key") != "") & ~edge(1) & ~edge(-1))
+
+def _spans(swept: DataFrame, most: int, aliases: DataFrame | None) -> DataFrame:
+    """(id, start, size, phrase, said, lookup) of all phrases without a function word at their edges; said is an alias."""
+    tokens = swept.select("id", T.question_words(F.col("text")).alias("tokens"))
+    # each word is folded once: a phrase's key has the keys of its words
+    words = tokens.select("id", F.explode(T.ngrams(F.col("tokens"), most)).alias("g"), F.transform("tokens", T.normalise).alias("norms"))
+    spans = words.select("id", "g.start", "g.size", "g.phrase", F.slice("norms", F.col("g.start"), F.col("g.size")).alias("own"))
+    edge = lambda i: F.element_at("own", i).isin(["", *T.FUNCTION_WORDS])
+    shaped = spans.where(~edge(1) & ~edge(-1)).withColumn("key", F.array_join(F.filter("own", lambda w: w != ""), " "))
     if aliases is not None:
         shaped = shaped.join(aliases.select(F.col("original").alias("key"), F.col("corrected").alias("said")), "key", "left")
     else:
         shaped = shaped.withColumn("said", F.lit(None).cast("string"))
-    rank = F.struct(F.col("said").isNull().alias("plain"), (-F.col("size")).alias("less"), "start", "size", "phrase", T.worth_reporting(F.coalesce("said", "phrase")).alias("worth"))
-    ordered = tokens.select("id", "runs").join(shaped.groupBy("id").agg(F.array_sort(F.collect_list(rank)).alias("spans")), "id")
+    return shaped.select("id", "start", "size", "phrase", "said", F.coalesce("said", "key").alias("lookup"))
+
+
+def _looked(swept: DataFrame, spans: DataFrame, lookups: int) -> DataFrame:
+    """(id, found) of swept (id, runs) and spans with `takes`: in the order of the looks a span none of whose words is consumed is looked
+    at, `lookups` for each question, and consumes its words if it takes them. Aliases go first, then the longest, then the leftmost."""
+    rank = F.struct(F.col("said").isNull().alias("plain"), (-F.col("size")).alias("less"), "start", "size", "phrase", "lookup", "takes")
+    ordered = swept.select("id", "runs").join(spans.groupBy("id").agg(F.array_sort(F.collect_list(rank)).alias("spans")), "id")
     used = F.flatten(F.transform("runs", lambda r: F.sequence(r["start"], r["start"] + r["size"] - 1)))
-    fold = F.expr(f"""aggregate(spans, named_struct('used', used, 'seen', 0, 'found', cast(array() as array<string>)), (s, c) ->
+    fold = F.expr(f"""aggregate(spans, named_struct('used', used, 'seen', 0, 'found', cast(array() as {_FOUND})), (s, c) ->
         if(s.seen >= {lookups} or arrays_overlap(s.used, sequence(c.start, c.start + c.size - 1)), s,
-           named_struct('used', if(c.worth, concat(s.used, sequence(c.start, c.start + c.size - 1)), s.used), 'seen', s.seen + 1, 'found', if(c.worth, array_append(s.found, c.phrase), s.found)))).found""")
-    found = ordered.select("id", "spans", used.alias("used")).select("id", fold.alias("misses"))
+           named_struct('used', if(c.takes, concat(s.used, sequence(c.start, c.start + c.size - 1)), s.used), 'seen', s.seen + 1,
+                        'found', if(c.takes, array_append(s.found, named_struct('start', c.start, 'size', c.size, 'phrase', c.phrase, 'lookup', c.lookup)), s.found)))).found""")
+    return ordered.select("id", "spans", used.alias("used")).select("id", fold.alias("found"))
+
+
+def residual_sweep(swept: DataFrame, most: int = 4, lookups: int = LOOKS, aliases: DataFrame | None = None) -> DataFrame:
+    """(id, misses) of swept (id, text, runs): phrases of unconsumed words that are worth reporting, in the order of the looks; one
+    that is worth reporting, by its alias if it has one, consumes its words. Nothing is resolved: see second_pass()."""
+    spans = _spans(swept, most, aliases).withColumn("takes", T.worth_reporting(F.coalesce("said", "phrase")))
+    found = _looked(swept, spans, lookups).select("id", F.col("found.phrase").alias("misses"))
     return swept.select("id").join(found, "id", "left").withColumn("misses", F.coalesce("misses", F.array().cast("array<string>")))
 
 
+def second_pass(swept: DataFrame, index: DataFrame, vectors: DataFrame, embed: Callable[[Column], Column], aliases: DataFrame | None = None, most: int = 4, lookups: int = LOOKS,
+                floor: float = 0.0, clear: float = CLEAR, margin: float = MARGIN, k: int = SHORTLIST) -> DataFrame:
+    """(id, place, start, size, phrase, lookup, concept_id, stage, score, shortlist) of what swept (id, text, runs) left over.
+
+    Every phrase that any question could look at goes through the cascade once, whatever the number of questions with it; then each
+    question takes its looks in order. One that the cascade matched, or that is worth reporting, consumes its words; with a `floor`
+    the best of the shortlist must reach it to be reported.
+    """
+    spans = stage(_spans(swept, most, aliases), "spans")
+    asked = spans.select(F.col("lookup").alias("surface")).distinct()
+    known = resolve(asked, index, vectors, None, embed, clear, margin, k).select(F.col("surface").alias("lookup"), "concept_id", "stage", "score", "shortlist")
+    known = stage(known, "looked-up")
+    top = F.get(F.col("shortlist"), F.lit(0))["score"]
+    takes = F.col("concept_id").isNotNull() | T.worth_reporting(F.col("lookup"), top, floor)
+    judged = spans.join(known.select("lookup", takes.alias("takes")), "lookup")
+    found = _looked(swept, judged, lookups).select("id", F.posexplode("found").alias("place", "f")).select("id", "place", "f.*")
+    return found.join(known, "lookup").select("id", "place", "start", "size", "phrase", "lookup", "concept_id", "stage", "score", "shortlist")
+
+
 def correction_map(pairs: DataFrame) -> DataFrame:
     """(original, corrected) of pairs that repair: not the same when normalised, not empty, no rewrite, and one reading only."""
     a, b = T.normalise(F.col("original")), T.normalise(F.col("corrected"))
