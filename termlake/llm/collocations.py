@@ -1,43 +1,66 @@
 """Collocations: phrases of two to five words that occur more often than their parts suggest, by language.
 
 Documents are dealt into shards of one language. A shard has for each frequent word a bitmap of its positions, in
-words of 64 bits of which only those with a bit are kept. A phrase grows by a shift of its bitmap and an AND with the bitmaps of
-the words that stand in the same 64 positions; the popcount is its number of occurrences in the shard. Phrases grow depth first, a batch
+words of WIDTH bits of which only those with a bit are kept. A phrase grows by a shift of its bitmap and an AND with the bitmaps of
+the words that stand in the same WIDTH positions; the popcount is its number of occurrences in the shard. Phrases grow depth first, a batch
 of first words at a time, so a shard's memory is bounded by its size. Breaks between pieces and words too rare for any
 phrase keep a position without a bit, which no phrase crosses. Counts are sums over the shards.
 
-No phrase is more frequent than the words and pairs in it. So shards meet three times: for the counts of words, of pairs of
-frequent words, and of longer phrases of frequent pairs. What is frequent goes back only to the shards that have it.
+No phrase is more frequent than the words and pairs in it. So shards meet for words, for pairs of frequent words, and for
+longer phrases of frequent pairs. Each time they first send counts by hash bucket, about a byte a phrase: a bucket's sum is no
+less than that of any phrase in it. The phrases themselves, whose counts are exact, follow only from buckets that are frequent. Buckets grow in
+number with the words of the table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termlake.llm import blocks as B
-from termlake.llm.common import lean, lean_pair, rows_of, ship, small_batches, stage_table
+from termlake.llm.common import bucketed_table, lean, lean_pair, lean_table, rows_of, ship, small_batches, stage_table
 
 ship(__name__)
 
 #: A shard ends with the document that brings it to so many words and breaks; longer documents are cut at a break.
-SHARD = 2_000_000
+SHARD = 3_000_000
 #: Bitmap words that one batch of first words meets, at most, unless one word alone meets more; that is a shard's positions at most.
 MEETINGS = 2_000_000
+#: Words of the table for each bucket, and buckets that one task adds up.
+BUCKET_WORDS, PART = 16, 2_000_000
 LONGEST = 5
+#: Bits of a bitmap word. A phrase meets as many words at each of its bitmap words, so narrow ones cost less.
+WIDTH = 16
 #: Parts of a language that are ranked apart before the whole is.
 RANK_PARTS = 64
 BREAK = b"."
 
-SHARDS = "shard bigint, lang string, code int, word binary, n bigint, ids binary"
-PAIRS = "shard bigint, g1 bigint, g2 bigint, n bigint"
-LONG = ", ".join(f"g{i} bigint" for i in range(1, LONGEST + 1)) + ", n bigint"
-GIDS = [f"g{i}" for i in range(1, LONGEST + 1)]
+SHARDS = "shard bigint, lang string, n bigint, ids binary, words binary"
+SENT = pa.schema([("part", pa.int32()), ("shard", pa.int64()), ("keys", pa.binary()), ("n", pa.binary()), ("exact", pa.binary())])
+KEPT = pa.schema([("shard", pa.int64()), ("kept", pa.binary())])
+SPOKEN = pa.schema([("part", pa.int32()), ("shard", pa.int64()), ("lang", pa.string()), ("codes", pa.binary()), ("words", pa.binary()), ("n", pa.binary())])
+NAMED = pa.schema([("shard", pa.int64()), ("codes", pa.binary()), ("gids", pa.binary()), ("gid", pa.int64()), ("lang", pa.string()), ("word", pa.binary()), ("f", pa.int64())])
+FOUND = pa.schema([("g", pa.list_(pa.int64())), ("f", pa.int64())])
+
+
+def ddl(schema: pa.Schema) -> str:
+    kinds = {pa.int32(): "int", pa.int64(): "bigint", pa.string(): "string", pa.binary(): "binary", pa.list_(pa.int64()): "array<bigint>"}
+    return ", ".join(f"{x.name} {kinds[x.type]}" for x in schema)
+
+
+def pack_wide(values: np.ndarray) -> bytes:
+    """Integers by byte planes, which compress well apart: neighbours have their high bytes in common."""
+    return B.squeeze(np.ascontiguousarray(np.ascontiguousarray(values, "<i8").reshape(-1).view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def unpack_wide(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(B.expand(data), np.uint8).reshape(8, -1).T).view("<i8").reshape(-1)
 
 
 def split_words(text: bytes) -> list[bytes]:
@@ -60,13 +83,9 @@ class _Shard:
         self.parts += [np.fromiter(map(self.codes.__getitem__, words), np.uint32, len(words)), np.zeros(1, np.uint32)]
         self.n += len(words) + 1
 
-    def rows(self, shard: int, lang: str) -> Iterator[pa.RecordBatch]:
+    def row(self, shard: int, lang: str) -> pa.RecordBatch:
         ids = np.concatenate(self.parts)
-        counts, words = np.bincount(ids, minlength=len(self.codes)), list(self.codes)
-        yield pa.RecordBatch.from_pydict({"shard": [shard], "lang": [lang], "code": pa.array([None], pa.int32()), "word": pa.array([None], pa.binary()), "n": pa.array([None], pa.int64()), "ids": pa.array([B.pack_ints(ids)], pa.binary())})
-        for a in range(1, len(words), 50_000):
-            some = words[a : a + 50_000]
-            yield pa.RecordBatch.from_pydict({"shard": np.full(len(some), shard), "lang": pa.array([lang] * len(some)), "code": np.arange(a, a + len(some), dtype=np.int32), "word": pa.array(some, pa.binary()), "n": counts[a : a + len(some)], "ids": pa.nulls(len(some), pa.binary())})
+        return pa.RecordBatch.from_pydict({"shard": [shard], "lang": [lang], "n": [int((ids > 0).sum())], "ids": pa.array([B.pack_ints(ids)], pa.binary()), "words": pa.array([B.pack_units(list(self.codes))], pa.binary())})
 
 
 def _portions(words: list[bytes], most: int) -> Iterator[list[bytes]]:
@@ -91,10 +110,10 @@ def _to_shards(most: int):
                     while held >= most:  # the largest goes first
                         largest = max(shards, key=lambda x: shards[x].n)
                         held -= shards[largest].n
-                        yield from shards.pop(largest).rows(number, largest)
+                        yield shards.pop(largest).row(number, largest)
                         number += 1
         for lang, own in shards.items():
-            yield from own.rows(number, lang)
+            yield own.row(number, lang)
             number += 1
 
     return cut
@@ -106,13 +125,13 @@ class Bitmaps:
     def __init__(self, codes: np.ndarray) -> None:
         self.words = int(codes.max(initial=0)) + 1
         at = np.flatnonzero(codes)
-        at = at[np.argsort((at >> 6) * self.words + codes[at], kind="stable")]
-        place = (at >> 6) * self.words + codes[at]
+        at = at[np.argsort(at // WIDTH * self.words + codes[at], kind="stable")]
+        place = at // WIDTH * self.words + codes[at]
         starts = np.flatnonzero(np.diff(place, prepend=-1))
         self.key, self.word = place[starts] // self.words, place[starts] % self.words
-        bits = np.left_shift(np.uint64(1), (at & 63).astype(np.uint64))
+        bits = np.left_shift(1, at % WIDTH).astype(np.uint16)
         self.bits = np.bitwise_or.reduceat(bits, starts) if len(starts) else bits
-        self.ends = np.searchsorted(self.key, np.arange(len(codes) // 64 + 3))
+        self.ends = np.searchsorted(self.key, np.arange(len(codes) // WIDTH + 3))
 
     def batches(self, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(word, key, bits) of whole words together that meet `most` bitmap words, or of one word."""
@@ -128,9 +147,9 @@ class Bitmaps:
 
     def grow(self, phrase: np.ndarray, key: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(phrase, next word, key, bits) of all phrases one word longer, of bitmaps with the phrases' last positions."""
-        over = np.flatnonzero(bits >> np.uint64(63))
+        over = np.flatnonzero(bits >> np.uint16(WIDTH - 1))
         phrase, key = np.concatenate([phrase, phrase[over]]), np.concatenate([key, key[over] + 1])
-        bits = np.concatenate([bits << np.uint64(1), np.ones(len(over), np.uint64)])
+        bits = np.concatenate([bits << np.uint16(1), np.ones(len(over), np.uint16)])
         n = self.ends[key + 1] - self.ends[key]
         mine = np.repeat(np.arange(len(key)), n)
         other = np.arange(len(mine)) - np.repeat(np.cumsum(n) - n - self.ends[key], n)
@@ -140,57 +159,214 @@ class Bitmaps:
         return phrase[mine], self.word[other[hit]], key[mine], both[hit]
 
 
-def phrases(maps: Bitmaps, longest: int, pairs: np.ndarray | None = None, most: int = MEETINGS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(words, counts) of the phrases of two words and more, of one length and a batch of first words each time; if pairs are
-    given, ascending as first * words + second, of phrases of these alone."""
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def chained(before: np.ndarray, gid: np.ndarray) -> np.ndarray:
+    """The hash of a sequence from that of the sequence without its last number."""
+    return mixed(before * np.uint64(0x9E3779B97F4A7C15) + gid)
+
+
+def phrases(maps: Bitmaps, longest: int, gids: np.ndarray, allowed: Callable[[np.ndarray], np.ndarray] | None = None, most: int = MEETINGS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(words, hashes, counts) of the phrases of two words and more, of one length and a batch of first words each time; gids has the
+    words' numbers. Only phrases all of whose pairs have a hash that is allowed grow and are given."""
+    single = mixed(gids.astype(np.uint64))
     for phrase, key, bits in maps.batches(most):
         known, phrase = np.unique(phrase, return_inverse=True)
-        words = known[:, None]
+        words, hashes = known[:, None], single[known]
         for _ in range(2, longest + 1):
             phrase, word, key, bits = maps.grow(phrase, key, bits)
-            if pairs is not None:
-                last = words[phrase, -1] * maps.words + word
-                there = np.flatnonzero(pairs[np.minimum(np.searchsorted(pairs, last), len(pairs) - 1)] == last) if len(pairs) else np.zeros(0, int)
+            if allowed is not None:
+                there = np.flatnonzero(allowed(chained(single[words[phrase, -1]], gids[word].astype(np.uint64))))
                 phrase, word, key, bits = phrase[there], word[there], key[there], bits[there]
             if not len(phrase):
                 break
             found, phrase = np.unique(phrase * maps.words + word, return_inverse=True)
-            words = np.column_stack([words[found // maps.words], found % maps.words])
-            yield words, np.bincount(phrase, weights=np.bitwise_count(bits)).astype(np.int64)
+            before, last = found // maps.words, found % maps.words
+            words, hashes = np.column_stack([words[before], last]), chained(hashes[before], gids[last].astype(np.uint64))
+            yield words, hashes, np.bincount(phrase, weights=np.bitwise_count(bits)).astype(np.int64)
+
+
+class Buckets:
+    """2**bits buckets of 64-bit hashes, and the parts of PART buckets each that tasks add up."""
+
+    def __init__(self, bits: int, part: int) -> None:
+        self.bits, self.part, self.parts = bits, part, -(-(1 << bits) // part)
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        return hashes >> np.uint64(64 - self.bits)
+
+    def edges(self, ascending: np.ndarray) -> Iterator[tuple[int, slice]]:
+        ends = np.searchsorted(ascending // np.uint64(self.part), np.arange(self.parts + 1, dtype=np.uint64)).tolist()
+        for p in range(self.parts):
+            if ends[p] < ends[p + 1]:
+                yield p, slice(ends[p], ends[p + 1])
+
+    def sums(self, shard: int, hashes: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Messages of a shard with its counts by bucket."""
+        keys, at = np.unique(self.of(hashes), return_inverse=True)
+        total = np.bincount(at, weights=counts, minlength=len(keys)).astype(np.int64)
+        for p, own in self.edges(keys):
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([shard]), pa.array([B.pack_sorted(keys[own])], pa.binary()), pa.array([B.pack_ints(total[own])], pa.binary()), pa.nulls(1, pa.binary())], schema=SENT)
+
+    def phrases(self, shard: int, gids: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Messages of a shard with its phrases, a row of numbers each (0: none), and their counts."""
+        parts = self.of(hashes) // np.uint64(self.part)
+        order = np.lexsort((*gids.T[::-1], parts))
+        for p, own in self.edges(parts[order] * np.uint64(self.part)):
+            at = order[own]
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([shard]), pa.nulls(1, pa.binary()), pa.array([B.pack_ints(counts[at])], pa.binary()), pa.array([pack_wide(gids[at].T)], pa.binary())], schema=SENT)
+
+    def among(self, kept: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+        """Whether hashes are in one of the buckets kept, ascending."""
+        def test(hashes: np.ndarray) -> np.ndarray:
+            buckets = self.of(hashes)
+            return kept[np.minimum(np.searchsorted(kept, buckets), len(kept) - 1)] == buckets if len(kept) else np.zeros(len(buckets), bool)
+
+        return test
+
+
+def _frequent(least: int):
+    def frequent(sent: pa.Table) -> pa.Table:
+        """For each shard its buckets whose sum over all shards is `least` or more."""
+        keys, counts = [B.unpack_sorted(x.as_py()) for x in sent.column("keys")], [B.unpack_ints(x.as_py()) for x in sent.column("n")]
+        low = min(int(x[0]) for x in keys)
+        at = [(x - np.uint64(low)).astype(np.int64) for x in keys]
+        total = np.zeros(max(int(x[-1]) for x in at) + 1, np.int64)
+        for x, n in zip(at, counts, strict=True):
+            total[x] += n
+        kept = [k[total[x] >= least] for k, x in zip(keys, at, strict=True)]
+        rows = [(shard, B.pack_sorted(x)) for shard, x in zip(sent.column("shard").to_pylist(), kept, strict=True) if len(x)]
+        return pa.table([pa.array([x for x, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], schema=KEPT)
+
+    return frequent
+
+
+def _summed(least: int):
+    def summed(sent: pa.Table) -> pa.Table:
+        """The phrases whose exact counts over all shards are `least` or more."""
+        rows = np.concatenate([unpack_wide(x.as_py()).reshape(LONGEST, -1).T for x in sent.column("exact")])
+        counts = np.concatenate([B.unpack_ints(x.as_py()) for x in sent.column("n")])
+        known, at = np.unique(rows, axis=0, return_inverse=True)
+        total = np.bincount(at.ravel(), weights=counts, minlength=len(known)).astype(np.int64)
+        known, total = known[total >= least], total[total >= least]
+        return pa.table([pa.array([[g for g in row if g] for row in known.tolist()], pa.list_(pa.int64())), pa.array(total)], schema=FOUND)
+
+    return summed
+
+
+def _word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
+    seed = xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass"))
+    return np.fromiter((xxhash.xxh3_64_intdigest(x, seed) for x in words), np.uint64, len(words))
+
+
+def _send_words(buckets: Buckets):
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, lang, ids, words in zip(*batch.columns, strict=True):
+                units = B.unpack_units(words.as_py())[1:]
+                counts = np.bincount(B.unpack_ints(ids.as_py()), minlength=len(units) + 1)[1:]
+                yield from buckets.sums(shard.as_py(), _word_hashes(lang.as_py(), units), counts)
+
+    return send
+
+
+def _speak(buckets: Buckets):
+    def speak(block: pa.Table, told: pa.Table) -> pa.Table:
+        """A shard's words that are in buckets that its rows of `told` keep."""
+        out = [SPOKEN.empty_table()]
+        if block.num_rows and told.num_rows:
+            row = block.to_pylist()[0]
+            units = B.unpack_units(row["words"])
+            hashes = _word_hashes(row["lang"], units[1:])
+            codes = np.flatnonzero(buckets.among(_kept(told.column("kept")))(hashes)) + 1
+            at = buckets.of(hashes[codes - 1])
+            codes = codes[np.argsort(at, kind="stable")]
+            counts = np.bincount(B.unpack_ints(row["ids"]), minlength=len(units))
+            for p, own in buckets.edges(np.sort(at)):
+                some = codes[own]
+                out.append(pa.table([pa.array([p], pa.int32()), pa.array([row["shard"]]), pa.array([row["lang"]]), pa.array([B.pack_ints(some)], pa.binary()), pa.array([B.pack_units([units[i] for i in some.tolist()])], pa.binary()), pa.array([B.pack_ints(counts[some])], pa.binary())], schema=SPOKEN))
+        return pa.concat_tables(out)
+
+    return speak
+
+
+def _name(least: int):
+    def name(sent: pa.Table) -> pa.Table:
+        """Numbers for the words whose counts over all shards are `least` or more, and for each shard its codes of them."""
+        rows, total = sent.to_pylist(), {}
+        for row in rows:
+            row["units"] = B.unpack_units(row["words"])
+            for word, n in zip(row["units"], B.unpack_ints(row["n"]).tolist(), strict=True):
+                total[row["lang"], word] = total.get((row["lang"], word), 0) + n
+        known = {key: (rows[0]["part"] << 32) + i for i, key in enumerate(sorted(key for key, n in total.items() if n >= least), 1)}
+        out = []
+        for row in rows:
+            own = [known.get((row["lang"], word), 0) for word in row["units"]]
+            gids = np.array(own, np.int64)
+            if gids.any():
+                out.append({"shard": row["shard"], "codes": B.pack_ints(B.unpack_ints(row["codes"])[gids > 0]), "gids": pack_wide(gids[gids > 0])})
+        out += [{"gid": gid, "lang": lang, "word": word, "f": total[lang, word]} for (lang, word), gid in known.items()]
+        return pa.Table.from_pylist(out, NAMED)
+
+    return name
+
+
+def _kept(column: pa.ChunkedArray) -> np.ndarray:
+    return np.sort(np.concatenate([np.zeros(0, np.uint64), *(B.unpack_sorted(x) for x in column.to_pylist() if x)]))
 
 
 def _maps(block: pa.Table, told: pa.Table) -> tuple[int, Bitmaps, np.ndarray] | None:
-    """The shard, its bitmaps and the numbers of their words, in ascending order, from rows (code, gid)."""
-    told = told.filter(pa.compute.is_valid(told.column("code"))).sort_by("gid")
-    if not block.num_rows or not told.num_rows:
+    """The shard, its bitmaps and the numbers of their words; None without frequent words."""
+    own = [x for x in told.select(["codes", "gids"]).to_pylist() if x["codes"]]
+    if not block.num_rows or not own:
         return None
-    codes = B.unpack_ints(block.column("ids")[0].as_py())
-    own = np.zeros(int(codes.max()) + 1, np.int64)
-    own[told.column("code").to_numpy()] = np.arange(1, told.num_rows + 1)
-    return block.column("shard")[0].as_py(), Bitmaps(own[codes]), np.concatenate([[0], told.column("gid").to_numpy()])
-
-
-def _pairs(block: pa.Table, told: pa.Table) -> pa.Table:
-    schema = pa.schema([(x, pa.int64()) for x in ("shard", "g1", "g2", "n")])
-    if (made := _maps(block, told)) is None:
-        return schema.empty_table()
-    shard, maps, gids = made
-    return pa.concat_tables([schema.empty_table(), *(pa.table({"shard": np.full(len(n), shard), "g1": gids[words[:, 0]], "g2": gids[words[:, 1]], "n": n}, schema) for words, n in phrases(maps, 2))])
-
-
-def _longer(block: pa.Table, told: pa.Table) -> pa.Table:
-    schema = pa.schema([(x, pa.int64()) for x in (*GIDS, "n")])
-    pairs = told.filter(pa.compute.is_null(told.column("code")))
-    if (made := _maps(block, told)) is None or not pairs.num_rows:
-        return schema.empty_table()
-    _, maps, gids = made
-    first, second = (np.searchsorted(gids[1:], pairs.column(x).to_numpy()) + 1 for x in ("gid", "g2"))
-    out = [schema.empty_table()]
-    for words, n in phrases(maps, LONGEST, np.sort(first * maps.words + second)):
-        if (k := words.shape[1]) > 2:
-            columns = [pa.array(gids[words[:, i]]) if i < k else pa.nulls(len(n), pa.int64()) for i in range(LONGEST)]
-            out.append(pa.table([*columns, pa.array(n)], schema=schema))
-    return pa.concat_tables(out)
+    codes = np.concatenate([B.unpack_ints(x["codes"]) for x in own])
+    gids = np.concatenate([unpack_wide(x["gids"]) for x in own])
+    ids = B.unpack_ints(block.column("ids")[0].as_py())
+    place = np.zeros(int(max(ids.max(), codes.max())) + 1, np.int64)
+    place[codes] = np.arange(1, len(codes) + 1)
+    return block.column("shard")[0].as_py(), Bitmaps(place[ids]), np.concatenate([[0], gids])
+
+
+def _gathered(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], gids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers in LONGEST columns, hashes and counts of phrases of all lengths."""
+    wide = [np.pad(gids[words], ((0, 0), (0, LONGEST - words.shape[1]))) for words, _, _ in found]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([np.zeros((0, LONGEST), np.int64), *wide]), np.concatenate([none.astype(np.uint64), *(h for _, h, _ in found)]), np.concatenate([none, *(n for _, _, n in found)])
+
+
+def _meet(buckets: Buckets, step: int):
+    def meet(block: pa.Table, told: pa.Table) -> pa.Table:
+        """step 2: sums of a shard's pairs; 3: its pairs in kept buckets and sums of longer phrases of such pairs; 4: its longer phrases in kept buckets."""
+        out = []
+        if made := _maps(block, told):
+            shard, maps, gids = made
+            if step == 2:
+                found = list(phrases(maps, 2, gids))
+                out += buckets.sums(shard, np.concatenate([h for _, h, _ in found]), np.concatenate([n for _, _, n in found])) if found else ()
+            else:
+                short, long = [], []
+                fits = buckets.among(_kept(told.column("kept_longer"))) if step == 4 else None
+                for words, hashes, n in phrases(maps, LONGEST, gids, buckets.among(_kept(told.column("kept")))):
+                    if words.shape[1] == 2:
+                        short.append((words, hashes, n))
+                    elif fits is None:
+                        long.append((words[:0], hashes, n))
+                    else:
+                        here = fits(hashes)
+                        long.append((words[here], hashes[here], n[here]))
+                if step == 3:
+                    out += buckets.phrases(shard, *_gathered(short, gids))
+                    out += buckets.sums(shard, np.concatenate([h for _, h, _ in long]), np.concatenate([n for _, _, n in long])) if long else ()
+                else:
+                    out += buckets.phrases(shard, *_gathered(long, gids))
+        return pa.Table.from_batches(out, SENT)
+
+    return meet
 
 
 def count_phrases(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -198,18 +374,22 @@ def count_phrases(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, Da
     totals (lang, n)."""
     small_batches(docs.sparkSession)
     rows = rows_of(docs, lang=F.coalesce(F.col("lang"), F.lit("und")), text=F.col("text").cast("binary"))
-    shards = stage_table(rows.mapInArrow(lean(_to_shards(SHARD)), SHARDS), "phrase-shards")
-    seen, block = shards.where("word IS NOT NULL"), shards.where("ids IS NOT NULL").select("shard", "ids")
-    summed = seen.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    words = stage_table(summed.withColumn("gid", F.monotonically_increasing_id()), "phrase-words")
-    codes = stage_table(seen.join(words, ["lang", "word"]).select("shard", "code", "gid"), "phrase-codes")
-    pairs = stage_table(block.groupBy("shard").cogroup(codes.groupBy("shard")).applyInArrow(lean_pair(_pairs), PAIRS), "phrase-pairs")
-    frequent = stage_table(pairs.groupBy("g1", "g2").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "phrase-frequent-pairs")
-    told = codes.withColumn("g2", F.lit(None).cast("bigint")).unionByName(pairs.join(frequent, ["g1", "g2"]).select("shard", F.lit(None).cast("int").alias("code"), F.col("g1").alias("gid"), "g2"))
-    longer = block.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(lean_pair(_longer), LONG)
-    longer = longer.groupBy(*GIDS).agg(F.sum("n").alias("f")).where(F.col("f") >= least).select(F.filter(F.array(*GIDS), F.isnotnull).alias("g"), "f")
-    found = stage_table(longer.unionByName(frequent.select(F.array("g1", "g2").alias("g"), "f")), "phrase-counts")
-    return words, found, seen.groupBy("lang").agg(F.sum("n").alias("n"))
+    shards = bucketed_table(rows.mapInArrow(lean(_to_shards(SHARD)), SHARDS), "phrase_shards", "shard")
+    n = shards.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    buckets = Buckets(max(8, (n // BUCKET_WORDS).bit_length()), PART)
+    keep = lambda sent: sent.select("part", "shard", "keys", "n").groupBy("part").applyInArrow(lean_table(_frequent(least)), ddl(KEPT))
+    meet = lambda told, step: shards.select("shard", "ids").groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(lean_pair(_meet(buckets, step)), ddl(SENT))
+    kept = keep(shards.select("shard", "lang", "ids", "words").mapInArrow(lean(_send_words(buckets)), ddl(SENT)))
+    spoken = shards.drop("n").groupBy("shard").cogroup(kept.groupBy("shard")).applyInArrow(lean_pair(_speak(buckets)), ddl(SPOKEN))
+    named = stage_table(spoken.groupBy("part").applyInArrow(lean_table(_name(least)), ddl(NAMED)), "phrase-words")
+    codes = named.where("shard IS NOT NULL").select("shard", "codes", "gids")
+    pairs = stage_table(keep(meet(codes, 2)), "phrase-pairs")
+    told = codes.unionByName(pairs, allowMissingColumns=True)
+    sent = stage_table(meet(told, 3), "phrase-sent")
+    longer = keep(sent.where("keys IS NOT NULL")).withColumnRenamed("kept", "kept_longer")
+    exact = sent.where("exact IS NOT NULL").unionByName(meet(told.unionByName(longer, allowMissingColumns=True), 4))
+    found = stage_table(exact.select("part", "n", "exact").groupBy("part").applyInArrow(lean_table(_summed(least)), ddl(FOUND)), "phrase-counts")
+    return named.where("gid IS NOT NULL").select("gid", "lang", "word", "f"), found, shards.groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 def _whole(column: str) -> Column:
