@@ -17,9 +17,23 @@ PARTS = 16
 SLACK = 0.02
 
 
-def record_slot(key: Column, slots: int = SLOTS) -> Column:
-    """The virtual slot of a record; null keys share a slot."""
-    return F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
+def record_slot(*keys: Column, slots: int = SLOTS) -> Column:
+    """The virtual slot of a record by its keys."""
+    return F.pmod(F.xxhash64(*keys), F.lit(slots)).cast("int")
+
+
+def with_slots(records: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """records (doc_id, size, text_crc32, row) with virtual_slot, which follows from doc_id, checksum and size, so that records without an
+    id, or with one id, go to many slots. Records that have all three in common, and together more bytes than a mean slot, are
+    dealt over the slots by row: nothing but their number tells them apart. There are `slots` such keys at most, which bounds the broadcast."""
+    keys = ["doc_id", "text_crc32", "size"]
+    total = records.agg(F.sum("size").alias("total"))
+    heavy = records.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").crossJoin(F.broadcast(total)).where(F.col("n") * F.col("size") * slots > F.col("total"))
+    heavy = heavy.select(*(F.col(x).alias(f"heavy_{x}") for x in keys), F.lit(True).alias("heavy"))
+    same = F.col("doc_id").eqNullSafe(F.col("heavy_doc_id")) & (F.col("text_crc32") == F.col("heavy_text_crc32")) & (F.col("size") == F.col("heavy_size"))
+    salt = F.when(F.col("heavy"), F.col("row") % slots).otherwise(0)
+    dealt = records.join(F.broadcast(heavy), same, "left")
+    return dealt.select(*keys, record_slot(*map(F.col, keys), salt, slots=slots).alias("virtual_slot"))
 
 
 def text_bytes(text: Column) -> Column:
@@ -91,17 +105,12 @@ def shard_documents(docs: DataFrame, shards: int, map_path: str | None = None, s
     """doc_id, size, text_crc32, virtual_slot, shard, slot: shards of near equal bytes.
 
     Version 1 of the slot map is stored below map_path (by default in the session's shared folder). A null text has
-    size 1 and the checksum of the empty text; texts of any length count whole; empty tables give empty results; repeated rows
-    are placed one by one. Columns but doc_id and text stay behind.
+    size 1 and the checksum of the empty text; texts of any length count whole; empty tables give empty results; repeated rows and
+    rows with one id or none are placed one by one, in many slots. Columns but doc_id and text stay behind.
     """
     spark = docs.sparkSession
-    records = stage_table(
-        rows_of(
-            docs, doc_id=F.col("doc_id"), size=text_bytes(F.col("text")),
-            text_crc32=F.crc32(F.coalesce("text", F.lit(""))), virtual_slot=record_slot(F.col("doc_id"), slots),
-        ),
-        "shard-records",
-    )
+    rows = rows_of(docs, doc_id=F.col("doc_id"), size=text_bytes(F.col("text")), text_crc32=F.crc32(F.coalesce("text", F.lit(""))), row=F.monotonically_increasing_id())
+    records = stage_table(with_slots(stage_table(rows, "shard-rows"), slots), "shard-records")
     path = map_path or scratch_path(spark, "slot-map")
     store_map(edit_map(records.groupBy("virtual_slot").agg(F.sum("size").alias("bytes")), shards), path, 1)
     return place(records, read_map(spark, path, 1))

@@ -157,13 +157,25 @@ def test_shards(docs, none, spark, tmp_path):
     path = f"file://{tmp_path}/map"
     sizes = [r["s"] for r in sharding.shard_documents(many, 16, path).groupBy("shard").agg(F.sum("size").alias("s")).collect()]
     assert len(sizes) == 16 and max(sizes) - min(sizes) <= 91 * 3
-    records = many.select("doc_id", sharding.text_bytes(F.col("text")).alias("size"), sharding.record_slot(F.col("doc_id")).alias("virtual_slot"))
+    records = sharding.with_slots(many.select("doc_id", sharding.text_bytes(F.col("text")).alias("size"), F.crc32("text").alias("text_crc32"), F.col("doc_id").alias("row")))
     before, after = (r.select("virtual_slot", "shard") for r in (sharding.read_map(spark, path, 1), sharding.rebalance(records, path, 1, 17)))
     moved = before.toDF("virtual_slot", "was").join(after, "virtual_slot").where("was <> shard").count()
     assert 0 < moved < 0.2 * before.count()
     assert sharding.shard_documents(none, 4).count() == 0
 
 
+def test_shards_of_records_without_ids(spark):
+    """Half of the rows have no id, a fifth one id, a fifth are one row again and again."""
+    rows = [(None, "x" * (i % 61), None, None, None, None, None, None, None) for i in range(8000)] + [(7, "y" * (i % 67), *[None] * 7) for i in range(3000)] + [(8, "z" * 30, *[None] * 7)] * 3000 + [(100 + i, "w" * (i % 50), *[None] * 7) for i in range(2000)]
+    out = sharding.shard_documents(spark.createDataFrame(rows, SCHEMA).repartition(4), 16).collect()
+    assert len(out) == len(rows)
+    sizes = [sum(r["size"] for r in out if r["shard"] == x) for x in range(16)]
+    assert max(sizes) - min(sizes) <= 0.02 * sum(sizes) / 16
+    for x in range(16):
+        own = sorted(r["slot"] for r in out if r["shard"] == x)
+        assert own == list(range(len(own)))
+
+
 def test_shards_against_brute_force(spark, docs, none):
     rows = docs.union(spark.createDataFrame([(77, "é" * 100_000, "en", "s", "d", 1, "b", "s", "z")], SCHEMA))
     out = sharding.shard_documents(rows, 4).collect()
