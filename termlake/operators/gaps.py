@@ -1,4 +1,4 @@
-"""The queue of terms that the vocabulary lacks: appended misses and changes of state, folded when they are read.
+"""The queue of terms that the vocabulary lacks: appended misses and changes of state, folded into snapshots.
 
 Writers only append, so none waits for another and no count is lost.
 """
@@ -6,15 +6,19 @@ Writers only append, so none waits for another and no count is lost.
 from __future__ import annotations
 
 import datetime
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termlake.functions import text as T
+from termlake.scratch import hadoop, stage
+from termlake.sources.quads import current_version, point, version_path
 
 SUGGESTIONS = "array<struct<concept_id: string, label: string, score: double>>"
 MISS = f"surface string, merge_as string, source string, text string, locator string, doc_version string, at timestamp, gap_type string, suggestions {SUGGESTIONS}, scheme string, run_id string"
+MISS_COLUMNS = ("surface", "merge_as", "source", "text", "locator", "doc_version", "at", "gap_type", "suggestions", "scheme", "run_id")
 CHANGE = "gap_key string, status string, at timestamp, run_id string, concept_id string, reason string, baseline bigint"
 EVIDENCE, VARIANTS, LIMIT, MOST = 5, 50, 50, 200
 QUESTION_TEXT = 400
@@ -52,36 +56,68 @@ def source_counts(misses: DataFrame) -> DataFrame:
     return misses.groupBy("gap_key", "source").agg(F.count("*").alias("n"))
 
 
-def entries(misses: DataFrame) -> DataFrame:
-    """A row a gap of keyed misses: total, counts by source, the first form, when first and last seen, the kind it had first, what was
-    last suggested; n_variants and VARIANTS of them at most, the most frequent. A source never seen is absent from counts, not 0."""
-    # misses are read once: what follows goes by key, source and form
-    forms = misses.groupBy("gap_key", "source", "surface").agg(
-        F.count("*").alias("n"), F.min(F.struct("at", "display", "gap_type")).alias("first"), F.max("at").alias("last_seen"), F.max_by(F.struct("suggestions", "scheme", "run_id"), "at").alias("last"),
+#: What misses have in common apart from their time, and so are counted by.
+FORM = ("surface", "merge_as", "source", "gap_type", "suggestions", "scheme", "run_id")
+
+
+def forms(misses: DataFrame) -> DataFrame:
+    """(gap_key, display, FORM, n, first_at, last_at): misses counted. They are read once; then each distinct form is normalised, not
+    each miss. Forms add up: see merged()."""
+    counted = misses.groupBy(*FORM).agg(F.count("*").alias("n"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+    named = counted.select("surface", "merge_as").distinct()
+    keys = keyed(named.select("*", *(F.lit(None).cast("string").alias(x) for x in ("source", "text", "locator")))).select(F.col("surface").alias("own"), F.col("merge_as").alias("alias"), "gap_key", "display")
+    same = (F.col("surface").eqNullSafe(F.col("own"))) & (F.col("merge_as").eqNullSafe(F.col("alias")))
+    return counted.join(keys, same).select("gap_key", "display", *FORM, "n", "first_at", "last_at")
+
+
+def merged(rows: DataFrame) -> DataFrame:
+    """Forms of several tables as one."""
+    return rows.groupBy("gap_key", "display", *FORM).agg(F.sum("n").alias("n"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"))
+
+
+def folded(rows: DataFrame) -> DataFrame:
+    """A row a gap of forms(): total, counts by source, the first form, when first and last seen, the kind it had first, what was last
+    suggested; n_variants and VARIANTS of them at most, the most frequent. A source never seen is absent from counts, not 0."""
+    newest = F.struct("last_at", "surface", "source")
+    by_source = rows.groupBy("gap_key", "source").agg(
+        F.sum("n").alias("n"), F.min(F.struct(F.col("first_at").alias("at"), "display", "gap_type")).alias("first"),
+        F.max_by(F.struct("suggestions", "scheme", "run_id"), newest).alias("last"), F.max(newest).alias("last_seen"),
     )
-    newest = F.struct("last_seen", "surface", "source")
-    by_source = forms.groupBy("gap_key", "source").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max_by("last", newest).alias("last"), F.max(newest).alias("last_at"))
     whole = by_source.groupBy("gap_key").agg(
         F.sum("n").alias("total"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "n")))).alias("counts"),
-        F.min("first").alias("first"), F.max("last_at.last_seen").alias("last_seen"), F.max_by("last", "last_at").alias("last"),
+        F.min("first").alias("first"), F.max("last_seen.last_at").alias("last_seen"), F.max_by("last", "last_seen").alias("last"),
     ).withColumn("first_seen", F.col("first.at"))
-    spelt = forms.groupBy("gap_key", "surface").agg(F.sum("n").alias("n"))
-    ranked = spelt.withColumn("nth", F.row_number().over(Window.partitionBy("gap_key").orderBy(F.desc("n"), "surface"))).where(F.col("nth") <= VARIANTS)
-    variants = ranked.groupBy("gap_key").agg(F.sort_array(F.collect_list("surface")).alias("variants"))
-    number = spelt.groupBy("gap_key").agg(F.count("*").alias("n_variants"))
-    return whole.join(variants, "gap_key").join(number, "gap_key").select(
+    spelt = rows.groupBy("gap_key", "surface").agg(F.sum("n").alias("n"))
+    place = Window.partitionBy("gap_key").orderBy(F.desc("n"), "surface")
+    ranked = spelt.withColumns({"nth": F.row_number().over(place), "n_variants": F.count("*").over(Window.partitionBy("gap_key"))}).where(F.col("nth") <= VARIANTS)
+    variants = ranked.groupBy("gap_key").agg(F.sort_array(F.collect_list("surface")).alias("variants"), F.max("n_variants").alias("n_variants"))
+    return whole.join(variants, "gap_key").select(
         "gap_key", F.col("first.display").alias("surface_form"), F.col("first.gap_type").alias("gap_type"), "counts", "total", "variants", "n_variants",
         F.coalesce("last.suggestions", F.expr(f"cast(array() as {SUGGESTIONS})")).alias("suggestions"), F.col("last.scheme").alias("suggested_scheme"), "first_seen", "last_seen", F.col("last.run_id").alias("run_id"),
     )
 
 
+def entries(misses: DataFrame) -> DataFrame:
+    """folded() of misses."""
+    return folded(stage(forms(misses), "forms"))
+
+
+PLACE = ("source", "text", "locator", "doc_version", "at")
+
+
+def pieces(rows: DataFrame) -> DataFrame:
+    """(gap_key, evidence_id, PLACE): of each piece of evidence of keyed misses, or of pieces of several tables, the last occurrence."""
+    return rows.groupBy("gap_key", "evidence_id").agg(F.max_by(F.struct(*PLACE), F.struct("at", "text")).alias("of")).select("gap_key", "evidence_id", "of.*")
+
+
 def evidence(misses: DataFrame, most: int = EVIDENCE) -> DataFrame:
-    """(gap_key, source, rank, evidence_id, text, locator, doc_version, at): of each piece of evidence of keyed misses the last
-    occurrence, of each source the earliest `most` pieces."""
-    fields = ("source", "text", "locator", "doc_version", "at")
-    last = misses.groupBy("gap_key", "evidence_id").agg(F.max_by(F.struct(*fields), F.struct("at", "text")).alias("of")).select("gap_key", "evidence_id", "of.*")
+    """(gap_key, source, rank, evidence_id, text, locator, doc_version, at): of each source the earliest `most` pieces of keyed misses."""
+    return earliest(pieces(misses), most)
+
+
+def earliest(rows: DataFrame, most: int = EVIDENCE) -> DataFrame:
     order = Window.partitionBy("gap_key", "source").orderBy("at", "evidence_id")
-    return last.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
 def baseline(total: Column) -> Column:
@@ -122,35 +158,89 @@ def target() -> Column:
 
 
 class GapQueue:
-    """Misses and changes below `path`, both append-only."""
+    """Misses and changes below `path`. Writers only append: each batch of misses is a folder of the log, so none waits for another.
+
+    compact() folds the log into a snapshot of forms and pieces of evidence, which add up; readers take the snapshot that the newest
+    pointer names and the folders that it has not folded, so what they read grows with what came since.
+    """
 
     def __init__(self, spark: SparkSession, path: str, clock: Callable[[], datetime.datetime] = lambda: datetime.datetime.now(datetime.UTC)) -> None:
         self.spark, self.path, self.clock = spark, path, clock
-        for name, schema in (("misses", MISS), ("changes", CHANGE)):
-            spark.createDataFrame([], schema).write.mode("append").parquet(f"{path}/{name}")
+        spark.createDataFrame([], CHANGE).write.mode("append").parquet(f"{path}/changes")
 
     def record(self, misses: DataFrame) -> None:
         """Append misses after their keys are checked; nothing is read first."""
-        keyed(misses.select(*self.misses().columns)).drop("display", "evidence_id", "gap_key").where(F.length(T.merge_key(F.coalesce("merge_as", "surface"))) > 0).write.mode("append").parquet(f"{self.path}/misses")
+        rows = keyed(misses.select(*MISS_COLUMNS))
+        rows.where(F.length("gap_key") > 0).drop("display", "evidence_id", "gap_key").write.parquet(f"{self.path}/log/{uuid.uuid4().hex}")
+
+    def _logged(self) -> list[str]:
+        """Names of the folders of the log that are whole."""
+        place, store = hadoop(self.spark, f"{self.path}/log/*/_SUCCESS")
+        return sorted(x.getPath().getParent().getName() for x in store.globStatus(place) or [])
+
+    def _snapshot(self) -> tuple[int, str | None, set[str]]:
+        """(version, its folder, the names that it has folded); a folder of the log is named until it is pruned."""
+        version = current_version(self.spark, self.path)
+        if not version:
+            return 0, None, set()
+        folder = version_path(self.spark, self.path, version)
+        return version, folder, {x["name"] for x in self.spark.read.parquet(f"{folder}/folded").collect()}
+
+    def _read(self, names: Iterable[str]) -> DataFrame:
+        paths = [f"{self.path}/log/{name}" for name in names]
+        return self.spark.read.schema(MISS).parquet(*paths) if paths else self.spark.createDataFrame([], MISS)
 
     def misses(self) -> DataFrame:
-        return self.spark.read.schema(MISS).parquet(f"{self.path}/misses")
+        """What the log has of misses: all, until it is pruned."""
+        return self._read(self._logged())
+
+    def _now(self) -> tuple[DataFrame, DataFrame]:
+        """(forms, pieces) of snapshot and log."""
+        _, folder, done = self._snapshot()
+        rest = self._read(x for x in self._logged() if x not in done)
+        counted, places = forms(rest), pieces(keyed(rest))
+        if folder is None:
+            return counted, places
+        read = self.spark.read.parquet
+        return merged(read(f"{folder}/forms").unionByName(counted)), pieces(read(f"{folder}/pieces").unionByName(places))
+
+    def compact(self) -> int:
+        """Fold what came since the last snapshot into a new one; its version. Raises VersionConflict if another one was first."""
+        version, _, done = self._snapshot()
+        names = self._logged()
+        if done.issuperset(names):
+            return version
+        counted, places = self._now()
+        name = uuid.uuid4().hex
+        counted.write.parquet(f"{self.path}/data/{name}/forms")
+        places.write.parquet(f"{self.path}/data/{name}/pieces")
+        self.spark.createDataFrame([(x,) for x in names], "name string").coalesce(1).write.parquet(f"{self.path}/data/{name}/folded")
+        return point(self.spark, self.path, version, name)
+
+    def prune(self) -> int:
+        """Delete the folders of the log that the newest snapshot has folded; their number. Readers of older snapshots must be gone."""
+        _, _, done = self._snapshot()
+        gone = [x for x in self._logged() if x in done]
+        for name in gone:
+            place, store = hadoop(self.spark, f"{self.path}/log/{name}")
+            store.delete(place, True)
+        return len(gone)
 
     def changes(self) -> DataFrame:
         return self.spark.read.schema(CHANGE).parquet(f"{self.path}/changes")
 
     def entries(self) -> DataFrame:
-        return with_status(entries(keyed(self.misses())), self.changes())
+        return with_status(folded(stage(self._now()[0], "forms")), self.changes())
 
     def evidence(self) -> DataFrame:
-        return evidence(keyed(self.misses()))
+        return earliest(self._now()[1])
 
     def read(self, gap_key: str) -> dict | None:
         row = self.entries().where(F.col("gap_key") == gap_key).first()
         return row and row.asDict(recursive=True)
 
     def exists(self, gap_key: str) -> bool:
-        return not keyed(self.misses()).where(F.col("gap_key") == gap_key).isEmpty()
+        return not self._now()[0].where(F.col("gap_key") == gap_key).isEmpty()
 
     def list(self, status: str | None = "open", limit: int = LIMIT) -> DataFrame:
         return listed(self.entries(), status, limit)

@@ -74,10 +74,14 @@ def gap_source_counts(spark, d):
     return Q.source_counts(core.misses(spark, d))
 
 
-def queue_misses(spark, d):
+def raw_misses(spark, d):
     """Misses as the queue takes them; an id counts as seconds since 1970."""
     rows = core.misses(spark, d).select("surface", F.lit(None).cast("string").alias("merge_as"), "source", F.col("surface").alias("text"), "locator", F.timestamp_seconds("at").alias("at"), F.lit(Q.ADD_LABEL).alias("gap_type"))
-    return Q.keyed(rows.withColumns({"doc_version": F.lit(None).cast("string"), "suggestions": F.lit(None).cast(Q.SUGGESTIONS), "scheme": F.lit(None).cast("string"), "run_id": F.lit("r")}))
+    return rows.withColumns({"doc_version": F.lit(None).cast("string"), "suggestions": F.lit(None).cast(Q.SUGGESTIONS), "scheme": F.lit(None).cast("string"), "run_id": F.lit("r")})
+
+
+def queue_misses(spark, d):
+    return Q.keyed(raw_misses(spark, d))
 
 
 ENTRIES = """e AS (SELECT gap_key, count(*) AS total, min("at") AS first_seen, max("at") AS last_seen, count(DISTINCT surface) AS n_variants, first(surface ORDER BY "at", surface) AS surface_form,
@@ -86,7 +90,7 @@ ENTRIES = """e AS (SELECT gap_key, count(*) AS total, min("at") AS first_seen, m
 
 @query(f"""WITH {MISSES}, {ENTRIES} SELECT gap_key, surface_form, total, n_variants, first_seen::BIGINT AS first_seen, last_seen::BIGINT AS last_seen FROM e""")
 def record_miss(spark, d):
-    return Q.entries(queue_misses(spark, d)).select("gap_key", "surface_form", "total", "n_variants", F.unix_seconds("first_seen").alias("first_seen"), F.unix_seconds("last_seen").alias("last_seen"))
+    return Q.entries(raw_misses(spark, d)).select("gap_key", "surface_form", "total", "n_variants", F.unix_seconds("first_seen").alias("first_seen"), F.unix_seconds("last_seen").alias("last_seen"))
 
 
 @query(f"""WITH {MISSES}, {ENTRIES}, s AS (SELECT *, CASE WHEN length(gap_key) % 5 <> 0 THEN 'open' WHEN total >= 100 * greatest(from_chat, 1) THEN 'open' ELSE 'dismissed' END AS status FROM e)
@@ -94,7 +98,7 @@ def record_miss(spark, d):
     CASE WHEN total - from_chat = 1 THEN '1 document mention' WHEN total > from_chat THEN (total - from_chat) || ' document mentions' END) || '.' AS question FROM s WHERE status = 'open' ORDER BY total DESC, gap_key LIMIT 50""")
 def gap_list(spark, d):
     """The open part of the queue: every fifth key by its length was dismissed when chat alone had met it."""
-    entries = Q.entries(queue_misses(spark, d))
+    entries = Q.entries(raw_misses(spark, d))
     seen = F.coalesce(F.try_element_at("counts", F.lit("chat")), F.lit(0))
     none = {name: F.lit(None).cast("string") for name in ("run_id", "concept_id", "reason")}
     changes = entries.where(F.length("gap_key") % 5 == 0).select("gap_key", F.lit("dismissed").alias("status"), F.timestamp_seconds(F.lit(0)).alias("at"), Q.baseline(seen).alias("baseline")).withColumns(none)

@@ -113,6 +113,11 @@ def publish(table: DataFrame, path: str, expected: int) -> int:
     if current_version(spark, path) != expected:
         raise VersionConflict(str(expected + 1))
     table.write.parquet(f"{path}/data/{name}")
+    return point(spark, path, expected, name)
+
+
+def point(spark: SparkSession, path: str, expected: int, name: str) -> int:
+    """Make data/name, which is written already, version expected + 1; if that exists, remove the data and raise VersionConflict."""
     jvm = spark.sparkContext._jvm
     pointer, store = hadoop(spark, f"{path}/versions/v{expected + 1}")
     waiting = jvm.org.apache.hadoop.fs.Path(f"{path}/waiting/{name}")

@@ -162,6 +162,29 @@ def miss(surface, source, locator, minute, merge_as=None, text="t", kind=gaps.AD
     return (surface, merge_as, source, text, locator, None, at(minute), kind, suggestions, None, "r")
 
 
+def test_gap_queue_compacted(spark, tmp_path):
+    """Snapshots and what came since read as the whole log does, whatever is compacted and pruned when."""
+    plain, queue = (gaps.GapQueue(spark, f"file://{tmp_path}/{x}") for x in ("plain", "compacted"))
+    assert queue.compact() == 0 and queue.list().count() == 0
+    batches = [
+        [miss("gas bottles", "ingestion", "a:1", 1), miss("Gas bottle", "ingestion", "a:1", 2, suggestions=[("co2", "CO2 Cylinder", 0.3)])],
+        [miss("bouteille", "chat", "chat:x", 3, merge_as="gas bottle"), miss("valve", "chat", "chat:y", 3)],
+        [miss("gas bottle", "ingestion", f"a:{i}", i % 9) for i in range(30)],
+        [miss("Gas bottle", "ingestion", "a:1", 7, text="later")],
+    ]
+    for i, rows in enumerate(batches):
+        for q in (plain, queue):
+            q.record(spark.createDataFrame(rows, gaps.MISS))
+        if i < 3:
+            assert queue.compact() == i + 1 == queue.compact()
+        if i == 1:
+            assert queue.prune() == 2 and queue.prune() == 0
+    key = lambda df: sorted(str(r.asDict(recursive=True)) for r in df.collect())
+    assert key(queue.entries()) == key(plain.entries()) and key(queue.evidence()) == key(plain.evidence())
+    assert queue.read("gas bottle")["total"] == 34 and queue.exists("valve") and not queue.exists("pipe")
+    assert queue.misses().count() == 31 and plain.misses().count() == 35
+
+
 def test_gap_queue(spark, tmp_path):
     queue = gaps.GapQueue(spark, f"file://{tmp_path}/gaps", lambda: at(30))
     queue.record(spark.createDataFrame([miss("gas bottles", "ingestion", "a:1", 1), miss("Gas bottle", "ingestion", "a:1", 2, suggestions=[("co2", "CO2 Cylinder", 0.3)]), miss("bouteille", "chat", "chat:x", 3, merge_as="gas bottle")], gaps.MISS))
@@ -337,7 +360,7 @@ def test_telemetry(spark, views, tmp_path):
     assert {tuple(r) for r in lost.collect()} == {('E"42', 1, 1), ("gone", 1, 1)}
     expected = spark.createDataFrame([("gone",), ("limescale",)], "token string")
     assert {tuple(r) for r in telemetry.expectations(lost, expected).collect()} == {('E"42', "unexpected"), ("limescale", "missing")}
-    entries = gaps.entries(gaps.keyed(telemetry.unmapped_misses(signals, "fault"))).collect()
+    entries = gaps.entries(telemetry.unmapped_misses(signals, "fault")).collect()
     assert {(r["gap_key"], r["gap_type"], r["suggested_scheme"]) for r in entries} == {("e 42", "NewConcept", "fault"), ("gone", "NewConcept", "fault")}
     assert telemetry.fleet(signals, f"{EX}fine").count() == 1 and telemetry.fleet(signals, f"{EX}fine", "d9").count() == 0
     now = F.lit(datetime.datetime(2024, 1, 31, 0, 0, 1, tzinfo=datetime.UTC))
