@@ -195,7 +195,9 @@ def vocabulary_coverage(labels: DataFrame, docs: DataFrame, most: int = 4) -> Da
     keys = labels.select("concept_id", T.normalise(F.col("label")).alias("key")).where("key <> ''").distinct()
     keys = keys.withColumn("head", F.array_join(F.slice(F.split("key", " "), 1, most), " "))
     tokens = docs.select(F.monotonically_increasing_id().alias("row"), T.normalise(F.col("text")).alias("body"))
-    said = tokens.select("row", F.explode(T.ngrams(F.split("body", " "), most)["phrase"]).alias("head")).join(keys.select("head"), "head", "left_semi").distinct()
+    longest = keys.agg(F.coalesce(F.max(F.size(F.split("head", " "))), F.lit(1))).first()[0]
+    runs = F.split("body", " ") if longest == 1 else T.ngrams(F.split("body", " "), longest)["phrase"]  # none longer than the labels
+    said = tokens.select("row", F.explode(runs).alias("head")).join(keys.select("head"), "head", "left_semi").distinct()
     short = keys.where("key = head").join(said.select("head").distinct(), "head", "left_semi").select("concept_id")
     long = keys.where("key <> head").join(said, "head").join(tokens, "row").where(T.whole_word_in(F.col("key"), F.col("body"))).select("concept_id")
     found = short.union(long).distinct().withColumn("said", F.lit(1))

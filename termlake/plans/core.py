@@ -11,9 +11,12 @@ from termlake.functions import text as T
 from termlake.functions import units as U
 from termlake.operators import claims as C
 from termlake.operators import documents as D
+from termlake.operators import gaps as Q
 from termlake.operators import graph as G
+from termlake.operators import ingestion as I
 from termlake.operators import resolution as R
 from termlake.operators import runs as L
+from termlake.operators import telemetry as M
 from termlake.operators import vectors as V
 from termlake.streaming import events as E
 
@@ -77,6 +80,12 @@ def misses(spark, d):
     return docs.union(chat).join(words, "w", "left_anti").select(T.merge_key(F.col("w")).alias("gap_key"), F.col("w").alias("surface"), "source", "locator", "at")
 
 
+def raw_misses(spark, d):
+    """Misses as the queue takes them; an id counts as seconds since 1970."""
+    rows = misses(spark, d).select("surface", F.lit(None).cast("string").alias("merge_as"), "source", F.col("surface").alias("text"), "locator", F.timestamp_seconds("at").alias("at"), F.lit(Q.ADD_LABEL).alias("gap_type"))
+    return rows.withColumns({"doc_version": F.lit(None).cast("string"), "suggestions": F.lit(None).cast(Q.SUGGESTIONS), "scheme": F.lit(None).cast("string"), "run_id": F.lit("r")})
+
+
 MISSES = f"""m AS (SELECT {key('w')} AS gap_key, w AS surface, source, locator, "at" FROM (
   SELECT w, 'document' AS source, 'doc:' || doc_id AS locator, doc_id AS "at" FROM {DOC_WORDS}
   UNION ALL SELECT w, 'chat', 'chat:' || conv_id || ':' || turn, conv_id FROM {CHAT_WORDS})
@@ -140,7 +149,7 @@ def impact_preview(spark, d):
 @query(f"""WITH {MISSES} SELECT gap_key, count(*) AS total, count(*) FILTER (source = 'document') AS from_documents, count(*) FILTER (source = 'chat') AS from_chat, count(DISTINCT surface) AS n_variants FROM m GROUP BY 1""")
 def gap_queue(spark, d):
     counts = lambda s: F.coalesce(F.try_element_at("counts", F.lit(s)), F.lit(0).cast("long"))
-    return C.gap_queue(misses(spark, d), ("document", "chat")).select("gap_key", "total", counts("document").alias("from_documents"), counts("chat").alias("from_chat"), "n_variants")
+    return Q.entries(raw_misses(spark, d)).select("gap_key", "total", counts("document").alias("from_documents"), counts("chat").alias("from_chat"), "n_variants")
 
 
 @query(f"""WITH {MISSES} SELECT gap_key, count(*) AS total FROM m GROUP BY 1 ORDER BY total DESC, gap_key LIMIT 50""")
@@ -148,16 +157,20 @@ def gap_report(spark, d):
     return misses(spark, d).groupBy("gap_key").agg(F.count("*").alias("total")).orderBy(F.desc("total"), "gap_key").limit(50)
 
 
-@query(f"""WITH {MISSES}, o AS (SELECT gap_key, source, locator, min("at") AS "at" FROM m GROUP BY 1, 2, 3),
-  r AS (SELECT *, row_number() OVER (PARTITION BY gap_key, source ORDER BY "at", locator) AS rank FROM o) SELECT gap_key, source, rank, locator FROM r WHERE rank <= 5""")
+@query(f"""WITH {MISSES}, o AS (SELECT gap_key, source, locator, substr(sha1(locator), 1, 12) AS evidence_id, max("at") AS "at" FROM m GROUP BY 1, 2, 3),
+  r AS (SELECT *, row_number() OVER (PARTITION BY gap_key, source ORDER BY "at", evidence_id) AS rank FROM o) SELECT gap_key, source, rank, locator, evidence_id FROM r WHERE rank <= 5""")
 def evidence_capped(spark, d):
-    return C.evidence(misses(spark, d))
+    return Q.evidence(Q.keyed(raw_misses(spark, d))).select("gap_key", "source", "rank", "locator", "evidence_id")
 
 
 @query(f"""WITH {MISSES}, g AS (SELECT gap_key, count(*) AS total, count(*) FILTER (source = 'chat') AS baseline FROM m GROUP BY 1) SELECT gap_key, baseline > 0 AND total >= baseline * 100 AS resurfaced FROM g""")
 def resurfaced(spark, d):
-    g = misses(spark, d).groupBy("gap_key").agg(F.count("*").alias("total"), F.count_if(F.col("source") == "chat").alias("baseline"))
-    return g.select("gap_key", C.resurfaced(F.col("total"), F.col("baseline")).alias("resurfaced"))
+    """Every gap was dismissed when chat alone had met it."""
+    entries = Q.entries(raw_misses(spark, d))
+    none = {name: F.lit(None).cast("string") for name in ("run_id", "concept_id", "reason")}
+    chat = F.coalesce(F.try_element_at("counts", F.lit("chat")), F.lit(0))
+    changes = entries.select("gap_key", F.lit("dismissed").alias("status"), F.timestamp_seconds(F.lit(0)).alias("at"), chat.alias("baseline")).withColumns(none)
+    return Q.with_status(entries, changes).select("gap_key", "resurfaced")
 
 
 @query(f"""SELECT CASE WHEN v.w IS NULL THEN 'held' ELSE 'active' END AS status, count(*) AS n_claims FROM {DOC_WORDS} w LEFT JOIN {VOCABULARY} v ON w.w = v.w GROUP BY 1""")
@@ -298,8 +311,11 @@ MAPPED = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SIGN
 
 
 def signals(spark, d):
-    mapping = spark.createDataFrame(list(SIGNALS.items()), "event_type string, concept string")
-    return t(spark, d, "events").join(F.broadcast(mapping), "event_type", "left")
+    """Events as signals: machine terms are the known event types, each with a business term that it matches."""
+    notations = spark.createDataFrame([(f"machine-{x}", x) for x in SIGNALS], "concept_id string, token string")
+    links = spark.createDataFrame([(f"machine-{x}", "exactMatch", to) for x, to in SIGNALS.items()], "subject string, predicate string, target string")
+    events = t(spark, d, "events").withColumns({"token": F.col("event_type"), "device": F.col("user_id"), "at": F.col("ts")})
+    return M.mapped(events, M.mapping(notations, links)).withColumn("concept", F.col("concept_id"))
 
 
 @query(f"SELECT event_type, {MAPPED} AS concept, count(*) AS n FROM events WHERE {MAPPED} IS NOT NULL GROUP BY 1, 2")
@@ -309,13 +325,25 @@ def signal_map(spark, d):
 
 @query(f"SELECT event_type, count(*) AS occurrences, count(DISTINCT user_id) AS devices FROM events WHERE {MAPPED} IS NULL GROUP BY 1")
 def unmapped_signals(spark, d):
-    return signals(spark, d).where("concept is null").groupBy("event_type").agg(F.count("*").alias("occurrences"), F.countDistinct("user_id").alias("devices"))
+    return M.unmapped(signals(spark, d)).withColumnRenamed("token", "event_type")
 
 
 @query(f"WITH r AS (SELECT {MAPPED} AS concept, user_id, event_id, value, row_number() OVER (PARTITION BY {MAPPED}, user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE {MAPPED} IS NOT NULL) SELECT concept, user_id, event_id, value FROM r WHERE n = 1")
 def latest_signal(spark, d):
     known = signals(spark, d).where("concept is not null")
-    return known.groupBy("concept", "user_id").agg(F.max_by(F.struct("event_id", "value"), F.struct("ts", "event_id")).alias("last")).select("concept", "user_id", "last.event_id", "last.value")
+    return M.latest(known.select("concept", "user_id", "event_id", "value", "ts"), ("concept", "user_id"), ("ts", "event_id")).select("concept", "user_id", "event_id", "value")
+
+
+@query("SELECT event_id, user_id, coalesce(CASE WHEN value >= lag(value) OVER w THEN value - lag(value) OVER w WHEN lag(value) OVER w IS NOT NULL THEN value END, 0) AS increment FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, value)")
+def point_increments(spark, d):
+    points = t(spark, d, "events").select("event_id", F.col("user_id").alias("series"), "ts", "value")
+    return E.increments(points).select("event_id", F.col("series").alias("user_id"), "increment")
+
+
+@query("""WITH w AS (SELECT event_type, time_bucket(INTERVAL 15 MINUTE, ts) - to_minutes(15 * unnest(range(0, 4))) AS start FROM events)
+  SELECT strftime(start, '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM w GROUP BY 1, 2""")
+def events_sliding(spark, d):
+    return E.sliding(t(spark, d, "events"), ["event_type"]).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")
 
 
 @query("SELECT strftime(ts, '%Y-%m-%d %H:00') AS bucket, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -357,9 +385,8 @@ def run_totals(spark, d):
 
 @query(f"""WITH v AS {VOCABULARY}, c AS (SELECT DISTINCT w FROM {DOC_WORDS}) SELECT count(*) AS words, count(c.w) AS covered, floor(100 * count(c.w) / count(*))::BIGINT AS percent FROM v LEFT JOIN c USING (w)""")
 def vocabulary_coverage(spark, d):
-    seen = document_words(spark, d).select("w").distinct().withColumn("seen", F.lit(1))
-    found = vocabulary(spark, d).join(seen, "w", "left").agg(F.count("*").alias("words"), F.count("seen").alias("covered"))
-    return found.withColumn("percent", F.floor(100 * F.col("covered") / F.col("words")))
+    labels = vocabulary(spark, d).select(F.col("w").alias("concept_id"), F.col("w").alias("label"))
+    return I.vocabulary_coverage(labels, t(spark, d, "documents")).withColumnsRenamed({"concepts": "words", "mentioned": "covered"})
 
 
 TOKENS = r"""(SELECT conv_id || ':' || turn AS id, list_filter(list_transform(regexp_split_to_array(trim(text), '\s+'), lambda w: regexp_replace(w, '^[.,;:!?()\[\]{}"''“”‘’]+|[.,;:!?()\[\]{}"''“”‘’]+$', '', 'g')), lambda w: w <> '') AS w FROM conversations WHERE role = 'user')"""

@@ -16,7 +16,7 @@ from termlake.operators import publishing, telemetry, vocabulary
 from termlake.operators import registry as Y
 from termlake.operators import resolution as R
 from termlake.plans import core
-from termlake.plans.core import DOC_WORDS, LABELS, MISSES, Query, key, norm, t
+from termlake.plans.core import DOC_WORDS, LABELS, MISSES, Query, key, norm, t, raw_misses
 from termlake.sources import quads as S
 
 _QUERIES: dict[str, Query] = {}
@@ -74,12 +74,6 @@ def gap_source_counts(spark, d):
     return Q.source_counts(core.misses(spark, d))
 
 
-def raw_misses(spark, d):
-    """Misses as the queue takes them; an id counts as seconds since 1970."""
-    rows = core.misses(spark, d).select("surface", F.lit(None).cast("string").alias("merge_as"), "source", F.col("surface").alias("text"), "locator", F.timestamp_seconds("at").alias("at"), F.lit(Q.ADD_LABEL).alias("gap_type"))
-    return rows.withColumns({"doc_version": F.lit(None).cast("string"), "suggestions": F.lit(None).cast(Q.SUGGESTIONS), "scheme": F.lit(None).cast("string"), "run_id": F.lit("r")})
-
-
 def queue_misses(spark, d):
     return Q.keyed(raw_misses(spark, d))
 
@@ -310,9 +304,12 @@ def word_totals(spark, d):
     return K.word_totals(t(spark, d, "documents"))
 
 
-@query("""SELECT c_custkey AS filename, 'is registered but not present' AS finding FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey, 'is present but not registered' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)""")
+@query("""WITH r AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority < '2'), p AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority > '4')
+  SELECT o_custkey AS filename, 'is registered but not present' AS finding FROM r WHERE o_custkey NOT IN (SELECT o_custkey FROM p) UNION ALL SELECT o_custkey, 'is present but not registered' FROM p WHERE o_custkey NOT IN (SELECT o_custkey FROM r)""")
 def registry_compare(spark, d):
-    return Y.compare(t(spark, d, "customer").select(F.col("c_custkey").alias("filename")), t(spark, d, "orders").select(F.col("o_custkey").alias("filename")))
+    """Customers with urgent orders are registered, those with orders of the lowest priority are present."""
+    orders = t(spark, d, "orders").select(F.col("o_custkey").alias("filename"), "o_orderpriority")
+    return Y.compare(orders.where("o_orderpriority < '2'").select("filename").distinct(), orders.where("o_orderpriority > '4'").select("filename").distinct())
 
 
 def queries() -> dict[str, Query]:
