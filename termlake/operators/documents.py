@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import bisect
+import re
+from collections.abc import Iterable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termlake.functions import text as T
+from termlake.tasks import ship
+
+ship(__name__)
 
 CHUNK_TOKENS = 400
+#: White space as patterns of the JVM have it.
+SPACES = r"[ \t\n\x0b\f\r]+"
 #: Lines of a bucket that intervals of a document are joined by.
 BUCKET = 64
 
@@ -57,6 +67,80 @@ def locate(snippet: Column, text: Column) -> Column:
     return F.when((F.trim(F.regexp_replace(snippet, r"\s+", " ")) != "") & (start > 0), F.struct((start - 1).alias("start"), (start - 1 + F.length(found)).alias("end")))
 
 
+class Finder:
+    """Where snippets begin and end in one text, which is read once for all as they stand, and once more for those that differ in white space."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.breaks = [m.start() for m in re.finditer("\n", text)]
+
+    def line(self, offset: int) -> int:
+        """The line, from 0, of an offset."""
+        return bisect.bisect_left(self.breaks, offset)
+
+    @staticmethod
+    def first(snippets: Iterable[str], text: str) -> dict[str, int]:
+        """The first place of each snippet that the text has; an automaton of all meets each character once."""
+        import ahocorasick
+
+        automaton, missing, found = ahocorasick.Automaton(), set(snippets), {}
+        for snippet in missing:
+            automaton.add_word(snippet, snippet)
+        if not missing:
+            return found
+        automaton.make_automaton()
+        for end, snippet in automaton.iter(text):
+            if snippet in missing:
+                missing.discard(snippet)
+                found[snippet] = end - len(snippet) + 1
+                if not missing:
+                    break
+        return found
+
+    def places(self, snippets: Iterable[str]) -> dict[str, tuple[int, int]]:
+        """(start, end) of each snippet that is there, as locate() has them."""
+        loose = {x: re.sub(SPACES, " ", x).strip(" ") for x in set(snippets)}
+        loose = {x: y for x, y in loose.items() if y}
+        out = {x: (at, at + len(x)) for x, at in self.first(loose, self.text).items()}
+        rest = {x: y for x, y in loose.items() if x not in out}
+        if rest:
+            parts, origin, at = [], [], 0
+            for m in re.finditer(SPACES, self.text):
+                parts += [self.text[at : m.start()], " "]
+                origin += [*range(at, m.start()), m.start()]
+                at = m.end()
+            parts.append(self.text[at:])
+            origin += range(at, len(self.text))
+            found = self.first(rest.values(), "".join(parts))
+            out |= {x: (origin[found[y]], origin[found[y] + len(y) - 1] + 1) for x, y in rest.items() if y in found}
+        return out
+
+
+def _place(wanted: pa.Table, texts: pa.Table) -> pa.Table:
+    out = {name: [] for name in ("doc_id", "snippet", "start", "end", "first_line", "last_line")}
+    if wanted.num_rows and texts.num_rows:
+        row = min(texts.to_pylist(), key=lambda x: x["text"])  # a document that is there twice
+        finder, numbers = Finder(row["text"]), row["numbers"]
+        number = lambda offset: numbers[i] if numbers and (i := finder.line(offset)) < len(numbers) else finder.line(offset) + 1
+        for snippet, (start, end) in finder.places(wanted.column("snippet").to_pylist()).items():
+            for name, value in zip(out, (row["doc_id"], snippet, start, end, number(start), number(max(end - 1, start))), strict=True):
+                out[name].append(value)
+    kinds = (texts.schema.field("doc_id").type, pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+    return pa.table([pa.array(v, kind) for v, kind in zip(out.values(), kinds, strict=True)], names=list(out))
+
+
+def locate_all(wanted: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc_id, snippet, start, end, first_line, last_line) of wanted (doc_id, snippet) that are in their text of texts (doc_id, text,
+    numbers), as locate() finds them; numbers are those of its lines, 1 and up where null.
+
+    Snippets meet their document once: a text is in one task, read once or twice for all its snippets, and in no row of theirs.
+    """
+    asked = wanted.where("doc_id IS NOT NULL AND snippet IS NOT NULL").select("doc_id", "snippet").distinct()
+    known = texts.where("text IS NOT NULL").select("doc_id", "text", "numbers")
+    kind = known.schema["doc_id"].dataType.simpleString()
+    return asked.groupBy("doc_id").cogroup(known.groupBy("doc_id")).applyInArrow(_place, f"doc_id {kind}, snippet string, start bigint, end bigint, first_line bigint, last_line bigint")
+
+
 def line_of(offset: Column, text: Column) -> Column:
     """The line, from 1, that a character offset from 0 lies in."""
     return F.size(F.split(F.substring(text, F.lit(1), offset), "\n"))

@@ -54,17 +54,15 @@ def gated(facts: DataFrame, sources: DataFrame) -> DataFrame:
 
     A snippet is sought in the readable text, white space apart; one bad fact drops no other.
     """
-    text = F.array_join(F.transform("all", lambda x: x["line"]), "\n")
-    read = facts.join(sources.select("source_file", "all", text.alias("source_text")), "source_file", "left")
-    placed = read.withColumn("at", D.locate(F.col("snippet"), F.col("source_text")))
-    first = lambda offset: D.line_of(offset, F.col("source_text"))
-    number = lambda i: F.get(F.col("all"), i - 1)["no"].cast("string")
+    texts = sources.select(F.col("source_file").alias("doc_id"), F.array_join("all.line", "\n").alias("text"), F.col("all.no").alias("numbers"))
+    found = D.locate_all(facts.select(F.col("source_file").alias("doc_id"), "snippet"), texts).withColumnsRenamed({"doc_id": "source_file"})
+    placed = facts.join(found, ["source_file", "snippet"], "left")
     reason = (
         F.when(F.coalesce(T.normalise(F.col("subject")), F.lit("")) == "", "empty subject").when(F.coalesce(T.stripped(F.col("snippet")), F.lit("")) == "", "empty snippet")
-        .when(F.col("at").isNull(), "snippet not in the source").when(F.col("predicate").isNull() | F.col("value").isNull() | ~F.coalesce(F.col("confidence"), F.lit(CONFIDENCE)).between(0, 1), "not a fact")
+        .when(F.col("start").isNull(), "snippet not in the source").when(F.col("predicate").isNull() | F.col("value").isNull() | ~F.coalesce(F.col("confidence"), F.lit(CONFIDENCE)).between(0, 1), "not a fact")
     )
-    lines = F.concat_ws("-", number(first(F.col("at.start"))), number(first(F.greatest(F.col("at.end") - 1, F.col("at.start")))))
-    return placed.withColumn("reason", reason).withColumn("line_range", lines).drop("all", "source_text", "at")
+    lines = F.concat_ws("-", F.col("first_line").cast("string"), F.col("last_line").cast("string"))
+    return placed.select(*facts.columns, reason.alias("reason"), lines.alias("line_range"))
 
 
 def claim_groups(claims: DataFrame) -> DataFrame:

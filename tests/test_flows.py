@@ -1,5 +1,7 @@
 """Asking, run records, places in texts."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +45,23 @@ def test_places(spark):
     assert df.select(documents.line_of(F.lit(7), F.col("text")).alias("n")).first()["n"] == 2
 
 
+def test_all_snippets_of_a_document(spark):
+    """As locate() and line_of() find them one by one, for any white space, overlaps and repeated documents."""
+    rnd = random.Random(2)
+    texts = ["".join(rnd.choices(["a", "b", "ab", " ", "  ", "\n", "\t", "é"], k=rnd.randrange(80))) for _ in range(25)] + [None, "", "\n\n"]
+    wanted = [(i % len(texts), "".join(rnd.choices(["a", "b", " ", "\n", "ab", "é"], k=rnd.randrange(6)))) for i in range(900)] + [(0, None), (None, "a"), (99, "a")]
+    docs = spark.createDataFrame([(i, text, None) for i, text in enumerate(texts)] + [(3, texts[3], None)], "doc_id bigint, text string, numbers array<int>")
+    asked = spark.createDataFrame(wanted, "doc_id bigint, snippet string")
+    at = documents.locate(F.col("snippet"), F.col("text"))
+    one = asked.distinct().join(docs.dropDuplicates(["doc_id"]), "doc_id").withColumn("at", at).where("at is not null")
+    line = lambda offset: documents.line_of(offset, F.col("text"))
+    one = one.select("doc_id", "snippet", "at.start", "at.end", line(F.col("at.start")), line(F.greatest(F.col("at.end") - 1, F.col("at.start"))))
+    found = documents.locate_all(asked, docs)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, one.collect())) and found.count() > 100
+    numbered = spark.createDataFrame([(1, "x y\nz", [5, 9])], "doc_id bigint, text string, numbers array<int>")
+    assert tuple(documents.locate_all(spark.createDataFrame([(1, "y  z")], "doc_id bigint, snippet string"), numbered).first()) == (1, "y  z", 2, 5, 5, 9)
+
+
 def test_html_lines(spark):
     df = spark.createDataFrame([(1, "<!-- a\nb --><p>one</p>\n\n<b>t</b>wo <!-- c -->"), (2, None)], "doc_id bigint, markup string")
     assert df.select(T.blank_comments(F.col("markup")).alias("x")).first()["x"] == "\n<p>one</p>\n\n<b>t</b>wo "
