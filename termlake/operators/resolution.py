@@ -104,6 +104,11 @@ def resolve(mentions: DataFrame, index: DataFrame, vectors: DataFrame | None = N
     normalised, change what is looked up and never the surface; then label_kind is `alias`. Each mention is one row.
     """
     keyed = mentions.select("*", F.coalesce(T.normalise(F.col("surface")), F.lit("")).alias("normalised"))
+    return _cascade(keyed, mentions.columns, index, vectors, aliases, embed, clear, margin, k)
+
+
+def _cascade(keyed: DataFrame, columns: list[str], index: DataFrame, vectors: DataFrame | None, aliases: DataFrame | None, embed: Callable[[Column], Column] | None, clear: float, margin: float, k: int) -> DataFrame:
+    """resolve() of rows whose `normalised` is known; `columns` are given as they are."""
     if aliases is not None:
         keyed = keyed.join(aliases.select(F.col("original").alias("normalised"), "corrected"), "normalised", "left")
         keyed = keyed.withColumn("lookup", F.coalesce("corrected", "normalised")).drop("corrected")
@@ -125,7 +130,7 @@ def resolve(mentions: DataFrame, index: DataFrame, vectors: DataFrame | None = N
     sure = F.coalesce((best["score"] >= clear) & (second.isNull() | (F.round(best["score"] - second["score"], 4) >= margin)), F.lit(False))
     exact = F.col("hits") == 1
     return found.select(
-        *mentions.columns, "normalised", "lookup",
+        *columns, "normalised", "lookup",
         F.when(exact, F.col("concepts")[0].cast("string")).when(sure, best["concept_id"]).alias("concept_id"),
         F.when(exact, "exact").when(sure, "embedding").otherwise("abstain").alias("stage"),
         F.when(exact, 1.0).otherwise(F.coalesce(best["score"], F.lit(0.0))).alias("score"),
@@ -182,8 +187,11 @@ def sweep_runs(questions: DataFrame, index: DataFrame, most: int = 4) -> DataFra
     are consumed. A run is (start, size, label_key), start counted from 1."""
     # the words are a column first, so a text is split once and not for each phrase
     tokens = questions.select("id", T.question_words(F.col("text")).alias("tokens"))
-    phrases = tokens.select("id", F.explode(T.ngrams(F.col("tokens"), most)).alias("g")).select("id", "g.start", "g.size", "g.phrase")
-    hits = phrases.withColumn("label_key", T.normalise(F.col("phrase"))).join(index.select("label_key"), "label_key", "left_semi")
+    # each word is folded once, before its phrases are made: a phrase's key has the keys of its words
+    folded = tokens.select("id", "tokens", F.transform("tokens", T.normalise).alias("norms")).select("id", F.explode(T.ngrams(F.col("tokens"), most)).alias("g"), "norms")
+    own = F.filter(F.slice("norms", F.col("g.start"), F.col("g.size")), lambda w: w != "")
+    phrases = folded.select("id", "g.start", "g.size", F.array_join(own, " ").alias("label_key"))
+    hits = phrases.join(index.select("label_key"), "label_key", "left_semi")
     longest = hits.groupBy("id", "start").agg(F.max(F.struct("size", "label_key")).alias("best"))
     runs = longest.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "best.size", "best.label_key"))).alias("runs"))
     none = "cast(array() as array<struct<start: int, size: int, label_key: string>>)"
@@ -206,7 +214,7 @@ def _spans(swept: DataFrame, most: int, aliases: DataFrame | None) -> DataFrame:
     """(id, start, size, phrase, said, lookup) of all phrases without a function word at their edges; said is an alias."""
     tokens = swept.select("id", T.question_words(F.col("text")).alias("tokens"))
     # each word is folded once: a phrase's key has the keys of its words
-    words = tokens.select("id", F.explode(T.ngrams(F.col("tokens"), most)).alias("g"), F.transform("tokens", T.normalise).alias("norms"))
+    words = tokens.select("id", "tokens", F.transform("tokens", T.normalise).alias("norms")).select("id", F.explode(T.ngrams(F.col("tokens"), most)).alias("g"), "norms")
     spans = words.select("id", "g.start", "g.size", "g.phrase", F.slice("norms", F.col("g.start"), F.col("g.size")).alias("own"))
     edge = lambda i: F.element_at("own", i).isin(["", *T.FUNCTION_WORDS])
     shaped = spans.where(~edge(1) & ~edge(-1)).withColumn("key", F.array_join(F.filter("own", lambda w: w != ""), " "))
@@ -247,8 +255,8 @@ def second_pass(swept: DataFrame, index: DataFrame, vectors: DataFrame, embed: C
     the best of the shortlist must reach it to be reported.
     """
     spans = stage(_spans(swept, most, aliases), "spans")
-    asked = spans.select(F.col("lookup").alias("surface")).distinct()
-    known = resolve(asked, index, vectors, None, embed, clear, margin, k).select(F.col("surface").alias("lookup"), "concept_id", "stage", "score", "shortlist")
+    asked = spans.select(F.col("lookup").alias("normalised")).distinct()  # made of the keys of words, so it is one
+    known = _cascade(asked, [], index, vectors, None, embed, clear, margin, k).select("lookup", "concept_id", "stage", "score", "shortlist")
     known = stage(known, "looked-up")
     top = F.get(F.col("shortlist"), F.lit(0))["score"]
     takes = F.col("concept_id").isNotNull() | T.worth_reporting(F.col("lookup"), top, floor)

@@ -88,10 +88,10 @@ class VectorIndex:
         sample = found.select("vector").orderBy(F.xxhash64("key")).limit(most).collect() if cells > 1 else []
         centres = fit_cells(np.array([x["vector"] for x in sample], np.float64), cells) if sample else np.zeros((1, longest))
         placed = stage(with_cells(found, centres, 1).select(F.explode("concepts").alias("concept"), F.col("cells")[0].alias("cell"), "key", "vector"), "placed")
-        sizes = stage(placed.groupBy("concept", "cell").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts")), "sizes")
+        placed.groupBy("concept", "cell").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts")).write.parquet(f"{path}/sizes")
+        sizes = spark.read.parquet(f"{path}/sizes")
         dealt = placed.join(sizes, ["concept", "cell"]).select("concept", "cell", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"), "key", "vector")
         dealt.write.parquet(f"{path}/postings")
-        sizes.write.parquet(f"{path}/sizes")
         spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(centres)], "cell int, centre array<double>").coalesce(1).write.parquet(f"{path}/centres")
         return cls.read(spark, path)
 
