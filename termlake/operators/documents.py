@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import bisect
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -39,17 +39,17 @@ def lines(docs: DataFrame) -> DataFrame:
     return _with_offsets(rows.withColumn("line_no", F.col("i") + 1))
 
 
-def _html_array(markup: Column) -> Column:
+def _html_array(markup: Column, decode: Callable[[Column], Column] = T.unescape) -> Column:
     """(no, line) of lines of markup that say something, each flattened by itself and numbered as in the markup."""
     clean = T.blank_comments(F.regexp_replace(F.coalesce(markup, F.lit("")), "\r\n?", "\n"))
-    flat = F.transform(F.split(clean, "\n"), lambda x, i: F.struct((i + 1).alias("no"), T.flatten_html(x).alias("line")))
+    flat = F.transform(F.split(clean, "\n"), lambda x, i: F.struct((i + 1).alias("no"), T.flatten_html(x, decode).alias("line")))
     return F.filter(flat, lambda x: x["line"] != "")
 
 
-def html_lines(pages: DataFrame) -> DataFrame:
+def html_lines(pages: DataFrame, decode: Callable[[Column], Column] = T.unescape) -> DataFrame:
     """(doc_id, line_no, start_offset, line) of pages (doc_id, markup): each line flattened by itself, blank ones gone,
     line_no as in the markup, offsets in the text that remains."""
-    rows = pages.select("doc_id", F.monotonically_increasing_id().alias("row"), "markup").select("doc_id", "row", F.explode(_html_array(F.col("markup"))).alias("z"))
+    rows = pages.select("doc_id", F.monotonically_increasing_id().alias("row"), "markup").select("doc_id", "row", F.explode(_html_array(F.col("markup"), decode)).alias("z"))
     return _with_offsets(rows.select("doc_id", "row", F.col("z.no").alias("line_no"), F.col("z.line").alias("line")))
 
 
