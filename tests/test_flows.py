@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from termlake.functions import text as T
 from termlake.operators import asking, documents, runs
+from termlake.plans import core, flows
 
 
 @pytest.fixture
@@ -94,3 +95,14 @@ def test_runs(spark, tmp_path):
     assert [r["run_id"] for r in log.runs().collect()] == ["r2", "r1"]
     log.write_audit("c", log.clock(), "r1", 1, "me", None, "history/c/1", "d")
     assert log.audit().count() == 1
+
+
+def test_pages_decode_what_their_sql_decodes(spark, tmp_path):
+    """Entities that lost their semicolon or are in no list stay, in the whole page and in its lines."""
+    duckdb = pytest.importorskip("duckdb")
+    pages = ["<p>R&amp{D &ampp x</p>", "a &amp;lt; b &quo c\n<b>&eacute;&copy;&nbsp;d</b> &#39;&#38;", "&am", "<!-- &amp; --> &middot"]
+    spark.createDataFrame(list(enumerate(pages)), "page_id bigint, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    sql = duckdb.connect()
+    sql.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    for query, said in ((core.flatten_pages, core.oracle_sql()["flatten_pages"]), (flows.html_lines, flows.oracle_sql()["html_lines"])):
+        assert sorted(map(tuple, query(spark, str(tmp_path)).collect())) == sorted(sql.execute(said).fetchall())
