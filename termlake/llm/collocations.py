@@ -404,15 +404,17 @@ def collocations(docs: DataFrame, least: int = 100, top: int = 2000) -> DataFram
     earliest counts; phrases of one score and a go by their bytes. An empty table gives an empty result.
     """
     words, found, totals = count_phrases(docs, least)
+    # files are a tenth of their rows in memory or less; by their size the planner would broadcast these tables, and the driver hold them
+    grown = lambda table: table.hint("merge")
     counts = found.unionByName(words.select(F.array("gid").alias("g"), "f"))
-    named = found.select("g", F.posexplode("g").alias("i", "gid")).join(words, "gid").groupBy("g").agg(F.first("lang").alias("lang"), F.array_sort(F.collect_list(F.struct("i", F.col("word").cast("string").alias("word")))).alias("at"))
+    named = found.select("g", F.posexplode("g").alias("i", "gid")).join(grown(words), "gid").groupBy("g").agg(F.first("lang").alias("lang"), F.array_sort(F.collect_list(F.struct("i", F.col("word").cast("string").alias("word")))).alias("at"))
     named = named.select("g", "lang", F.concat_ws(" ", F.col("at.word")).alias("phrase"))
     inside = found.where(F.size("g") > 2).select(F.col("f").alias("longer"), F.explode(F.expr(
         "flatten(transform(sequence(2, size(g) - 1), k -> transform(sequence(1, size(g) - k + 1), i -> slice(g, i, k))))")).alias("g"))
     covered = inside.groupBy("g").agg(F.max("longer").alias("longer"))
-    kept = found.join(covered, "g", "left").where("longer IS NULL OR longer < f").select("g", F.col("f").alias("a")).join(named, "g").join(totals, "lang")
+    kept = found.join(grown(covered), "g", "left").where("longer IS NULL OR longer < f").select("g", F.col("f").alias("a")).join(grown(named), "g").join(totals, "lang")
     cuts = kept.withColumn("k", F.explode(F.expr("sequence(1, size(g) - 1)"))).withColumns({"first": F.expr("slice(g, 1, k)"), "rest": F.expr("slice(g, k + 1, size(g) - k)")})
-    cuts = cuts.join(counts.select(F.col("g").alias("first"), F.col("f").alias("l")), "first").join(counts.select(F.col("g").alias("rest"), F.col("f").alias("r")), "rest")
+    cuts = cuts.join(grown(counts.select(F.col("g").alias("first"), F.col("f").alias("l"))), "first").join(grown(counts.select(F.col("g").alias("rest"), F.col("f").alias("r"))), "rest")
     cuts = cuts.withColumns({"over": F.lit(1000).cast("decimal(4,0)") * _whole("a") * _whole("n"), "under": _whole("l") * _whole("r")}).withColumn("score", F.expr("over div under"))
     best = cuts.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut")).select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]

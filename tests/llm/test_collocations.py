@@ -75,3 +75,13 @@ def test_portions_cut_at_breaks_only():
     cut = list(collocations._portions(words, 5))
     assert sum(cut, []) == words
     assert [len(x) for x in cut] == [10, 35]
+
+
+def test_no_table_that_grows_is_broadcast(spark):
+    """Counts of phrases and words are compressed ten times and more: what looks small enough to broadcast fills the driver."""
+    docs = spark.createDataFrame([("en", "a b c d a b c d")] * 60, "lang string, text string")
+    found = collocations.collocations(docs)
+    assert found.count() == 1
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert all("[lang#" in line for line in joins) and plan.count("SortMergeJoin") >= 5
