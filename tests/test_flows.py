@@ -2,11 +2,13 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from termlake.functions import text as T
-from termlake.operators import asking, documents, runs
+from termlake.operators import asking, documents, runs, similarity, vector_index
 from termlake.plans import core, flows
 
 
@@ -106,3 +108,54 @@ def test_pages_decode_what_their_sql_decodes(spark, tmp_path):
     sql.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     for query, said in ((core.flatten_pages, core.oracle_sql()["flatten_pages"]), (flows.html_lines, flows.oracle_sql()["html_lines"])):
         assert sorted(map(tuple, query(spark, str(tmp_path)).collect())) == sorted(sql.execute(said).fetchall())
+
+
+def test_only_what_is_asked_for_is_computed(spark):
+    """Who wants what a question resolved to waits for no search of passages and no claims."""
+    made = []
+    questions = spark.createDataFrame([("q1", "gas bottle")], "id string, text string")
+    index = spark.createDataFrame([("gas", ["gas"])], "label_key string, concepts array<string>")
+    steps = spark.createDataFrame([], "seed string, neighbour string")
+    claims = spark.createDataFrame([("c1", "gas", "x", "y", ["c2"]), ("c2", "gas", "x", "z", ["c1"])], "claim_id string, concept_id string, predicate string, value string, conflicts array<string>")
+    found = spark.createDataFrame([("q1", 1, 7, 0.25)], "query_id string, rank int, key bigint, distance double")
+    a = asking.retrieve(questions, index, steps, None, lambda: made.append("claims") or claims, embed=lambda x: F.array(F.lit(1.0)), search=lambda *_: made.append("search") or found)
+    assert [r["concept_id"] for r in a.searched.collect()] == ["gas"] and made == []
+    assert [tuple(r) for r in a.passages.collect()] == [("q1", 1, 7, 0.75)] and made == ["search"]
+    assert [r["sides"] for r in a.disagreements.collect()] == [2] and made == ["search", "claims"]
+
+
+def test_all_cells_are_met_as_one(spark, tmp_path):
+    """With all cells probed a search is exact, and a question meets each part of a concept's postings once, however many cells there are."""
+    rnd = np.random.default_rng(3)
+    rows = [(i, rnd.normal(size=4).round(1).tolist(), ["a", "b"][: 1 + i % 2]) for i in range(400)]
+    index = vector_index.VectorIndex.build(spark.createDataFrame(rows, "key bigint, vector array<double>, concepts array<string>"), f"file://{tmp_path}/index")
+    asked = [(f"q{i}", rnd.normal(size=4).round(1).tolist()) for i in range(30)]
+    wanted = [(q, c) for i, (q, _) in enumerate(asked) for c in "ab"[i % 2 :]]
+    found = index.search(spark.createDataFrame(asked, "query_id string, vector array<double>"), spark.createDataFrame(wanted, "query_id string, concept string"), 3)
+    best = []
+    for q, v in asked:
+        see = {c for x, c in wanted if x == q}
+        near = sorted((round(1 - round(float(np.dot(v, w)), 6), 6), key) for key, w, own in rows if see & set(own))
+        best += [(q, n, key, distance) for n, (distance, key) in enumerate(near[:3], 1)]
+    assert sorted(map(tuple, found.collect())) == sorted(best)
+    assert len(index.centres) == 20
+
+
+def test_best_of_groups_and_of_items():
+    """As if all products were rounded first and sorted: ties, few items, several items of a group."""
+    rnd = np.random.default_rng(5)
+    for n, groups, k in ((1, 1, 3), (4, 2, 5), (60, 9, 3), (60, 60, 5)):
+        items = [(f"i{i:03}", f"g{rnd.integers(groups)}", rnd.integers(-2, 3, 3).astype(float).tolist()) for i in range(n)]
+        queries = [(i, (rnd.integers(-2, 3, 3) / 30000).tolist()) for i in range(25)]
+        a = pa.table([pa.array(x) for x in zip(*queries, strict=True)], names=["q", "a"])
+        b = pa.table([pa.array(x) for x in zip(*items, strict=True)], names=["label", "g", "b"])
+        for group in (None, "g"):
+            out = similarity.best_of("q", "a", "b", ["label", "g"], ["label"], group, k, 4)(a, b).to_pylist()
+            for q, v in queries:
+                scored = sorted((-float(similarity.rounded(np.array([np.dot(v, w)]), 4)[0]), label, g) for label, g, w in items)
+                want, seen = [], set()
+                for score, label, g in scored:
+                    if group is None or g not in seen:
+                        want.append((label, g, -score))
+                        seen.add(g)
+                assert [(x["label"], x["g"], x["score"]) for x in out if x["q"] == q] == want[:k]
