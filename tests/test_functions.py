@@ -91,3 +91,11 @@ def test_differences(spark):
     cases = [((2.0, 1.0, "flow", "flow"), 0.5), ((2.0, 1.0, "flow", None), None), ((0.0, 0.0, None, None), 0.0), ((None, 1.0, None, None), None)]
     rows = spark.createDataFrame([c for c, _ in cases], "a double, b double, x string, y string")
     assert [r["d"] for r in rows.select(U.relative_difference(F.col("a"), F.col("b"), F.col("x"), F.col("y")).alias("d")).collect()] == [w for _, w in cases]
+
+
+def test_normal_and_plain_texts_are_not_looked_up(spark):
+    """What is normal stays, and a text of single bytes needs no table: both as the whole way has them."""
+    texts = ["gas bottle", "a", "A-b", "a  b", " a", "a\n", "a b\n", "", "Straße", "ﬁn", "é", None]
+    df = spark.createDataFrame([(x,) for x in texts], "x string")
+    assert [r[0] for r in df.select(T.normalise(F.col("x"))).collect()] == ["gas bottle", "a", "a b", "a b", "a", "a", "a b", "", "strasse", "fin", "e", None]
+    assert [r[0] for r in df.where(F.col("x").rlike(T.NORMAL)).collect()] == ["gas bottle", "a"]
