@@ -120,14 +120,21 @@ def _is_set(bitmap: Column, bit: Column) -> Column:
     return F.call_function("shiftright", byte, (bit % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
-def probe(rows: DataFrame, bitmaps: DataFrame, bits: int, key: str, hit: bool) -> DataFrame:
-    """Those rows whose key may be in the filter, or those whose key is not in it: none that is in it is among these."""
+def marked_hits(rows: DataFrame, bitmaps: DataFrame, bits: int, key: str, name: str) -> DataFrame:
+    """rows, and whether their key may be in the filter in a column `name`: where that is false it is not."""
     bucket, bit, bitmap = fresh(rows.columns, "filter_bucket", "filter_bit", "filter_bitmap")
     place = F.pmod(F.xxhash64(key), F.lit(bits))
     marked = rows.withColumn(bucket, F.bitmap_bucket_number(place)).withColumn(bit, F.bitmap_bit_position(place))
     joined = marked.join(F.broadcast(bitmaps.toDF(bucket, bitmap)), bucket, "left")
     known = F.coalesce(_is_set(F.col(bitmap), F.col(bit)), F.lit(False))
-    return joined.where(known if hit else ~known).drop(bucket, bit, bitmap)
+    return joined.withColumn(name, known).drop(bucket, bit, bitmap)
+
+
+def probe(rows: DataFrame, bitmaps: DataFrame, bits: int, key: str, hit: bool) -> DataFrame:
+    """Those rows whose key may be in the filter, or those whose key is not in it: none that is in it is among these."""
+    (name,) = fresh(rows.columns, "filter_hit")
+    marked = marked_hits(rows, bitmaps, bits, key, name)
+    return marked.where(F.col(name) if hit else ~F.col(name)).drop(name)
 
 
 def may_hit(rows: DataFrame, bitmaps: DataFrame, bits: int, key: str = "digest") -> DataFrame:

@@ -5,7 +5,9 @@ number of documents that hold it. Nodes whose samples agree in a band meet in a
 weighted Jaccard similarity over all their shingles, and connected nodes are a class.
 
 Document frequencies go by blocks of documents, as in blocks.py: a block sends its distinct shingles, in order and cut to
-the bits that tell them apart, to the tasks of their hash ranges and gets back the number of documents for each.
+the bits that tell them apart, to the tasks of their hash ranges and gets back the number of documents for each. What is
+stored of a block are its words as codes and the hash of each distinct one: shingles are made of them again where they are
+needed, since eight bytes for each would be twice the texts.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 from termlake.llm import blocks as B
 from termlake.llm.common import bucketed_table, join_counted, lean, lean_pair, lean_table, rows_of, ship, small_batches, stage_table
 from termlake.llm.components import components
-from termlake.llm.exact_dedup import filter_bits, hit_filter, looked_up, may_hit
+from termlake.llm.exact_dedup import filter_bits, hit_filter, looked_up, marked_hits, may_hit
 
 ship(__name__)
 
@@ -36,8 +39,8 @@ TABLE = 1 << 16
 #: Undamped, what a group of thousands of near copies shares would weigh so little beside the words of an edit that
 #: texts with nine tenths of their shingles in common fell below 0.8.
 FLOOR = 0.75
-#: Shingles of a block of documents; shingles, about, whose counts one hash range holds.
-TOGETHER = 1_000_000
+#: Shingles of a block of documents, repeats counted; shingles, about, whose counts one hash range holds.
+TOGETHER = 1_200_000
 PART_SHINGLES = 2_000_000
 #: Bits of a shingle's hash beyond the logarithm of the number of shingles: a chance of 2**-24 that one meets another.
 SPARE_BITS = 24
@@ -45,73 +48,73 @@ SPARE_BITS = 24
 SMALL = 8
 #: Nodes of a block in those comparisons, about.
 BLOCK = 1024
-#: Words that a worker remembers.
-CACHE = 200_000
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
+def shingles(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct shingles of hashed words, in order, and their counts.
 
-
-def shingles(text: bytes, hashes: _Hashes) -> tuple[np.ndarray, np.ndarray, bytes]:
-    """Hashes of the distinct shingles of the text, A-Z lowered, in order, their counts, and a digest of its words.
-
-    A text of one to four words is one shingle; one without words has none.
+    One to four words are one shingle; no words have none.
     """
-    words = text.lower().split()
-    digest = xxhash.xxh3_128_digest(b" ".join(words))
-    h = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-    n = max(len(h) - WORDS + 1, min(1, len(h)))
+    n = max(len(words) - WORDS + 1, min(1, len(words)))
     out = np.zeros(n, np.uint64)
-    for i in range(min(WORDS, len(h))):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
+    for i in range(min(WORDS, len(words))):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + words[i : i + n]
     out ^= out >> np.uint64(29)
     out *= np.uint64(0xBF58476D1CE4E5B9)
     out ^= out >> np.uint64(32)
-    known, counts = np.unique(out, return_counts=True)
-    return known, counts, digest
+    return np.unique(out, return_counts=True)
 
 
-SHINGLED = "block string, doc_id bigint, tie bigint, digest binary, n bigint, keys binary, counts binary"
+CODED = "block string, doc_id bigint, tie bigint, digest binary, n bigint, words binary, known binary"
 
-SHINGLED_AS = pa.schema([("block", pa.string()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+CODED_AS = pa.schema([("block", pa.string()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("words", pa.binary()), ("known", pa.binary())])
 
 
-def _shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each text that has words: its block, its distinct shingles in order, how often each occurs in it."""
+def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each text that has words: its block, a digest of its words, A-Z lowered, the number of its shingles, repeats counted, and
+    the codes of its words in the block; and a row for each block, with the hash of each code in `known`."""
     from uuid import uuid4
 
-    hashes, block, held = _Hashes(), uuid4().hex, 0
+    codes, block, held = B._Codes(), uuid4().hex, 0
+
+    def known() -> tuple:
+        return block, None, None, None, None, None, np.fromiter(map(xxhash.xxh3_64_intdigest, codes), "<u8", len(codes)).tobytes()
+
     for batch in batches:
-        out: dict[str, list] = {name: [] for name in SHINGLED_AS.names}
+        rows = []
         for doc_id, tie, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            keys, counts, digest = shingles(text.as_py() or b"", hashes)
-            if not len(keys):
+            words = (text.as_py() or b"").lower().split()
+            if not words:
                 continue
-            once = bool((counts == 1).all())
-            row = (block, doc_id, tie, digest, len(keys), keys.astype("<u8").tobytes(), None if once else B.pack_ints(counts))
-            for values, value in zip(out.values(), row, strict=True):
-                values.append(value)
-            held += len(keys)
+            n = max(len(words) - WORDS + 1, 1)
+            own = np.fromiter(map(codes.__getitem__, words), np.uint32, len(words))
+            rows.append((block, doc_id, tie, xxhash.xxh3_128_digest(b" ".join(words)), n, B.pack_ints(own), None))
+            held += n
             if held >= TOGETHER:
-                block, held = uuid4().hex, 0
-        yield pa.RecordBatch.from_pydict(out, SHINGLED_AS)
+                rows.append(known())
+                codes, block, held = B._Codes(), uuid4().hex, 0
+        yield pa.RecordBatch.from_pydict(dict(zip(CODED_AS.names, zip(*rows, strict=True), strict=True)) if rows else {x: [] for x in CODED_AS.names}, CODED_AS)
+    if held:
+        yield pa.RecordBatch.from_pydict(dict(zip(CODED_AS.names, ([x] for x in known()), strict=True)), CODED_AS)
+
+
+def _documents(block: pa.Table) -> tuple[pa.Table, list[tuple[np.ndarray, np.ndarray]]]:
+    """The rows of a block's documents, and for each its distinct shingles in order and how often each occurs in it."""
+    (known,) = block.column("known").drop_null()
+    known, own = np.frombuffer(known.as_buffer(), "<u8"), block.filter(pc.is_valid(block.column("words")))
+    return own, [shingles(known[B.unpack_ints(x.as_py())]) for x in own.column("words")]
 
 
-def _keys_of(table: pa.Table) -> tuple[np.ndarray, list[int]]:
-    """All keys of a block's documents, one after the other, and where each document's end."""
-    parts = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("keys")]
-    return np.concatenate(parts), np.cumsum([len(x) for x in parts]).tolist()
+def _unfold(block: pa.Table) -> pa.Table:
+    own, sets = _documents(block)
+    counts = [None if (n == 1).all() else B.pack_ints(n) for _, n in sets]
+    return pa.table({"doc_id": own.column("doc_id"), "digest": own.column("digest"), "keys": pa.array([B.pack_sorted(k) for k, _ in sets], pa.binary()), "counts": pa.array(counts, pa.binary())})
 
 
 def _send(parts: int, bits: int):
     def send(block: pa.Table) -> pa.Table:
         """For each hash range a row with the block's distinct shingles in it and the number of its documents with each."""
-        keys, n = np.unique(_keys_of(block)[0], return_counts=True)
+        keys, n = np.unique(np.concatenate([k for k, _ in _documents(block)[1]]), return_counts=True)
         keys = keys >> np.uint64(64 - bits)
         edges = np.searchsorted(keys, np.array([(p << bits) // parts for p in range(parts)], dtype=np.uint64)).tolist() + [len(keys)]
         some = [p for p in range(parts) if edges[p] < edges[p + 1]]
@@ -193,15 +196,16 @@ def _sign(total: int):
     def sign(block: pa.Table, counted: pa.Table) -> pa.Table:
         """Band hashes of a block's documents, and for each of their shingles the number of documents with it."""
         tables, counted = _randomness(), counted.sort_by("part")
-        keys, ends = _keys_of(block)
+        own, sets = _documents(block)
+        keys, ends = np.concatenate([k for k, _ in sets]), np.cumsum([len(k) for k, _ in sets]).tolist()
         at = np.unique(keys, return_inverse=True)[1]
         documents = np.concatenate([B.unpack_ints(x.as_py()) for x in counted.column("found")])[at]
         bands, packed = [], []
-        for a, b, counts in zip([0, *ends[:-1]], ends, block.column("counts"), strict=True):
-            weights = weights_of(B.unpack_ints(counts.as_py()) if counts.is_valid else None, documents[a:b], total)
+        for a, b, (_, counts) in zip([0, *ends[:-1]], ends, sets, strict=True):
+            weights = weights_of(None if (counts == 1).all() else counts, documents[a:b], total)
             bands.append(band_hashes(keys[a:b], weights, tables))
             packed.append(B.pack_ints(documents[a:b]))
-        return pa.table({"doc_id": block.column("doc_id"), "tie": block.column("tie"), "digest": block.column("digest"), "bands": pa.array(bands, pa.list_(pa.int64())), "documents": pa.array(packed, pa.binary())}, SIGNED)
+        return pa.table({"doc_id": own.column("doc_id"), "tie": own.column("tie"), "digest": own.column("digest"), "bands": pa.array(bands, pa.list_(pa.int64())), "documents": pa.array(packed, pa.binary())}, SIGNED)
 
     return sign
 
@@ -217,7 +221,7 @@ def _sets(total: int):
 
 
 def _load(keys: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(keys, "<u8"), np.frombuffer(B.expand(weights), "<f4").astype(np.float64)
+    return B.unpack_sorted(keys), np.frombuffer(B.expand(weights), "<f4").astype(np.float64)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -275,8 +279,8 @@ def _verify_block(least: float):
 class _Verifier:
     """Compares pairs of nodes by their shingles; only shingles of nodes in a pair leave their task."""
 
-    def __init__(self, shingled: DataFrame, signed: DataFrame, nodes: DataFrame, total: int, least: float) -> None:
-        self.shingled, self.signed, self.nodes, self.total, self.least = shingled, signed, nodes, total, least
+    def __init__(self, coded: DataFrame, signed: DataFrame, nodes: DataFrame, total: int, least: float) -> None:
+        self.coded, self.signed, self.nodes, self.total, self.least = coded, signed, nodes, total, least
         self.sets: DataFrame | None = None
 
     def links(self, pairs: DataFrame) -> DataFrame:
@@ -288,8 +292,11 @@ class _Verifier:
         if self.sets is None or not wanted.isEmpty():
             bits = filter_bits(wanted.count())
             own = hit_filter(wanted, bits, "doc_id")
-            of = lambda rows: may_hit(rows, own, bits, "doc_id").join(wanted, ["digest", "doc_id"], "left_semi").dropDuplicates(["digest"]).drop("doc_id")
-            keys, documents = of(self.shingled.select("doc_id", "digest", "keys", "counts")), of(self.signed.select("doc_id", "digest", "documents"))
+            of = lambda rows: rows.join(wanted, ["digest", "doc_id"], "left_semi").dropDuplicates(["digest"]).drop("doc_id")
+            # a block keeps its hashes of words and the documents that are wanted, where it is stored
+            near = marked_hits(self.coded.select("block", "doc_id", "digest", "words", "known"), own, bits, "doc_id", "near").where("near or words is null")
+            unfolded = near.groupBy("block").applyInArrow(lean_table(_unfold), "doc_id bigint, digest binary, keys binary, counts binary")
+            keys, documents = of(unfolded), of(may_hit(self.signed.select("doc_id", "digest", "documents"), own, bits, "doc_id"))
             both = keys.join(documents, "digest").select("digest", "keys", "counts", "documents")
             new = stage_table(both.mapInArrow(lean(_sets(self.total)), "digest binary, keys binary, weights binary"), "near-sets")
             self.sets = new if self.sets is None else self.sets.union(new)
@@ -315,16 +322,16 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def signed_documents(texts: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """Stored tables of texts (doc_id, tie, text as bytes): the shingles of each text that has words, its bands with the document frequencies
-    of its shingles in their order; and the number of those texts."""
-    shingled = bucketed_table(texts.mapInArrow(lean(_shingle), SHINGLED), "near_shingles", "block")
-    total, whole = shingled.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    """Stored tables of texts (doc_id, tie, text as bytes): the coded words of each text that has words, its bands with the document
+    frequencies of its shingles in their order; and the number of those texts."""
+    coded = bucketed_table(texts.mapInArrow(lean(_encode), CODED), "near_words", "block")
+    total, whole = coded.agg(F.count("words"), F.coalesce(F.sum("n"), F.lit(0))).first()
     parts, bits = whole // PART_SHINGLES + 1, min(63, max(whole, 1).bit_length() + SPARE_BITS)
-    sent = shingled.select("block", "keys").groupBy("block").applyInArrow(lean_table(_send(parts, bits)), "part int, block string, keys binary, n binary")
+    sent = coded.select("block", "words", "known").groupBy("block").applyInArrow(lean_table(_send(parts, bits)), "part int, block string, keys binary, n binary")
     counted = sent.groupBy("part").applyInArrow(lean_table(_count), "block string, part int, found binary")
-    own = shingled.select("block", "doc_id", "tie", "digest", "keys", "counts").groupBy("block")
+    own = coded.select("block", "doc_id", "tie", "digest", "words", "known").groupBy("block")
     signed = own.cogroup(counted.groupBy("block")).applyInArrow(lean_pair(_sign(total)), "doc_id bigint, tie bigint, digest binary, bands array<bigint>, documents binary")
-    return shingled, stage_table(signed, "near-signed"), total
+    return coded, stage_table(signed, "near-signed"), total
 
 
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR, tie: Column | None = None) -> DataFrame:
@@ -340,7 +347,7 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, tie: Column | Non
     """
     small_batches(docs.sparkSession)
     rows = rows_of(docs, doc_id=F.col("doc_id").cast("long"), tie=(F.lit(0) if tie is None else tie).cast("long"), text=F.col("text"))
-    shingled, signed, total = signed_documents(rows.withColumn("text", F.col("text").cast("binary")))
+    coded, signed, total = signed_documents(rows.withColumn("text", F.col("text").cast("binary")))
     usable = signed.where("doc_id is not null")
     first = F.min(F.struct("doc_id", "tie"))
     index = usable.groupBy("digest").agg(first.alias("keep"), F.count("*").alias("n"))
@@ -348,7 +355,7 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, tie: Column | Non
     # equal texts have equal bands, so any row of a node will do; the one of its smallest id is joined by that id
     bands = usable.join(index.select("digest", F.col("keep_id").alias("doc_id")), ["digest", "doc_id"], "left_semi").select("digest", "bands").dropDuplicates(["digest"])
     placed = stage_table(bands.select("digest", F.explode("bands").alias("band")), "near-bands")
-    verifier = _Verifier(shingled, signed, index.select("digest", F.col("keep_id").alias("doc_id")), total, similar)
+    verifier = _Verifier(coded, signed, index.select("digest", F.col("keep_id").alias("doc_id")), total, similar)
     # first each node with one other, of all that it meets the one with the smallest hash: that links most copies
     ranked = F.struct(F.xxhash64("digest").alias("rank"), "digest")
     centers = stage_table(placed.groupBy("band").agg(F.min(ranked).alias("center"), F.count("*").alias("n")).where("n > 1"), "near-centers")

@@ -1,6 +1,8 @@
 """Texts of 200,000 words and a word of a million letters, beside null and short ones: operators take them whole."""
 
 import hashlib
+import os
+import random
 import zlib
 
 import numpy as np
@@ -53,3 +55,14 @@ def test_sizes(long):
     assert {r["doc_id"]: r["n_tokens"] for r in scored} == {i: len((t or "").split()) + 1 for i, t in TEXTS.items()}
     assert next(r["n_known"] for r in scored if r["doc_id"] == 3) == len(WORDS)
     assert hashlib.sha256(LONG.encode()).hexdigest() in {r["text_sha256"] for r in exact_dedup.exact_duplicates(long).collect()}
+
+
+def test_near_duplicates_store_less_than_the_texts(spark):
+    """Shingles are made of coded words where they are needed: eight bytes for each shingle were half as much again as these texts."""
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 7))) for _ in range(3000)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(vocabulary, k=300))) for i in range(400)], "doc_id bigint, text string")
+    coded, signed, total = near_dedup.signed_documents(docs.select("doc_id", F.lit(0).cast("long").alias("tie"), F.col("text").cast("binary").alias("text")))
+    stored = sum(os.path.getsize(x.removeprefix("file:")) for x in coded.inputFiles())
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    assert total == signed.count() == 400 and stored < 0.7 * size
