@@ -61,13 +61,10 @@ FORM = ("surface", "merge_as", "source", "gap_type", "suggestions", "scheme", "r
 
 
 def forms(misses: DataFrame) -> DataFrame:
-    """(gap_key, display, FORM, n, first_at, last_at): misses counted. They are read once; then each distinct form is normalised, not
+    """(gap_key, display, FORM, n, first_at, last_at): misses counted. They are read and shuffled once; then each form is normalised, not
     each miss. Forms add up: see merged()."""
     counted = misses.groupBy(*FORM).agg(F.count("*").alias("n"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
-    named = counted.select("surface", "merge_as").distinct()
-    keys = keyed(named.select("*", *(F.lit(None).cast("string").alias(x) for x in ("source", "text", "locator")))).select(F.col("surface").alias("own"), F.col("merge_as").alias("alias"), "gap_key", "display")
-    same = (F.col("surface").eqNullSafe(F.col("own"))) & (F.col("merge_as").eqNullSafe(F.col("alias")))
-    return counted.join(keys, same).select("gap_key", "display", *FORM, "n", "first_at", "last_at")
+    return keyed(counted.withColumns({x: F.lit(None).cast("string") for x in ("text", "locator")})).select("gap_key", "display", *FORM, "n", "first_at", "last_at")
 
 
 def merged(rows: DataFrame) -> DataFrame:
