@@ -103,8 +103,10 @@ PLACE = ("source", "text", "locator", "doc_version", "at")
 
 
 def pieces(rows: DataFrame) -> DataFrame:
-    """(gap_key, evidence_id, PLACE): of each piece of evidence of keyed misses, or of pieces of several tables, the last occurrence."""
-    return rows.groupBy("gap_key", "evidence_id").agg(F.max_by(F.struct(*PLACE), F.struct("at", "text")).alias("of")).select("gap_key", "evidence_id", "of.*")
+    """(gap_key, evidence_id, PLACE): of each piece of evidence of keyed misses, or of pieces of several tables, the last occurrence, ties
+    by text and then by the rest of PLACE. The struct that is compared is what is kept, so each value is shuffled once."""
+    last = F.max(F.struct("at", "text", "source", "locator", "doc_version")).alias("of")
+    return rows.groupBy("gap_key", "evidence_id").agg(last).select("gap_key", "evidence_id", *(f"of.{x}" for x in PLACE))
 
 
 def evidence(misses: DataFrame, most: int = EVIDENCE) -> DataFrame:
