@@ -46,11 +46,13 @@ def instant(nanos: Column) -> Column:
 
 
 def points(payloads: DataFrame) -> DataFrame:
-    """(resource, scope, metric, unit, kind, monotonic, at, value, attributes) of every data point, gauges and sums."""
+    """(resource, scope, metric, unit, kind, monotonic, at, value, attributes) of every data point, gauges and sums. Payloads are read once for both."""
     scopes = payloads.select(F.explode("resourceMetrics").alias("r")).select(attribute_map(F.col("r.resource.attributes")).alias("resource"), F.explode("r.scopeMetrics").alias("s"))
     metrics = scopes.select("resource", F.col("s.scope.name").alias("scope"), F.explode("s.metrics").alias("m"))
-    made = lambda kind, monotonic, at: metrics.select("resource", "scope", F.col("m.name").alias("metric"), F.col("m.unit").alias("unit"), F.lit(kind).alias("kind"), monotonic.alias("monotonic"), F.explode(at).alias("p"))
-    both = made("gauge", F.lit(False), "m.gauge.dataPoints").unionByName(made("sum", F.coalesce("m.sum.isMonotonic", F.lit(False)), "m.sum.dataPoints"))
+    made = lambda kind, monotonic, at: F.transform(at, lambda p: F.struct(F.lit(kind).alias("kind"), monotonic.alias("monotonic"), p.alias("p")))
+    kinds = F.array(made("gauge", F.lit(False), "m.gauge.dataPoints"), made("sum", F.coalesce("m.sum.isMonotonic", F.lit(False)), "m.sum.dataPoints"))
+    both = metrics.select("resource", "scope", F.col("m.name").alias("metric"), F.col("m.unit").alias("unit"), F.explode(F.flatten(F.filter(kinds, lambda x: x.isNotNull()))).alias("k"))
+    both = both.select("resource", "scope", "metric", "unit", "k.kind", "k.monotonic", "k.p")
     value = F.coalesce("p.asDouble", F.col("p.asInt").try_cast("double"))
     return both.select("resource", "scope", "metric", "unit", "kind", "monotonic", instant(F.col("p.timeUnixNano")).alias("at"), value.alias("value"), attribute_map(F.col("p.attributes")).alias("attributes"))
 
