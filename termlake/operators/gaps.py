@@ -52,8 +52,9 @@ def chat_misses(unresolved: DataFrame, at: Column, run_id: str | None = None) ->
 
 
 def source_counts(misses: DataFrame) -> DataFrame:
-    """(gap_key, source, n) of keyed misses; a source never seen has no row."""
-    return misses.groupBy("gap_key", "source").agg(F.count("*").alias("n"))
+    """(gap_key, source, n) of misses (surface, merge_as, source), whose distinct forms are normalised; a source never seen has no row."""
+    counted = misses.groupBy("surface", "merge_as", "source").agg(F.count("*").alias("n"))
+    return keyed(counted.withColumns({x: F.lit(None).cast("string") for x in ("text", "locator")})).groupBy("gap_key", "source").agg(F.sum("n").alias("n"))
 
 
 #: What misses have in common apart from their time, and so are counted by.

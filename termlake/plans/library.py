@@ -71,7 +71,7 @@ def quantity_forms(spark, d):
 
 @query(f"WITH {MISSES} SELECT gap_key, source, count(*) AS n FROM m GROUP BY 1, 2")
 def gap_source_counts(spark, d):
-    return Q.source_counts(core.misses(spark, d))
+    return Q.source_counts(raw_misses(spark, d))
 
 
 def queue_misses(spark, d):

@@ -35,3 +35,8 @@ def test_points_read_payloads_once(spark):
     points = telemetry.points(spark.createDataFrame([(text,)], "x string").select(telemetry.parse_payloads(F.col("x")).alias("p")).select("p.*"))
     assert "Union" not in plan(points)
     assert sorted((r["metric"], r["kind"], r["monotonic"], r["value"]) for r in points.collect()) == [("g", "gauge", False, 1.5), ("s", "sum", True, 2.0), ("s", "sum", True, 3.0)]
+
+
+def test_sources_are_counted_before_forms_are_normalised(spark):
+    rows = misses(spark, [("Pumps", "document", "d1"), ("Pumps", "document", "d2"), ("pump", "document", "d2"), ("pump", "chat", "c1")])
+    assert sorted(map(tuple, gaps.source_counts(rows).collect())) == [("pump", "chat", 1), ("pump", "document", 3)]
