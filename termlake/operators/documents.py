@@ -3,23 +3,27 @@
 from __future__ import annotations
 
 import bisect
+import itertools
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termlake.functions import text as T
-from termlake.tasks import ship
+from termlake.tasks import ship, small_batches
 
 ship(__name__)
 
 CHUNK_TOKENS = 400
 #: White space as patterns of the JVM have it.
 SPACES = r"[ \t\n\x0b\f\r]+"
+LONG_SPACES = r"[ \t\n\x0b\f\r]{2,}"
 #: Lines of a bucket that intervals of a document are joined by.
 BUCKET = 64
+#: So many snippets of a document are looked for without an automaton.
+FEW = 4
 
 
 def _split(text: Column) -> Column:
@@ -80,14 +84,15 @@ class Finder:
 
     @staticmethod
     def first(snippets: Iterable[str], text: str) -> dict[str, int]:
-        """The first place of each snippet that the text has; an automaton of all meets each character once."""
+        """The first place of each snippet that the text has; an automaton of all meets each character once, few are looked for in turn."""
+        snippets = set(snippets)
+        if len(snippets) <= FEW:
+            return {x: at for x in snippets if (at := text.find(x)) >= 0}
         import ahocorasick
 
         automaton, missing, found = ahocorasick.Automaton(), set(snippets), {}
         for snippet in missing:
             automaton.add_word(snippet, snippet)
-        if not missing:
-            return found
         automaton.make_automaton()
         for end, snippet in automaton.iter(text):
             if snippet in missing:
@@ -104,41 +109,65 @@ class Finder:
         out = {x: (at, at + len(x)) for x, at in self.first(loose, self.text).items()}
         rest = {x: y for x, y in loose.items() if x not in out}
         if rest:
-            parts, origin, at = [], [], 0
-            for m in re.finditer(SPACES, self.text):
-                parts += [self.text[at : m.start()], " "]
-                origin += [*range(at, m.start()), m.start()]
-                at = m.end()
-            parts.append(self.text[at:])
-            origin += range(at, len(self.text))
-            found = self.first(rest.values(), "".join(parts))
-            out |= {x: (origin[found[y]], origin[found[y] + len(y) - 1] + 1) for x, y in rest.items() if y in found}
+            # a run of white space is one character of the collapsed text, so only longer runs shift what comes after them
+            runs = [(m.start(), m.end() - m.start() - 1) for m in re.finditer(LONG_SPACES, self.text)]
+            shifts = [0, *itertools.accumulate(n for _, n in runs)]
+            starts = [start - shift for (start, _), shift in zip(runs, shifts)]
+            origin = lambda at: at + shifts[bisect.bisect_left(starts, at)]
+            found = self.first(rest.values(), re.sub(SPACES, " ", self.text))
+            out |= {x: (origin(found[y]), origin(found[y] + len(y) - 1) + 1) for x, y in rest.items() if y in found}
         return out
 
 
-def _place(wanted: pa.Table, texts: pa.Table) -> pa.Table:
-    out = {name: [] for name in ("doc_id", "snippet", "start", "end", "first_line", "last_line")}
-    if wanted.num_rows and texts.num_rows:
-        row = min(texts.to_pylist(), key=lambda x: x["text"])  # a document that is there twice
-        finder, numbers = Finder(row["text"]), row["numbers"]
+def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (doc_id, snippet, text, numbers), those of a document together and its text before its snippets."""
+    doc_id, source, wanted = None, None, set()
+    out: dict[str, list] = {name: [] for name in ("doc_id", "snippet", "start", "end", "first_line", "last_line")}
+
+    def place() -> None:
+        if source is None or not wanted:
+            return
+        finder, numbers = Finder(source[0].as_py()), source[1].as_py()
         number = lambda offset: numbers[i] if numbers and (i := finder.line(offset)) < len(numbers) else finder.line(offset) + 1
-        for snippet, (start, end) in finder.places(wanted.column("snippet").to_pylist()).items():
-            for name, value in zip(out, (row["doc_id"], snippet, start, end, number(start), number(max(end - 1, start))), strict=True):
+        for snippet, (start, end) in finder.places(wanted).items():
+            for name, value in zip(out, (doc_id, snippet, start, end, number(start), number(max(end - 1, start))), strict=True):
                 out[name].append(value)
-    kinds = (texts.schema.field("doc_id").type, pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-    return pa.table([pa.array(v, kind) for v, kind in zip(out.values(), kinds, strict=True)], names=list(out))
+
+    def taken() -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
+        for values in out.values():
+            values.clear()
+        return made
+
+    for batch in batches:
+        kinds = (batch.schema.field("doc_id").type, pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+        for own, snippet, *text in zip(batch.column("doc_id").to_pylist(), batch.column("snippet").to_pylist(), batch.column("text"), batch.column("numbers"), strict=True):
+            if own != doc_id:
+                place()
+                doc_id, source, wanted = own, None, set()
+            if snippet is not None:
+                wanted.add(snippet)
+            elif source is None:  # the first, of a document that is there twice
+                source = text
+        yield taken()
+    place()
+    if out["doc_id"]:
+        yield taken()
 
 
 def locate_all(wanted: DataFrame, texts: DataFrame) -> DataFrame:
     """(doc_id, snippet, start, end, first_line, last_line) of wanted (doc_id, snippet) that are in their text of texts (doc_id, text,
     numbers), as locate() finds them; numbers are those of its lines, 1 and up where null.
 
-    Snippets meet their document once: a text is in one task, read once or twice for all its snippets, and in no row of theirs.
+    Snippets meet their document once: a text is in one task, read once or twice for all its snippets, and in no row of theirs. Tasks
+    read documents one after the other, in the order of their ids, so none is a group with a start of its own.
     """
-    asked = wanted.where("doc_id IS NOT NULL AND snippet IS NOT NULL").select("doc_id", "snippet").distinct()
-    known = texts.where("text IS NOT NULL").select("doc_id", "text", "numbers")
+    small_batches(texts.sparkSession)
+    known = texts.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.lit(None).cast("string").alias("snippet"), "text", F.col("numbers").cast("array<int>").alias("numbers"))
+    asked = wanted.where("doc_id IS NOT NULL AND snippet IS NOT NULL").select("doc_id", "snippet", F.lit(None).cast("string").alias("text"), F.lit(None).cast("array<int>").alias("numbers"))
     kind = known.schema["doc_id"].dataType.simpleString()
-    return asked.groupBy("doc_id").cogroup(known.groupBy("doc_id")).applyInArrow(_place, f"doc_id {kind}, snippet string, start bigint, end bigint, first_line bigint, last_line bigint")
+    met = known.unionByName(asked).repartition("doc_id").sortWithinPartitions("doc_id", F.asc_nulls_last("text"))
+    return met.mapInArrow(_place, f"doc_id {kind}, snippet string, start bigint, end bigint, first_line bigint, last_line bigint")
 
 
 def line_of(offset: Column, text: Column) -> Column:
