@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from termlake.operators import documents
+from termlake.operators import documents, resolution
 
 
 def plan(df) -> str:
@@ -18,3 +18,14 @@ def test_snippets_are_found_without_a_group_for_each_document(spark):
     rows = [tuple(r) for r in found.where("doc_id = 12").orderBy("snippet").collect()]
     assert rows == [(12, "a12 b", 0, 6, 1, 1), (12, "b  c", 5, 10, 1, 3), (12, "b c", 5, 10, 1, 3), (12, "b c12", 5, 12, 1, 3), (12, "last", 13, 17, 4, 4)]
     assert found.count() == 250
+
+
+def test_each_surface_is_resolved_once(spark):
+    labels = spark.createDataFrame([("c1", "s", "Filter", "pref"), ("c2", "s", "Pump", "pref"), ("c3", "s", "pump!", "alt")], "concept_id string, scheme_id string, label string, kind string")
+    mentions = spark.createDataFrame([(1, "filter"), (2, "FILTER"), (3, "filter"), (4, None), (4, None), (5, "pump"), (6, "…")], "id bigint, surface string")
+    found = resolution.resolve(mentions, resolution.label_index(labels))
+    assert "Aggregate [surface" in plan(found)
+    assert found.columns[:3] == ["id", "surface", "normalised"]
+    got = sorted((r["id"], r["surface"], r["normalised"], r["concept_id"], tuple(r["collision"])) for r in found.where("surface is not null").collect())
+    assert got == [(1, "filter", "filter", "c1", ()), (2, "FILTER", "filter", "c1", ()), (3, "filter", "filter", "c1", ()), (5, "pump", "pump", None, ("c2", "c3")), (6, "…", "", None, ())]
+    assert [(r["id"], r["normalised"], r["stage"]) for r in found.where("surface is null").collect()] == [(4, "", "abstain")] * 2
