@@ -17,6 +17,8 @@ from termlake.tasks import ship, small_batches
 ship(__name__)
 
 CHUNK_TOKENS = 400
+#: A heading, with white space as patterns of the JVM have it.
+_HEADING = re.compile(T.HEADING, re.ASCII)
 #: White space as patterns of the JVM have it.
 SPACES = r"[ \t\n\x0b\f\r]+"
 LONG_SPACES = r"[ \t\n\x0b\f\r]{2,}"
@@ -187,29 +189,54 @@ def chunks(docs: DataFrame, tokens: int = CHUNK_TOKENS) -> DataFrame:
     return chunk_lines(source_lines(docs.select("doc_id", "text", F.lit(False).alias("is_html"))), tokens)
 
 
+def _packed(lines: list[str], tokens: int) -> Iterator[tuple[int, int, int, str | None, str]]:
+    """(chunk_no, first line, line after the last, heading, text) of a document's chunks, lines counted from 0."""
+    cuts, heads, held, due = [], [], 0, True
+    for i, line in enumerate(lines):
+        head = _HEADING.match(line) is not None
+        if head:
+            heads.append(i)
+        if due or head:
+            cuts.append(i)
+            held = 0
+        held += len(line.split())
+        due = max(1, held * 4 // 3) >= tokens
+        held = 0 if due else held
+    for chunk_no, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(lines)], strict=True)):
+        text = "\n".join(lines[a:b]).strip()
+        if text:
+            at = bisect.bisect_right(heads, a) - 1
+            yield chunk_no, a, b, lines[heads[at]].lstrip("# ").strip(" ") if at >= 0 else None, text
+
+
+def _pack(tokens: int):
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {name: [] for name in ("doc_id", "chunk_no", "start_line", "end_line", "heading", "text")}
+            nos, lines = batch.column("no"), batch.column("line")
+            for doc_id, no, line in zip(batch.column("doc_id").to_pylist(), nos, lines, strict=True):
+                if not line.is_valid:
+                    continue
+                no = no.as_py()
+                for chunk_no, a, b, heading, text in _packed(line.values.to_pylist(), tokens):
+                    for name, value in zip(out, (doc_id, chunk_no, no[a], no[b - 1], heading, text), strict=True):
+                        out[name].append(value)
+            kinds = (batch.schema.field("doc_id").type, pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
+
+    return pack
+
+
 def chunk_lines(sources: DataFrame, tokens: int = CHUNK_TOKENS) -> DataFrame:
     """(doc_id, chunk_no, start_line, end_line, heading, text) of sources (doc_id, all).
 
     A heading opens a section; in a section, lines are packed until their estimate reaches `tokens`. Blank chunks are left
-    out, white space at both ends too. The fold keeps the places of the cuts only, so its work grows with the number of lines.
+    out, white space at both ends too. Each line is read once, so the work grows with the number of lines.
     """
-    shaped = F.transform("all", lambda x: F.struct(T.is_heading(x["line"]).alias("head"), T.word_count(x["line"]).alias("n")))
-    marked = sources.select("doc_id", "all", shaped.alias("shaped"), F.filter(F.transform("all", lambda x, i: F.when(T.is_heading(x["line"]), i + 1)), lambda i: i.isNotNull()).alias("heads"))
-    full = f"greatest(1, floor((s.held + x.n) * 4 / 3)) >= {tokens}"
-    # state: place of the line, words of the open chunk, whether a cut comes before the next line, places of the cuts so far
-    fold = F.expr(f"""aggregate(shaped, named_struct('i', 0, 'held', 0, 'due', true, 'cuts', cast(array() as array<int>)), (s, x) ->
-        aggregate(array(s.due or x.head), s, (t, cut) -> named_struct('i', s.i + 1,
-            'held', if({full.replace("s.held", "if(cut, 0, s.held)")}, 0, if(cut, 0, s.held) + x.n), 'due', {full.replace("s.held", "if(cut, 0, s.held)")},
-            'cuts', if(cut, array_append(s.cuts, s.i + 1), s.cuts)))).cuts""")
-    cut = marked.select("doc_id", "all", "heads", fold.alias("cuts"))
-    ends = F.concat(F.slice("cuts", 2, F.greatest(F.size("cuts"), F.lit(1))), F.array(F.size("all") + 1))
-    parts = cut.select("doc_id", "all", "heads", F.posexplode(F.arrays_zip(F.col("cuts").alias("a"), ends.alias("b"))).alias("part", "z")).where("z.a is not null")
-    own = F.slice("all", F.col("z.a"), F.col("z.b") - F.col("z.a"))
-    head = F.element_at(F.filter("heads", lambda i: i <= F.col("z.a")), -1)
-    heading = F.when(F.size(F.filter("heads", lambda i: i <= F.col("z.a"))) > 0, T.heading_text(F.element_at(F.col("all.line"), head)))
-    text = T.stripped(F.array_join(F.transform(own, lambda x: x["line"]), "\n"))
-    out = parts.select("doc_id", F.col("part").alias("chunk_no"), own[0]["no"].alias("start_line"), F.element_at(own, -1)["no"].alias("end_line"), heading.alias("heading"), text.alias("text"))
-    return out.where("text <> ''")
+    small_batches(sources.sparkSession)
+    kind = sources.schema["doc_id"].dataType.simpleString()
+    rows = sources.select("doc_id", F.col("all.no").cast("array<int>").alias("no"), F.col("all.line").alias("line"))
+    return rows.mapInArrow(_pack(tokens), f"doc_id {kind}, chunk_no int, start_line int, end_line int, heading string, text string")
 
 
 def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:

@@ -20,6 +20,15 @@ def test_snippets_are_found_without_a_group_for_each_document(spark):
     assert found.count() == 250
 
 
+def test_chunks_carry_no_document_along(spark):
+    text = "\n".join(f"# h{i}\nw" for i in range(3000))
+    found = documents.chunks(spark.createDataFrame([(1, text), (2, "\x1c\n x\u3000y \u2003")], "doc_id bigint, text string"))
+    assert "Generate" not in plan(found) and "aggregate(" not in plan(found)
+    rows = found.orderBy("doc_id", "chunk_no").collect()
+    assert [(r["chunk_no"], r["start_line"], r["end_line"], r["heading"], r["text"]) for r in rows if r["doc_id"] == 1] == [(i, 2 * i + 1, 2 * i + 2, f"h{i}", f"# h{i}\nw") for i in range(3000)]
+    assert tuple(rows[-1]) == (2, 0, 1, 2, None, "x\u3000y")
+
+
 def test_each_surface_is_resolved_once(spark):
     labels = spark.createDataFrame([("c1", "s", "Filter", "pref"), ("c2", "s", "Pump", "pref"), ("c3", "s", "pump!", "alt")], "concept_id string, scheme_id string, label string, kind string")
     mentions = spark.createDataFrame([(1, "filter"), (2, "FILTER"), (3, "filter"), (4, None), (4, None), (5, "pump"), (6, "…")], "id bigint, surface string")
