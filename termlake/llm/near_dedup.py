@@ -292,7 +292,9 @@ class _Verifier:
         if self.sets is None or not wanted.isEmpty():
             bits = filter_bits(wanted.count())
             own = hit_filter(wanted, bits, "doc_id")
-            of = lambda rows: rows.join(wanted, ["digest", "doc_id"], "left_semi").dropDuplicates(["digest"]).drop("doc_id")
+            # by digest alone, as what follows: with doc_id as a key of the join, all would be shuffled once more
+            asked = wanted.withColumnRenamed("doc_id", "wanted_id")
+            of = lambda rows: rows.join(asked, "digest").where("doc_id between wanted_id and wanted_id").drop("wanted_id").dropDuplicates(["digest"]).drop("doc_id")
             # a block keeps its hashes of words and the documents that are wanted, where it is stored
             near = marked_hits(self.coded.select("block", "doc_id", "digest", "words", "known"), own, bits, "doc_id", "near").where("near or words is null")
             unfolded = near.groupBy("block").applyInArrow(lean_table(_unfold), "doc_id bigint, digest binary, keys binary, counts binary")
@@ -301,6 +303,8 @@ class _Verifier:
             new = stage_table(both.mapInArrow(lean(_sets(self.total)), "digest binary, keys binary, weights binary"), "near-sets")
             self.sets = new if self.sets is None else self.sets.union(new)
         first, second = self.sets.toDF("a", "a_keys", "a_weights"), self.sets.toDF("b", "b_keys", "b_weights")
+        # the sets of earlier pairs stay where they are stored
+        first, second = first.join(pairs.select("a"), "a", "left_semi"), second.join(pairs.select("b"), "b", "left_semi")
         both = pairs.join(first, "a").join(second, "b").select("a", "b", "a_keys", "a_weights", "b_keys", "b_weights")
         return stage_table(both.mapInArrow(lean(_verify(self.least)), "a binary, b binary, similarity double"), "near-links")
 
@@ -356,11 +360,10 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, tie: Column | Non
     bands = usable.join(index.select("digest", F.col("keep_id").alias("doc_id")), ["digest", "doc_id"], "left_semi").select("digest", "bands").dropDuplicates(["digest"])
     placed = stage_table(bands.select("digest", F.explode("bands").alias("band")), "near-bands")
     verifier = _Verifier(coded, signed, index.select("digest", F.col("keep_id").alias("doc_id")), total, similar)
-    # first each node with one other, of all that it meets the one with the smallest hash: that links most copies
-    ranked = F.struct(F.xxhash64("digest").alias("rank"), "digest")
-    centers = stage_table(placed.groupBy("band").agg(F.min(ranked).alias("center"), F.count("*").alias("n")).where("n > 1"), "near-centers")
+    # first each node with one other, of all that it meets the one with the smallest digest, a hash itself: that links most copies
+    centers = stage_table(placed.groupBy("band").agg(F.min("digest").alias("center"), F.count("*").alias("n")).where("n > 1"), "near-centers")
     placed = stage_table(join_counted(placed, centers, "band"), "near-shared")  # no other band brings a pair
-    first = placed.groupBy("digest").agg(F.min("center").alias("center")).select("digest", "center.digest").toDF("a", "b")
+    first = placed.groupBy("digest").agg(F.min("center").alias("center")).toDF("a", "b")
     links = verifier.links(stage_table(_ordered(first), "near-pairs"))
     classes = components(links)
     level = placed.select("digest", F.col("band").alias("bucket")).join(classes, F.col("digest") == F.col("node"), "left")

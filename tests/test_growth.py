@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from termlake.llm import near_dedup
 from termlake.operators import documents, resolution
 
 
@@ -38,3 +39,14 @@ def test_each_surface_is_resolved_once(spark):
     got = sorted((r["id"], r["surface"], r["normalised"], r["concept_id"], tuple(r["collision"])) for r in found.where("surface is not null").collect())
     assert got == [(1, "filter", "filter", "c1", ()), (2, "FILTER", "filter", "c1", ()), (3, "filter", "filter", "c1", ()), (5, "pump", "pump", None, ("c2", "c3")), (6, "…", "", None, ())]
     assert [(r["id"], r["normalised"], r["stage"]) for r in found.where("surface is null").collect()] == [(4, "", "abstain")] * 2
+
+
+def test_sets_of_other_pairs_are_not_shuffled(spark, monkeypatch):
+    plans, stored = {}, near_dedup.stage_table
+    monkeypatch.setattr(near_dedup, "stage_table", lambda df, name, *a, **k: plans.setdefault(name, []).append(plan(df)) or stored(df, name, *a, **k))
+    base = " ".join(f"w{i}" for i in range(200))
+    docs = [(1, base), (2, base + " end"), (3, "other words that nobody else has at all"), (4, base)]
+    found = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    assert {r["doc_id"]: r["class_id"] for r in found.collect()} == {1: 1, 2: 1, 3: 3, 4: 1}
+    assert plans["near-links"] and all(p.count("LeftSemi") >= 2 for p in plans["near-links"])
+    assert "rank" not in plans["near-centers"][0]
