@@ -101,7 +101,9 @@ def gap_list(spark, d):
 
 @query(f"""WITH {MISSES} SELECT source, count(DISTINCT gap_key || ' ' || substr(sha1(locator), 1, 12)) AS n_evidence FROM m GROUP BY 1""")
 def evidence_ids(spark, d):
-    return queue_misses(spark, d).select("source", "gap_key", "evidence_id").distinct().groupBy("source").agg(F.count("*").alias("n_evidence"))
+    found = Q.keyed(raw_misses(spark, d, once=True))  # a word that a document repeats is one piece of evidence
+    by_place = found.groupBy("source", "evidence_id").agg(F.size(F.collect_set("gap_key")).alias("n"))  # a row a place, not one for each of its words
+    return by_place.groupBy("source").agg(F.sum("n").alias("n_evidence"))
 
 
 def ring(spark, d):

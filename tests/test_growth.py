@@ -1,9 +1,13 @@
 """Steps whose work must grow no faster than their input: what they meet once, and what they must not carry along."""
 
+import random
+
 from pyspark.sql import functions as F
 
+from termlake.functions import text as T
 from termlake.llm import near_dedup
 from termlake.operators import documents, resolution
+from termlake.plans import core
 
 
 def plan(df) -> str:
@@ -41,6 +45,21 @@ def test_each_surface_is_resolved_once(spark):
     assert [(r["id"], r["normalised"], r["stage"]) for r in found.where("surface is null").collect()] == [(4, "", "abstain")] * 2
 
 
+def test_only_pieces_of_several_bytes_are_folded(spark):
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choices(["a", "B", "7", " ", "\n", "-", "é", "ß", "ﬁ", "½", "e\u0301", "Ω", "İ", "—", "𝐀", "s"], k=rnd.randrange(30))) for _ in range(300)] + ["", "\u0301 a"]
+    found = spark.createDataFrame([(x,) for x in texts], "text string").select("text", T.normalise(F.col("text")).alias("n"), T.merge_key(F.col("text")).alias("m"))
+    found = found.select("*", T.singular(F.col("n")).alias("s"))
+    assert "split(text" in plan(found.select("n"))
+    for r in found.collect():
+        assert r["n"] == " ".join("".join(map(T._folded, r["text"])).split()) and r["s"] == r["m"], r
+
+
+def test_words_of_a_document_once(spark, tmp_path):
+    spark.createDataFrame([(1, "b a b"), (1, "a"), (2, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, core.document_words(spark, str(tmp_path), once=True).collect())) == [(1, "a"), (1, "a"), (1, "b")]
+
+
 def test_sets_of_other_pairs_are_not_shuffled(spark, monkeypatch):
     plans, stored = {}, near_dedup.stage_table
     monkeypatch.setattr(near_dedup, "stage_table", lambda df, name, *a, **k: plans.setdefault(name, []).append(plan(df)) or stored(df, name, *a, **k))
