@@ -12,6 +12,7 @@ needed, since eight bytes for each would be twice the texts.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -281,16 +282,24 @@ class _Verifier:
 
     def __init__(self, coded: DataFrame, signed: DataFrame, nodes: DataFrame, total: int, least: float) -> None:
         self.coded, self.signed, self.nodes, self.total, self.least = coded, signed, nodes, total, least
-        self.sets: DataFrame | None = None
+        self.sets: list[DataFrame] = []
+
+    def _beside(self, rows: DataFrame, key: str, prefix: str = "") -> DataFrame:
+        """rows with the set of the node in `key`. Sets stay in their buckets of digests: only rows are shuffled to them, and those of
+        one bucketed table are not united with another's before, as a union has no buckets."""
+        asked = rows.select(key)
+        sets = (x.toDF(key, f"{prefix}keys", f"{prefix}weights").join(asked, key, "left_semi") for x in self.sets)
+        return functools.reduce(DataFrame.unionByName, [rows.join(x, key) for x in sets])
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """(a, b, similarity) of those pairs (a, b) that are similar."""
         wanted = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
-        if self.sets is not None:
-            wanted = wanted.join(self.sets.select("digest"), "digest", "left_anti")
+        for sets in self.sets:
+            wanted = wanted.join(sets.select("digest"), "digest", "left_anti")
         wanted = stage_table(wanted.join(self.nodes, "digest").select("digest", "doc_id"), "near-wanted")
-        if self.sets is None or not wanted.isEmpty():
-            bits = filter_bits(wanted.count())
+        if not self.sets or not wanted.isEmpty():
+            # each false hit shuffles its whole set, so the filter is four times as large as for rows of a digest
+            bits = filter_bits(4 * wanted.count())
             own = hit_filter(wanted, bits, "doc_id")
             # by digest alone, as what follows: with doc_id as a key of the join, all would be shuffled once more
             asked = wanted.withColumnRenamed("doc_id", "wanted_id")
@@ -300,12 +309,9 @@ class _Verifier:
             unfolded = near.groupBy("block").applyInArrow(lean_table(_unfold), "doc_id bigint, digest binary, keys binary, counts binary")
             keys, documents = of(unfolded), of(may_hit(self.signed.select("doc_id", "digest", "documents"), own, bits, "doc_id"))
             both = keys.join(documents, "digest").select("digest", "keys", "counts", "documents")
-            new = stage_table(both.mapInArrow(lean(_sets(self.total)), "digest binary, keys binary, weights binary"), "near-sets")
-            self.sets = new if self.sets is None else self.sets.union(new)
-        first, second = self.sets.toDF("a", "a_keys", "a_weights"), self.sets.toDF("b", "b_keys", "b_weights")
-        # the sets of earlier pairs stay where they are stored
-        first, second = first.join(pairs.select("a"), "a", "left_semi"), second.join(pairs.select("b"), "b", "left_semi")
-        both = pairs.join(first, "a").join(second, "b").select("a", "b", "a_keys", "a_weights", "b_keys", "b_weights")
+            self.sets.append(bucketed_table(both.mapInArrow(lean(_sets(self.total)), "digest binary, keys binary, weights binary"), "near_sets", "digest"))
+        # the set of a goes to the one of b: of many pairs with one center, the center is a mostly, so they spread over tasks
+        both = self._beside(self._beside(pairs, "a", "a_"), "b", "b_").select("a", "b", "a_keys", "a_weights", "b_keys", "b_weights")
         return stage_table(both.mapInArrow(lean(_verify(self.least)), "a binary, b binary, similarity double"), "near-links")
 
     def links_across(self, members: DataFrame) -> DataFrame:
@@ -316,8 +322,8 @@ class _Verifier:
         """
         blocks = F.ceil(F.col("n") / BLOCK).cast("int")
         dealt = members.withColumn("own", F.pmod(F.xxhash64("digest", "bucket"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        dealt = dealt.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "class", "digest").join(self.sets, "digest")
-        found = dealt.groupBy("bucket", "x", "y").applyInArrow(_verify_block(self.least), "a binary, b binary, similarity double")
+        dealt = dealt.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "class", "digest")
+        found = self._beside(dealt, "digest").groupBy("bucket", "x", "y").applyInArrow(_verify_block(self.least), "a binary, b binary, similarity double")
         return stage_table(found.dropDuplicates(["a", "b"]), "near-links")
 
 
@@ -353,16 +359,18 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, tie: Column | Non
     rows = rows_of(docs, doc_id=F.col("doc_id").cast("long"), tie=(F.lit(0) if tie is None else tie).cast("long"), text=F.col("text"))
     coded, signed, total = signed_documents(rows.withColumn("text", F.col("text").cast("binary")))
     usable = signed.where("doc_id is not null")
-    first = F.min(F.struct("doc_id", "tie"))
-    index = usable.groupBy("digest").agg(first.alias("keep"), F.count("*").alias("n"))
-    index = stage_table(index.select("digest", "keep", F.col("keep.doc_id").alias("keep_id"), "n"), "near-nodes")
-    # equal texts have equal bands, so any row of a node will do; the one of its smallest id is joined by that id
-    bands = usable.join(index.select("digest", F.col("keep_id").alias("doc_id")), ["digest", "doc_id"], "left_semi").select("digest", "bands").dropDuplicates(["digest"])
-    placed = stage_table(bands.select("digest", F.explode("bands").alias("band")), "near-bands")
+    # equal texts have equal bands, so those of any row of a node will do
+    index = usable.groupBy("digest").agg(F.min(F.struct("doc_id", "tie", "bands")).alias("first"), F.count("*").alias("n"))
+    keep = F.struct("first.doc_id", "first.tie").alias("keep")
+    index = stage_table(index.select("digest", keep, F.col("first.doc_id").alias("keep_id"), "n", "first.bands"), "near-nodes")
+    placed = index.select("digest", F.explode("bands").alias("band"))
     verifier = _Verifier(coded, signed, index.select("digest", F.col("keep_id").alias("doc_id")), total, similar)
     # first each node with one other, of all that it meets the one with the smallest digest, a hash itself: that links most copies
     centers = stage_table(placed.groupBy("band").agg(F.min("digest").alias("center"), F.count("*").alias("n")).where("n > 1"), "near-centers")
-    placed = stage_table(join_counted(placed, centers, "band"), "near-shared")  # no other band brings a pair
+    # no other band brings a pair; most are alone, so they are not shuffled
+    bits = filter_bits(centers.count())
+    shared = may_hit(placed, hit_filter(centers, bits, "band"), bits, "band")
+    placed = stage_table(join_counted(shared, centers, "band"), "near-shared")
     first = placed.groupBy("digest").agg(F.min("center").alias("center")).toDF("a", "b")
     links = verifier.links(stage_table(_ordered(first), "near-pairs"))
     classes = components(links)

@@ -69,3 +69,22 @@ def test_sets_of_other_pairs_are_not_shuffled(spark, monkeypatch):
     assert {r["doc_id"]: r["class_id"] for r in found.collect()} == {1: 1, 2: 1, 3: 3, 4: 1}
     assert plans["near-links"] and all(p.count("LeftSemi") >= 2 for p in plans["near-links"])
     assert "rank" not in plans["near-centers"][0]
+
+
+def test_sets_stay_in_their_buckets(spark, monkeypatch):
+    """No set of shingles is shuffled to the pairs of its node, and no band is before it is known that others have it."""
+    plans, stored = {}, near_dedup.stage_table
+    monkeypatch.setattr(near_dedup, "stage_table", lambda df, name, *a, **k: plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString()) or stored(df, name, *a, **k))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        words = [f"w{i}" for i in range(200)]
+        docs = [(10 * g + i, " ".join([f"g{g}", *words[g * 40 : g * 40 + 40], *["odd"][:i], f"i{i % 2}"])) for g in range(5) for i in range(3)]
+        found = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string"))
+        assert {r["doc_id"]: r["class_id"] for r in found.collect()} == {i: i // 10 * 10 for i, _ in docs}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    for plan_ in plans["near-links"]:
+        scans = [x for x in plan_.splitlines() if "FileScan" in x and "keys" in x]
+        assert scans and all("Bucketed: true" in x for x in scans)
+    assert "near-bands" not in plans and all("bitmap" in x for x in plans["near-shared"])
