@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from termlake.functions import text as T
-from termlake.operators import sharing, similarity, vector_index
+from termlake.operators import resolution, sharing, similarity, vector_index
 from termlake.plans import flows
 
 
@@ -75,3 +75,34 @@ def test_passages_are_stored_once(spark, tmp_path, monkeypatch):
     found = flows.ask_passages(spark, str(tmp_path)).select("id", F.col("rank").cast("long"), "passage_id", "score")
     assert sorted(map(tuple, found.collect())) == sorted(sql.execute(flows.ASK_PASSAGES).fetchall())
     assert sizes and max(sizes.values()) <= 60
+
+
+def test_only_phrases_that_a_look_can_reach_are_looked_up(spark, tmp_path, monkeypatch):
+    """A question of a hundred words has twelve looks: what these find is what the SQL finds that tries all of its phrases, and few are stored."""
+    duckdb = pytest.importorskip("duckdb")
+    rnd = random.Random(13)
+    words = ["pump", "filters", "verin", "gas", "seal", "odd", "ab"]
+    other = ["the", "of", "process", "things", "zeal", "leftover", "Pumpe", "fitler", "vérins,", "(gsa)", "—", "xq", "thing", "seale"]
+    said = lambda known, n: " ".join(rnd.choices(words, k=1)[0] if rnd.random() < known else rnd.choice(other) for _ in range(n))
+    asked = [(i, 0, "user", said(rnd.choice((0.05, 0.2, 0.4)), rnd.choice((1, 3, 8, 30, 100)))) for i in range(60)] + [(60, 0, "user", ""), (61, 0, "user", " ".join(f"{a}{b}x" for a in "bcdfghjklm" for b in "npqrstvwxz"))]
+    tables = {"documents": ([(i, said(0.5, 9), rnd.choice(["en", "fr", "de", None]), "s", 1) for i in range(30)], "doc_id bigint, text string, lang string, source string, n_chars bigint")}
+    tables |= {"conversations": (asked, "conv_id bigint, turn bigint, role string, text string"), "benchmark": ([(0, " ".join(words))], "item_id bigint, text string")}
+    sql = duckdb.connect()
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        sql.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    spans, stored = {}, resolution.stage
+
+    def spied(df, name):
+        out = stored(df, name)
+        if name == "spans":
+            spans.update({r["id"]: r["count"] for r in out.groupBy("id").count().collect()})
+        return out
+
+    monkeypatch.setattr(resolution, "stage", spied)
+    by = lambda rows: sorted((tuple(r) for r in rows), key=str)
+    answer = flows.answer(spark, str(tmp_path))
+    monkeypatch.setattr(flows, "answer", lambda *_: answer)
+    assert by(flows.ask_second_pass(spark, str(tmp_path)).collect()) == by(sql.execute(flows.ASK_SECOND).fetchall())
+    assert by(flows.ask_disagreements(spark, str(tmp_path)).collect()) == by(sql.execute(flows.ASK_DISAGREE).fetchall())
+    assert spans["61:0"] == 45
